@@ -44,7 +44,7 @@ def _first_in_row(df: DataFrame, refs: Column, key: tuple[str, ...]) -> DataFram
     References of an object all stand in its own row, so they are sorted and
     compared with their neighbour there; nothing is shuffled.
     """
-    ranked = F.array_sort(F.transform(refs, lambda r, i: F.struct(*[r[k].alias(k) for k in key], i.alias("pos"), r.alias("ref"))))
+    ranked = F.sort_array(F.transform(refs, lambda r, i: F.struct(*[r[k].alias(k) for k in key], i.alias("pos"), r.alias("ref"))))
     out = once(df, __sorted=ranked)
     same = lambda x, i: F.struct(*[F.get(F.col("__sorted"), i - 1)[k] for k in key]).eqNullSafe(F.struct(*[x[k] for k in key]))
     kept = F.filter(F.col("__sorted"), lambda x, i: (i == 0) | ~same(x, i))
@@ -135,7 +135,7 @@ def referenced_by_parts(back: DataFrame, part_size: int = 1000) -> DataFrame:
     sized = salted_join(back, sizes, ["target_id"], ["id"], "inner")
     part = F.pmod(F.xxhash64("id"), F.col("n_parts")).alias("part")
     return sized.groupBy("target_id", part, "n_parts").agg(
-        F.array_sort(F.collect_list(F.struct("id", "type"))).alias("referenced_by")
+        F.sort_array(F.collect_list(F.struct("id", "type"))).alias("referenced_by")
     )
 
 

@@ -53,8 +53,8 @@ def verify(fields: DataFrame, columns: DataFrame, prefix: str | None = None) ->
     models = fields.select("model", F.col("table_name").alias("table")).distinct()
     models = models.join(columns.select("table").distinct(), "table", "left_semi")
     found = issues(fields, columns).groupBy("model").agg(
-        F.array_sort(F.collect_list(F.when(F.col("issue") == "missing_column", F.col("column")))).alias("missing_columns"),
-        F.array_sort(F.collect_list(F.when(F.col("issue") == "type_mismatch", F.struct("column", "expected", "actual")))).alias("type_mismatches"),
+        F.sort_array(F.collect_list(F.when(F.col("issue") == "missing_column", F.col("column")))).alias("missing_columns"),
+        F.sort_array(F.collect_list(F.when(F.col("issue") == "type_mismatch", F.struct("column", "expected", "actual")))).alias("type_mismatches"),
     )
     out = models.join(found, "model", "left")
     empty = lambda c, t: F.coalesce(c, F.array().cast(t)).alias(c)

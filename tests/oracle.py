@@ -8,6 +8,7 @@ from __future__ import annotations
 import datetime
 import math
 import os
+import signal
 import sys
 import time
 import traceback
@@ -51,8 +52,8 @@ def differences(spark, con, folder: str, plan, sql: str | None) -> tuple[str, in
     if got[0] != want[0]:
         return f"columns {got[0]} instead of {want[0]}", len(got[1])
     if got[1] != want[1]:
-        extra = [r for r in got[1][:20000] if r not in set(want[1])][:3]
-        lacking = [r for r in want[1][:20000] if r not in set(got[1])][:3]
+        have, need = set(got[1]), set(want[1])
+        extra, lacking = sorted(have - need, key=repr)[:3], sorted(need - have, key=repr)[:3]
         return f"{len(got[1])} rows instead of {len(want[1])}; extra {extra}; lacking {lacking}", len(got[1])
     return "", len(got[1])
 
@@ -65,14 +66,23 @@ def main() -> int:
     spark, con = local_session(8), connect(folder)
     plans, sqls = queries(), oracle_sql()
     bad = 0
+
+    def late(*_):
+        raise TimeoutError("query took too long")
+
+    signal.signal(signal.SIGALRM, late)
     for name, plan in plans.items():
         if names and not any(name.startswith(n) for n in names):
             continue
         at = time.time()
+        signal.alarm(90)
         try:
             text, n = differences(spark, con, folder, plan, sqls.get(name))
         except Exception as e:  # report and go on
             text, n = f"{type(e).__name__}: {str(e)[:700]}" + ("" if "pyspark" in type(e).__module__ or "duckdb" in type(e).__module__ or "Exception" in type(e).__name__ else traceback.format_exc()[-600:]), -1
+            spark.sparkContext.cancelAllJobs()
+        finally:
+            signal.alarm(0)
         bad += bool(text)
         print(f"{'FAIL' if text else 'ok  '} {name} {n} rows {time.time() - at:.2f}s {'' if name in sqls else '(rows only) '}{text[:1500]}", flush=True)
     print(f"{bad} failed")
