@@ -1,4 +1,9 @@
-"""Parents, levels, containers and the other documented relations between objects."""
+"""Parents, levels, containers and the other documented relations between objects.
+
+Lookups whose left side comes out of JSON are plain joins: counting their keys
+first would parse the payloads twice. Adaptive execution splits their large
+partitions, since nothing after them needs the join's partitioning.
+"""
 
 from __future__ import annotations
 
@@ -160,7 +165,7 @@ def organizer_items(df: DataFrame, contents: DataFrame, column: str = "content_i
         F.coalesce(P.get_text(F.col("v"), "status"), F.lit("active")).alias("status"),
     )
     titles = contents.select(F.col("id").alias("item_id"), F.col("title").alias("item_title"))
-    return salted_join(items, titles, ["item_id"], ["organizer_id", "position"], "left")
+    return items.join(titles, "item_id", "left")
 
 
 def qualifiers(df: DataFrame, tables: DataFrame, column: str = "qualifiers") -> DataFrame:
@@ -170,7 +175,7 @@ def qualifiers(df: DataFrame, tables: DataFrame, column: str = "qualifiers") ->
         "object_id", F.col("e.key").alias("kind"), F.explode(P.as_list(F.col("e.value"))).alias("v")
     ).select("object_id", "kind", P.as_text(F.col("v")).alias("qualifier_id"))
     named = tables.select("kind", F.col("id").alias("qualifier_id"), F.col("name").alias("qualifier_name"))
-    return salted_join(rows, named, ["kind", "qualifier_id"], ["object_id"], "left")
+    return rows.join(named, ["kind", "qualifier_id"], "left")
 
 
 def belongs_to(df: DataFrame, column: str = "belongs_to") -> DataFrame:
@@ -198,7 +203,7 @@ def container_links(children: DataFrame, listed: DataFrame) -> DataFrame:
 def with_containers(children: DataFrame, contents: DataFrame) -> DataFrame:
     """Attach the container's title; a NULL title means it does not exist."""
     names = contents.select(F.col("id").alias("container_id"), F.col("title").alias("container_title"))
-    return salted_join(children, names, ["container_id"], ["child_id"], "left")
+    return children.join(names, "container_id", "left")
 
 
 def components(df: DataFrame, parts: DataFrame, column: str = "extracted_components") -> DataFrame:
@@ -208,5 +213,5 @@ def components(df: DataFrame, parts: DataFrame, column: str = "extracted_compone
         "object_id", F.col("e.key").alias("kind"), F.posexplode(P.as_list(F.col("e.value"))).alias("pos", "v")
     ).select("object_id", "kind", "pos", P.as_text(F.col("v")).alias("component_id"))
     known = parts.select(F.col("id").alias("component_id"), F.col("title").alias("component_title"))
-    joined = salted_join(rows, known, ["component_id"], ["object_id", "pos"], "left")
+    joined = rows.join(known, "component_id", "left")
     return joined.withColumn("dangling", F.col("component_title").isNull())

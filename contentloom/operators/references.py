@@ -31,11 +31,11 @@ def embedded_refs(content: Column, metadata: Column) -> Column:
     values (keys in sorted order), then the metadata's references.
     """
     values = F.coalesce(F.map_values(P.as_map(content)), F.array().cast(P.ANY_LIST))
-    has_id = lambda e: P.get(e, "id").isNotNull()
-    own = F.flatten(F.transform(values, lambda e: F.when(has_id(e), F.array(e)).otherwise(F.filter(_list(e), has_id))))
-    stored = F.filter(_list(P.get(metadata, "references")), has_id)
-    found = F.transform(F.concat(own, stored), lambda e: _ref(e, F.lit("unknown")))
-    return F.filter(found, lambda r: r["id"].isNotNull())
+    read = lambda e: _ref(e, F.lit("unknown"))
+    with_id = lambda refs: F.filter(refs, lambda r: r["id"].isNotNull())
+    own = F.transform(values, lambda e: F.when(P.get_text(e, "id").isNotNull(), F.array(read(e))).otherwise(with_id(F.transform(_list(e), read))))
+    stored = with_id(F.transform(_list(P.get(metadata, "references")), read))
+    return F.concat(F.flatten(own), stored)
 
 
 def _first_in_row(df: DataFrame, refs: Column, key: tuple[str, ...]) -> DataFrame:
@@ -118,21 +118,21 @@ def back_references(edges: DataFrame, contents: DataFrame) -> DataFrame:
     """
     pairs = edges.select("target_id", "source_id").distinct()
     kinds = contents.select(F.col("id").alias("source_id"), F.col("object_type").alias("type"))
-    typed = salted_join(pairs, kinds, ["source_id"], ["target_id"], "left")
+    typed = salted_join(pairs, kinds, ["source_id"], ["target_id"], "left", measure=edges)
     known = contents.select(F.col("id").alias("target_id"))
-    kept = salted_join(typed, known, ["target_id"], ["source_id"], "left_semi")
+    kept = salted_join(typed, known, ["target_id"], ["source_id"], "left_semi", measure=edges)
     return kept.select("target_id", F.col("source_id").alias("id"), F.coalesce("type", F.lit("unknown")).alias("type"))
 
 
-def referenced_by_parts(back: DataFrame, part_size: int = 1000) -> DataFrame:
+def referenced_by_parts(back: DataFrame, part_size: int = 1000, edges: DataFrame | None = None) -> DataFrame:
     """Back-reference lists per target (target_id, part, n_parts, referenced_by).
 
     Targets with up to ``part_size`` back references have the one part 0. Larger
     lists are cut by a hash of the id, so no task collects a whole hot target and
-    all entries stay in the result.
+    all entries stay in the result. ``edges``, if given, is used to find hot targets.
     """
     sizes = back.groupBy("target_id").agg(F.ceil(F.count("*") / part_size).alias("n_parts"))
-    sized = salted_join(back, sizes, ["target_id"], ["id"], "inner")
+    sized = salted_join(back, sizes, ["target_id"], ["id"], "inner", measure=edges)
     part = F.pmod(F.xxhash64("id"), F.col("n_parts")).alias("part")
     return sized.groupBy("target_id", part, "n_parts").agg(
         F.sort_array(F.collect_list(F.struct("id", "type"))).alias("referenced_by")
@@ -149,7 +149,7 @@ def drop_references(edges: DataFrame, deleted: DataFrame) -> DataFrame:
     """Edges without those that start or end at a deleted id."""
     gone = deleted.select("id").distinct()
     kept = salted_join(edges, gone.withColumnRenamed("id", "target_id"), ["target_id"], ["source_id"], "left_anti")
-    kept = salted_join(kept, gone.withColumnRenamed("id", "source_id"), ["source_id"], ["target_id"], "left_anti")
+    kept = salted_join(kept, gone.withColumnRenamed("id", "source_id"), ["source_id"], ["target_id"], "left_anti", measure=edges)
     return kept.select(*edges.columns)
 
 

@@ -1,4 +1,10 @@
-"""Joins and reductions that stay balanced when one key holds a large share of the rows."""
+"""Joins and reductions that stay balanced when one key holds a large share of the rows.
+
+Adaptive execution splits the large partitions of a join by itself, but not where
+the join's output partitioning is used again by a later grouping, and only if it
+is enabled. The joins of the reference graph and the hierarchy, where popular
+targets are the rule, therefore salt their heavy keys explicitly.
+"""
 
 from __future__ import annotations
 
@@ -14,16 +20,17 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], share: int = SHARE) -> DataFr
     """Keys that hold more than 1/share of all rows.
 
     At most ``share - 1`` keys can, whatever the size of the data, so the result
-    is always safe to broadcast. Counting combines on the map side.
+    is always safe to broadcast. Counting combines on the map side, and the total
+    is a sum over the same counts, so the rows are read once.
     """
-    filled = df.select(*keys).dropna()
-    total = filled.agg(F.count("*").alias("n"))
-    counts = filled.groupBy(*keys).agg(F.count("*").alias("n"))
+    counts = df.select(*keys).dropna().groupBy(*keys).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("n"))
     return counts.where(F.col("n") * share > total.scalar()).select(*keys)
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "left", salts: int = SALTS
+    left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "left",
+    salts: int = SALTS, measure: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join of a skewed left side with a right side that has few rows per key.
 
@@ -31,9 +38,13 @@ def salted_join(
     ``spread`` columns, and the matching right rows are repeated that often. Rows
     with a NULL key match nothing and are spread as well. The hash is
     deterministic, so a task that runs again gives the same rows.
+
+    Heavy keys are counted on ``measure``: a table with the key columns that the
+    left side is made from and that is cheaper to read than it. Any choice gives
+    the same result; it only decides which keys are spread.
     """
     on = list(on)
-    hot = F.broadcast(heavy_keys(left, on).withColumn("__hot", F.lit(True)))
+    hot = F.broadcast(heavy_keys(left if measure is None else measure, on).withColumn("__hot", F.lit(True)))
     spot = F.pmod(F.xxhash64(*spread), F.lit(salts))
     unmatched = F.lit(False)
     for key in on:

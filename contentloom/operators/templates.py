@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from contentloom.functions import payload as P
 from contentloom.functions.text import slug
@@ -236,7 +236,7 @@ def missing_outputs(steps: DataFrame) -> DataFrame:
     reads = steps.where(F.col("step") > 0).select("chain", "step", F.explode("inputs").alias("source")).where(
         F.col("source").startswith("$outputs.")
     ).select("chain", "step", F.substr("source", F.lit(10)).alias("output_key"))
-    joined = salted_join(reads, first, ["chain", "output_key"], ["step"], "left")
+    joined = reads.join(first, ["chain", "output_key"], "left")
     return joined.where(F.col("made_at").isNull() | (F.col("made_at") >= F.col("step"))).select("chain", "step", "output_key")
 
 
@@ -269,15 +269,23 @@ def resolve_versions(requests: DataFrame, versions: DataFrame, strategy: str = "
     ``minimum`` takes the lowest version that satisfies the requirement, any other
     strategy the highest; without a match ``use_latest`` takes the highest of all.
     """
-    have = versions.select("prompt_name", F.col("version").alias("__version"), semver(F.col("version")).alias("__v")).where("__v IS NOT NULL").distinct()
+    have = versions.select("prompt_name", F.col("version").alias("__version"), semver(F.col("version")).alias("__at")).where("__at IS NOT NULL").distinct()
     low = semver(F.regexp_replace("version_requirement", r"^\s*>=", ""))
-    # Requests meet the versions of their prompt name as one pair per distinct
-    # (name, requirement), which is then joined back to the requests.
-    kinds = requests.select("prompt_name", "version_requirement").distinct()
-    pairs = salted_join(kinds, have, ["prompt_name"], ["version_requirement"], "inner").withColumn("__ok", F.coalesce(F.col("__v") >= low, F.lit(False)))
-    entry = F.struct("__v", "__version")
-    best = (F.min if strategy == "minimum" else F.max)(F.when(F.col("__ok"), entry))
-    picked = pairs.groupBy("prompt_name", "version_requirement").agg(best.alias("fit"), F.max(entry).alias("latest"))
-    last = F.col("latest.__version") if fallback == "use_latest" else F.lit(None).cast("string")
-    named = picked.select("prompt_name", "version_requirement", F.coalesce("fit.__version", last).alias("resolved"), F.col("fit").isNull().alias("used_fallback"))
+    asked = requests.select("prompt_name", "version_requirement").distinct().withColumn("__at", low)
+    # Versions and requirements of a prompt in one descending order: the version
+    # last seen before a requirement is the lowest one that satisfies it.
+    line = have.withColumn("version_requirement", F.lit(None).cast("string")).withColumn("__asked", F.lit(0)).unionByName(
+        asked.withColumn("__version", F.lit(None).cast("string")).withColumn("__asked", F.lit(1))
+    )
+    down = Window.partitionBy("prompt_name").orderBy(F.desc_nulls_last("__at"), "__asked").rowsBetween(Window.unboundedPreceding, 0)
+    met = line.withColumn("__lowest", F.last("__version", ignorenulls=True).over(down)).where("__asked = 1")
+    newest = have.groupBy("prompt_name").agg(F.max(F.struct("__at", "__version")).alias("__latest"))
+    latest = F.col("__latest.__version")
+    satisfied = met["__at"].isNotNull() & F.col("__lowest").isNotNull()
+    fit = F.when(satisfied, F.col("__lowest") if strategy == "minimum" else latest)
+    named = met.join(newest, "prompt_name").select(
+        "prompt_name", "version_requirement",
+        F.coalesce(fit, latest if fallback == "use_latest" else F.lit(None).cast("string")).alias("resolved"),
+        fit.isNull().alias("used_fallback"),
+    )
     return salted_join(requests, named, ["prompt_name", "version_requirement"], ["request_id"], "left")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from contentloom.functions.models import Model, spark_type, struct_for
-from contentloom.operators.skew import salted_join
 
 # Column types that satisfy each model type; other types expect a string.
 EXPECTED = {
@@ -72,7 +71,7 @@ def unresolved(wanted: DataFrame, models: DataFrame, columns: DataFrame, schema:
         models.select(F.col("name").alias("model"), F.col("table_name").alias("table"), F.lit(True).alias("__known")).distinct(), "model", "left"
     )
     tables = columns.select("table", F.lit(True).alias("__there")).distinct()
-    joined = salted_join(named, tables, ["table"], ["model"], "left")
+    joined = named.join(tables, "table", "left")
     error = F.when(
         F.col("__known").isNull(), F.concat(F.lit("Model '"), "model", F.lit("' not found in registry"))
     ).when(F.col("__there").isNull(), F.concat(F.lit("Table '"), "table", F.lit(f"' not found in schema '{schema}'")))

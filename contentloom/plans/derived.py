@@ -76,7 +76,7 @@ UNION ALL SELECT concat('order-', CAST(o_orderkey AS STRING)), concat('customer-
 
 # One document of every kind of reference per order line.
 derive("line_contents", """
-SELECT concat('line-', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS id,
+SELECT concat_ws('-', 'line', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING)) AS id,
        concat('{"buyer":"none","item":{"id":"part-', CAST(l_partkey AS STRING), '","type":"part"},"meta":{"name":"x"},"others":[{"id":"supplier-',
               CAST(l_suppkey AS STRING), '"},"plain",{"name":"y"},{"id":"part-', CAST(l_partkey AS STRING), '","type":"again"}],"qty":',
               CAST(CAST(l_quantity AS BIGINT) AS STRING), '}') AS content,
@@ -286,7 +286,7 @@ SELECT concat('set-', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRI
               CAST(l_partkey AS STRING), '","position":1,"type":"collection"}]') AS content_items,
        concat('{"authors":["supplier-', CAST(l_suppkey AS STRING), '"],"categories":["', l_returnflag, '","', l_linestatus, '"],"tags":[]}') AS qualifiers,
        concat('{"article":"order-', CAST(l_orderkey AS STRING), '","website":"region-', CAST(l_suppkey % 7 AS STRING), '"}') AS belongs_to,
-       concat('{"key_takeaways":["part-', CAST(l_partkey AS STRING), '","part-0"],"tables":["supplier-', CAST(l_suppkey AS STRING), '"]}') AS extracted_components
+       concat('{"key_takeaways":["part-', CAST(l_partkey AS STRING), '","part-none"],"tables":["supplier-', CAST(l_suppkey AS STRING), '"]}') AS extracted_components
 FROM @lineitem
 """)
 

@@ -65,7 +65,7 @@ def back_references(t):
 
 @query("r04_referenced_by_lists", f"SELECT target_id, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM ({BACK}) GROUP BY target_id")
 def referenced_by_lists(t):
-    parts = X.referenced_by_parts(X.back_references(t.edges, t.objects), part_size=20)
+    parts = X.referenced_by_parts(X.back_references(t.edges, t.objects), part_size=20, edges=t.edges)
     size, low, high = F.size("referenced_by").cast("bigint"), F.array_min("referenced_by")["id"], F.array_max("referenced_by")["id"]
     return parts.groupBy("target_id").agg(F.sum(size).alias("n"), F.min(low).alias("first_id"), F.max(high).alias("last_id"))
 
@@ -187,7 +187,7 @@ def containers(t):
 @query("j12_one_sided_links", """
 SELECT coalesce(b.container_id, l.container_id) AS container_id, coalesce(b.child_id, l.id) AS child_id,
   CASE WHEN l.id IS NULL THEN 'not_listed' WHEN b.child_id IS NULL THEN 'not_claimed' ELSE 'both' END AS link
-FROM (SELECT id AS child_id, json_extract_string(belongs_to, '$.article') AS container_id FROM @organizers) b
+FROM (SELECT DISTINCT id AS child_id, json_extract_string(belongs_to, '$.article') AS container_id FROM @organizers) b
 FULL JOIN @listed l ON l.container_id = b.container_id AND l.id = b.child_id""")
 def one_sided_links(t):
     claimed = H.belongs_to(t.organizers).where("kind = 'article'")
@@ -198,13 +198,12 @@ def one_sided_links(t):
 @query("j13_components", """
 SELECT object_id, kind, pos, e.component_id, p.p_name AS component_title, p.p_name IS NULL AS dangling FROM (
   SELECT id AS object_id, 'key_takeaways' AS kind, 0 AS pos, json_extract_string(extracted_components, '$.key_takeaways[0]') AS component_id FROM @organizers
-  UNION ALL SELECT id, 'key_takeaways', 1, 'none' FROM @organizers
+  UNION ALL SELECT id, 'key_takeaways', 1, 'part-none' FROM @organizers
   UNION ALL SELECT id, 'tables', 0, json_extract_string(extracted_components, '$.tables[0]') FROM @organizers) e
 LEFT JOIN part p ON concat('part-', CAST(p.p_partkey AS STRING)) = e.component_id""")
 def components(t):
     parts = t.part.select(F.concat(F.lit("part-"), "p_partkey").alias("id"), F.col("p_name").alias("title"))
-    own = t.organizers.withColumn("extracted_components", F.replace("extracted_components", F.lit('"part-0"'), F.lit('"none"')))
-    return H.components(own, parts)
+    return H.components(t.organizers, parts)
 
 
 KINDS = """SELECT doc_id, CASE lang WHEN 'en' THEN 'Blog Post' WHEN 'de' THEN 'Website' WHEN 'fr' THEN 'Code Snippet' ELSE 'Postcard' END AS object_kind FROM @documents"""
