@@ -7,6 +7,8 @@ shuffle key, so operators drop it before any grouping.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 ANY_MAP = "map<string,variant>"
@@ -97,20 +99,29 @@ def quoted(text: Column) -> Column:
     return F.when(text.isNotNull(), F.substring(inner, F.lit(2), F.length(inner) - 2))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def merge_object(text: Column, changes: dict[str, Column], keep: frozenset[str] = frozenset()) -> Column:
     """JSON object text with keys set to new JSON values.
 
     A NULL change leaves its key alone. Keys in ``keep`` are only set where the
     object does not hold them yet. The result is canonical JSON.
     """
-    base = F.coalesce(as_map(safe_json(text)), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>")))
-    added = F.filter(
-        F.array(*[F.struct(F.lit(k).alias("key"), F.try_parse_json(c).alias("value")) for k, c in changes.items()]),
-        lambda e: e["value"].isNotNull(),
-    )
+    nothing = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(ANY_LIST))
+    base = F.coalesce(as_map(safe_json(text)), nothing)
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), F.try_parse_json(c).alias("value")) for k, c in changes.items()])
     fixed = [k for k in changes if k in keep]
-    if fixed:
-        added = F.filter(added, lambda e: ~(e["key"].isin(fixed) & F.coalesce(F.map_contains_key(base, e["key"]), F.lit(False))))
-    names = F.transform(added, lambda e: e["key"])
-    untouched = F.map_filter(base, lambda k, _: ~F.array_contains(names, k))
-    return F.to_json(F.map_concat(untouched, F.map_from_entries(added)))
+
+    def applies(m: Column, e: Column) -> Column:
+        given = e["value"].isNotNull()
+        return given & ~(e["key"].isin(fixed) & F.map_contains_key(m, e["key"])) if fixed else given
+
+    def merged(m: Column, added: Column) -> Column:
+        return let(F.transform(added, lambda e: e["key"]), lambda names: F.map_concat(
+            F.map_filter(m, lambda k, _: ~F.array_contains(names, k)), F.map_from_entries(added)
+        ))
+
+    return F.to_json(let(base, lambda m: let(F.filter(entries, lambda e: applies(m, e)), lambda added: merged(m, added))))

@@ -113,14 +113,18 @@ def check(v: Column, spec: TypeSpec) -> Column:
     got = value_type(v)
     if kind == "list":
         items = P.as_list(v)
+        if spec.args[0].kind == "any":
+            return F.when(items.isNull(), F.concat(F.lit(EXPECTED[kind] + ", got "), got))
         found = F.transform(
             items,
             lambda e, i: F.concat(F.lit("invalid item at index "), i.cast("string"), F.lit(": "), check(e, spec.args[0])),
         )
         return F.when(items.isNull(), F.concat(F.lit(EXPECTED[kind] + ", got "), got)).otherwise(_first(found))
     if kind == "dict":
-        entries = F.map_entries(P.as_map(v))
         key_spec, value_spec = spec.args
+        if key_spec.kind in ("str", "any") and value_spec.kind == "any":
+            return F.when(P.as_map(v).isNull(), F.concat(F.lit(EXPECTED[kind] + ", got "), got))
+        entries = F.map_entries(P.as_map(v))
         found = F.transform(
             entries,
             lambda e: F.coalesce(

@@ -13,11 +13,7 @@ from contentloom.functions import payload as P
 from contentloom.operators.skew import salted_join
 from contentloom.operators.validation import once
 
-REF = "array<struct<id:string,type:string>>"
-
-
-def _ref(e: Column, default: Column) -> Column:
-    return F.struct(P.get_text(e, "id").alias("id"), F.coalesce(P.get_text(e, "type"), default).alias("type"))
+REF = "struct<id:string,type:string>"
 
 
 def _list(c: Column) -> Column:
@@ -25,17 +21,19 @@ def _list(c: Column) -> Column:
 
 
 def embedded_refs(content: Column, metadata: Column) -> Column:
-    """All references of one object in order, duplicates included.
+    """All references of one object in order, duplicates included; a type may be NULL.
 
     Object values of the content with an id, objects with an id inside its list
-    values (keys in sorted order), then the metadata's references.
+    values (keys in sorted order), then the metadata's references. Values are read
+    with a typed cast, which turns everything of another shape into NULL.
     """
-    values = F.coalesce(F.map_values(P.as_map(content)), F.array().cast(P.ANY_LIST))
-    read = lambda e: _ref(e, F.lit("unknown"))
-    with_id = lambda refs: F.filter(refs, lambda r: r["id"].isNotNull())
-    own = F.transform(values, lambda e: F.when(P.get_text(e, "id").isNotNull(), F.array(read(e))).otherwise(with_id(F.transform(_list(e), read))))
-    stored = with_id(F.transform(_list(P.get(metadata, "references")), read))
-    return F.concat(F.flatten(own), stored)
+    none = F.array().cast(f"array<{REF}>")
+    with_id = lambda refs: F.coalesce(F.filter(refs, lambda r: r["id"].isNotNull()), none)
+    objects = F.map_values(F.try_variant_get(content, "$", f"map<string,{REF}>"))
+    lists = F.map_values(F.try_variant_get(content, "$", f"map<string,array<{REF}>>"))
+    own = F.zip_with(objects, lists, lambda o, l: F.when(o["id"].isNotNull(), F.array(o)).otherwise(with_id(l)))
+    stored = with_id(F.try_variant_get(metadata, "$.references", f"array<{REF}>"))
+    return F.concat(F.coalesce(F.flatten(own), none), stored)
 
 
 def _first_in_row(df: DataFrame, refs: Column, key: tuple[str, ...]) -> DataFrame:
@@ -48,7 +46,7 @@ def _first_in_row(df: DataFrame, refs: Column, key: tuple[str, ...]) -> DataFram
     out = once(df, __sorted=ranked)
     same = lambda x, i: F.struct(*[F.get(F.col("__sorted"), i - 1)[k] for k in key]).eqNullSafe(F.struct(*[x[k] for k in key]))
     kept = F.filter(F.col("__sorted"), lambda x, i: (i == 0) | ~same(x, i))
-    return out.withColumn("refs", kept).drop("__sorted")
+    return once(out, refs=kept).drop("__sorted")
 
 
 def extract_embedded(df: DataFrame) -> DataFrame:
@@ -62,33 +60,28 @@ def extract_embedded(df: DataFrame) -> DataFrame:
     )
     unique = _first_in_row(parsed, embedded_refs(F.col("__c"), F.col("__m")), ("id",))
     rows = unique.select("source_id", F.explode("refs").alias("r"))
-    return rows.select("source_id", F.col("r.pos").alias("pos"), F.col("r.ref.id").alias("id"), F.col("r.ref.type").alias("type"))
+    return rows.select("source_id", F.col("r.pos").alias("pos"), F.col("r.ref.id").alias("id"), F.coalesce("r.ref.type", F.lit("unknown")).alias("type"))
 
 
 def metadata_edges(m: Column) -> Column:
     """Edges named by the metadata: references, the parent and related objects."""
-    text = lambda c: F.when(P.present(c), P.as_text(c))
     edge = lambda t, k: F.struct(t.alias("target_id"), k.alias("reference_type"))
-    kind = lambda e, d: F.coalesce(P.get_text(e, "type"), F.lit(d))
-
-    def explicit(e: Column) -> Column:
-        typed = P.get(e, "target_id").isNotNull() & P.get(e, "type").isNotNull()
-        return F.when(typed, edge(P.get_text(e, "target_id"), P.get_text(e, "type"))).when(
-            P.get(e, "id").isNotNull(), edge(P.get_text(e, "id"), kind(e, "reference"))
-        )
-
-    def related(e: Column) -> Column:
-        return F.when(P.is_text(e), edge(P.as_text(e), F.lit("related"))).when(
-            P.get(e, "id").isNotNull(), edge(P.get_text(e, "id"), kind(e, "related"))
-        )
-
-    parent = F.nullif(text(P.get(m, "parent_id")), F.lit(""))
-    found = F.concat(
-        F.transform(_list(P.get(m, "references")), explicit),
-        F.array(F.when(parent.isNotNull(), edge(parent, F.lit("parent")))),
-        F.transform(_list(P.get(m, "related_to")), related),
+    explicit = F.transform(
+        F.try_variant_get(m, "$.references", "array<struct<id:string,target_id:string,type:string>>"),
+        lambda r: F.when(r["target_id"].isNotNull() & r["type"].isNotNull(), edge(r["target_id"], r["type"])).otherwise(
+            edge(r["id"], F.coalesce(r["type"], F.lit("reference")))
+        ),
+    )
+    parent = F.array(edge(F.nullif(P.get_text(m, "parent_id"), F.lit("")), F.lit("parent")))
+    related = F.zip_with(
+        F.try_variant_get(m, "$.related_to", f"array<{REF}>"), P.as_list(P.get(m, "related_to")),
+        lambda o, v: F.when(o["id"].isNotNull(), edge(o["id"], F.coalesce(o["type"], F.lit("related")))).when(
+            P.is_text(v), edge(P.as_text(v), F.lit("related"))
+        ),
     )
-    return F.filter(found, lambda e: e.isNotNull() & e["target_id"].isNotNull())
+    none = F.array().cast("array<struct<target_id:string,reference_type:string>>")
+    found = F.concat(F.coalesce(explicit, none), parent, F.coalesce(related, none))
+    return F.filter(found, lambda e: e["target_id"].isNotNull())
 
 
 def extract_edges(df: DataFrame) -> DataFrame:
@@ -160,9 +153,10 @@ def drop_embedded(df: DataFrame, deleted: DataFrame) -> DataFrame:
     per object is no longer than the object's own lists.
     """
     m = P.safe_json(F.col("metadata"))
-    refs = F.concat(_list(P.get(m, "references")), _list(P.get(m, "referenced_by")))
-    ids = F.array_distinct(F.transform(refs, lambda e: P.get_text(e, "id")))
-    pairs = df.select(F.col("id").alias("owner"), F.explode(ids).alias("id")).dropna()
+    ids = lambda key: F.coalesce(F.try_variant_get(F.col("__m"), f"$.{key}", f"array<{REF}>"), F.array().cast(f"array<{REF}>"))
+    both = F.array_distinct(F.transform(F.concat(ids("references"), ids("referenced_by")), lambda r: r["id"]))
+    listed = once(df.select(F.col("id").alias("owner"), m.alias("__m")), __ids=both)
+    pairs = listed.select("owner", F.explode("__ids").alias("id")).dropna()
     hits = salted_join(pairs, deleted.select("id").distinct(), ["id"], ["owner"], "left_semi")
     dead = hits.groupBy("owner").agg(F.collect_set("id").alias("__dead")).withColumnRenamed("owner", "id")
 

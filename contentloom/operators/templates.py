@@ -43,31 +43,36 @@ ORDERS = {
 }
 
 
-def _json(df: DataFrame, name: str, default: str | None = None) -> Column:
-    """A template field as JSON text, NULL without value or default."""
-    value = F.col(name) if name in df.columns else F.lit(None).cast("string")
-    if default is not None:
-        value = F.coalesce(value, F.lit(default))
-    return value.cast("string") if name in JSON_FIELDS else P.quoted(value)
+def _json(df: DataFrame, name: str) -> Column:
+    """A template field as JSON text, NULL without value."""
+    return F.col(name).cast("string") if name in JSON_FIELDS else P.quoted(F.col(name))
 
 
-def _object(pairs: Mapping[str, Column]) -> Column:
-    """A JSON object from JSON values; NULL values are left out."""
-    parts = [F.concat(F.lit(f'"{k}":'), v) for k, v in pairs.items()]
-    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+def _value(df: DataFrame, name: str, default: str) -> Column:
+    """A template field, or its default, ready for a JSON object."""
+    given = F.col(name).cast("string") if name in df.columns else F.lit(None).cast("string")
+    value = F.coalesce(given, F.lit(default))
+    return (F.try_parse_json(value) if name in JSON_FIELDS else value).alias(name)
+
+
+def _object(*fields: Column) -> Column:
+    """A JSON object; NULL fields are left out."""
+    return F.to_json(F.struct(*fields))
+
+
+def _list(*values: str) -> Column:
+    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
 
 def build(df: DataFrame, now: datetime | str) -> DataFrame:
     """Content objects for templates given as columns; missing fields get defaults."""
-    content = _object({k: _json(df, k, DEFAULTS[k]) for k in IN_CONTENT})
-    metadata = _object({
-        "category": _json(df, "category", DEFAULTS["category"]),
-        "version": _json(df, "version", DEFAULTS["version"]),
-        "status": F.lit('"active"'),
-        "tags": _json(df, "tags", '["template"]'),
-        "hierarchy_level": F.lit("0"), "object_type": F.lit('"prompt_template"'),
-        "references": F.lit("[]"), "referenced_by": F.lit("[]"),
-    })
+    content = _object(*[_value(df, k, DEFAULTS[k]) for k in IN_CONTENT])
+    metadata = _object(
+        *[_value(df, k, DEFAULTS[k]) for k in ("category", "version")],
+        F.lit("active").alias("status"), _value(df, "tags", '["template"]'),
+        F.lit(0).alias("hierarchy_level"), F.lit("prompt_template").alias("object_type"),
+        _list().alias("references"), _list().alias("referenced_by"),
+    )
     title = F.coalesce("name", F.lit("Untitled Template"))
     given = F.col("id") if "id" in df.columns else F.lit(None).cast("string")
     return df.select(
@@ -141,18 +146,13 @@ def adapt(templates: DataFrame, adaptations: DataFrame, now: datetime | str) ->
     inherited = good.withColumn("model", F.coalesce("model", "__model", F.lit(DEFAULTS["model"]))).withColumn(
         "temperature", F.coalesce("temperature", "__temperature", F.lit(DEFAULTS["temperature"]))
     ).withColumn("category", F.coalesce("__category", F.lit(DEFAULTS["category"])))
-    text = lambda c: P.quoted(F.col(c))
-    content = _object({
-        **{k: _json(inherited, k, DEFAULTS[k]) for k in IN_CONTENT if k != "description"},
-        "original_template_id": text("original_template_id"),
-    })
-    metadata = _object({
-        "category": text("category"), "version": _json(inherited, "version", DEFAULTS["version"]),
-        "status": F.lit('"active"'), "tags": F.lit('["adapted_template"]'),
-        "site_id": text("site_id"), "project_id": text("project_id"),
-        "parent_id": text("original_template_id"), "hierarchy_level": F.lit("1"),
-        "object_type": F.lit('"adapted_prompt_template"'),
-    })
+    content = _object(*[_value(inherited, k, DEFAULTS[k]) for k in IN_CONTENT if k != "description"], F.col("original_template_id"))
+    metadata = _object(
+        F.col("category"), _value(inherited, "version", DEFAULTS["version"]),
+        F.lit("active").alias("status"), _list("adapted_template").alias("tags"), F.col("site_id"), F.col("project_id"),
+        F.col("original_template_id").alias("parent_id"), F.lit(1).alias("hierarchy_level"),
+        F.lit("adapted_prompt_template").alias("object_type"),
+    )
     title = F.concat(F.col("__title"), F.lit(" (Adapted)"))
     created = F.col("created_at") if "created_at" in adaptations.columns else at(now)
     made = inherited.select(

@@ -34,45 +34,47 @@ def object_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\u001f", *parts), 256)
 
 
-def enrich(batch: DataFrame, current: DataFrame) -> DataFrame:
+def enrich(batch: DataFrame, current: DataFrame, references: Column | None = None) -> DataFrame:
     """Fill the reserved metadata of a batch: level, type, parent and reference lists.
 
-    Rows with an unknown parent keep a NULL level and carry an issue.
+    Rows with an unknown parent keep a NULL level and carry an issue. Reference
+    lists start empty unless the metadata has them or ``references`` is given.
     """
     leveled = with_parent_level(batch, current)
-    number = F.col("hierarchy_level").cast("string")
     changes = {
-        "hierarchy_level": number,
+        "hierarchy_level": F.col("hierarchy_level").cast("string"),
         "object_type": P.quoted(F.col("content_type")),
         "parent_id": P.quoted(F.nullif("parent_id", F.lit(""))),
-        "references": F.lit("[]"),
+        "references": F.lit("[]") if references is None else references,
         "referenced_by": F.lit("[]"),
     }
+    kept = {"references", "referenced_by"} if references is None else {"referenced_by"}
     filled = F.coalesce(F.col("metadata"), F.lit("{}"))
-    enriched = once(leveled, __meta=P.merge_object(filled, changes, frozenset(["references", "referenced_by"])))
+    enriched = once(leveled, __meta=P.merge_object(filled, changes, frozenset(kept)))
     return enriched.withColumn("object_type", F.col("content_type")).withColumn("metadata", F.col("__meta")).drop("__meta")
 
 
+def _first_refs(refs: Column) -> Column:
+    """References as JSON text, each id once, the first one winning."""
+    entry = lambda r: F.struct(r["id"].alias("id"), F.coalesce(r["type"], F.lit("unknown")).alias("type"))
+    unique = lambda rs: P.let(F.transform(rs, lambda r: r["id"]), lambda ids: F.filter(
+        rs, lambda r, i: F.array_position(ids, r["id"]) == (i + 1)
+    ))
+    return F.to_json(F.transform(P.let(refs, unique), entry))
+
+
 def insert(batch: DataFrame, current: DataFrame, now: datetime | str) -> DataFrame:
     """The rows to append for a batch of new objects.
 
     Missing ids are hashed from type, title and content. The references found in
     content and metadata are stored on the new row.
     """
-    cols = set(batch.columns)
     made = object_id(F.col("content_type"), F.col("title"), F.coalesce("content", F.lit("{}")))
-    given = F.col("id") if "id" in cols else F.lit(None).cast("string")
+    given = F.col("id") if "id" in batch.columns else F.lit(None).cast("string")
     ready = batch.withColumn("id", F.coalesce(given, made)).withColumn("content", F.coalesce("content", F.lit("{}")))
-    out = enrich(ready, current).withColumn("slug", slug(F.col("title")))
-    parsed = out.withColumn("__c", P.safe_json(F.col("content"))).withColumn("__m", P.safe_json(F.col("metadata")))
-    listed = once(parsed, __refs=F.transform(embedded_refs(F.col("__c"), F.col("__m")), lambda r: F.struct(r["id"].alias("id"), r["type"].alias("type"))))
-    first = F.filter("__refs", lambda r, i: F.array_position(F.transform("__refs", lambda o: o["id"]), r["id"]) == (i + 1))
-    stored = once(listed, __meta=P.merge_object(F.col("metadata"), {"references": F.to_json(first)}))
-    return (
-        stored.withColumn("metadata", F.col("__meta"))
-        .withColumn("created_at", at(now)).withColumn("updated_at", at(now))
-        .drop("__c", "__m", "__refs", "__meta")
-    )
+    found = _first_refs(embedded_refs(P.safe_json(F.col("content")), P.safe_json(F.col("metadata"))))
+    out = enrich(ready, current, found)
+    return out.withColumn("slug", slug(F.col("title"))).withColumn("created_at", at(now)).withColumn("updated_at", at(now))
 
 
 def update(current: DataFrame, updates: DataFrame, now: datetime | str, order: Sequence[str] | None = None) -> DataFrame:
