@@ -44,7 +44,7 @@ UNION ALL SELECT concat('order-', CAST(o_orderkey AS STRING)), 'article',
        CASE o_orderstatus WHEN 'F' THEN 'active' WHEN 'O' THEN 'draft' ELSE 'archived' END, lower(o_orderpriority), o_orderkey,
        concat('customer-', CAST(o_custkey AS STRING))
 FROM @orders
-""")
+""", spread=True)
 
 derive("contents", """
 SELECT id, content_type, title, lower(replace(replace(title, '#', ''), ' ', '-')) AS slug,
@@ -88,7 +88,7 @@ SELECT concat_ws('-', 'line', CAST(l_orderkey AS STRING), CAST(l_linenumber AS S
        concat('order-', CAST(l_orderkey AS STRING)) AS order_id, concat('part-', CAST(l_partkey AS STRING)) AS part_id,
        concat('supplier-', CAST(l_suppkey AS STRING)) AS supplier_id, l_linenumber
 FROM @lineitem
-""")
+""", spread=True)
 
 derive("doc_contents", """
 SELECT concat('doc-', CAST(doc_id AS STRING)) AS id, source AS content_type, concat(lang, ' document ', CAST(doc_id AS STRING)) AS title,
@@ -107,7 +107,7 @@ SELECT event_id, event_type, CASE
   WHEN event_id % 3 = 0 THEN concat('{"type":null,"value":', CAST(event_id AS STRING), '}')
   ELSE concat('{"type":"', event_type, '","value":', CAST(value AS STRING), '}') END AS payload
 FROM @events
-""")
+""", spread=True)
 
 # One JSON value of every kind per event.
 derive("cases", """
@@ -139,7 +139,7 @@ SELECT concat('post-', CAST(o_orderkey AS STRING)) AS id,
               '","metadata":{"tags":[]', CASE WHEN o_orderkey % 2 = 0 THEN ',"content_type":"x"' ELSE '' END, CASE WHEN o_orderkey % 3 = 0 THEN ',"audience":"y"' ELSE '' END, '}}') AS content,
        o_orderdate AS created_at
 FROM @orders
-""")
+""", spread=True)
 
 derive("contexts", """
 SELECT CAST(event_id AS STRING) AS id, event_type AS type, props AS params,
@@ -253,7 +253,7 @@ SELECT concat('adapt-', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS ST
        CASE WHEN l_linenumber = 3 THEN 'own-model' ELSE CAST(NULL AS STRING) END AS model, CAST(NULL AS STRING) AS temperature,
        CAST(NULL AS STRING) AS version, l_shipdate AS created_at
 FROM @lineitem
-""")
+""", spread=True)
 
 # Chat turns as prompt components and as chains of three steps.
 derive("prompt_components", """
@@ -288,7 +288,7 @@ SELECT concat('set-', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRI
        concat('{"article":"order-', CAST(l_orderkey AS STRING), '","website":"region-', CAST(l_suppkey % 7 AS STRING), '"}') AS belongs_to,
        concat('{"key_takeaways":["part-', CAST(l_partkey AS STRING), '","part-none"],"tables":["supplier-', CAST(l_suppkey AS STRING), '"]}') AS extracted_components
 FROM @lineitem
-""")
+""", spread=True)
 
 # Each order lists lines 1 to 3 as its content, whether they exist or not.
 derive("hierarchies", """
@@ -297,4 +297,4 @@ SELECT concat('order-', CAST(o_orderkey AS STRING)) AS id,
               CAST(o_orderkey AS STRING), '-1","name":"one","slug":"one","subtopics":[{"id":"set-', CAST(o_orderkey AS STRING),
               '-2","name":"two","slug":"two"},{"id":"set-', CAST(o_orderkey AS STRING), '-3","name":"three"}]}]}') AS content_hierarchy
 FROM @orders
-""")
+""", spread=True)
