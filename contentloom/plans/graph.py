@@ -24,14 +24,14 @@ def first_reference_wins(t):
     return X.extract_embedded(t.line_contents).groupBy("type").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
 
 
+# The five edges of every order line.
 derive("line_edges", """
-SELECT DISTINCT * FROM (
-  SELECT id AS source_id, part_id AS target_id, 'reference' AS reference_type FROM @line_contents
-  UNION ALL SELECT id, supplier_id, 'vendor' FROM @line_contents
-  UNION ALL SELECT id, order_id, 'parent' FROM @line_contents
-  UNION ALL SELECT id, part_id, 'related' FROM @line_contents
-  UNION ALL SELECT id, supplier_id, 'related' FROM @line_contents)
-""", lambda t: X.extract_edges(t.line_contents))
+SELECT id AS source_id, part_id AS target_id, 'reference' AS reference_type FROM @line_contents
+UNION ALL SELECT id, supplier_id, 'vendor' FROM @line_contents
+UNION ALL SELECT id, order_id, 'parent' FROM @line_contents
+UNION ALL SELECT id, part_id, 'related' FROM @line_contents
+UNION ALL SELECT id, supplier_id, 'related' FROM @line_contents
+""")
 
 
 @query("r02_metadata_edges", "SELECT * FROM @line_edges")

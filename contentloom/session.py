@@ -15,6 +15,10 @@ SETTINGS = {
 }
 
 
+# Temporary folders of local sessions that name no shared one.
+_LOCAL: dict[str, str] = {}
+
+
 def local_session(cpus: int | str = "*", app: str = "contentloom") -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
@@ -40,9 +44,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="contentloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="contentloom-")
+    return _LOCAL[app]
 
 
 def ready_checkpoints(spark: SparkSession) -> None:
