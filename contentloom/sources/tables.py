@@ -71,15 +71,15 @@ def complete(df: DataFrame) -> DataFrame:
     return df.where(ok)
 
 
-def write_contents(df: DataFrame, path: str, by_project: bool = False, files_per_type: int = 32, mode: str = "errorifexists") -> None:
+def write_contents(df: DataFrame, path: str, by_project: bool = False, mode: str = "errorifexists") -> None:
     """Write the content table, partitioned by type (and project), newest rows first in each file.
 
-    Rows are spread over a bounded number of files per type by a hash of the id,
-    so neither a dominant type lands in one task nor every task writes every type.
+    The rebalance groups rows by partition for few files, and adaptive execution
+    cuts groups above the advisory size, so a dominant type is written by many tasks.
     """
     keys = (["project_id"] if by_project else []) + ["content_type"]
-    bucket = F.pmod(F.xxhash64("id"), F.lit(files_per_type))
-    complete(df).repartition(*keys, bucket).sortWithinPartitions(*keys, F.desc("created_at"), "slug").write.partitionBy(*keys).mode(mode).parquet(path)
+    rows = complete(df).hint("rebalance", *keys).sortWithinPartitions(*keys, F.desc("created_at"), "slug")
+    rows.write.partitionBy(*keys).mode(mode).parquet(path)
 
 
 def for_project(df: DataFrame, project_id: str) -> DataFrame:
