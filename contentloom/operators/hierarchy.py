@@ -7,13 +7,11 @@ partitions, since nothing after them needs the join's partitioning.
 
 from __future__ import annotations
 
-from math import ceil, log2
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from contentloom.functions import payload as P
 from contentloom.operators.skew import salted_join
-from contentloom.session import ready_checkpoints
+from contentloom.session import materialize
 
 # The object kinds of each taxonomy level.
 TAXONOMY = {
@@ -86,30 +84,34 @@ def with_parent_level(df: DataFrame, current: DataFrame | None = None) -> DataFr
     )
 
 
-def levels(df: DataFrame, max_depth: int = 1 << 20) -> DataFrame:
+def levels(df: DataFrame) -> DataFrame:
     """Level of every object when parents may stand in the same batch.
 
     Returns (id, level, issue). Each round doubles how far a row looks up, so a
-    hierarchy of depth d takes about log2(d) rounds. Lineage is cut by a reliable
-    checkpoint per round. ``parent_not_found`` marks rows whose parent is not in
+    hierarchy of depth d takes about log2(d) rounds. Each round is written to the
+    shared folder, which cuts the lineage. ``parent_not_found`` marks rows whose parent is not in
     the table, ``ancestor_not_found`` the rows below them, ``cycle`` rows that
     never reach a root.
     """
-    ready_checkpoints(df.sparkSession)
     nodes = df.select("id", F.nullif("parent_id", F.lit("")).alias("up"))
     known = nodes.select(F.col("id").alias("up"), F.lit(True).alias("__known"))
     start = salted_join(nodes, known, ["up"], ["id"], "left")
     lost = F.col("up").isNotNull() & F.col("__known").isNull()
-    state = start.select(
+    state = materialize(start.select(
         "id",
         F.when(~lost, F.col("up")).alias("up"),
         F.when(F.col("up").isNull() | lost, 0).otherwise(1).cast("bigint").alias("dist"),
         F.when(lost, F.lit("parent_not_found")).alias("issue"),
-    ).checkpoint()
-    for _ in range(ceil(log2(max(max_depth, 2))) + 1):
+    ), "levels")
+    before = None
+    while True:
         todo = state.where(F.col("up").isNotNull())
-        if todo.isEmpty():
+        now = todo.count()
+        # While any open row leads to a finished one, the last open row before it
+        # finishes in the next round. A round without progress leaves only cycles.
+        if now in (0, before):
             break
+        before = now
         above = state.select(
             F.col("id").alias("up"), F.col("up").alias("__up"), F.col("dist").alias("__dist"), F.col("issue").alias("__issue")
         )
@@ -119,7 +121,7 @@ def levels(df: DataFrame, max_depth: int = 1 << 20) -> DataFrame:
             (F.col("dist") + F.col("__dist")).alias("dist"),
             F.when(F.col("__issue").isNotNull(), F.lit("ancestor_not_found")).alias("issue"),
         )
-        state = state.where(F.col("up").isNull()).unionByName(moved).checkpoint()
+        state = materialize(state.where(F.col("up").isNull()).unionByName(moved), "levels")
     issue = F.when(F.col("up").isNotNull(), F.lit("cycle")).otherwise(F.col("issue"))
     return state.select("id", F.when(issue.isNull(), F.col("dist")).alias("level"), issue.alias("issue"))
 

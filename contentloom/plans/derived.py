@@ -175,7 +175,7 @@ SELECT CAST(p_partkey AS STRING) AS id, concat('Model', CAST(p_partkey AS STRING
                         ',"validators":[{"code":"","fields":["title"],"name":"title_not_empty"}]}') END AS definition,
        CAST('2024-01-01 00:00:00' AS $TS) AS created_at, CAST('2024-01-02 00:00:00' AS $TS) AS updated_at
 FROM @part
-""")
+""", spread=True)
 
 # The fields of the sound definitions above, as plain rows.
 derive("sound_models", """
@@ -210,7 +210,7 @@ SELECT CASE WHEN p_size % 2 = 0 THEN 'shop' ELSE 'blog' END AS source_schema, co
               '"name":{"description":"', p_brand, '","type":"string"},"nothing":{"type":"null"},"tags":{"items":{"type":"string"},"type":"array"},"things":{"type":"array"}},',
               '"required":["name"', CASE WHEN p_size % 3 = 0 THEN ',"amount"' ELSE '' END, '],"title":"Part"}') AS definition
 FROM @part
-""")
+""", spread=True)
 
 derive("schema_fields", """
 SELECT source_schema, name, p_size, p_brand, f.field, f.pos, f.type
@@ -231,7 +231,7 @@ SELECT concat('template-', CAST(p_partkey AS STRING)) AS id, CASE WHEN p_partkey
        CAST(NULL AS STRING) AS description, CASE WHEN p_size % 5 = 0 THEN CAST(NULL AS STRING) ELSE p_brand END AS category,
        CAST(NULL AS STRING) AS version, CASE WHEN p_size % 6 = 0 THEN CAST(NULL AS STRING) ELSE concat('["', p_type, '"]') END AS tags
 FROM @part
-""")
+""", spread=True)
 
 derive("templates", """
 SELECT concat('template-', CAST(p_partkey AS STRING)) AS id, 'prompt_template' AS content_type, p_name AS title,
@@ -242,7 +242,7 @@ SELECT concat('template-', CAST(p_partkey AS STRING)) AS id, 'prompt_template' A
        CAST('2024-01-01 00:00:00' AS $TS) + INTERVAL '1' MINUTE * p_size AS created_at,
        CAST('2024-01-01 00:00:00' AS $TS) AS updated_at, p_partkey, p_size, p_brand, p_type
 FROM @part
-""")
+""", spread=True)
 
 derive("adaptations", """
 SELECT concat('adapt-', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS id,

@@ -136,7 +136,7 @@ below AS (SELECT id FROM lost UNION ALL SELECT c.id FROM tree c JOIN below b ON
 SELECT t.id, w.level, CASE WHEN t.id IN (SELECT id FROM lost) THEN 'parent_not_found' WHEN t.id IN (SELECT id FROM below) THEN 'ancestor_not_found' WHEN w.level IS NULL THEN 'cycle' END AS issue
 FROM @tree t LEFT JOIN walk w ON w.id = t.id""")
 def levels(t):
-    return H.levels(t.tree, max_depth=64)
+    return H.levels(t.tree)
 
 
 derive("listed", """

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -50,12 +50,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
-def ready_checkpoints(spark: SparkSession) -> None:
-    """Make DataFrame.checkpoint() usable without replacing a directory already set."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder for one run of a multi-job operator."""
     return f"{shared_folder(spark).rstrip('/')}/contentloom/{label}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write a DataFrame to the shared folder and read it back, which cuts its lineage.
+
+    Unlike a checkpoint, which runs the plan once more to store its rows, this
+    computes them once; executors may come and go afterwards.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -72,7 +72,7 @@ def test_odd_reference_shapes(spark):
 def test_levels_of_deep_and_broken_hierarchies(spark):
     chain = [(f"c{i}", f"c{i - 1}" if i else None) for i in range(70)]
     broken = [("l1", "gone"), ("l2", "l1"), ("x", "y"), ("y", "z"), ("z", "x"), ("below", "x"), ("self", "self"), ("r", "")]
-    out = {r["id"]: (r["level"], r["issue"]) for r in H.levels(spark.createDataFrame(chain + broken, "id string, parent_id string"), max_depth=256).collect()}
+    out = {r["id"]: (r["level"], r["issue"]) for r in H.levels(spark.createDataFrame(chain + broken, "id string, parent_id string")).collect()}
     assert all(out[f"c{i}"] == (i, None) for i in range(70))
     assert out["l1"] == (None, "parent_not_found") and out["l2"] == (None, "ancestor_not_found") and out["r"] == (0, None)
     assert {out[k] for k in ("x", "y", "z", "below", "self")} == {(None, "cycle")}
