@@ -2,7 +2,7 @@
 
 import pytest
 
-from __spark_entry__ import queries
+from contentloom.plans import registered_queries as queries
 
 FOLDER = "/root/testdata/sf0.001"
 PLANS = queries()
