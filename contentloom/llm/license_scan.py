@@ -14,9 +14,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Phrases that must match whole.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -53,11 +54,13 @@ def template_grams(spark: SparkSession) -> tuple[DataFrame, list[int]]:
         k = min(K, len(words))
         rows += [(n, label, whole, len(words) - k + 1, q, k, words[q:q + k]) for q in range(len(words) - k + 1)]
     made = spark.createDataFrame(rows, "template int, label string, whole boolean, of int, place int, k int, gram array<string>")
-    return made.withColumn("h", F.xxhash64("gram")), sorted({r[5] for r in rows})
+    sizes = sorted({r[5] for r in rows})
+    h = F.coalesce(*[F.when(F.col("k") == k, F.xxhash64(*[F.get("gram", F.lit(i)) for i in range(k)])) for k in sizes])
+    return made.withColumn("h", h), sizes
 
 
 def _hash(k: int) -> Column:
-    return F.xxhash64(F.slice("__words", F.col("__at") + 1, k))
+    return F.xxhash64(*[F.get("__words", F.col("__at") + i) for i in range(k)])
 
 
 def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -70,7 +73,7 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     templates, sizes = template_grams(spark)
     own = spark.createDataFrame([(-1, None, False, 1, 0, 0, [], -1)], templates.schema)
     lowered = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
-    words = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(key).alias("__key"), F.regexp_extract_all(lowered, F.lit(WORD), F.lit(1)).alias("__words"))
+    words = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(key).alias("__key"), F.array_remove(F.split(lowered, BETWEEN), "").alias("__words"))
     n = F.size("__words")
     # One place behind the last word stands for the text itself.
     at = words.select("*", F.explode(F.sequence(F.lit(0), n)).alias("__at"))
@@ -95,8 +98,6 @@ def _merged(votes: DataFrame) -> DataFrame:
     the template follows in the text as well. Phrases must match whole and stay apart.
     A window never holds more than one text's matches of one template.
     """
-    from pyspark.sql import Window
-
     order = Window.partitionBy("__row", "template").orderBy("diagonal", "first")
     joins = ~F.col("whole") & (F.col("diagonal") - F.lag("diagonal").over(order) <= SLACK) & (F.col("from") > F.lag("to").over(order)) & (F.col("first") > F.lag("first").over(order))
     marked = votes.withColumn("__new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1))

@@ -21,6 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
+BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, WINDOW, MAX_REPEATED = 20, 8, 30
 # Share of a stratum's good documents that all its rules together may reject.
@@ -62,20 +63,19 @@ def measured(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None =
 
     Equal windows are found by 64-bit hashes within one document.
     """
-    kept = [F.col(c) for c in (docs.columns if keep is None else keep)]
+    names = [c for c in docs.columns if keep is None or c in keep]
     body = F.coalesce(F.col(text), F.lit(""))
-    words = F.filter(F.split(body, SPACE), lambda w: w != "")
+    chars = F.length(F.translate(body, BLANKS, ""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    with_words = docs.select(*kept, words.alias("__words"), lines.alias("__lines"), F.length(body).alias("__length"), F.length(F.translate(body, SYMBOLS, "")).alias("__plain"))
-    n = F.size("__words")
-    starts = F.when(n >= WINDOW, F.sequence(F.lit(1), n - WINDOW + 1)).otherwise(F.array().cast("array<int>"))
-    grams = F.transform(starts, lambda i: F.xxhash64(F.slice("__words", i, WINDOW)))
-    chars = F.aggregate("__words", F.lit(0).cast("long"), lambda a, w: a + F.length(w))
-    names = [c for c in docs.columns if keep is None or c in keep]
-    counted = with_words.select(
-        *names, n.cast("long").alias("__n"), chars.alias("__chars"), (F.col("__length") - F.col("__plain")).cast("long").alias("__symbols"),
-        F.size("__lines").alias("__n_lines"), (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("__dup"), grams.alias("__grams"),
+    split = docs.select(*names, F.array_remove(F.split(body, SPACE), "").alias("__words"), lines.alias("__lines"), chars.alias("__chars"), (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).alias("__symbols"))
+    counted = split.select(
+        *names, F.size("__words").cast("long").alias("__n"), F.col("__chars").cast("long").alias("__chars"), F.col("__symbols").cast("long").alias("__symbols"),
+        F.size("__lines").alias("__n_lines"), (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("__dup"),
+        F.transform("__words", lambda w: F.xxhash64(w)).alias("__grams"),
     )
+    for reach in (1, 2, 4):  # hashes of 2, 4 and 8 words
+        pairs = F.zip_with(F.slice("__grams", 1, F.greatest(F.size("__grams") - reach, F.lit(0))), F.slice("__grams", reach + 1, F.size("__grams")), lambda a, b: F.xxhash64(a, b))
+        counted = counted.withColumn("__grams", pairs)
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
     done = counted.select(*names, "__n", "__chars", "__symbols", "__n_lines", "__dup", _covered(F.col("__grams")).alias("__rep"))
     m = F.struct(
@@ -131,27 +131,19 @@ def certified_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float =
         *[F.count_if(~F.col("good") & (F.col(f"__m.{r}") > c)).alias(f"{r}_{i}_bad") for r, cs in CUTOFFS.items() for i, c in enumerate(cs)],
     )
     strata = counted.where("n_good > 0").orderBy(F.desc("n_good"), "stratum").limit(max_strata)
-    share = alpha / len(CUTOFFS)
-    level = F.lit(delta) / (F.lit(len(CUTOFFS)) * F.lit(max_strata))
-    chosen = []
-    for rule, cutoffs in CUTOFFS.items():
-        passed = [(binomial_tail(F.col(f"{rule}_{i}_good"), F.col("n_good"), share) <= level) for i in range(len(cutoffs))]
-        tried = F.array(*[
-            F.struct(
-                p.alias("ok"),
-                (F.col(f"{rule}_{i}_bad") / F.greatest(F.col("n_bad"), F.lit(1)) - 20 * F.col(f"{rule}_{i}_good") / F.col("n_good")).alias("gain"),
-                F.lit(-i).alias("lenient"), F.lit(float(c)).alias("cutoff"),
-            ) for i, (p, c) in enumerate(zip(passed, cutoffs))
-        ])
-
-        def best(t: Column) -> Column:
-            failed = F.array_position(F.transform(t, lambda x: x["ok"]), F.lit(False))
-            usable = F.slice(t, 1, F.when(failed > 0, failed - 1).otherwise(F.size(t)).cast("int"))
-            ranked = F.transform(F.filter(usable, lambda x: x["gain"] > 0), lambda x: F.struct(x["gain"], x["lenient"], x["cutoff"]))
-            return F.array_max(ranked)["cutoff"]
-
-        chosen.append(let(tried, best).alias(rule))
-    return strata.select(F.col("stratum"), *chosen)
+    share, level = alpha / len(CUTOFFS), F.lit(delta / len(CUTOFFS)) / strata.agg(F.count("*").alias("n")).scalar()
+    listed = F.array(*[
+        F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(float(c)).alias("cutoff"), F.col(f"{r}_{i}_good").alias("good"), F.col(f"{r}_{i}_bad").alias("bad"))
+        for r, cs in CUTOFFS.items() for i, c in enumerate(cs)
+    ])
+    tried = strata.select("stratum", "n_good", "n_bad", F.inline(listed)).withColumn("ok", binomial_tail(F.col("good"), F.col("n_good"), share) <= level)
+    gain = F.col("bad") / F.greatest(F.col("n_bad"), F.lit(1)) - 20 * F.col("good") / F.col("n_good")
+    failed = tried.groupBy("stratum", "rule").agg(
+        F.min(F.when(~F.col("ok"), F.col("step"))).alias("stop"), F.collect_list(F.struct(gain.alias("gain"), (-F.col("step")).alias("lenient"), "cutoff", "step")).alias("tried"),
+    )
+    usable = F.filter("tried", lambda x: (x["gain"] > 0) & (x["step"] < F.coalesce(F.col("stop"), F.lit(1000))))
+    best = failed.select("stratum", "rule", F.array_max(usable)["cutoff"].alias("cutoff"))
+    return best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(r) for r in CUTOFFS])
 
 
 def holdout(measures: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang") -> DataFrame:
