@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from contentloom.session import materialize
-from contentloom.llm import license_scan, quality_rules
+from contentloom.llm import decontaminate, license_scan, near_dup, quality_rules
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,5 +30,16 @@ def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.labelled(_table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan)}
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    return decontaminate.hits(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Class of near copies of every document; a class is named by its smallest id."""
+    found = near_dup.classes(_table(spark, folder, "documents"))
+    return found.select("doc_id", "class_id", (F.col("class_id") == F.col("doc_id")).alias("kept"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op5_decontamination, op10_near_duplicates)}
 SQL: dict[str, str] = {}
