@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from contentloom.session import materialize
-from contentloom.llm import decontaminate, license_scan, near_dup, quality_rules
+from contentloom.llm import decontaminate, license_scan, line_dedup, near_dup, quality_rules, substring_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,11 +35,25 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.hits(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of every document that an earlier line equals within one edit."""
+    found = line_dedup.deduplicated(_table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that repeat a passage of an earlier one."""
+    found = substring_dedup.deduplicated(_table(spark, folder, "documents").select("doc_id", "text"))
+    # A text that keeps all its words keeps its white space too; the digest is over single blanks.
+    kept = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return found.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"))
+
+
 def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Class of near copies of every document; a class is named by its smallest id."""
     found = near_dup.classes(_table(spark, folder, "documents"))
     return found.select("doc_id", "class_id", (F.col("class_id") == F.col("doc_id")).alias("kept"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op5_decontamination, op10_near_duplicates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op5_decontamination, op7_line_dedup, op9_substring_dedup, op10_near_duplicates)}
 SQL: dict[str, str] = {}

@@ -67,11 +67,32 @@ def codes(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.asarray(coded.indices).astype(np.int64), coded.dictionary
 
 
+LONG_WORD = 64
+BYTE = np.array([xxhash.xxh3_64_intdigest(bytes([b]), seed=7) for b in range(256)], np.uint64)
+
+
 def hashed(words: pa.Array) -> np.ndarray:
     """64-bit hash of each word, the same in every task."""
     index, different = codes(words)
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in different.to_pylist()), np.uint64, len(different))
-    return h[index] if len(h) else np.zeros(0, np.uint64)
+    if not len(different):
+        return np.zeros(0, np.uint64)
+    different = pa.concat_arrays([different.cast(pa.large_string())])
+    offsets = np.frombuffer(different.buffers()[1], np.int64, len(different) + 1)
+    data = np.frombuffer(different.buffers()[2], np.uint8)
+    size = np.diff(offsets)
+    order = np.argsort(-size, kind="stable")
+    start, size = offsets[:-1][order], size[order]
+    h = size.astype(np.uint64)
+    n_long = int(np.searchsorted(-size, -LONG_WORD, side="left"))
+    for k in range(int(size[n_long]) if n_long < len(size) else 0):
+        end = int(np.searchsorted(-size, -k, side="left"))  # words longer than k
+        h[n_long:end] = h[n_long:end] * MUL + BYTE[data[start[n_long:end] + k]]
+    h = mixed(h)
+    for i in range(n_long):
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i]:start[i] + size[i]])
+    out = np.empty_like(h)
+    out[order] = h
+    return out[index]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -83,13 +104,33 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+class Runs:
+    """Hashes of any runs of items, from sums over all items before them."""
+
+    def __init__(self, h: np.ndarray):
+        power, inverse = powers(len(h) + 1)
+        self.inverse = inverse
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[:len(h)], dtype=np.uint64)])
+
+    def of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Hash of the items from ``low`` up to ``high``, their number included."""
+        return mixed((self.sums[high] - self.sums[low]) * self.inverse[low] + (high - low).astype(np.uint64))
+
+
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]), dtype=np.uint64) for b in (MUL, np.uint64(pow(int(MUL), -1, 2**64)))]
+    return _POWERS[0], _POWERS[1]
+
+
 def run_hashes(h: np.ndarray, length: int) -> np.ndarray:
     """Hash of the ``length`` items from each place on, as long as they all exist."""
-    n = max(0, len(h) - length + 1)
-    out = np.zeros(n, np.uint64)
-    for k in range(length):
-        out = out * MUL + h[k:k + n]
-    return mixed(out)
+    at = np.arange(max(0, len(h) - length + 1))
+    return Runs(h).of(at, at + length)
 
 
 def owners(offsets: np.ndarray) -> np.ndarray:
