@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from contentloom.session import materialize
-from contentloom.llm import decontaminate, license_scan, line_dedup, near_dup, quality_rules, substring_dedup
+from contentloom.llm import decontaminate, license_scan, line_dedup, near_dup, piece_lattice, quality_rules, substring_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,6 +41,18 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def piece_model() -> str:
+    """The sentencepiece model of the queries; operators take any path."""
+    from public_tokenizers import path
+
+    return path("piece_bpe_32k.model")
+
+
+def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces, best scores and round trip of every document."""
+    return piece_lattice.summary(_table(spark, folder, "documents"), piece_model())
+
+
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that repeat a passage of an earlier one."""
     found = substring_dedup.deduplicated(_table(spark, folder, "documents").select("doc_id", "text"))
@@ -55,5 +67,5 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "class_id", (F.col("class_id") == F.col("doc_id")).alias("kept"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op5_decontamination, op7_line_dedup, op9_substring_dedup, op10_near_duplicates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op5_decontamination, op7_line_dedup, op8_sentencepiece, op9_substring_dedup, op10_near_duplicates)}
 SQL: dict[str, str] = {}
