@@ -11,11 +11,10 @@ Jaccard similarity. Points are made in order of time and only as long as they ar
 earlier than some slot's best.
 
 Candidates that share a band are verified by their exact multiset overlap. Texts with
-equal words are one node. Within a band's bucket not all pairs are formed: all nodes
-are compared with a pivot, the node that shares most buckets; buckets whose nodes are
-then in one class are done, and the others go on with further pivots until every
-pair of different classes has been compared or joined. So no link is lost and the
-work of a round is linear.
+equal words are one node. Within a band's bucket not all pairs are formed: its nodes are
+compared with a pivot, the node that shares most buckets, and how they differ from the
+pivot bounds how similar they can be to each other. Only nodes that the bounds leave
+undecided are compared further, with the next pivot. So no link is lost, and a round's work is linear.
 
 Defined cases: null and empty texts and texts without words are classes of their
 own; texts of one to four words are one run; words are runs of letters, digits and
@@ -30,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from contentloom.llm.components import components
 from contentloom.llm.words import MUL, lists_of, mixed, owners, pieces, run_hashes, split_words, hashed
@@ -40,7 +39,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 SLOTS = BANDS * ROWS
-PIVOTS = 8
+SMALL = 8
 
 
 def shingles(offsets: np.ndarray, words: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -145,50 +144,82 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(make, "node binary, runs array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose multiset overlap reaches the threshold."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` with the sizes and the overlap of their multisets."""
     left, right = sets.select(F.col("node").alias("a"), F.col("runs").alias("__a")), sets.select(F.col("node").alias("b"), F.col("runs").alias("__b"))
-    shared = F.size(F.array_intersect("__a", "__b"))
-    union = F.size("__a") + F.size("__b") - shared
-    return pairs.join(left, "a").join(right, "b").select("a", "b", (shared / union).alias("similarity")).where(F.col("similarity") >= threshold)
+    met = pairs.join(left, "a").join(right, "b")
+    return met.select("a", "b", F.size("__a").alias("n_a"), F.size("__b").alias("n_b"), F.size(F.array_intersect("__a", "__b")).alias("shared"))
 
 
-def _best(score: Column, node: Column) -> Column:
-    return F.max(F.struct(score.alias("score"), node.alias("node")))["node"]
+def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """For pairs ``a``, ``b`` (the pivot): the elements that only one of them has, marked by side."""
+    left, right = sets.select(F.col("node").alias("a"), F.col("runs").alias("__a")), sets.select(F.col("node").alias("b"), F.col("runs").alias("__b"))
+    met = pairs.join(left, "a").join(right, "b")
+    only = F.concat(F.array_except("__a", "__b"), F.transform(F.array_except("__b", "__a"), lambda x: F.xxhash64(x)))
+    return met.select("a", "b", F.explode(only).alias("e"))
+
+
+def _still_open(members: DataFrame, compared: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``band`` and ``node`` of the pairs that the comparison with the pivot leaves undecided.
+
+    D(x) are the elements by which x differs from the pivot. Two nodes f and x differ from each
+    other by |D(f)| + |D(x)| - 2 |D(f) and D(x)| elements, and are similar only if that
+    is at most k (|f| + |x|) with k = (1 - threshold) / (1 + threshold). What they share of D
+    is at most S, the number of elements of D that any other node of the pivot has too. So with
+    alpha = 2 S - |D| + k n and beta = |D| - k n, f and x can be similar only if
+    alpha(x) >= beta(f) and alpha(f) >= beta(x). A pair that is linked to the pivot on both
+    sides is in one class already; the others stay if these bounds allow it.
+    """
+    k = (1 - threshold) / (1 + threshold)
+    far = compared.where(~F.col("linked")).select("b").distinct()
+    group = compared.join(far, "b")
+    parts = _differences(group.select("a", "b"), sets)
+    common = parts.groupBy("b", "e").agg(F.count("*").alias("n")).where("n > 1").select("b", "e")
+    backed = parts.join(common, ["b", "e"]).groupBy("a", "b").agg(F.count("*").alias("s"))
+    d = F.col("n_a") + F.col("n_b") - 2 * F.col("shared")
+    rated = group.join(backed, ["a", "b"], "left").select(
+        "a", "b", "linked", (2 * F.coalesce("s", F.lit(0)) - d + k * F.col("n_a")).alias("alpha"), (d - k * F.col("n_a")).alias("beta"),
+    )
+    rated = materialize(rated, "bounds")
+    inside = members.withColumnsRenamed({"node": "a", "pivot": "b"}).join(rated, ["a", "b"])
+    reach = inside.groupBy("band").agg(F.max("alpha").alias("most"), F.min("beta").alias("least"))
+    slack = F.lit(1e-9)
+    live = ~F.col("linked") & (F.col("most") + slack >= F.col("beta")) & (F.col("alpha") + slack >= F.col("least"))
+    marked = inside.join(reach, "band").withColumn("live", live)
+    bound = marked.where("live").groupBy("band").agg(F.min("beta").alias("bound"))
+    return marked.join(bound, "band").where(F.col("live") | (F.col("alpha") + slack >= F.col("bound"))).select("band", F.col("a").alias("node"), "score")
 
 
 def near_links(nodes: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``node`` and ``root`` of all nodes that are similar to another one.
+    """Links ``a``, ``b`` that join all nodes of a class; ``nodes`` has ``node`` and ``bands``.
 
-    ``nodes`` has ``node`` and ``bands``. Each round gives every open bucket new pivots: one
-    in the first, up to ``PIVOTS`` in later ones.
+    Buckets of up to ``SMALL`` nodes form their pairs; larger ones are compared with one
+    pivot per round and go on with the nodes that may still be similar to each other.
     """
     rows = nodes.select("node", F.explode("bands").alias("band"))
     counts = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    open_ = materialize(rows.join(counts, "band"), "buckets")
-    open_ = materialize(open_.join(open_.groupBy("node").agg(F.sum("n").alias("score")), "node").select("band", "node", "score"), "buckets")
-    links, used, roots, turn = None, None, None, 0
+    met = materialize(rows.join(counts, "band"), "buckets")
+    open_ = materialize(met.join(met.groupBy("node").agg(F.sum("n").alias("score")), "node").select("band", "node", "score"), "buckets")
+    links = None
     while True:
-        free = open_ if used is None else open_.join(used, ["band", "node"], "left_anti")
-        split = F.lit(0) if turn == 0 else F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(PIVOTS))
-        pivots = materialize(free.groupBy("band", split.alias("s")).agg(_best(F.col("score"), F.col("node")).alias("pivot")).select("band", "pivot"), "pivots")
-        met = open_.join(pivots, "band").where(F.col("node") != F.col("pivot"))
-        if roots is not None:
-            named = roots.withColumnsRenamed({"node": "pivot", "root": "__p"})
-            met = met.join(roots, "node", "left").join(named, "pivot", "left").where(F.coalesce("root", "node") != F.coalesce("__p", "pivot"))
-        pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        found = materialize(_verified(pairs, sets, threshold).select("a", "b"), "similar")
-        links = found if links is None else links.union(found)
-        roots = materialize(components(links), "roots")
-        now = pivots.select("band", F.col("pivot").alias("node"))
-        used = now if used is None else used.union(now)
-        # A bucket stays open while it has nodes of two classes, of which one was no pivot yet.
-        state = open_.join(roots, "node", "left").withColumn("__r", F.coalesce("root", "node")).join(used.withColumn("__used", F.lit(1)), ["band", "node"], "left")
-        still = state.groupBy("band").agg(F.min("__r").alias("x"), F.max("__r").alias("y"), (F.count("*") - F.count("__used")).alias("left")).where("x <> y and left > 1")
-        open_ = materialize(open_.join(still.select("band"), "band", "left_semi"), "buckets")
-        turn += 1
+        size = open_.groupBy("band").agg(F.count("*").alias("n"), F.max(F.struct("score", "node"))["node"].alias("pivot"))
+        sized = materialize(open_.join(size, "band"), "buckets")
+        small, large = sized.where(F.col("n") <= SMALL), sized.where((F.col("n") > SMALL) & (F.col("node") != F.col("pivot")))
+        other = small.select("band", F.col("node").alias("b"))
+        close = small.select("band", F.col("node").alias("a")).join(other, "band").where("a > b").select("a", "b")
+        pairs = close.union(large.select("node", "pivot")).distinct()
+        found = _compared(pairs, sets)
+        found = materialize(found.withColumn("linked", F.col("shared") >= threshold * (F.col("n_a") + F.col("n_b") - F.col("shared"))), "compared")
+        new = found.where("linked").select("a", "b")
+        links = new if links is None else links.union(new)
+        if large.isEmpty():
+            return links
+        members = large.select("band", "node", "pivot", "score")
+        by_pivot = found.join(large.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), ["a", "b"])
+        left = _still_open(members, by_pivot, sets, threshold)
+        open_ = materialize(left.join(left.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "band"), "buckets")
         if open_.isEmpty():
-            return roots
+            return links
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -203,7 +234,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # Rows of other texts under the same id fall out again by their words.
     texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
     sets = materialize(_sets(texts).join(needed, "node", "left_semi").dropDuplicates(["node"]), "runs")
-    roots = near_links(nodes.join(needed, "node", "left_semi"), sets, threshold)
+    roots = components(near_links(nodes.join(needed, "node", "left_semi"), sets, threshold))
     named = sign.join(roots, "node", "left").withColumn("__root", F.coalesce("root", "node"))
     least = named.where(F.col("__root").isNotNull()).groupBy("__root").agg(F.min("doc_id").alias("class_id"))
     return named.join(least, "__root", "left").select("doc_id", "node", F.coalesce("class_id", "doc_id").alias("class_id"))
