@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from contentloom.session import materialize
-from contentloom.llm import decontaminate, license_scan, line_dedup, near_dup, piece_lattice, quality_rules, substring_dedup
+from contentloom.llm import decontaminate, license_scan, line_dedup, near_dup, piece_lattice, quality_knn, quality_rules, substring_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,6 +30,19 @@ def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.labelled(_table(spark, folder, "documents"))
 
 
+def _remainder(key: str, n: int) -> Column:
+    """crc32 of the id as text, modulo n; 0 for a null id, which never teaches."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % n, F.lit(0))
+
+
+def op3_quality_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document, learned from two thirds of the labels."""
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    model = quality_knn.fitted(docs, labels, _remainder("doc_id", 3) != 1)
+    found = quality_knn.scored(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (_remainder("doc_id", 3) == 1).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark windows in every document."""
     return decontaminate.hits(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -67,5 +80,5 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "class_id", (F.col("class_id") == F.col("doc_id")).alias("kept"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op5_decontamination, op7_line_dedup, op8_sentencepiece, op9_substring_dedup, op10_near_duplicates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_quality_neighbours, op5_decontamination, op7_line_dedup, op8_sentencepiece, op9_substring_dedup, op10_near_duplicates)}
 SQL: dict[str, str] = {}
