@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from contentloom.session import materialize
-from contentloom.llm import decontaminate, license_scan, line_dedup, near_dup, piece_lattice, quality_knn, quality_rules, substring_dedup
+from contentloom.llm import decontaminate, language, license_scan, line_dedup, near_dup, piece_lattice, quality_knn, quality_rules, substring_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,8 +31,8 @@ def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _remainder(key: str, n: int) -> Column:
-    """crc32 of the id as text, modulo n; 0 for a null id, which never teaches."""
-    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % n, F.lit(0))
+    """crc32 of the id as text, modulo n; -1 for a null id."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % n, F.lit(-1))
 
 
 def op3_quality_neighbours(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,6 +43,14 @@ def op3_quality_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (_remainder("doc_id", 3) == 1).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from four fifths of the languages given."""
+    docs = _table(spark, folder, "documents")
+    model = language.fitted(docs, _remainder("doc_id", 5) > 0)
+    found = language.identified(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (_remainder("doc_id", 5) == 0).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark windows in every document."""
     return decontaminate.hits(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -80,5 +88,5 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "class_id", (F.col("class_id") == F.col("doc_id")).alias("kept"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_quality_neighbours, op5_decontamination, op7_line_dedup, op8_sentencepiece, op9_substring_dedup, op10_near_duplicates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_quality_neighbours, op4_language, op5_decontamination, op7_line_dedup, op8_sentencepiece, op9_substring_dedup, op10_near_duplicates)}
 SQL: dict[str, str] = {}

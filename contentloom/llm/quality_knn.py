@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from contentloom.llm.features import counted, document_counts, inverse_frequency, product, weights
-from contentloom.llm.words import codes, hashed, owners, pieces, plain_text, split_words
+from contentloom.llm.words import codes, hashed, owners, pieces, split_words
 
 FEATURES, RANK, NEIGHBOURS, PER_CLASS = 1 << 13, 64, 24, 1024
 WORDS = FEATURES // 2
