@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from contentloom.session import materialize
-from contentloom.llm import decontaminate, language, license_scan, line_dedup, near_dup, piece_lattice, quality_knn, quality_rules, substring_dedup
+from contentloom.llm import decontaminate, language, license_scan, line_dedup, near_dup, piece_lattice, quality_knn, quality_rules, substring_dedup, transcripts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -56,6 +56,27 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.hits(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def transcript_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The conversations as transcripts: each turn behind a marker in one of several styles, an eighth without."""
+    rows = _table(spark, folder, "conversations")
+    style = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(8))
+    name = F.initcap("role")
+    mark = (
+        F.when(style == 0, F.lit("")).when(style == 2, F.concat(F.lit("### "), name, F.lit(":\n"))).when(style == 3, F.concat(F.lit("["), F.upper("role"), F.lit("] ")))
+        .when(style == 4, F.concat(F.when(F.col("role") == "user", "Human").otherwise(name), F.lit(": "))).when(style == 5, F.concat(F.lit("<|"), "role", F.lit("|>")))
+        .otherwise(F.concat(name, F.lit(": ")))
+    )
+    return rows.withColumn("text", F.concat(F.coalesce(mark, F.lit("")), F.coalesce("text", F.lit(""))))
+
+
+def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns recovered from the transcripts of all conversations; roles are learned from four fifths of them."""
+    rows = transcript_rows(spark, folder)
+    model = transcripts.fitted(rows.where(_remainder("conv_id", 5) > 0))
+    found = transcripts.parsed(rows.drop("role"), model)
+    return found.select("conv_id", F.col("place").alias("turn"), "line", "role", "n_lines", "chat", (_remainder("conv_id", 5) == 0).alias("held_out"))
+
+
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of every document that an earlier line equals within one edit."""
     found = line_dedup.deduplicated(_table(spark, folder, "documents").select("doc_id", "text"))
@@ -88,5 +109,5 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "class_id", (F.col("class_id") == F.col("doc_id")).alias("kept"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_quality_neighbours, op4_language, op5_decontamination, op7_line_dedup, op8_sentencepiece, op9_substring_dedup, op10_near_duplicates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_quality_neighbours, op4_language, op5_decontamination, op6_chat_format, op7_line_dedup, op8_sentencepiece, op9_substring_dedup, op10_near_duplicates)}
 SQL: dict[str, str] = {}
