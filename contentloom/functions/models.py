@@ -21,6 +21,12 @@ class FieldDef:
     has_default_key: bool = False
     description: str = ""
     primary_key: bool = False
+    # Keys that lead to a nested field; a plain name is one key, dots included.
+    keys: tuple[str, ...] = ()
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        return self.keys or (self.name,)
 
     @property
     def spec(self) -> TypeSpec:
@@ -123,16 +129,17 @@ def from_struct(schema: T.StructType, name: str) -> Model:
     """
     found: list[FieldDef] = []
 
-    def walk(s: T.StructType, prefix: str, needed: bool) -> None:
+    def walk(s: T.StructType, keys: tuple[str, ...], needed: bool) -> None:
         for f in s.fields:
             text = _type_text(f.dataType)
             must = needed and not f.nullable
             nested = isinstance(f.dataType, T.StructType)
-            found.append(FieldDef(prefix + f.name, text if not f.nullable else f"Optional[{text}]", required=must, primary_key=f.name == "id" and not prefix))
+            path = (*keys, f.name)
+            found.append(FieldDef(".".join(path), text if not f.nullable else f"Optional[{text}]", required=must, primary_key=path == ("id",), keys=path))
             if nested:
-                walk(f.dataType, f"{prefix}{f.name}.", must)
+                walk(f.dataType, path, must)
 
-    walk(schema, "", True)
+    walk(schema, (), True)
     return Model(name, tuple(found), table_name=name.lower())
 
 
@@ -165,12 +172,12 @@ def spark_type(text: str) -> str:
 
 def ddl_for(m: Model) -> str:
     """Column list for CREATE TABLE, with NOT NULL for required fields."""
-    return ", ".join(f"`{f.name}` {spark_type(f.type)}{' NOT NULL' if f.required else ''}" for f in m.fields if "." not in f.name)
+    return ", ".join(f"`{f.name}` {spark_type(f.type)}{' NOT NULL' if f.required else ''}" for f in m.fields if len(f.path) == 1)
 
 
 def struct_for(m: Model) -> T.StructType:
     """The Spark schema of a model; void columns are not storable and read as text."""
     return T.StructType([
         T.StructField(f.name, T._parse_datatype_string(spark_type(f.type).replace("void", "string")), not f.required)
-        for f in m.fields if "." not in f.name
+        for f in m.fields if len(f.path) == 1
     ])

@@ -93,7 +93,8 @@ def any_of(*fields: str) -> Rule:
     """At least one of the fields is there and not empty."""
 
     def filled(c: Column) -> Column:
-        return P.present(c) & ~P.as_text(c).isin("", "{}", "[]", "false", "0")
+        # Texts are empty only as ""; other values if they are an empty container, false or zero.
+        return P.present(c) & F.when(P.is_text(c), P.as_text(c) != "").otherwise(~P.as_text(c).isin("{}", "[]", "false", "0"))
 
     def broken(r: Record) -> Column:
         some = F.lit(False)

@@ -31,7 +31,8 @@ EXPECTED = {
     "dict": "expected dictionary",
 }
 
-ISO_FORM = r"^\d{4}-\d{2}-\d{2}([T ].*)?$"
+# A date, then possibly hours, minutes, seconds with a fraction, and an offset.
+ISO_FORM = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,9})?)?)?(Z|[+-]\d{2}:\d{2}(:\d{2})?)?)?$"
 
 
 @dataclass(frozen=True)

@@ -43,7 +43,8 @@ def field_catalog(df: DataFrame) -> DataFrame:
         F.posexplode(_entries(P.get(F.col("__d"), "fields"))).alias("pos", "e"),
     )
     d = F.col("e.value")
-    default = F.coalesce(P.get(d, "args", "default"), P.get(d, "default"))
+    inner, outer = P.get(d, "args", "default"), P.get(d, "default")
+    default = F.when(P.present(inner), inner).otherwise(F.coalesce(outer, inner))
     flag = lambda key: F.coalesce(F.try_variant_get(d, P.json_path(key), "boolean"), F.lit(False))
     return rows.select(
         "model", "table_name", F.col("e.key").alias("field"), "pos",
@@ -242,18 +243,18 @@ def migrate_b(df: DataFrame) -> DataFrame:
 
 
 # Namespaces that hold no models of their own.
-SYSTEM_SCHEMAS = ("information_schema", "pg_catalog", "pg_toast", "models", "llm")
+SYSTEM_SCHEMAS = ("information_schema", "pg_catalog", "pg_toast")
 
 
-def read_legacy(inputs: Sequence[tuple[str, DataFrame]]) -> DataFrame:
+def read_legacy(inputs: Sequence[tuple[str, DataFrame]], skipped: Sequence[str] = SYSTEM_SCHEMAS) -> DataFrame:
     """Definitions of many namespaces as one table with their ``source_schema``.
 
-    System namespaces and inputs that are no definition tables are skipped.
+    The namespaces in ``skipped`` and inputs that are no definition tables are left out.
     """
     kept = [
         df.select("name", "definition", F.lit(schema).alias("source_schema"))
         for schema, df in inputs
-        if schema not in SYSTEM_SCHEMAS and {"name", "definition"} <= set(df.columns)
+        if schema not in skipped and {"name", "definition"} <= set(df.columns)
     ]
     if not kept:
         raise ValueError("no namespace holds model definitions")

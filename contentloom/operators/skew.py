@@ -8,6 +8,7 @@ targets are the rule, therefore salt their heavy keys explicitly.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -63,14 +64,32 @@ def salted_join(
     return salted_left.withColumn("__salt", F.col("__salt").cast("bigint")).join(salted_right, [*on, "__salt"], how).drop("__salt")
 
 
+def _rank(df: DataFrame, rest: Sequence[str], order: Sequence[str | Column]) -> Column:
+    """The order, then every other column that can be compared."""
+    more = [c for c in rest if c not in order and not re.search("map|variant", df.schema[c].dataType.simpleString())]
+    return F.struct(*[c if isinstance(c, Column) else F.col(c) for c in [*order, *more]])
+
+
+def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """One row per key that holds, field by field, the last value given in the order.
+
+    For sparse changes: a later row that leaves a field NULL does not undo an earlier
+    one. One aggregate, combined before the shuffle; equal orders go to the greater value.
+    """
+    given = lambda c: F.when(F.col(c).isNotNull(), F.struct(*order, c))
+    return df.groupBy(*keys).agg(*[F.max_by(F.col(c), given(c)).alias(c) for c in fields])
+
+
 def pick(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], last: bool = True) -> DataFrame:
     """One row per key: the last (or first) in the given order.
 
     An aggregate with map-side combine instead of a window: a hot key is reduced
     in every map task before the shuffle and no key's rows are sorted in one task.
+    Rows of equal order are told apart by their other columns, so the choice does
+    not depend on how rows arrive.
     """
     rest = [c for c in df.columns if c not in keys]
-    rank = F.struct(*[c if isinstance(c, Column) else F.col(c) for c in order])
+    rank = _rank(df, rest, order)
     choose = F.max_by if last else F.min_by
     best = df.groupBy(*keys).agg(choose(F.struct(*rest), rank).alias("__row"))
     return best.select(*keys, "__row.*").select(*df.columns)

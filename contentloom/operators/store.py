@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from contentloom.functions import payload as P
 from contentloom.functions.models import Model
-from contentloom.operators.skew import pick, salted_join
+from contentloom.operators.skew import pick
 from contentloom.operators.validation import validate
 
 # The columns every content query returns.
@@ -61,19 +61,19 @@ def referenced_by_json(df: DataFrame, ref_id: str) -> DataFrame:
 
 def referencing(df: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Objects that reference any id of a set, by the edge table."""
-    hits = salted_join(edges.select("source_id", F.col("target_id").alias("id")), ids.select("id").distinct(), ["id"], ["source_id"], "left_semi")
-    return df.join(hits.select(F.col("source_id").alias("id")).distinct(), "id", "left_semi")
+    hits = edges.join(ids.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+    return df.join(hits.select(F.col("source_id").alias("id")), "id", "left_semi")
 
 
 def referenced_by(df: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Objects that any id of a set references, by the edge table."""
-    hits = salted_join(edges.select("target_id", F.col("source_id").alias("id")), ids.select("id").distinct(), ["id"], ["target_id"], "left_semi")
-    return df.join(hits.select(F.col("target_id").alias("id")).distinct(), "id", "left_semi")
+    hits = edges.join(ids.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    return df.join(hits.select(F.col("target_id").alias("id")), "id", "left_semi")
 
 
 def search(df: DataFrame, query: str) -> DataFrame:
     """Case-insensitive substring in title, content or metadata; ``%`` and ``_`` are wildcards."""
-    like = f"%{query}%"
+    like = "%" + query.replace("\\", "\\\\") + "%"
     return df.where(F.col("title").ilike(like) | F.col("content").ilike(like) | F.col("metadata").ilike(like))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from contentloom.functions import payload as P
 from contentloom.functions.text import slug
-from contentloom.operators.skew import pick, salted_join
+from contentloom.operators.skew import fold, salted_join
 from contentloom.operators.store import templates_in
 from contentloom.operators.writes import at, object_id
 
@@ -107,10 +107,10 @@ def by_name(df: DataFrame, name: str) -> DataFrame:
     return view(df.where((F.col("content_type") == "prompt_template") & (F.col("title") == name)))
 
 
-def update_templates(current: DataFrame, patches: DataFrame, now: datetime | str) -> DataFrame:
-    """Sparse update: only the fields a patch gives change."""
+def update_templates(current: DataFrame, patches: DataFrame, now: datetime | str, order: Sequence[str]) -> DataFrame:
+    """Sparse update: only the fields a patch gives change; of several patches each field takes the last value in ``order``."""
     fields = [c for c in (*IN_CONTENT, *IN_METADATA) if c in patches.columns]
-    one = pick(patches.select("id", *fields), ["id"], fields)
+    one = fold(patches, ["id"], order, fields)
     changes = one.select("id", F.lit(True).alias("__hit"), *[_json(one, c).alias(f"__{c}") for c in fields])
     joined = current.join(changes, "id", "left")
     part = lambda text, names: F.when(
@@ -186,17 +186,22 @@ def find_adaptation(adapted: DataFrame, wanted: DataFrame) -> DataFrame:
 def assemble(df: DataFrame, order: str = "standard") -> DataFrame:
     """Join prompt components in the given order; absent ones are skipped.
 
-    Input rows are (prompt, component, text). One aggregate per component of the
-    fixed order, so partial results stay small whatever the number of rows.
+    Input rows are (prompt, component, position, text). Several texts of a component
+    follow each other by position. A prompt's texts end in one string and are gathered for it.
     """
-    parts = [F.max(F.when(F.col("component") == c, F.col("text"))) for c in ORDERS[order]]
-    return df.groupBy("prompt").agg(F.concat_ws("\n", *parts).alias("text"))
+    return df.groupBy("prompt").agg(F.concat_ws("\n", *[_component(c) for c in ORDERS[order]]).alias("text"))
+
+
+def _component(name: str) -> Column:
+    """The texts of one component by position, NULL if there is none."""
+    found = F.array_sort(F.collect_list(F.when((F.col("component") == name) & F.col("text").isNotNull(), F.struct("position", "text"))))
+    return F.when(F.size(found) > 0, F.array_join(F.transform(found, lambda r: r["text"]), "\n"))
 
 
 def assemble_all(df: DataFrame) -> DataFrame:
     """The prompt in every declared order, from one pass over the components."""
     names = sorted({c for order in ORDERS.values() for c in order})
-    wide = df.groupBy("prompt").agg(*[F.max(F.when(F.col("component") == c, F.col("text"))).alias(c) for c in names])
+    wide = df.groupBy("prompt").agg(*[_component(c).alias(c) for c in names])
     texts = F.create_map(*[x for o, cs in ORDERS.items() for x in (F.lit(o), F.concat_ws("\n", *cs))])
     return wide.select("prompt", F.explode(texts).alias("assembly_order", "text"))
 
@@ -204,10 +209,11 @@ def assemble_all(df: DataFrame) -> DataFrame:
 def fill(df: DataFrame, contexts: DataFrame) -> DataFrame:
     """Replace ``{context}`` and ``{controlled_context}`` by the prompt's context texts."""
     rows = salted_join(df, contexts.select("context_id", "context", "controlled_context"), ["context_id"], ["prompt"], "left")
-    text = F.col("text")
-    for name in ("context", "controlled_context"):
-        text = F.replace(text, F.lit("{" + name + "}"), F.coalesce(F.col(name), F.lit("")))
-    return rows.select("prompt", "context_id", text.alias("text"))
+    # One pass: the text is cut behind each placeholder, so inserted texts are not filled again.
+    cut = F.split("text", r"(?<=\{context\})|(?<=\{controlled_context\})")
+    filled = lambda part, name: F.replace(part, F.lit("{" + name + "}"), F.coalesce(F.col(name), F.lit("")))
+    parts = F.transform(cut, lambda p: F.when(p.endswith("{controlled_context}"), filled(p, "controlled_context")).when(p.endswith("{context}"), filled(p, "context")).otherwise(p))
+    return rows.select("prompt", "context_id", F.array_join(parts, "").alias("text"))
 
 
 def chain_steps(df: DataFrame) -> DataFrame:
@@ -258,9 +264,14 @@ def chain_errors(df: DataFrame) -> DataFrame:
 
 
 def semver(text: Column) -> Column:
-    """Version text as a comparable list of numbers; NULL for anything else."""
+    """Version text as a comparable list of numbers, NULL for anything else; 1.2 equals 1.2.0.
+
+    Numbers have up to 38 digits.
+    """
     clean = F.regexp_extract(text, r"^\s*(\d+(?:\.\d+)*)\s*$", 1)
-    return F.when(clean != "", F.transform(F.split(clean, r"\."), lambda p: p.cast("int")))
+    short = F.regexp_replace(clean, r"(\.0+)+$", "")
+    numbers = F.transform(F.split(short, r"\."), lambda p: p.try_cast("decimal(38,0)"))
+    return F.when((clean != "") & ~F.exists(numbers, lambda p: p.isNull()), numbers)
 
 
 def resolve_versions(requests: DataFrame, versions: DataFrame, strategy: str = "minimum", fallback: str = "use_latest") -> DataFrame:

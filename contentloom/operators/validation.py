@@ -49,7 +49,7 @@ def _exempt(f: FieldDef, strict_reference: bool) -> bool:
 
 
 def _field_check(v: Column, f: FieldDef, partial: bool, strict_reference: bool) -> Column:
-    value = P.get(v, *f.name.split("."))
+    value = P.get(v, *f.path)
     needed = f.required and not partial and not _exempt(f, strict_reference)
     missing = F.lit(f"Missing required field: {f.name}") if needed else F.lit(None).cast("string")
     wrong = F.concat(F.lit(f"Invalid type for {f.name}: "), check(value, f.spec))
@@ -74,8 +74,8 @@ def _metadata_gaps(v: Column, keys: tuple[str, ...], what: str) -> Column:
 
 def _checked(text: Column, v: Column, found: Column) -> Column:
     """Field checks only for objects; other payloads get the one root error."""
-    root = F.when(v.isNull(), F.lit("payload is not valid JSON")).when(~F.ltrim(text).startswith("{"), F.lit("payload is not an object"))
-    is_object = v.isNotNull() & F.ltrim(text).startswith("{")
+    is_object = v.isNotNull() & F.ltrim(text, F.lit(" \t\n\r")).startswith("{")
+    root = F.when(v.isNull(), F.lit("payload is not valid JSON")).when(~is_object, F.lit("payload is not an object"))
     return F.when(is_object, found).otherwise(F.array(error("", root, "invalid_json")))
 
 
@@ -111,12 +111,15 @@ def validate_mixed(df: DataFrame, payload: str, model_column: str, models: Mappi
     """Validate a table whose rows name their own model; unknown names are an error."""
     v, name = F.col(RECORD), F.col(model_column)
     found = F.array(error("", F.concat(F.lit("Model not found: "), F.coalesce(name, F.lit("null"))), "model_not_found"))
-    ruled = F.col("errors")
+    ruled, warnings = F.col("errors"), errors_array()
     for key, m in models.items():
-        found = F.when(name == key, field_errors(v, m, partial)).otherwise(found)
+        own = F.concat(field_errors(v, m, partial), _metadata_gaps(v, m.metadata_required, "required"))
+        found = F.when(name == key, own).otherwise(found)
+        if m.metadata_recommended:
+            warnings = F.when(v.isNotNull() & (name == key), _metadata_gaps(v, m.metadata_recommended, "recommended")).otherwise(warnings)
         if m.rules:
             ruled = F.when((F.size("errors") == 0) & (name == key), rule_errors(v, m)).otherwise(ruled)
-    out = once(df.withColumn(RECORD, P.safe_json(F.col(payload))), errors=_checked(F.col(payload), v, found), warnings=errors_array())
+    out = once(df.withColumn(RECORD, P.safe_json(F.col(payload))), errors=_checked(F.col(payload), v, found), warnings=warnings)
     if any(m.rules for m in models.values()):
         out = once(out, __ruled=ruled).drop("errors").withColumnRenamed("__ruled", "errors")
     return _finish(out, payload, RECORD)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from contentloom.functions import payload as P
-from contentloom.operators.skew import pick
+from contentloom.operators.skew import fold
 
 MAX_QUERIES = 4096
 SHARD_ROWS = 50_000
@@ -138,12 +138,15 @@ def sync_report(contents: DataFrame, vectors: DataFrame) -> DataFrame:
     return merged.where("c + v = 1").select("id", F.when(F.col("c") == 1, "missing_vector").otherwise("orphan_vector").alias("issue"))
 
 
-def update_vectors(current: DataFrame, updates: DataFrame) -> DataFrame:
-    """Replace embedding and metadata where given; unknown ids are skipped."""
-    one = pick(updates.select("content_id", "embedding", "metadata"), ["content_id"], ["metadata"])
+def update_vectors(current: DataFrame, updates: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Replace embedding and metadata where given; unknown ids are skipped.
+
+    Of several updates each column takes the last value given in ``order``.
+    """
+    # an empty object gives no new metadata
+    given = updates.withColumn("metadata", F.nullif("metadata", F.lit("{}")))
+    one = fold(given, ["content_id"], order, ["embedding", "metadata"])
     new = one.select("content_id", F.col("embedding").alias("__embedding"), F.col("metadata").alias("__metadata"))
     joined = current.join(new, "content_id", "left")
     keep = lambda c: F.coalesce(f"__{c}", c).alias(c) if c in ("embedding", "metadata") else F.col(c)
-    # an empty object gives no new metadata
-    joined = joined.withColumn("__metadata", F.nullif("__metadata", F.lit("{}")))
     return joined.select(*[keep(c) for c in current.columns])

@@ -16,7 +16,7 @@ from contentloom.functions import payload as P
 from contentloom.functions.text import slug
 from contentloom.operators.hierarchy import with_parent_level
 from contentloom.operators.references import embedded_refs
-from contentloom.operators.skew import pick
+from contentloom.operators.skew import fold, pick
 from contentloom.operators.validation import once
 
 
@@ -57,10 +57,11 @@ def enrich(batch: DataFrame, current: DataFrame, references: Column | None = Non
 def _first_refs(refs: Column) -> Column:
     """References as JSON text, each id once, the first one winning."""
     entry = lambda r: F.struct(r["id"].alias("id"), F.coalesce(r["type"], F.lit("unknown")).alias("type"))
-    unique = lambda rs: P.let(F.transform(rs, lambda r: r["id"]), lambda ids: F.filter(
-        rs, lambda r, i: F.array_position(ids, r["id"]) == (i + 1)
-    ))
-    return F.to_json(F.transform(P.let(refs, unique), entry))
+    # Sorted by id and place, the first of each id stands behind a different one.
+    placed = lambda rs: F.array_sort(F.transform(rs, lambda r, i: F.struct(r["id"].alias("id"), i.alias("at"), r["type"].alias("type"))))
+    first = lambda rs: F.filter(rs, lambda r, i: (i == 0) | ~r["id"].eqNullSafe(F.get(rs, i - 1)["id"]))
+    by_place = lambda rs: F.array_sort(F.transform(P.let(placed(rs), first), lambda r: F.struct(r["at"], r["id"], r["type"])))
+    return F.to_json(F.transform(P.let(refs, by_place), entry))
 
 
 def insert(batch: DataFrame, current: DataFrame, now: datetime | str) -> DataFrame:
@@ -77,13 +78,13 @@ def insert(batch: DataFrame, current: DataFrame, now: datetime | str) -> DataFra
     return out.withColumn("slug", slug(F.col("title"))).withColumn("created_at", at(now)).withColumn("updated_at", at(now))
 
 
-def update(current: DataFrame, updates: DataFrame, now: datetime | str, order: Sequence[str] | None = None) -> DataFrame:
+def update(current: DataFrame, updates: DataFrame, now: datetime | str, order: Sequence[str]) -> DataFrame:
     """All rows with new content and metadata where an update gives them.
 
-    NULL keeps the current value; unknown ids are skipped. ``order`` names the
-    update columns that decide when an id is updated twice in one batch.
+    NULL keeps the current value; unknown ids are skipped. Of several updates of an
+    id the last one in ``order`` counts as a whole.
     """
-    one = collapse(updates, ["id"], order or ["content", "metadata"])
+    one = collapse(updates, ["id"], order)
     new = one.select("id", F.col("content").alias("__content"), F.col("metadata").alias("__metadata"), F.lit(True).alias("__hit"))
     joined = current.join(new, "id", "left")
     replaced = {
@@ -133,11 +134,14 @@ def duplicate_names(df: DataFrame, key: str = "name") -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def sparse_update(current: DataFrame, updates: DataFrame, now: datetime | str, key: str = "id") -> DataFrame:
-    """Change only the attributes an update gives; an update without any changes nothing."""
-    fields = [c for c in updates.columns if c != key and c in current.columns]
+def sparse_update(current: DataFrame, updates: DataFrame, now: datetime | str, order: Sequence[str], key: str = "id") -> DataFrame:
+    """Change only the attributes an update gives; an update without any changes nothing.
+
+    Several updates of a key add up: each attribute takes the last value given in ``order``.
+    """
+    fields = [c for c in updates.columns if c not in (key, *order) and c in current.columns]
     some = F.greatest(*[F.col(f"__{c}").isNotNull() for c in fields]) if len(fields) > 1 else F.col(f"__{fields[0]}").isNotNull()
-    new = collapse(updates.select(key, *fields), [key], fields).select(key, *[F.col(c).alias(f"__{c}") for c in fields])
+    new = fold(updates, [key], order, fields).select(key, *[F.col(c).alias(f"__{c}") for c in fields])
     joined = current.join(new, key, "left")
     cols = []
     for c in current.columns:
@@ -164,9 +168,9 @@ def _may_touch(project: str | None) -> Column:
     return (F.col("project_id") == F.lit(project).cast("string")) | F.col("project_id").isNull()
 
 
-def update_contexts(current: DataFrame, updates: DataFrame, now: datetime | str, project: str | None = None) -> DataFrame:
-    """Replace the context of the ids that the project may see."""
-    new = collapse(updates.select("id", "context"), ["id"], ["context"]).withColumnRenamed("context", "__context")
+def update_contexts(current: DataFrame, updates: DataFrame, now: datetime | str, order: Sequence[str], project: str | None = None) -> DataFrame:
+    """Replace the context of the ids that the project may see; the last update in ``order`` counts."""
+    new = fold(updates, ["id"], order, ["context"]).withColumnRenamed("context", "__context")
     joined = current.join(new, "id", "left")
     hit = F.col("__context").isNotNull() & F.coalesce(_may_touch(project), F.lit(False))
     replaced = {

@@ -48,16 +48,19 @@ def default_fill(t):
 
 
 PATCHES = """SELECT concat('template-', CAST(ps AS STRING)) AS id, CASE WHEN ps % 2 = 0 THEN concat('patched "', CAST(ps AS STRING), '"') ELSE CAST(NULL AS STRING) END AS template_text,
-  CASE WHEN ps % 3 = 0 THEN '0.5' ELSE CAST(NULL AS STRING) END AS temperature, CASE WHEN ps % 5 = 0 THEN 'patched' ELSE CAST(NULL AS STRING) END AS category
+  CASE WHEN ps % 3 = 0 THEN '0.5' ELSE CAST(NULL AS STRING) END AS temperature, CASE WHEN ps % 5 = 0 THEN 'patched' ELSE CAST(NULL AS STRING) END AS category, 2 AS seq
 FROM (SELECT DISTINCT l_suppkey * 3 AS ps FROM @lineitem)"""
+# The same templates once more: an older patch and a newer one that gives other fields.
+MORE_PATCHES = f"""{PATCHES} UNION ALL SELECT id, 'zz older', '9.9', 'zz older', 1 FROM ({PATCHES}) UNION ALL SELECT id, CAST(NULL AS STRING), '0.1', CAST(NULL AS STRING), 3 FROM ({PATCHES})"""
 
 
 @query("p03_patch_templates", f"""
-SELECT t.id, coalesce(p.template_text, json_extract_string(t.content, '$.template_text')) AS template_text, json_extract_string(t.content, '$.model') AS model,
-  coalesce(p.temperature, json_extract_string(t.content, '$.temperature')) AS temperature, coalesce(p.category, json_extract_string(t.metadata, '$.category')) AS category,
+SELECT t.id, CASE WHEN p.id IS NULL THEN json_extract_string(t.content, '$.template_text') ELSE coalesce(p.template_text, 'zz older') END AS template_text,
+  json_extract_string(t.content, '$.model') AS model, CASE WHEN p.id IS NULL THEN json_extract_string(t.content, '$.temperature') ELSE '0.1' END AS temperature,
+  CASE WHEN p.id IS NULL THEN json_extract_string(t.metadata, '$.category') ELSE coalesce(p.category, 'zz older') END AS category,
   CASE WHEN p.id IS NULL THEN t.updated_at ELSE TIMESTAMP '{NOW}' END AS updated_at FROM @templates t LEFT JOIN ({PATCHES}) p ON p.id = t.id""")
 def patch_templates(t):
-    out = M.update_templates(t.templates, t.sql(PATCHES), NOW)
+    out = M.update_templates(t.templates, t.sql(MORE_PATCHES), NOW, ["seq"])
     read = lambda c, k: P.json_text(F.col(c), k).alias(k)
     return out.select("id", read("content", "template_text"), read("content", "model"), read("content", "temperature"), read("metadata", "category"), "updated_at")
 
@@ -102,7 +105,7 @@ def first_match(t):
 
 
 def _assembled(order: str) -> str:
-    pick = ", ".join(f"max(text) FILTER (component = '{c}')" for c in M.ORDERS[order])
+    pick = ", ".join(f"string_agg(text, chr(10) ORDER BY position) FILTER (component = '{c}')" for c in M.ORDERS[order])
     return f"SELECT prompt, '{order}' AS assembly_order, concat_ws(chr(10), {pick}) AS text FROM @prompt_components GROUP BY prompt"
 
 

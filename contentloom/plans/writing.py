@@ -75,11 +75,15 @@ def generated_ids(t):
     return W.insert(batch, t.contents, NOW).select("id", "slug")
 
 
+# Every update with an older one whose texts sort behind it.
+MORE_UPDATES = """SELECT id, content, metadata, 2 AS seq FROM @updates UNION ALL SELECT id, '{"zz":1}', '{"zz":1}', 1 FROM @updates"""
+
+
 @query("w07_update", f"""
 SELECT c.id, title, coalesce(u.content, c.content) AS content, coalesce(u.metadata, c.metadata) AS metadata, CASE WHEN u.id IS NULL THEN c.updated_at ELSE {AT} END AS updated_at
 FROM @contents c LEFT JOIN @updates u ON u.id = c.id""")
 def update(t):
-    return W.update(t.contents, t.updates, NOW).select("id", "title", "content", "metadata", "updated_at")
+    return W.update(t.contents, t.sql(MORE_UPDATES), NOW, ["seq"]).select("id", "title", "content", "metadata", "updated_at")
 
 
 @query("w08_upsert", f"""
@@ -99,13 +103,16 @@ def duplicate_names(t):
 
 SPARSE = """SELECT CAST(s_suppkey * 3 AS STRING) AS id, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE CAST(NULL AS STRING) END AS description,
   CASE WHEN s_suppkey % 3 = 0 THEN '9.9' ELSE CAST(NULL AS STRING) END AS version FROM @supplier"""
+# The same changes in two rows per id, the later one with the first attribute, and an older row behind both.
+SPLIT = f"""SELECT id, description, CAST(NULL AS STRING) AS version, 3 AS seq FROM ({SPARSE}) UNION ALL SELECT id, CAST(NULL AS STRING), version, 2 FROM ({SPARSE})
+  UNION ALL SELECT id, CASE WHEN description IS NULL THEN CAST(NULL AS STRING) ELSE 'zz' END, CASE WHEN version IS NULL THEN CAST(NULL AS STRING) ELSE 'zz' END, 1 FROM ({SPARSE})"""
 
 
 @query("w10_sparse_update", f"""
 SELECT m.id, coalesce(u.description, m.description) AS description, coalesce(u.version, m.version) AS version,
   CASE WHEN u.description IS NULL AND u.version IS NULL THEN m.updated_at ELSE {AT} END AS updated_at FROM @models m LEFT JOIN ({SPARSE}) u ON u.id = m.id""")
 def sparse_update(t):
-    return W.sparse_update(t.models, t.sql(SPARSE), NOW).select("id", "description", "version", "updated_at")
+    return W.sparse_update(t.models, t.sql(SPLIT), NOW, ["seq"]).select("id", "description", "version", "updated_at")
 
 
 @query("w11_delete", f"SELECT id, content_type, title FROM @contents WHERE id NOT IN (SELECT id FROM ({DELETED}))")
@@ -126,7 +133,8 @@ SELECT c.id, CASE WHEN hit THEN u.context ELSE c.context END AS context, CASE WH
   SELECT c.*, u.context AS new_context, coalesce(u.id IS NOT NULL AND (c.project_id = '5' OR c.project_id IS NULL), false) AS hit FROM @contexts c LEFT JOIN ({CONTEXT_UPDATES}) u ON u.id = c.id) c
 LEFT JOIN ({CONTEXT_UPDATES}) u ON u.id = c.id""")
 def update_contexts(t):
-    return W.update_contexts(t.contexts, t.sql(CONTEXT_UPDATES), NOW, "5").select("id", "context", "updated_at")
+    twice = f"SELECT id, context, 2 AS seq FROM ({CONTEXT_UPDATES}) UNION ALL SELECT id, '{{\"zz\":1}}', 1 FROM ({CONTEXT_UPDATES})"
+    return W.update_contexts(t.contexts, t.sql(twice), NOW, ["seq"], "5").select("id", "context", "updated_at")
 
 
 @query("w12_delete_contexts", f"""
@@ -142,9 +150,14 @@ VECTOR_UPDATES = """SELECT concat('doc-', CAST(doc_id AS STRING)) AS content_id,
 SELECT v.content_id, CASE WHEN u.metadata = '{{"quality":1}}' THEN u.metadata ELSE coalesce(v.metadata, '{{}}') END AS metadata, u.content_id IS NOT NULL AS zeroed
 FROM @vectors v LEFT JOIN (SELECT content_id, max(metadata) AS metadata FROM ({VECTOR_UPDATES}) GROUP BY content_id) u ON u.content_id = v.content_id""")
 def update_vectors(t):
-    changes = t.sql(VECTOR_UPDATES).withColumn("embedding", F.array(F.lit(0.0).cast("float")))
+    # The embedding comes in one row, the metadata in an older one, another embedding in the oldest.
+    zero, none = F.array(F.lit(0.0).cast("float")), F.lit(None).cast("array<float>")
+    given = t.sql(VECTOR_UPDATES)
+    changes = given.select("content_id", "metadata", none.alias("embedding"), F.lit(2).alias("seq")).union(
+        given.select("content_id", F.lit(None).cast("string"), zero, F.lit(3))).union(
+        given.select("content_id", F.lit("{}"), F.array(F.lit(9.0).cast("float"), F.lit(9.0).cast("float")), F.lit(1)))
     current = tables.build_vectors(t.vectors)
-    return vectors.update_vectors(current, changes).select("content_id", "metadata", (F.size("embedding") == 1).alias("zeroed"))
+    return vectors.update_vectors(current, changes, ["seq"]).select("content_id", "metadata", (F.size("embedding") == 1).alias("zeroed"))
 
 
 @query("w13_delete_vectors", "SELECT content_id FROM @vectors WHERE content_id NOT IN (SELECT concat('doc-', CAST(doc_id AS STRING)) FROM labels)")

@@ -11,16 +11,20 @@ from contentloom.operators.skew import pick
 from contentloom.sources import snapshots
 
 
-def upsert_stream(stream: DataFrame, root: str, key: Sequence[str], order: Sequence[str], checkpoint: str, available_now: bool = False) -> StreamingQuery:
+def upsert_stream(
+    stream: DataFrame, root: str, key: Sequence[str], order: Sequence[str], checkpoint: str, available_now: bool = False,
+) -> StreamingQuery:
     """Add the newest row per key of each micro-batch to the table below ``root``.
 
     A batch costs what it holds, not what the table holds; ``snapshots.read``
-    merges and ``snapshots.compact`` folds. A batch is published under its number,
-    so a repeated one changes nothing.
+    merges and ``snapshots.compact`` folds. A batch is published under the stream's
+    identity, which lives in its checkpoint, and its number: a repeated batch changes
+    nothing, while another stream or a new checkpoint never passes for it.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        source = f"batch-{number}"
+        stream_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        source = f"{stream_id}-batch-{number}"
         if not snapshots.published(batch.sparkSession, root, source):
             snapshots.publish_delta(pick(batch, list(key), order), root, source)
 

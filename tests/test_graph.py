@@ -101,7 +101,7 @@ def test_upsert_is_idempotent(spark):
 def test_sparse_update_without_attributes_changes_nothing(spark):
     current = spark.createDataFrame([("1", "d", "v")], "id string, description string, version string").withColumn("updated_at", W.at("2020-01-01 00:00:00"))
     updates = spark.createDataFrame([("1", None, None)], "id string, description string, version string")
-    assert rows(W.sparse_update(current, updates, NOW), *current.columns) == rows(current, *current.columns)
+    assert rows(W.sparse_update(current, updates, NOW, []), *current.columns) == rows(current, *current.columns)
 
 
 def test_adaptation_by_site_or_project(spark):
