@@ -14,8 +14,6 @@ from contentloom.functions import payload as P
 from contentloom.operators.hierarchy import MODEL_TYPES
 from contentloom.operators.validation import error, errors_array, once
 
-ARRAY_DEPTH = 4
-
 
 def _parsed(df: DataFrame, column: str = "definition") -> DataFrame:
     return df.withColumn("__d", P.safe_json(F.col(column)))
@@ -85,20 +83,30 @@ def lint(df: DataFrame) -> DataFrame:
     return out.select(*df.columns, "errors", (F.size("errors") == 0).alias("is_valid"))
 
 
-def model_type(prop: Column, depth: int = ARRAY_DEPTH) -> Column:
-    """Model type of a JSON Schema property; arrays nest to a fixed depth, deeper ones hold Any."""
-    kind = P.get_text(prop, "type")
-    if depth:
-        items = P.get(prop, "items")
-        inner = F.when(items.isNotNull(), F.concat(F.lit("List["), model_type(items, depth - 1), F.lit("]"))).otherwise("List[Any]")
-    else:
-        inner = F.lit("List[Any]")
-    return (
-        F.when((kind == "string") & F.coalesce(P.get_text(prop, "format") == "date-time", F.lit(False)), "datetime")
-        .when(kind == "string", "str").when(kind == "number", "float").when(kind == "integer", "int")
-        .when(kind == "boolean", "bool").when(kind == "null", "None").when(kind == "array", inner)
-        .when(kind == "object", "Dict[str, Any]").otherwise("Any")
-    )
+def model_type(prop: Column) -> Column:
+    """Model type of a JSON Schema property; arrays nest to any depth.
+
+    One step per ``items`` key in the property's text walks down to the innermost item.
+    """
+    kind = lambda v: P.get_text(v, "type")
+    steps = F.sequence(F.lit(0), F.size(F.split(F.to_json(prop), '"items"')) - 1)
+    start = F.struct(prop.alias("v"), F.lit(0).alias("depth"))
+    deeper = lambda a: F.coalesce(kind(a["v"]) == "array", F.lit(False)) & P.get(a["v"], "items").isNotNull()
+    down = F.aggregate(steps, start, lambda a, _: F.struct(
+        F.when(deeper(a), P.get(a["v"], "items")).otherwise(a["v"]).alias("v"), F.when(deeper(a), a["depth"] + 1).otherwise(a["depth"]).alias("depth"),
+    ))
+
+    def text(a: Column) -> Column:
+        v = a["v"]
+        leaf = (
+            F.when((kind(v) == "string") & F.coalesce(P.get_text(v, "format") == "date-time", F.lit(False)), "datetime")
+            .when(kind(v) == "string", "str").when(kind(v) == "number", "float").when(kind(v) == "integer", "int")
+            .when(kind(v) == "boolean", "bool").when(kind(v) == "null", "None").when(kind(v) == "array", "List[Any]")
+            .when(kind(v) == "object", "Dict[str, Any]").otherwise("Any")
+        )
+        return F.concat(F.repeat(F.lit("List["), a["depth"]), leaf, F.repeat(F.lit("]"), a["depth"]))
+
+    return P.let(down, text)
 
 
 def from_json_schema(df: DataFrame) -> DataFrame:

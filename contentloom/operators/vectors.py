@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from contentloom.functions import payload as P
 from contentloom.operators.skew import fold
 
-MAX_QUERIES = 4096
-SHARD_ROWS = 50_000
+QUERY_BLOCK = 512
+SCORES = "query_id string, content_id string, score double"
 
 
 def filtered(vectors: DataFrame, content_type: str | None = None, filters: Mapping[str, str] | None = None) -> DataFrame:
@@ -30,93 +30,62 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
 
-QUERY_BLOCK = 512
-
-
-def _candidates(query_ids: np.ndarray, query_units: np.ndarray, ids: np.ndarray, units: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
-    """Per query the vectors that score at least as high as its k-th best, ties included."""
+def _best_of(query_ids: np.ndarray, query_units: np.ndarray, ids: np.ndarray, units: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+    """The k best vectors per query; ``ids`` are sorted and equal scores go to the smaller id."""
+    n = len(ids)
     for at in range(0, len(query_ids), QUERY_BLOCK):
         scores = np.round(query_units[at : at + QUERY_BLOCK] @ units.T, 6)
-        n = scores.shape[1]
-        floor = np.partition(scores, n - k, axis=1)[:, n - k, None] if n > k else np.full((scores.shape[0], 1), -np.inf)
-        q, v = np.nonzero(scores >= floor)
-        yield pd.DataFrame({"query_id": query_ids[at + q], "content_id": ids[v], "score": scores[q, v]})
-
-
-def _k_best(part: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best rows per query; equal scores go to the smaller id."""
-    ordered = part.sort_values(["query_id", "score", "content_id"], ascending=[True, False, True])
-    return ordered.groupby("query_id", sort=False).head(k)
-
-
-SCORES = "query_id string, content_id string, score double"
-
+        # Score and place in one number, so that ties are cut here as well.
+        rank = np.rint(scores * 1e6).astype(np.int64) * n - np.arange(n)
+        top = np.argpartition(-rank, min(k, n) - 1, axis=1)[:, :k]
+        q = np.repeat(np.arange(len(scores)), top.shape[1])
+        yield pd.DataFrame({"query_id": query_ids[at + q], "content_id": ids[top.ravel()], "score": scores[q, top.ravel()]})
 
-def _scorer(query_ids: np.ndarray, query_units: np.ndarray, k: int, threshold: float | None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            found = _candidates(query_ids, query_units, pdf["content_id"].to_numpy(dtype=object), _unit(pdf["embedding"]), k)
-            best = pd.concat([_k_best(part, k) for part in found])
-            if threshold is not None:
-                best = best[best["score"] >= threshold]
-            held = best if held is None else _k_best(pd.concat([held, best]), k)
-        if held is not None and len(held):
-            yield held
 
-    return run
+def _usable(df: DataFrame) -> DataFrame:
+    """Rows whose vector can be compared."""
+    return df.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)))
 
 
-def _rank(best: DataFrame, k: int) -> DataFrame:
-    """The k best of the partial results.
-
-    Each task has already cut its part to k per query, so a query's candidates
-    number k times the tasks, independent of how often anything repeats.
-    """
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "content_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def unusable(vectors: DataFrame) -> DataFrame:
+    """Ids of vectors that ``top_k`` cannot compare: NULL, empty, or with a NULL or NaN inside."""
+    return vectors.select("content_id", "embedding").join(_usable(vectors).select("content_id"), "content_id", "left_anti").select("content_id")
 
 
 def top_k(
     queries: DataFrame, vectors: DataFrame, k: int = 10, content_type: str | None = None,
-    filters: Mapping[str, str] | None = None, threshold: float | None = None, max_queries: int = MAX_QUERIES,
+    filters: Mapping[str, str] | None = None, threshold: float | None = None, blocks: int = 1, shards: int = 32,
 ) -> DataFrame:
     """The k most similar contents per query vector by cosine, exactly.
 
     ``queries`` holds (query_id, embedding), ``vectors`` (content_id, embedding,
-    content_type, metadata). Up to ``max_queries`` queries travel to the tasks and
-    each task keeps its k best, so no (query, vector) pairs are shuffled. More
-    queries than that meet the vectors shard by shard instead.
+    content_type, metadata). Queries in ``blocks`` meet vectors in ``shards``; each
+    meeting keeps its k best per query, which a ranking then joins. Both numbers only
+    set the size of a task: a vector is sent ``blocks`` times, a query ``shards`` times.
+    Vectors are compared with queries of their own length; unusable ones (see
+    ``unusable``) are no candidates, and a query of that kind finds nothing.
     """
-    rows = filtered(vectors, content_type, filters).select("content_id", "embedding")
-    asked = queries.select("query_id", "embedding")
-    few = asked.limit(max_queries + 1).toPandas()
-    if len(few) > max_queries:
-        return _rank(_sharded(asked, rows, k, threshold, max_queries), k)
-    if few.empty:
-        return _rank(rows.sparkSession.createDataFrame([], SCORES), k)
-    run = _scorer(few["query_id"].to_numpy(dtype=object), _unit(few["embedding"]), k, threshold)
-    return _rank(rows.mapInPandas(run, SCORES), k)
-
-
-def _sharded(queries: DataFrame, vectors: DataFrame, k: int, threshold: float | None, max_queries: int) -> DataFrame:
-    """Partial results of query blocks against vector shards, both of bounded size."""
-    blocks = max(1, -(-queries.count() // (max_queries // 2)))
-    shards = max(1, -(-vectors.count() // SHARD_ROWS))
     spread = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.withColumn("block", spread("query_id", blocks)).withColumn("shard", every(shards))
-    right = vectors.withColumn("shard", spread("content_id", shards)).withColumn("block", every(blocks))
+    asked = _usable(queries.select("query_id", "embedding"))
+    rows = _usable(filtered(vectors, content_type, filters).select("content_id", "embedding"))
+    left = asked.withColumn("block", spread("query_id", blocks)).withColumn("shard", every(shards))
+    right = rows.withColumn("shard", spread("content_id", shards)).withColumn("block", every(blocks))
 
     def score(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or v.empty:
-            return pd.DataFrame({"query_id": [], "content_id": [], "score": []})
-        run = _scorer(q["query_id"].to_numpy(dtype=object), _unit(q["embedding"]), k, threshold)
-        return pd.concat([pd.DataFrame({"query_id": [], "content_id": [], "score": []}), *run(iter([v]))])
-
-    return left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(score, SCORES)
+        found = [pd.DataFrame({"query_id": pd.Series(dtype=object), "content_id": pd.Series(dtype=object), "score": pd.Series(dtype=float)})]
+        v = v.sort_values("content_id")
+        size = v["embedding"].map(len)
+        for n, same in q.groupby(q["embedding"].map(len)):
+            near = v[size == n]
+            if len(near):
+                found += _best_of(same["query_id"].to_numpy(dtype=object), _unit(same["embedding"]), near["content_id"].to_numpy(dtype=object), _unit(near["embedding"]), k)
+        best = pd.concat(found)
+        return best if threshold is None else best[best["score"] >= threshold]
+
+    best = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(score, SCORES)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "content_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def extract_text(content: Column, fields: tuple[str, ...] = ("title", "text", "summary", "description")) -> Column:

@@ -44,7 +44,7 @@ UNION ALL SELECT concat('order-', CAST(o_orderkey AS STRING)), 'article',
        CASE o_orderstatus WHEN 'F' THEN 'active' WHEN 'O' THEN 'draft' ELSE 'archived' END, lower(o_orderpriority), o_orderkey,
        concat('customer-', CAST(o_custkey AS STRING))
 FROM @orders
-""", spread=True)
+""")
 
 derive("contents", """
 SELECT id, content_type, title, lower(replace(replace(title, '#', ''), ' ', '-')) AS slug,
@@ -88,7 +88,7 @@ SELECT concat_ws('-', 'line', CAST(l_orderkey AS STRING), CAST(l_linenumber AS S
        concat('order-', CAST(l_orderkey AS STRING)) AS order_id, concat('part-', CAST(l_partkey AS STRING)) AS part_id,
        concat('supplier-', CAST(l_suppkey AS STRING)) AS supplier_id, l_linenumber
 FROM @lineitem
-""", spread=True)
+""")
 
 derive("doc_contents", """
 SELECT concat('doc-', CAST(doc_id AS STRING)) AS id, source AS content_type, concat(lang, ' document ', CAST(doc_id AS STRING)) AS title,
@@ -107,7 +107,7 @@ SELECT event_id, event_type, CASE
   WHEN event_id % 3 = 0 THEN concat('{"type":null,"value":', CAST(event_id AS STRING), '}')
   ELSE concat('{"type":"', event_type, '","value":', CAST(value AS STRING), '}') END AS payload
 FROM @events
-""", spread=True)
+""")
 
 # One JSON value of every kind per event.
 derive("cases", """
@@ -139,7 +139,7 @@ SELECT concat('post-', CAST(o_orderkey AS STRING)) AS id,
               '","metadata":{"tags":[]', CASE WHEN o_orderkey % 2 = 0 THEN ',"content_type":"x"' ELSE '' END, CASE WHEN o_orderkey % 3 = 0 THEN ',"audience":"y"' ELSE '' END, '}}') AS content,
        o_orderdate AS created_at
 FROM @orders
-""", spread=True)
+""")
 
 derive("contexts", """
 SELECT CAST(event_id AS STRING) AS id, event_type AS type, props AS params,
@@ -175,7 +175,7 @@ SELECT CAST(p_partkey AS STRING) AS id, concat('Model', CAST(p_partkey AS STRING
                         ',"validators":[{"code":"","fields":["title"],"name":"title_not_empty"}]}') END AS definition,
        CAST('2024-01-01 00:00:00' AS $TS) AS created_at, CAST('2024-01-02 00:00:00' AS $TS) AS updated_at
 FROM @part
-""", spread=True)
+""")
 
 # The fields of the sound definitions above, as plain rows.
 derive("sound_models", """
@@ -206,17 +206,17 @@ WHERE t.k % 10 <> 1 AND NOT (c.col = 'title' AND t.k % 6 = 2)
 derive("json_schemas", """
 SELECT CASE WHEN p_size % 2 = 0 THEN 'shop' ELSE 'blog' END AS source_schema, concat('Part', CAST(p_partkey AS STRING)) AS name,
        concat('{"properties":{"amount":{"default":', CAST(p_size AS STRING), ',"type":"integer"},"at":{"format":"date-time","type":"string"},',
-              '"deep":{"items":{"items":{"type":"number"},"type":"array"},"type":"array"},"flag":{"type":"boolean"},"free":{},"meta":{"type":"object"},',
+              '"deep":', repeat('{"items":', p_size % 13), '{"type":"number"}', repeat(',"type":"array"}', p_size % 13), ',"flag":{"type":"boolean"},"free":{},"meta":{"type":"object"},',
               '"name":{"description":"', p_brand, '","type":"string"},"nothing":{"type":"null"},"tags":{"items":{"type":"string"},"type":"array"},"things":{"type":"array"}},',
               '"required":["name"', CASE WHEN p_size % 3 = 0 THEN ',"amount"' ELSE '' END, '],"title":"Part"}') AS definition
 FROM @part
-""", spread=True)
+""")
 
 derive("schema_fields", """
-SELECT source_schema, name, p_size, p_brand, f.field, f.pos, f.type
+SELECT source_schema, name, p_size, p_brand, f.field, f.pos, CASE WHEN f.field = 'deep' THEN concat(repeat('List[', p_size % 13), 'float', repeat(']', p_size % 13)) ELSE f.type END AS type
 FROM (SELECT CASE WHEN p_size % 2 = 0 THEN 'shop' ELSE 'blog' END AS source_schema, concat('Part', CAST(p_partkey AS STRING)) AS name, p_size, p_brand FROM @part) p
 CROSS JOIN (
-  SELECT 'amount' AS field, 0 AS pos, 'int' AS type UNION ALL SELECT 'at', 1, 'datetime' UNION ALL SELECT 'deep', 2, 'List[List[float]]'
+  SELECT 'amount' AS field, 0 AS pos, 'int' AS type UNION ALL SELECT 'at', 1, 'datetime' UNION ALL SELECT 'deep', 2, 'set above'
   UNION ALL SELECT 'flag', 3, 'bool' UNION ALL SELECT 'free', 4, 'Any' UNION ALL SELECT 'meta', 5, 'Dict[str, Any]' UNION ALL SELECT 'name', 6, 'str'
   UNION ALL SELECT 'nothing', 7, 'None' UNION ALL SELECT 'tags', 8, 'List[str]' UNION ALL SELECT 'things', 9, 'List[Any]') f
 """)
@@ -231,7 +231,7 @@ SELECT concat('template-', CAST(p_partkey AS STRING)) AS id, CASE WHEN p_partkey
        CAST(NULL AS STRING) AS description, CASE WHEN p_size % 5 = 0 THEN CAST(NULL AS STRING) ELSE p_brand END AS category,
        CAST(NULL AS STRING) AS version, CASE WHEN p_size % 6 = 0 THEN CAST(NULL AS STRING) ELSE concat('["', p_type, '"]') END AS tags
 FROM @part
-""", spread=True)
+""")
 
 derive("templates", """
 SELECT concat('template-', CAST(p_partkey AS STRING)) AS id, 'prompt_template' AS content_type, p_name AS title,
@@ -242,7 +242,7 @@ SELECT concat('template-', CAST(p_partkey AS STRING)) AS id, 'prompt_template' A
        CAST('2024-01-01 00:00:00' AS $TS) + INTERVAL '1' MINUTE * p_size AS created_at,
        CAST('2024-01-01 00:00:00' AS $TS) AS updated_at, p_partkey, p_size, p_brand, p_type
 FROM @part
-""", spread=True)
+""")
 
 derive("adaptations", """
 SELECT concat('adapt-', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS id,
@@ -253,7 +253,7 @@ SELECT concat('adapt-', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS ST
        CASE WHEN l_linenumber = 3 THEN 'own-model' ELSE CAST(NULL AS STRING) END AS model, CAST(NULL AS STRING) AS temperature,
        CAST(NULL AS STRING) AS version, l_shipdate AS created_at
 FROM @lineitem
-""", spread=True)
+""")
 
 # Chat turns as prompt components and as chains of three steps.
 derive("prompt_components", """
@@ -288,7 +288,7 @@ SELECT concat('set-', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRI
        concat('{"article":"order-', CAST(l_orderkey AS STRING), '","website":"region-', CAST(l_suppkey % 7 AS STRING), '"}') AS belongs_to,
        concat('{"key_takeaways":["part-', CAST(l_partkey AS STRING), '","part-none"],"tables":["supplier-', CAST(l_suppkey AS STRING), '"]}') AS extracted_components
 FROM @lineitem
-""", spread=True)
+""")
 
 # Each order lists lines 1 to 3 as its content, whether they exist or not.
 derive("hierarchies", """
@@ -297,4 +297,4 @@ SELECT concat('order-', CAST(o_orderkey AS STRING)) AS id,
               CAST(o_orderkey AS STRING), '-1","name":"one","slug":"one","subtopics":[{"id":"set-', CAST(o_orderkey AS STRING),
               '-2","name":"two","slug":"two"},{"id":"set-', CAST(o_orderkey AS STRING), '-3","name":"three"}]}]}') AS content_hierarchy
 FROM @orders
-""", spread=True)
+""")

@@ -108,7 +108,7 @@ SELECT concat('post-', CAST(o_orderkey AS STRING)) AS id, o_orderpriority AS tit
        CAST(NULL AS INT) AS hierarchy_level, concat('{"order":{"id":"order-', CAST(o_orderkey AS STRING), '","type":"article"}}') AS content,
        CASE WHEN o_orderkey % 4 = 0 THEN CAST(NULL AS STRING) ELSE '{"references":[{"id":"region-1"}],"status":"new"}' END AS metadata
 FROM @orders
-""", spread=True)
+""")
 
 
 @query("j01_parent_level", """

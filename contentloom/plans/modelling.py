@@ -217,7 +217,7 @@ def similar_above(t):
 
 @query("l03_similar_in_blocks", SIMILAR.format(where="true", k=4))
 def similar_in_blocks(t):
-    return E.top_k(asked(t), t.vectors, 4, max_queries=100)
+    return E.top_k(asked(t), t.vectors, 4, blocks=4, shards=8)
 
 
 @query("e02_extract_text", "SELECT id, concat_ws(' ', text, CASE WHEN length(text) > 0 THEN 'about ' || content_type ELSE 'about ' || content_type END) AS text FROM @doc_contents")

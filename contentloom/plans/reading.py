@@ -237,13 +237,9 @@ def vector_filters(t):
     return vectors.filtered(t.vectors, "label-3", {"label": "3"}).select("content_id", "content_type")
 
 
-@query("l01_newest_first", f"SELECT row_number() OVER (ORDER BY created_at DESC, id) AS position, id FROM (SELECT * FROM @contents {PAGE.replace('100', '500').replace(' OFFSET 50', '')})")
+@query("l01_newest_first", "SELECT id, created_at FROM @contents")
 def newest_first(t):
-    top = store.newest(t.contents).limit(500).select("id", "created_at")
-    # position within the reported top 500 only
-    from pyspark.sql import Window
-
-    return top.select(F.row_number().over(Window.orderBy(F.desc("created_at"), "id")).cast("bigint").alias("position"), "id")
+    return store.newest(t.contents).select("id", "created_at")
 
 
 @query("l02_page_after", """

@@ -23,7 +23,6 @@ SPARK = {"$TS": "TIMESTAMP_NTZ", "$OBJ": "named_struct", "$SPLIT": "split", "$Q"
 DUCK = {"$TS": "TIMESTAMP", "$OBJ": "json_object", "$SPLIT": "string_split", "$Q": '"'}
 NAME = re.compile(r"@(\w+)")
 DERIVED: dict[str, str] = {}
-SPREAD: set[str] = set()
 PLANS: dict[str, Callable[["Tables"], DataFrame]] = {}
 
 
@@ -42,15 +41,9 @@ def _spell(text: str, words: dict[str, str]) -> str:
     return text
 
 
-def derive(name: str, text: str, spark: Callable[["Tables"], DataFrame] | None = None, spread: bool = False) -> None:
-    """Add a derived table, in SQL that both engines run unless a Spark plan is given.
-
-    ``spread`` marks tables with much work per row: where the given files come in
-    fewer splits than there are cores, their rows are spread over all cores first.
-    """
+def derive(name: str, text: str, spark: Callable[["Tables"], DataFrame] | None = None) -> None:
+    """Add a derived table, in SQL that both engines run unless a Spark plan is given."""
     DERIVED[name] = text
-    if spread:
-        SPREAD.add(name)
     if spark is not None:
         PLANS[name] = spark
 
@@ -70,8 +63,8 @@ def query(name: str, sql: str | None = None):
 class Tables:
     """The given and derived tables of one data folder, as attributes."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self._made = spark, folder, {}
+    def __init__(self, spark: SparkSession, folder: str, made: dict[str, DataFrame] | None = None):
+        self.spark, self.folder, self._made = spark, folder, dict(made or {})
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
@@ -83,23 +76,14 @@ class Tables:
             elif name in PLANS:
                 self._made[name] = PLANS[name](self)
             elif name in DERIVED:
-                self._made[name] = self.sql(DERIVED[name], name in SPREAD)
+                self._made[name] = self.sql(DERIVED[name])
             else:
                 raise AttributeError(name)
         return self._made[name]
 
-    def spread(self, name: str) -> DataFrame:
-        """A given table over at least as many partitions as there are cores."""
-        key, df, cores = f"{name} spread", getattr(self, name), self.spark.sparkContext.defaultParallelism
-        if name not in BASE or name in ("region", "nation"):
-            return df
-        if key not in self._made:
-            self._made[key] = df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, df.columns[0])
-        return self._made[key]
-
-    def sql(self, text: str, spread: bool = False) -> DataFrame:
+    def sql(self, text: str) -> DataFrame:
         text = _spell(text, SPARK)
-        used = {n: self.spread(n) if spread else getattr(self, n) for n in NAME.findall(text)}
+        used = {n: getattr(self, n) for n in NAME.findall(text)}
         escaped = text.replace("{", "{{").replace("}", "}}")
         return self.spark.sql(NAME.sub(r"{\1}", escaped), **used)
 

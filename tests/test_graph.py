@@ -118,15 +118,15 @@ def test_version_resolution(spark):
     assert {r["request_id"]: r["resolved"] for r in M.resolve_versions(asked, have, "latest", "none").collect()} == {1: "2.0.0", 2: "2.0.0", 3: None, 4: None}
 
 
-@pytest.mark.parametrize("max_queries", [4096, 8])
-def test_top_k_equals_brute_force(spark, max_queries):
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_top_k_equals_brute_force(spark, blocks):
     rng = np.random.default_rng(5)
     v = rng.normal(size=(300, 6))
     v[100:200] = v[100]  # a third are copies of one vector
     ids = [f"v{i:03d}" for i in range(300)]
     vectors = spark.createDataFrame([(i, [float(x) for x in r], "a", None) for i, r in zip(ids, v)], "content_id string, embedding array<double>, content_type string, metadata string").repartition(7)
     queries = spark.createDataFrame([(f"q{i}", [float(x) for x in v[i * 11]]) for i in range(20)], "query_id string, embedding array<double>")
-    got = E.top_k(queries, vectors, 5, max_queries=max_queries).collect()
+    got = E.top_k(queries, vectors, 5, blocks=blocks, shards=4).collect()
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
     want = []
     for q in range(20):
@@ -135,3 +135,12 @@ def test_top_k_equals_brute_force(spark, max_queries):
             want.append((f"q{q}", ids[i], rank))
     assert sorted((r["query_id"], r["content_id"], r["rank"]) for r in got) == sorted(want)
     assert E.top_k(queries.where("false"), vectors, 5).count() == 0
+
+
+def test_top_k_leaves_unusable_vectors_out(spark):
+    kind = "content_id string, embedding array<double>, content_type string, metadata string"
+    vectors = spark.createDataFrame([("a", [1.0, 0.0], "t", None), ("b", None, "t", None), ("c", [0.0, 0.0], "t", None), ("d", [1.0], "t", None), ("e", [None, 1.0], "t", None), ("f", [1.0, 0.0], "t", None)], kind)
+    queries = spark.createDataFrame([("q", [1.0, 0.0]), ("r", None), ("s", [2.0])], "query_id string, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["content_id"], r["score"]) for r in E.top_k(queries, vectors, 2).collect())
+    assert got == [("q", 1, "a", 1.0), ("q", 2, "f", 1.0), ("s", 1, "d", 1.0)]
+    assert {r.content_id for r in E.unusable(vectors).collect()} == {"b", "e"}
