@@ -22,10 +22,10 @@ from contentloom.plans import registry  # noqa: E402
 from contentloom.session import local_session  # noqa: E402
 
 HEADLINE = (
-    "a03_error_histogram", "v01_validate", "v22_mixed_models", "v26_combined_object", "f02_by_type", "f05_referencing",
+    "a03_error_histogram", "v01_validate", "v22_mixed_definitions", "v26_combined_object", "f02_by_type", "f05_referencing",
     "f07_search", "r01_embedded_references", "r02_metadata_edges", "j02_back_references", "j03_drop_references",
     "h01_levels", "w01_latest_context", "w06_insert", "w07_update", "w08_upsert", "j05_adapt", "j06_find_adaptation",
-    "j12_one_sided_links", "p04_assemble", "c01_from_json_schema", "k01_verify_models", "e01_similar_content", "t01_slug",
+    "j12_one_sided_links", "p04_assemble", "c01_from_json_schema", "k01_verify_definitions", "e01_similar_content", "t01_slug",
 )
 
 

@@ -191,7 +191,7 @@ def export_json(df: DataFrame, names: DataFrame) -> DataFrame:
     return documents
 
 
-def list_models(df: DataFrame, timestamps: bool = False) -> DataFrame:
+def list_definitions(df: DataFrame, timestamps: bool = False) -> DataFrame:
     """Models by name; times are given as text."""
     times = [F.col(c).cast("string").alias(c) for c in ("created_at", "updated_at")] if timestamps else []
     return df.select("id", "name", "description", "object_type", "version", *times).orderBy("name", "id")
@@ -250,7 +250,7 @@ def migrate_b(df: DataFrame) -> DataFrame:
     )
 
 
-# Namespaces that hold no models of their own.
+# Namespaces that hold no definitions of their own.
 SYSTEM_SCHEMAS = ("information_schema", "pg_catalog", "pg_toast")
 
 

@@ -13,31 +13,30 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-SHARE = 200
-SALTS = 32
+# Rows of one key that one task may take.
+TASK_ROWS = 1_000_000
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], share: int = SHARE) -> DataFrame:
-    """Keys that hold more than 1/share of all rows.
+def heavy_keys(df: DataFrame, keys: Sequence[str], task_rows: int = TASK_ROWS) -> DataFrame:
+    """Keys with more than ``task_rows`` rows and into how many parts, ``__parts``, each is cut.
 
-    At most ``share - 1`` keys can, whatever the size of the data, so the result
-    is always safe to broadcast. Counting combines on the map side, and the total
-    is a sum over the same counts, so the rows are read once.
+    The threshold is absolute, so a key of half a percent of a very large table counts
+    as heavy too. At most one key per ``task_rows`` rows can be heavy, so the list is a
+    millionth of the table. Counts combine on the map side.
     """
     counts = df.select(*keys).dropna().groupBy(*keys).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("n"))
-    return counts.where(F.col("n") * share > total.scalar()).select(*keys)
+    return counts.where(F.col("n") > task_rows).select(*keys, F.ceil(F.col("n") / task_rows).cast("bigint").alias("__parts"))
 
 
 def salted_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "left",
-    salts: int = SALTS, measure: DataFrame | None = None,
+    task_rows: int = TASK_ROWS, measure: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join of a skewed left side with a right side that has few rows per key.
 
-    Rows of heavy left keys are spread over ``salts`` join keys by a hash of the
-    ``spread`` columns, and the matching right rows are repeated that often. Rows
-    with a NULL key match nothing and are spread as well. The hash is
+    Rows of a heavy left key are spread over as many join keys as its rows need, by a
+    hash of the ``spread`` columns, and the matching right rows are repeated that often.
+    Rows with a NULL key match nothing and are spread as well. The hash is
     deterministic, so a task that runs again gives the same rows.
 
     Heavy keys are counted on ``measure``: a table with the key columns that the
@@ -45,23 +44,15 @@ def salted_join(
     the same result; it only decides which keys are spread.
     """
     on = list(on)
-    hot = F.broadcast(heavy_keys(left if measure is None else measure, on).withColumn("__hot", F.lit(True)))
-    spot = F.pmod(F.xxhash64(*spread), F.lit(salts))
+    hot = F.broadcast(heavy_keys(left if measure is None else measure, on, task_rows))
     unmatched = F.lit(False)
     for key in on:
         unmatched = unmatched | F.col(key).isNull()
-    salted_left = (
-        left.join(hot, on, "left")
-        .withColumn("__salt", F.when(F.col("__hot") | unmatched, spot).otherwise(F.lit(0)))
-        .drop("__hot")
-    )
-    every = F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")
-    salted_right = (
-        right.join(hot, on, "left")
-        .withColumn("__salt", F.explode(F.when(F.col("__hot"), every).otherwise(F.array(F.lit(0).cast("bigint")))))
-        .drop("__hot")
-    )
-    return salted_left.withColumn("__salt", F.col("__salt").cast("bigint")).join(salted_right, [*on, "__salt"], how).drop("__salt")
+    parts = F.when(unmatched, F.lit(1024)).otherwise(F.coalesce("__parts", F.lit(1))).cast("bigint")
+    salted_left = left.join(hot, on, "left").withColumn("__salt", F.pmod(F.xxhash64(*spread), parts)).drop("__parts")
+    every = F.sequence(F.lit(0).cast("bigint"), F.coalesce("__parts", F.lit(1).cast("bigint")) - 1)
+    salted_right = right.join(hot, on, "left").withColumn("__salt", F.explode(every)).drop("__parts")
+    return salted_left.join(salted_right, [*on, "__salt"], how).drop("__salt")
 
 
 def _rank(df: DataFrame, rest: Sequence[str], order: Sequence[str | Column]) -> Column:

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from contentloom.functions import payload as P
-from contentloom.functions.models import Model
+from contentloom.functions.model import Model
 from contentloom.operators.skew import pick
 from contentloom.operators.validation import validate
 

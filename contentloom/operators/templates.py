@@ -176,8 +176,7 @@ def find_adaptation(adapted: DataFrame, wanted: DataFrame) -> DataFrame:
     found = None
     for arm in ("site_id", "project_id"):
         newest = adapted.where(F.col(arm).isNotNull()).groupBy("original_template_id", arm).agg(F.max(value).alias("best"))
-        other = [c for c in request if c not in ("original_template_id", arm)]
-        hits = salted_join(asked.where(F.nullif(arm, F.lit("")).isNotNull()), newest, ["original_template_id", arm], other, "inner").select(*request, "best")
+        hits = asked.where(F.nullif(arm, F.lit("")).isNotNull()).join(newest, ["original_template_id", arm]).select(*request, "best")
         found = hits if found is None else found.unionByName(hits)
     best = found.groupBy(*request).agg(F.max("best").alias("best")).select(*request, F.col("best.id").alias("adaptation_id"))
     return best

@@ -1,4 +1,4 @@
-"""Validate whole tables of JSON records against models.
+"""Validate whole tables of JSON records against definitions.
 
 Validation is one narrow stage: parse the payload once, evaluate an array of
 checks, keep the ones that failed. Nothing is shuffled and no row reaches a
@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from contentloom.functions import payload as P
-from contentloom.functions.models import FieldDef, Model, from_struct
+from contentloom.functions.model import FieldDef, Model, from_struct
 from contentloom.functions.rules import RECORD, Record
 from contentloom.functions.typespec import check
 
@@ -107,12 +107,12 @@ def validate(
     return _finish(out, payload, RECORD)
 
 
-def validate_mixed(df: DataFrame, payload: str, model_column: str, models: Mapping[str, Model], partial: bool = False) -> DataFrame:
+def validate_mixed(df: DataFrame, payload: str, model_column: str, definitions: Mapping[str, Model], partial: bool = False) -> DataFrame:
     """Validate a table whose rows name their own model; unknown names are an error."""
     v, name = F.col(RECORD), F.col(model_column)
     found = F.array(error("", F.concat(F.lit("Model not found: "), F.coalesce(name, F.lit("null"))), "model_not_found"))
     ruled, warnings = F.col("errors"), errors_array()
-    for key, m in models.items():
+    for key, m in definitions.items():
         own = F.concat(field_errors(v, m, partial), _metadata_gaps(v, m.metadata_required, "required"))
         found = F.when(name == key, own).otherwise(found)
         if m.metadata_recommended:
@@ -120,7 +120,7 @@ def validate_mixed(df: DataFrame, payload: str, model_column: str, models: Mappi
         if m.rules:
             ruled = F.when((F.size("errors") == 0) & (name == key), rule_errors(v, m)).otherwise(ruled)
     out = once(df.withColumn(RECORD, P.safe_json(F.col(payload))), errors=_checked(F.col(payload), v, found), warnings=warnings)
-    if any(m.rules for m in models.values()):
+    if any(m.rules for m in definitions.values()):
         out = once(out, __ruled=ruled).drop("errors").withColumnRenamed("__ruled", "errors")
     return _finish(out, payload, RECORD)
 

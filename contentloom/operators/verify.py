@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from contentloom.functions.models import Model, spark_type, struct_for
+from contentloom.functions.model import Model, spark_type, struct_for
 
 # Column types that satisfy each model type; other types expect a string.
 EXPECTED = {
@@ -49,13 +49,13 @@ def verify(fields: DataFrame, columns: DataFrame, prefix: str | None = None) ->
     """
     if prefix is not None:
         fields = fields.where(F.col("model").startswith(prefix))
-    models = fields.select("model", F.col("table_name").alias("table")).distinct()
-    models = models.join(columns.select("table").distinct(), "table", "left_semi")
+    definitions = fields.select("model", F.col("table_name").alias("table")).distinct()
+    definitions = definitions.join(columns.select("table").distinct(), "table", "left_semi")
     found = issues(fields, columns).groupBy("model").agg(
         F.sort_array(F.collect_list(F.when(F.col("issue") == "missing_column", F.col("column")))).alias("missing_columns"),
         F.sort_array(F.collect_list(F.when(F.col("issue") == "type_mismatch", F.struct("column", "expected", "actual")))).alias("type_mismatches"),
     )
-    out = models.join(found, "model", "left")
+    out = definitions.join(found, "model", "left")
     empty = lambda c, t: F.coalesce(c, F.array().cast(t)).alias(c)
     return out.select(
         "model", "table",
@@ -65,10 +65,10 @@ def verify(fields: DataFrame, columns: DataFrame, prefix: str | None = None) ->
     )
 
 
-def unresolved(wanted: DataFrame, models: DataFrame, columns: DataFrame, schema: str = "public") -> DataFrame:
+def unresolved(wanted: DataFrame, definitions: DataFrame, columns: DataFrame, schema: str = "public") -> DataFrame:
     """Requested model names that cannot be verified, and why."""
     named = wanted.select("model").distinct().join(
-        models.select(F.col("name").alias("model"), F.col("table_name").alias("table"), F.lit(True).alias("__known")).distinct(), "model", "left"
+        definitions.select(F.col("name").alias("model"), F.col("table_name").alias("table"), F.lit(True).alias("__known")).distinct(), "model", "left"
     )
     tables = columns.select("table", F.lit(True).alias("__there")).distinct()
     joined = named.join(tables, "table", "left")
@@ -78,9 +78,9 @@ def unresolved(wanted: DataFrame, models: DataFrame, columns: DataFrame, schema:
     return joined.select("model", error.alias("error")).where("error IS NOT NULL")
 
 
-def missing_tables(models: DataFrame, columns: DataFrame) -> DataFrame:
-    """Tables that models define but the catalog lacks, with one of their models."""
-    wanted = models.groupBy(F.col("table_name").alias("table")).agg(F.max("name").alias("model"))
+def missing_tables(definitions: DataFrame, columns: DataFrame) -> DataFrame:
+    """Tables that definitions define but the catalog lacks, with one of their definitions."""
+    wanted = definitions.groupBy(F.col("table_name").alias("table")).agg(F.max("name").alias("model"))
     return wanted.join(columns.select("table").distinct(), "table", "left_anti")
 
 

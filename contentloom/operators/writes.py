@@ -125,7 +125,7 @@ def upsert(current: DataFrame, batch: DataFrame, key: str, now: datetime | str,
     return joined.select(*[column(c).alias(c) for c in current.columns])
 
 
-def append_models(current: DataFrame, batch: DataFrame) -> DataFrame:
+def append_definitions(current: DataFrame, batch: DataFrame) -> DataFrame:
     """Plain registration: always a new row, so names may repeat."""
     return current.unionByName(batch.select(*current.columns))
 

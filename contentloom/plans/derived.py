@@ -12,8 +12,8 @@ from contentloom.plans.registry import Tables, derive
 
 
 def physical_columns(t: Tables) -> DataFrame:
-    """Columns of the tables that the sound models name, with faults."""
-    tables = t.sound_models.groupBy(F.col("table_name").alias("table")).agg(F.min("p_partkey").alias("k")).where("k % 10 <> 1")
+    """Columns of the tables that the sound definitions name, with faults."""
+    tables = t.sound_definitions.groupBy(F.col("table_name").alias("table")).agg(F.min("p_partkey").alias("k")).where("k % 10 <> 1")
     every = F.expr("""inline(array(
         named_struct('column', 'id', 'data_type', 'string', 'pos', 1),
         named_struct('column', 'title', 'data_type', 'string', 'pos', 2),
@@ -157,7 +157,7 @@ FROM @events GROUP BY user_id
 """)
 
 # Stored model definitions, some of them faulty.
-derive("models", """
+derive("stored_definitions", """
 SELECT CAST(p_partkey AS STRING) AS id, concat('Model', CAST(p_partkey AS STRING)) AS name,
        CASE p_size % 9 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' WHEN 2 THEN 'gamma' WHEN 3 THEN 'qualifier' WHEN 4 THEN 'organizer'
                        WHEN 5 THEN 'prompt_template' WHEN 6 THEN 'prompt_chain' WHEN 7 THEN 'delta' ELSE CAST(NULL AS STRING) END AS object_type,
@@ -178,7 +178,7 @@ FROM @part
 """)
 
 # The fields of the sound definitions above, as plain rows.
-derive("sound_models", """
+derive("sound_definitions", """
 SELECT p_partkey, p_size, p_brand, concat('Model', CAST(p_partkey AS STRING)) AS name,
        CASE WHEN p_partkey % 4 = 0 THEN concat('shared_', CAST(p_size AS STRING)) ELSE concat('model', CAST(p_partkey AS STRING)) END AS table_name
 FROM @part
@@ -187,17 +187,17 @@ WHERE p_partkey % 13 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 9 <> 0 AND p_p
 
 derive("fields", """
 SELECT m.name AS model, m.table_name, f.field, f.pos, f.type, f.required, f.field = 'id' AS primary_key
-FROM @sound_models m CROSS JOIN (
+FROM @sound_definitions m CROSS JOIN (
   SELECT 'brand' AS field, 0 AS pos, 'str' AS type, false AS required UNION ALL SELECT 'created', 1, 'datetime', true
   UNION ALL SELECT 'id', 2, 'UUID', true UNION ALL SELECT 'price', 3, 'float', true UNION ALL SELECT 'size', 4, 'int', true
   UNION ALL SELECT 'tags', 5, 'List[str]', true UNION ALL SELECT 'title', 6, 'str', true) f
-""", lambda t: field_catalog(t.models.join(t.sound_models, "name", "left_semi")))
+""", lambda t: field_catalog(t.stored_definitions.join(t.sound_definitions, "name", "left_semi")))
 
 # Physical tables: some lack columns, some have wrong types, some do not exist.
 derive("columns", """
 SELECT t.table_name AS $Qtable$Q, c.col AS $Qcolumn$Q,
        CASE WHEN c.col = 'size' AND t.k % 3 = 0 THEN 'int' WHEN c.col = 'price' AND t.k % 8 = 1 THEN 'string' ELSE c.data_type END AS data_type, c.pos
-FROM (SELECT table_name, min(p_partkey) AS k FROM @sound_models GROUP BY table_name) t CROSS JOIN (
+FROM (SELECT table_name, min(p_partkey) AS k FROM @sound_definitions GROUP BY table_name) t CROSS JOIN (
   SELECT 'id' AS col, 'string' AS data_type, 1 AS pos UNION ALL SELECT 'title', 'string', 2 UNION ALL SELECT 'price', 'double', 3
   UNION ALL SELECT 'size', 'bigint', 4 UNION ALL SELECT 'created', 'timestamp', 5) c
 WHERE t.k % 10 <> 1 AND NOT (c.col = 'title' AND t.k % 6 = 2)

@@ -215,6 +215,6 @@ def taxonomy(t):
     return H.with_taxonomy(t.sql(KINDS), "object_kind")
 
 
-@query("j14_known_types", "SELECT name, object_type, object_type IS NOT NULL AND object_type <> 'delta' AS known_type FROM @models")
+@query("j14_known_types", "SELECT name, object_type, object_type IS NOT NULL AND object_type <> 'delta' AS known_type FROM @stored_definitions")
 def known_types(t):
-    return H.known_model_type(t.models.select("name", "object_type"))
+    return H.known_model_type(t.stored_definitions.select("name", "object_type"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contentloom.functions import payload as P
-from contentloom.functions.models import model, struct_for
+from contentloom.functions.model import model, struct_for
 from contentloom.operators import catalog as C, vectors as E, verify as K, writes as W
 from contentloom.plans.reading import NOW
 from contentloom.plans.registry import query
@@ -17,9 +17,9 @@ from contentloom.streaming.validate import validate_stream
 
 @query("a07_model_counts", """
 SELECT name, CAST(CASE WHEN k % 13 = 0 THEN 0 WHEN k % 11 = 0 THEN 1 WHEN k % 9 = 0 THEN 0 WHEN k % 7 = 0 THEN 2 WHEN k % 5 = 0 THEN 1 ELSE 7 END AS BIGINT) AS n_fields,
-  CAST(CASE WHEN k % 13 = 0 OR k % 11 = 0 OR k % 9 = 0 OR k % 7 = 0 THEN 0 ELSE 1 END AS BIGINT) AS n_validators FROM (SELECT name, CAST(id AS BIGINT) AS k FROM @models)""")
+  CAST(CASE WHEN k % 13 = 0 OR k % 11 = 0 OR k % 9 = 0 OR k % 7 = 0 THEN 0 ELSE 1 END AS BIGINT) AS n_validators FROM (SELECT name, CAST(id AS BIGINT) AS k FROM @stored_definitions)""")
 def model_counts(t):
-    return C.counts(t.models)
+    return C.counts(t.stored_definitions)
 
 
 @query("c01_from_json_schema", """
@@ -33,9 +33,9 @@ def from_json_schema(t):
 SELECT model, field, CASE type WHEN 'str' THEN 'string' WHEN 'int' THEN 'integer' WHEN 'float' THEN 'number' WHEN 'datetime' THEN 'string' WHEN 'List[str]' THEN 'array' ELSE 'object' END AS type,
   CASE WHEN type = 'datetime' THEN 'date-time' END AS format, field <> 'brand' AS required, CASE field WHEN 'price' THEN '1.5' WHEN 'brand' THEN p_brand WHEN 'tags' THEN '[]' END AS "default",
   CASE WHEN field = 'brand' THEN 'the brand' END AS description
-FROM @fields JOIN @sound_models ON name = model""")
+FROM @fields JOIN @sound_definitions ON name = model""")
 def to_json_schema(t):
-    docs = C.to_json_schema(t.models.join(t.sound_models, "name", "left_semi"))
+    docs = C.to_json_schema(t.stored_definitions.join(t.sound_definitions, "name", "left_semi"))
     v = docs.withColumn("__d", P.safe_json(F.col("json_schema")))
     rows = v.select("name", P.as_list(P.get(F.col("__d"), "required")).alias("r"), F.explode(F.map_entries(P.as_map(P.get(F.col("__d"), "properties")))).alias("e"))
     p = F.col("e.value")
@@ -46,7 +46,7 @@ def to_json_schema(t):
 
 @query("c03_field_catalog", """
 SELECT f.model, f.table_name, f.field, f.type, f.required, CASE f.field WHEN 'brand' THEN concat('"', p_brand, '"') WHEN 'price' THEN '1.5' WHEN 'size' THEN CAST(p_size AS STRING) WHEN 'tags' THEN '[]' END AS "default",
-  CASE WHEN f.field = 'brand' THEN 'the brand' ELSE '' END AS description, f.primary_key FROM @fields f JOIN @sound_models m ON m.name = f.model""")
+  CASE WHEN f.field = 'brand' THEN 'the brand' ELSE '' END AS description, f.primary_key FROM @fields f JOIN @sound_definitions m ON m.name = f.model""")
 def field_catalog(t):
     return t.fields.select("model", "table_name", "field", "type", "required", "default", "description", "primary_key")
 
@@ -67,9 +67,9 @@ def typed_columns(t):
 
 @query("c05_export", """
 SELECT model, field, type, CASE WHEN field = 'title' THEN true ELSE false END AS required, CASE WHEN field = 'brand' THEN 'the brand' ELSE '' END AS description,
-  CASE field WHEN 'price' THEN '1.5' WHEN 'brand' THEN p_brand END AS "default" FROM @fields JOIN @sound_models ON name = model""")
+  CASE field WHEN 'price' THEN '1.5' WHEN 'brand' THEN p_brand END AS "default" FROM @fields JOIN @sound_definitions ON name = model""")
 def export(t):
-    docs = C.export(t.models.join(t.sound_models, "name", "left_semi"))
+    docs = C.export(t.stored_definitions.join(t.sound_definitions, "name", "left_semi"))
     rows = docs.select("name", F.explode(F.map_entries(P.as_map(P.get(P.safe_json(F.col("document")), "fields")))).alias("e"))
     p = F.col("e.value")
     return rows.select(F.col("name").alias("model"), F.col("e.key").alias("field"), P.get_text(p, "type").alias("type"),
@@ -77,32 +77,32 @@ def export(t):
 
 
 @query("s07_export_documents", """
-SELECT name, concat('{"model_name":"', name, '","fields":{"title":{"type":"str","required":false,"description":""}}}') AS document FROM @models WHERE CAST(id AS BIGINT) % 11 = 0 AND CAST(id AS BIGINT) % 13 <> 0""")
+SELECT name, concat('{"model_name":"', name, '","fields":{"title":{"type":"str","required":false,"description":""}}}') AS document FROM @stored_definitions WHERE CAST(id AS BIGINT) % 11 = 0 AND CAST(id AS BIGINT) % 13 <> 0""")
 def export_documents(t):
-    return C.export(t.models.where(~P.json_text(F.col("definition"), "name").isNotNull()))
+    return C.export(t.stored_definitions.where(~P.json_text(F.col("definition"), "name").isNotNull()))
 
 
 WANTED_NAMES = "SELECT concat('Model', CAST(s_suppkey * 13 AS STRING)) AS name FROM @supplier UNION ALL SELECT concat('Model', CAST(s_suppkey * 2 AS STRING)) FROM @supplier"
 
 
 @query("a08_partial_export", f"""
-SELECT name, name IN (SELECT name FROM @models WHERE json_valid(definition)) AS exported FROM (SELECT DISTINCT name FROM ({WANTED_NAMES}))""")
+SELECT name, name IN (SELECT name FROM @stored_definitions WHERE json_valid(definition)) AS exported FROM (SELECT DISTINCT name FROM ({WANTED_NAMES}))""")
 def partial_export(t):
-    good, failed = C.export_named(t.models, t.sql(WANTED_NAMES))
+    good, failed = C.export_named(t.stored_definitions, t.sql(WANTED_NAMES))
     return good.select("name", F.lit(True).alias("exported")).unionByName(failed.select("name", F.lit(False).alias("exported")))
 
 
-@query("c06_list_models", "SELECT id, name, description, object_type, version, '2024-01-01 00:00:00' AS created_at, '2024-01-02 00:00:00' AS updated_at FROM @models")
-def list_models(t):
-    return C.list_models(t.models, timestamps=True)
+@query("c06_list_definitions", "SELECT id, name, description, object_type, version, '2024-01-01 00:00:00' AS created_at, '2024-01-02 00:00:00' AS updated_at FROM @stored_definitions")
+def list_definitions(t):
+    return C.list_definitions(t.stored_definitions, timestamps=True)
 
 
 @query("m01_migrate_fields", """
 SELECT name, 'content' AS object_type, 'content' AS model_type, CAST(CASE WHEN k % 11 = 0 THEN 1 WHEN k % 9 = 0 THEN 1 WHEN k % 7 = 0 THEN 2 WHEN k % 5 = 0 THEN 1 ELSE 7 END AS BIGINT) AS n_fields
-FROM (SELECT name, CAST(id AS BIGINT) AS k FROM @models) WHERE k % 13 <> 0""")
+FROM (SELECT name, CAST(id AS BIGINT) AS k FROM @stored_definitions) WHERE k % 13 <> 0""")
 def migrate_fields(t):
     v = P.safe_json(F.col("definition"))
-    out = C.migrate_a(t.models)
+    out = C.migrate_a(t.stored_definitions)
     size = F.coalesce(F.size(P.as_map(P.get(v, "fields"))), F.lit(-1))
     listed = F.size(P.as_list(P.get(v, "fields")))
     return out.select("name", "object_type", P.get_text(v, "model_type").alias("model_type"), F.greatest(size, listed).cast("bigint").alias("n_fields"))
@@ -116,16 +116,16 @@ def migrate_json_schemas(t):
 
 
 @query("u01_all_definitions", """
-SELECT name, 'content' AS object_type FROM (SELECT name FROM @models WHERE json_valid(definition) UNION SELECT concat_ws('_', source_schema, name) FROM @json_schemas)""")
+SELECT name, 'content' AS object_type FROM (SELECT name FROM @stored_definitions WHERE json_valid(definition) UNION SELECT concat_ws('_', source_schema, name) FROM @json_schemas)""")
 def all_definitions(t):
-    both = C.migrate_a(t.models).unionByName(C.migrate_b(t.json_schemas))
-    empty = t.models.where("false")
+    both = C.migrate_a(t.stored_definitions).unionByName(C.migrate_b(t.json_schemas))
+    empty = t.stored_definitions.where("false")
     return W.upsert(empty, both.withColumn("version", F.lit("1.0")), "name", NOW).select("name", "object_type")
 
 
-@query("u03_model_names", f"SELECT name FROM @models UNION SELECT name FROM ({WANTED_NAMES})")
+@query("u03_model_names", f"SELECT name FROM @stored_definitions UNION SELECT name FROM ({WANTED_NAMES})")
 def model_names(t):
-    return C.model_names(t.models, t.sql(WANTED_NAMES))
+    return C.model_names(t.stored_definitions, t.sql(WANTED_NAMES))
 
 
 # What each model's table should hold, compared column by column.
@@ -141,26 +141,26 @@ def schema_issues(t):
     return K.issues(t.fields, t.columns).withColumnsRenamed({"table": "tbl", "column": "col"})
 
 
-@query("k01_verify_models", f"""
+@query("k01_verify_definitions", f"""
 SELECT model, table_name AS tbl, count(*) FILTER (actual IS NULL OR actual <> expected) = 0 AS is_valid, coalesce(string_agg(field, ',' ORDER BY field) FILTER (actual IS NULL), '') AS missing_columns,
   coalesce(string_agg(concat(field, ':', expected, ':', actual), ',' ORDER BY field) FILTER (actual <> expected), '') AS type_mismatches FROM ({COMPARED}) GROUP BY model, table_name""")
-def verify_models(t):
+def verify_definitions(t):
     out = K.verify(t.fields, t.columns)
     wrong = F.transform("type_mismatches", lambda m: F.concat_ws(":", m["column"], m["expected"], m["actual"]))
     return out.select("model", F.col("table").alias("tbl"), "is_valid", F.array_join("missing_columns", ",").alias("missing_columns"), F.array_join(wrong, ",").alias("type_mismatches"))
 
 
-@query("k02_unresolved_models", f"""
+@query("k02_unresolved_definitions", f"""
 SELECT w.name AS model, CASE WHEN m.name IS NULL THEN concat('Model ''', w.name, ''' not found in registry') ELSE concat('Table ''', m.table_name, ''' not found in schema ''public''') END AS error
-FROM (SELECT DISTINCT name FROM ({WANTED_NAMES})) w LEFT JOIN @sound_models m ON m.name = w.name WHERE m.name IS NULL OR m.table_name NOT IN (SELECT "table" FROM @columns)""")
-def unresolved_models(t):
-    return K.unresolved(t.sql(WANTED_NAMES).withColumnRenamed("name", "model"), t.sound_models, t.columns)
+FROM (SELECT DISTINCT name FROM ({WANTED_NAMES})) w LEFT JOIN @sound_definitions m ON m.name = w.name WHERE m.name IS NULL OR m.table_name NOT IN (SELECT "table" FROM @columns)""")
+def unresolved_definitions(t):
+    return K.unresolved(t.sql(WANTED_NAMES).withColumnRenamed("name", "model"), t.sound_definitions, t.columns)
 
 
 @query("k03_missing_tables", """
-SELECT table_name AS tbl, max(name) AS model FROM @sound_models WHERE table_name NOT IN (SELECT "table" FROM @columns) GROUP BY table_name""")
+SELECT table_name AS tbl, max(name) AS model FROM @sound_definitions WHERE table_name NOT IN (SELECT "table" FROM @columns) GROUP BY table_name""")
 def missing_tables(t):
-    return K.missing_tables(t.sound_models, t.columns).withColumnRenamed("table", "tbl")
+    return K.missing_tables(t.sound_definitions, t.columns).withColumnRenamed("table", "tbl")
 
 
 @query("k04_target_schema", """

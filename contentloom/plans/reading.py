@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contentloom.functions import payload as P, rules as R
-from contentloom.functions.models import model
+from contentloom.functions.model import model
 from contentloom.functions.text import slug
 from contentloom.operators import catalog, store, vectors
 from contentloom.plans.registry import query
@@ -78,9 +78,9 @@ def contexts_create(t):
 SELECT path, name, CASE WHEN bad THEN NULL ELSE coalesce(json_extract_string(d, '$.description'), name || ' model definition') END AS description,
        CASE WHEN bad THEN 'invalid JSON' WHEN name IS NULL THEN 'name is required' END AS error
 FROM (SELECT *, json_extract_string(d, '$.name') AS name FROM (
-  SELECT id AS path, NOT json_valid(definition) AS bad, CASE WHEN json_valid(definition) THEN definition ELSE '{}' END AS d FROM @models))""")
+  SELECT id AS path, NOT json_valid(definition) AS bad, CASE WHEN json_valid(definition) THEN definition ELSE '{}' END AS d FROM @stored_definitions))""")
 def parse_definitions(t):
-    files = t.models.select(F.col("id").alias("path"), F.col("definition").alias("value"))
+    files = t.stored_definitions.select(F.col("id").alias("path"), F.col("definition").alias("value"))
     return definitions.parse_definitions(files, NOW).select("path", "name", "description", "error")
 
 
@@ -206,14 +206,14 @@ def contexts_by(t):
     return store.contexts_by(t.contexts, project="17", type="purchase").select("id", "type", "params", "project_id", "updated_at")
 
 
-@query("f13_model_by_name", "SELECT id, name, definition FROM @models WHERE name = 'Model17'")
+@query("f13_model_by_name", "SELECT id, name, definition FROM @stored_definitions WHERE name = 'Model17'")
 def model_by_name(t):
-    return catalog.by_name(t.models, name="Model17").select("id", "name", "definition")
+    return catalog.by_name(t.stored_definitions, name="Model17").select("id", "name", "definition")
 
 
-@query("f13_models_by_prefix", "SELECT id, name FROM @models WHERE name LIKE 'Model1%'")
-def models_by_prefix(t):
-    return catalog.by_name(t.models, prefix="Model1").select("id", "name")
+@query("f13_definitions_by_prefix", "SELECT id, name FROM @stored_definitions WHERE name LIKE 'Model1%'")
+def definitions_by_prefix(t):
+    return catalog.by_name(t.stored_definitions, prefix="Model1").select("id", "name")
 
 
 @query("f14_templates_by_category", """
@@ -254,9 +254,9 @@ def page_offset(t):
     return store.project_columns(store.page(t.contents, 40, 1000))
 
 
-@query("l05_models_by_name", "SELECT id, name, description, object_type, version FROM @models")
-def models_by_name(t):
-    return catalog.list_models(t.models)
+@query("l05_definitions_by_name", "SELECT id, name, description, object_type, version FROM @stored_definitions")
+def definitions_by_name(t):
+    return catalog.list_definitions(t.stored_definitions)
 
 
 @query("t01_slug", r"""
@@ -291,9 +291,9 @@ def safe_json(t):
     return t.payloads.select("event_id", P.safe_json(F.col("payload")).isNotNull().alias("parsed"))
 
 
-@query("t08_times_as_text", "SELECT id, name, '2024-01-01 00:00:00' AS created_at, '2024-01-02 00:00:00' AS updated_at FROM @models")
+@query("t08_times_as_text", "SELECT id, name, '2024-01-01 00:00:00' AS created_at, '2024-01-02 00:00:00' AS updated_at FROM @stored_definitions")
 def times_as_text(t):
-    return catalog.list_models(t.models, timestamps=True).select("id", "name", "created_at", "updated_at")
+    return catalog.list_definitions(t.stored_definitions, timestamps=True).select("id", "name", "created_at", "updated_at")
 
 
 @query("s10_catalog_scan", """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F, types as T
 
 from contentloom.functions import rules as R
-from contentloom.functions.models import FieldDef, Model, model
+from contentloom.functions.model import FieldDef, Model, model
 from contentloom.functions.typespec import parse_type
 from contentloom.operators import catalog, validation as V
 from contentloom.plans.registry import derive, query
@@ -206,9 +206,9 @@ SELECT name, trim(concat_ws('; ', type_error, body_error), '; ') AS errors FROM
       WHEN k % 9 = 0 THEN 'fields|invalid|''fields'' must be a dictionary'
       WHEN k % 7 = 0 THEN 'fields|invalid|Missing required keys in field ''size'': type; validators|invalid|''validators'' must be a list'
       WHEN k % 5 = 0 THEN 'validators|invalid|Each validator must have a ''code'' key; metadata_schema|invalid|''metadata_schema'' must be a dictionary' END AS body_error
-  FROM (SELECT *, CAST(id AS BIGINT) AS k FROM @models))""")
+  FROM (SELECT *, CAST(id AS BIGINT) AS k FROM @stored_definitions))""")
 def lint_definitions(t):
-    return catalog.lint(t.models).select("name", V.error_text(F.col("errors")).alias("errors"))
+    return catalog.lint(t.stored_definitions).select("name", V.error_text(F.col("errors")).alias("errors"))
 
 
 @query("v19_one_of", twin("status NOT IN ('draft', 'published', 'archived')", "status_allowed", "status must be one of: draft, published, archived"))
@@ -239,11 +239,11 @@ def contains_field(t):
     return ruled(t, R.contains_field("excerpt", "body", "Excerpt must be derived from content"))
 
 
-@query("v22_mixed_models", """
+@query("v22_mixed_definitions", """
 SELECT event_id, CASE WHEN event_id % 11 = 0 THEN '|invalid_json|payload is not valid JSON' WHEN event_type = 'view' THEN CASE WHEN errors LIKE 'type|%' THEN errors ELSE '' END
   WHEN event_type = 'click' THEN CASE WHEN errors LIKE 'value|%' THEN errors ELSE '' END
   ELSE concat('|model_not_found|Model not found: ', event_type) END AS errors FROM @event_errors""")
-def mixed_models(t):
+def mixed_definitions(t):
     out = V.validate_mixed(t.payloads, "payload", "event_type", {"view": model("view", type="str"), "click": model("click", value="float")})
     return out.select("event_id", V.error_text(F.col("errors")).alias("errors"))
 

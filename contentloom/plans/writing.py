@@ -89,16 +89,16 @@ def update(t):
 @query("w08_upsert", f"""
 SELECT coalesce(m.name, b.name) AS name, coalesce(b.object_type, m.object_type) AS object_type, coalesce(b.version, m.version) AS version, coalesce(b.definition, m.definition) AS definition,
   coalesce(b.description, m.description) AS description, CASE WHEN b.name IS NULL THEN m.updated_at ELSE {AT} END AS updated_at, CASE WHEN m.name IS NULL THEN {AT} ELSE m.created_at END AS created_at
-FROM @models m FULL JOIN ({LAST}) b ON b.name = m.name""")
+FROM @stored_definitions m FULL JOIN ({LAST}) b ON b.name = m.name""")
 def upsert(t):
-    out = W.upsert(t.models, t.sql(REGISTRATIONS), "name", NOW)
+    out = W.upsert(t.stored_definitions, t.sql(REGISTRATIONS), "name", NOW)
     return out.select("name", "object_type", "version", "definition", "description", "updated_at", "created_at")
 
 
-@query("w09_duplicate_names", f"SELECT name, count(*) AS n FROM (SELECT name FROM @models UNION ALL SELECT name FROM ({REGISTRATIONS})) GROUP BY name HAVING count(*) > 1")
+@query("w09_duplicate_names", f"SELECT name, count(*) AS n FROM (SELECT name FROM @stored_definitions UNION ALL SELECT name FROM ({REGISTRATIONS})) GROUP BY name HAVING count(*) > 1")
 def duplicate_names(t):
     cols = ["name", "object_type", "version", "definition", "description"]
-    return W.duplicate_names(W.append_models(t.models.select(*cols), t.sql(REGISTRATIONS)))
+    return W.duplicate_names(W.append_definitions(t.stored_definitions.select(*cols), t.sql(REGISTRATIONS)))
 
 
 SPARSE = """SELECT CAST(s_suppkey * 3 AS STRING) AS id, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE CAST(NULL AS STRING) END AS description,
@@ -110,9 +110,9 @@ SPLIT = f"""SELECT id, description, CAST(NULL AS STRING) AS version, 3 AS seq FR
 
 @query("w10_sparse_update", f"""
 SELECT m.id, coalesce(u.description, m.description) AS description, coalesce(u.version, m.version) AS version,
-  CASE WHEN u.description IS NULL AND u.version IS NULL THEN m.updated_at ELSE {AT} END AS updated_at FROM @models m LEFT JOIN ({SPARSE}) u ON u.id = m.id""")
+  CASE WHEN u.description IS NULL AND u.version IS NULL THEN m.updated_at ELSE {AT} END AS updated_at FROM @stored_definitions m LEFT JOIN ({SPARSE}) u ON u.id = m.id""")
 def sparse_update(t):
-    return W.sparse_update(t.models, t.sql(SPLIT), NOW, ["seq"]).select("id", "description", "version", "updated_at")
+    return W.sparse_update(t.stored_definitions, t.sql(SPLIT), NOW, ["seq"]).select("id", "description", "version", "updated_at")
 
 
 @query("w11_delete", f"SELECT id, content_type, title FROM @contents WHERE id NOT IN (SELECT id FROM ({DELETED}))")

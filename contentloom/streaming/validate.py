@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from contentloom.functions.models import Model
+from contentloom.functions.model import Model
 from contentloom.operators.validation import validate
 
 

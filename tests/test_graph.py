@@ -22,14 +22,14 @@ def hot(spark):
 
 
 def test_heavy_keys_are_few_and_right(hot):
-    assert rows(skew.heavy_keys(hot, ["target_id"]), "target_id") == [("hot",)]
+    assert rows(skew.heavy_keys(hot, ["target_id"], 50), "target_id") == [("hot",)]
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_salted_join_equals_plain_join(spark, hot, how):
     right = spark.range(0, 400).select(F.concat(F.lit("t"), "id").alias("target_id"), F.lit(1).alias("known")).union(spark.createDataFrame([("hot", 1)], "target_id string, known int"))
     want = hot.join(right, "target_id", how)
-    got = skew.salted_join(hot, right, ["target_id"], ["source_id"], how, salts=4)
+    got = skew.salted_join(hot, right, ["target_id"], ["source_id"], how, task_rows=50)
     assert rows(got, *want.columns) == rows(want, *want.columns)
 
 

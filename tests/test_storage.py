@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from contentloom.functions.models import ddl_for, model
+from contentloom.functions.model import ddl_for, model
 from contentloom.operators import catalog, validation as V, verify
 from contentloom.sources import definitions, inspector, snapshots, tables
 from contentloom.streaming.upsert import upsert_stream

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contentloom.functions import payload as P
-from contentloom.functions.models import Model, ddl_for, from_struct, model, spark_type, struct_for
+from contentloom.functions.model import Model, ddl_for, from_struct, model, spark_type, struct_for
 from contentloom.functions.typespec import check, parse_type
 from contentloom.operators import validation as V
 
