@@ -177,7 +177,8 @@ SELECT CAST(p_partkey AS STRING) AS id, concat('Model', CAST(p_partkey AS STRING
 FROM @part
 """)
 
-# The fields of the sound definitions above, as plain rows.
+# The sound definitions above, and the fields of all definitions as plain rows: broken ones have none,
+# those without a name have theirs, and fields that say no type are of any type.
 derive("sound_definitions", """
 SELECT p_partkey, p_size, p_brand, concat('Model', CAST(p_partkey AS STRING)) AS name,
        CASE WHEN p_partkey % 4 = 0 THEN concat('shared_', CAST(p_size AS STRING)) ELSE concat('model', CAST(p_partkey AS STRING)) END AS table_name
@@ -191,7 +192,12 @@ FROM @sound_definitions m CROSS JOIN (
   SELECT 'brand' AS field, 0 AS pos, 'str' AS type, false AS required UNION ALL SELECT 'created', 1, 'datetime', true
   UNION ALL SELECT 'id', 2, 'UUID', true UNION ALL SELECT 'price', 3, 'float', true UNION ALL SELECT 'size', 4, 'int', true
   UNION ALL SELECT 'tags', 5, 'List[str]', true UNION ALL SELECT 'title', 6, 'str', true) f
-""", lambda t: field_catalog(t.stored_definitions.join(t.sound_definitions, "name", "left_semi")))
+UNION ALL SELECT concat('Model', CAST(k AS STRING)), concat('model', CAST(k AS STRING)), field, pos, type, true, false FROM (
+  SELECT p_partkey AS k, 'title' AS field, 0 AS pos, 'str' AS type FROM @part WHERE p_partkey % 13 <> 0 AND p_partkey % 11 = 0
+  UNION ALL SELECT p_partkey, 'title', 0, 'str' FROM @part WHERE p_partkey % 13 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 9 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 5 = 0
+  UNION ALL SELECT p_partkey, f.field, f.pos, 'Any' FROM (SELECT p_partkey FROM @part WHERE p_partkey % 13 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 9 <> 0 AND p_partkey % 7 = 0) p
+    CROSS JOIN (SELECT 'size' AS field, 0 AS pos UNION ALL SELECT 'title', 1) f)
+""", lambda t: field_catalog(t.stored_definitions))
 
 # Physical tables: some lack columns, some have wrong types, some do not exist.
 derive("columns", """

@@ -33,9 +33,9 @@ def from_json_schema(t):
 SELECT model, field, CASE type WHEN 'str' THEN 'string' WHEN 'int' THEN 'integer' WHEN 'float' THEN 'number' WHEN 'datetime' THEN 'string' WHEN 'List[str]' THEN 'array' ELSE 'object' END AS type,
   CASE WHEN type = 'datetime' THEN 'date-time' END AS format, field <> 'brand' AS required, CASE field WHEN 'price' THEN '1.5' WHEN 'brand' THEN p_brand WHEN 'tags' THEN '[]' END AS "default",
   CASE WHEN field = 'brand' THEN 'the brand' END AS description
-FROM @fields JOIN @sound_definitions ON name = model""")
+FROM @fields LEFT JOIN @sound_definitions ON name = model""")
 def to_json_schema(t):
-    docs = C.to_json_schema(t.stored_definitions.join(t.sound_definitions, "name", "left_semi"))
+    docs = C.to_json_schema(t.stored_definitions)
     v = docs.withColumn("__d", P.safe_json(F.col("json_schema")))
     rows = v.select("name", P.as_list(P.get(F.col("__d"), "required")).alias("r"), F.explode(F.map_entries(P.as_map(P.get(F.col("__d"), "properties")))).alias("e"))
     p = F.col("e.value")
@@ -46,7 +46,7 @@ def to_json_schema(t):
 
 @query("c03_field_catalog", """
 SELECT f.model, f.table_name, f.field, f.type, f.required, CASE f.field WHEN 'brand' THEN concat('"', p_brand, '"') WHEN 'price' THEN '1.5' WHEN 'size' THEN CAST(p_size AS STRING) WHEN 'tags' THEN '[]' END AS "default",
-  CASE WHEN f.field = 'brand' THEN 'the brand' ELSE '' END AS description, f.primary_key FROM @fields f JOIN @sound_definitions m ON m.name = f.model""")
+  CASE WHEN f.field = 'brand' THEN 'the brand' ELSE '' END AS description, f.primary_key FROM @fields f LEFT JOIN @sound_definitions m ON m.name = f.model""")
 def field_catalog(t):
     return t.fields.select("model", "table_name", "field", "type", "required", "default", "description", "primary_key")
 
@@ -66,10 +66,10 @@ def typed_columns(t):
 
 
 @query("c05_export", """
-SELECT model, field, type, CASE WHEN field = 'title' THEN true ELSE false END AS required, CASE WHEN field = 'brand' THEN 'the brand' ELSE '' END AS description,
-  CASE field WHEN 'price' THEN '1.5' WHEN 'brand' THEN p_brand END AS "default" FROM @fields JOIN @sound_definitions ON name = model""")
+SELECT model, field, type, CASE WHEN name IS NOT NULL THEN field = 'title' ELSE field = 'size' AND type = 'Any' END AS required, CASE WHEN field = 'brand' THEN 'the brand' ELSE '' END AS description,
+  CASE field WHEN 'price' THEN '1.5' WHEN 'brand' THEN p_brand END AS "default" FROM @fields LEFT JOIN @sound_definitions ON name = model""")
 def export(t):
-    docs = C.export(t.stored_definitions.join(t.sound_definitions, "name", "left_semi"))
+    docs = C.export(t.stored_definitions)
     rows = docs.select("name", F.explode(F.map_entries(P.as_map(P.get(P.safe_json(F.col("document")), "fields")))).alias("e"))
     p = F.col("e.value")
     return rows.select(F.col("name").alias("model"), F.col("e.key").alias("field"), P.get_text(p, "type").alias("type"),
