@@ -39,7 +39,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 SLOTS = BANDS * ROWS
-SMALL = 8
+# Buckets up to this size form their pairs, at most 16 for each node on average.
+SMALL = 32
 
 
 def shingles(offsets: np.ndarray, words: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +194,7 @@ def _still_open(members: DataFrame, compared: DataFrame, sets: DataFrame, thresh
 def near_links(nodes: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Links ``a``, ``b`` that join all nodes of a class; ``nodes`` has ``node`` and ``bands``.
 
-    Buckets of up to ``SMALL`` nodes form their pairs; larger ones are compared with one
+    Buckets of at most ``SMALL`` nodes form their pairs; larger ones are compared with one
     pivot per round and go on with the nodes that may still be similar to each other.
     """
     rows = nodes.select("node", F.explode("bands").alias("band"))
