@@ -9,7 +9,7 @@ No piece spans certain neighbours, as a letter and a digit or a letter and a bla
 every path has a break, so the lattice falls into segments, mostly words; which classes may
 stand together is read from the vocabulary. The best paths of a text are
 those of its segments, and the next ones differ in the segments with the least loss, so
-only as many segments as paths are wanted are searched for more than their two best.
+all segments get their two best from the left and only as many as paths are wanted are searched for more.
 
 Characters outside the vocabulary become their bytes. Blanks become the vocabulary's blank
 mark and one stands before the text, as its models do; a literal mark is
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ from contentloom.llm.words import pieces
 BLANK = "▁"
 N_BEST = 4
 # Segments remembered per task; the store is emptied when full, which changes no result.
-REMEMBER = 200_000
+REMEMBER = 400_000
 ADDED = "__pieces array<int>, __scores array<double>, __decoded string"
 
 
@@ -45,8 +46,9 @@ class Vocabulary:
     def __init__(self, pieces: list[str], scores: list[float], byte_ids: list[int], special: set[int]):
         self.id = {p: i for i, p in enumerate(pieces) if i not in special and i not in set(byte_ids)}
         self.score = scores
+        # Every beginning of a piece with the piece's id, -1 if it is none itself.
+        self.begins = {p[:n]: -1 for p in self.id for n in range(1, len(p))} | self.id
         self.bytes = byte_ids
-        self.longest = max(map(len, self.id))
         used = [scores[i] for i in self.id.values() if scores[i] > -1e8]
         # A character in bytes costs more than any piece.
         self.byte_score = min(used) - 10
@@ -77,18 +79,58 @@ class Vocabulary:
     def arcs(self, segment: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each place, the pieces that end there: start, score and ids."""
         n, out = len(segment), [[] for _ in range(len(segment) + 1)]
-        get, score = self.id.get, self.score
+        get, score = self.begins.get, self.score
         for i in range(n):
-            whole = False
-            for j in range(i + 1, min(n, i + self.longest) + 1):
+            for j in range(i + 1, n + 1):
                 k = get(segment[i:j])
-                if k is not None:
+                if k is None:
+                    break
+                if k >= 0:
                     out[j].append((i, score[k], (k,)))
-                    whole = whole or j == i + 1
-            if not whole:
-                out[i + 1].append((i, self.byte_score, tuple(self.bytes[b] for b in segment[i].encode())))
+            if segment[i] not in self.id:
+                out[i + 1].append((i, self.byte_score, self._as_bytes(segment[i])))
         return out
 
+    def _as_bytes(self, character: str) -> tuple[int, ...]:
+        return tuple(self.bytes[b] for b in character.encode())
+
+    def two(self, segment: str) -> tuple[list[int], float, float]:
+        """Viterbi's best segmentation, its score and the score of the second one."""
+        n, low = len(segment), float("-inf")
+        best, second, back = [0.0] + [low] * n, [low] * (n + 1), [None] * (n + 1)
+        get, score, single = self.begins.get, self.score, self.id
+        for i in range(n):
+            b, c = best[i], second[i]
+            for j in range(i + 1, n + 1):
+                k = get(segment[i:j])
+                if k is None:
+                    break
+                if k >= 0:
+                    s = score[k]
+                    x = b + s
+                    if x > best[j]:
+                        if best[j] > second[j]:
+                            second[j] = best[j]
+                        best[j], back[j] = x, (i, k)
+                    elif x > second[j]:
+                        second[j] = x
+                    if c + s > second[j]:
+                        second[j] = c + s
+            if segment[i] not in single:
+                x, j = b + self.byte_score, i + 1
+                if x > best[j]:
+                    second[j] = max(best[j], second[j])
+                    best[j], back[j] = x, (i, -1)
+                else:
+                    second[j] = max(second[j], x)
+                second[j] = max(second[j], c + self.byte_score)
+        ids, j = [], n
+        while j:
+            i, k = back[j]
+            ids += (k,) if k >= 0 else self._as_bytes(segment[i])[::-1]
+            j = i
+        return ids[::-1], best[n], second[n]
+
     def best(self, segment: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best segmentations with their scores, best first."""
         arcs = self.arcs(segment)
@@ -123,8 +165,8 @@ class Encoder:
     def _segment(self, segment: str) -> tuple[bytes, float, float]:
         if segment == "":
             return b"", 0.0, np.inf
-        two = self.v.best(segment, 2)
-        made = np.array(two[0][1], np.int32).tobytes(), two[0][0], two[0][0] - two[1][0] if len(two) > 1 else np.inf
+        ids, best, second = self.v.two(segment)
+        made = array("i", ids).tobytes(), best, best - second
         if len(self.known) >= REMEMBER:
             self.known.clear()
         self.known[segment] = made
