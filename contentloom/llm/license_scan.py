@@ -99,7 +99,11 @@ def _merged(votes: DataFrame) -> DataFrame:
     A window never holds more than one text's matches of one template.
     """
     order = Window.partitionBy("__row", "template").orderBy("diagonal", "first")
-    joins = ~F.col("whole") & (F.col("diagonal") - F.lag("diagonal").over(order) <= SLACK) & (F.col("from") > F.lag("to").over(order)) & (F.col("first") > F.lag("first").over(order))
+    before = lambda c: F.lag(c).over(order)
+    # Added words move the rest of the template to a later diagonal, lost ones to an earlier one.
+    added = (F.col("from") > before("to")) & (F.col("first") > before("first"))
+    lost = (F.col("to") < before("from")) & (F.col("first") < before("first"))
+    joins = ~F.col("whole") & (F.col("diagonal") - before("diagonal") <= SLACK) & (added | lost)
     marked = votes.withColumn("__new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1))
     spans = marked.withColumn("__span", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     merged = spans.groupBy("__row", "__key", "n_words", "template", "label", "whole", "of", "__span").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
