@@ -9,7 +9,7 @@ from contentloom.functions.model import model
 from contentloom.functions.text import slug
 from contentloom.operators import catalog, store, vectors
 from contentloom.plans.registry import query
-from contentloom.sources import definitions, inspector, tables
+from contentloom.sources import definitions, tables
 
 NOW = "2024-06-01 00:00:00"
 EIGHT = "id, content_type, title, slug, content, metadata, created_at, updated_at"
@@ -294,14 +294,3 @@ def safe_json(t):
 @query("t08_times_as_text", "SELECT id, name, '2024-01-01 00:00:00' AS created_at, '2024-01-02 00:00:00' AS updated_at FROM @stored_definitions")
 def times_as_text(t):
     return catalog.list_definitions(t.stored_definitions, timestamps=True).select("id", "name", "created_at", "updated_at")
-
-
-@query("s10_catalog_scan", """
-SELECT table_name AS tbl, column_name AS col, CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
-  WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' ELSE data_type END AS data_type, CAST(ordinal_position AS INTEGER) AS pos
-FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations')""")
-def catalog_scan(t):
-    from contentloom.plans.registry import BASE
-
-    found = inspector.parquet_columns(t.spark, {n: t.path(n) for n in BASE})
-    return found.select(F.col("table").alias("tbl"), F.col("column").alias("col"), "data_type", "pos")
