@@ -41,6 +41,7 @@ BANDS, ROWS = 16, 4
 SLOTS = BANDS * ROWS
 # Buckets up to this size form their pairs, at most 16 for each node on average.
 SMALL = 32
+PIVOTS = 8
 
 
 def shingles(offsets: np.ndarray, words: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -195,20 +196,28 @@ def near_links(nodes: DataFrame, sets: DataFrame, threshold: float = THRESHOLD)
     """Links ``a``, ``b`` that join all nodes of a class; ``nodes`` has ``node`` and ``bands``.
 
     Buckets of at most ``SMALL`` nodes form their pairs; larger ones are compared with one
-    pivot per round and go on with the nodes that may still be similar to each other.
+    pivot and go on with the nodes that may still be similar to each other. From the second
+    round on up to ``PIVOTS`` further nodes of a bucket serve as pivots too; a round stays
+    linear in the nodes that are open.
     """
     rows = nodes.select("node", F.explode("bands").alias("band"))
     counts = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     met = materialize(rows.join(counts, "band"), "buckets")
     open_ = materialize(met.join(met.groupBy("node").agg(F.sum("n").alias("score")), "node").select("band", "node", "score"), "buckets")
-    links = None
+    links, turn = None, 0
     while True:
         size = open_.groupBy("band").agg(F.count("*").alias("n"), F.max(F.struct("score", "node"))["node"].alias("pivot"))
         sized = materialize(open_.join(size, "band"), "buckets")
         small, large = sized.where(F.col("n") <= SMALL), sized.where((F.col("n") > SMALL) & (F.col("node") != F.col("pivot")))
         other = small.select("band", F.col("node").alias("b"))
         close = small.select("band", F.col("node").alias("a")).join(other, "band").where("a > b").select("a", "b")
-        pairs = close.union(large.select("node", "pivot")).distinct()
+        pairs = close.union(large.select("node", "pivot"))
+        extra = None
+        if turn:  # what the first pivot left open meets a few more of its own nodes in each round
+            part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(PIVOTS))
+            extra = materialize(large.groupBy("band", part.alias("part")).agg(F.max(F.struct("score", "node"))["node"].alias("extra")).select("band", "extra"), "pivots")
+            pairs = pairs.union(large.join(extra, "band").where(F.col("node") != F.col("extra")).select(F.greatest("node", "extra"), F.least("node", "extra")))
+        pairs = pairs.distinct()
         found = _compared(pairs, sets)
         found = materialize(found.withColumn("linked", F.col("shared") >= threshold * (F.col("n_a") + F.col("n_b") - F.col("shared"))), "compared")
         new = found.where("linked").select("a", "b")
@@ -218,6 +227,9 @@ def near_links(nodes: DataFrame, sets: DataFrame, threshold: float = THRESHOLD)
         members = large.select("band", "node", "pivot", "score")
         by_pivot = found.join(large.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), ["a", "b"])
         left = _still_open(members, by_pivot, sets, threshold)
+        if extra is not None:  # they have met all others of their bucket
+            left = left.join(extra.withColumnRenamed("extra", "node"), ["band", "node"], "left_anti")
+        left, turn = materialize(left, "open"), turn + 1
         open_ = materialize(left.join(left.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "band"), "buckets")
         if open_.isEmpty():
             return links

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from brute import near_classes
 
 from contentloom.llm import near_dup
@@ -26,8 +27,10 @@ def test_classes_equal_all_pairs(spark):
     assert got == near_classes([(r.doc_id, r.text) for r in docs.collect()])
 
 
-def test_chain_of_copies_and_a_star(spark, table):
-    """Links through members that are no pivot are found."""
+@pytest.mark.parametrize("small", [2, near_dup.SMALL])
+def test_chain_of_copies_and_a_star(spark, table, monkeypatch, small):
+    """Links through members that are no pivot are found, over several rounds if buckets are never small."""
+    monkeypatch.setattr(near_dup, "SMALL", small)
     rnd = random.Random(4)
     base = [f"w{i}" for i in range(300)]
     rows = [(100 + i, " ".join(base[i * 6:] + [f"x{j}" for j in range(i * 6)])) for i in range(12)]
