@@ -9,7 +9,8 @@ No piece spans certain neighbours, as a letter and a digit or a letter and a bla
 every path has a break, so the lattice falls into segments, mostly words; which classes may
 stand together is read from the vocabulary. The best paths of a text are
 those of its segments, and the next ones differ in the segments with the least loss, so
-all segments get their two best from the left and only as many as paths are wanted are searched for more.
+all segments get their best path and the second one's score, and only as many segments as paths are wanted are
+searched for more. Their paths are combined to the n best of the text.
 
 Characters outside the vocabulary become their bytes. Blanks become the vocabulary's blank
 mark and one stands before the text, as its models do; a literal mark is
@@ -35,9 +36,9 @@ from contentloom.llm.words import pieces
 # Fixed value: the vocabulary's mark for a blank.
 BLANK = "▁"
 N_BEST = 4
-# Segments remembered per task; the store is emptied when full, which changes no result.
+# Segments remembered per process; the store is emptied when full, which changes no result.
 REMEMBER = 400_000
-ADDED = "__pieces array<int>, __scores array<double>, __decoded string"
+ADDED = "__n_best array<array<int>>, __scores array<double>, __decoded string"
 
 
 class Vocabulary:
@@ -56,6 +57,7 @@ class Vocabulary:
         for b, i in enumerate(byte_ids):
             self.text[i] = bytes([b])
         self.segments = self._breaks()
+        self.known, self.paths_known = {}, {}
 
     def _breaks(self) -> re.Pattern:
         """The pattern of segments: blanks, then letters, one digit or other characters."""
@@ -76,70 +78,56 @@ class Vocabulary:
         special = {i for i in n if m.is_control(i) or m.is_unknown(i) or m.is_unused(i)}
         return cls([m.id_to_piece(i) for i in n], [m.get_score(i) for i in n], [by_byte[b] for b in range(256)], special)
 
-    def arcs(self, segment: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each place, the pieces that end there: start, score and ids."""
-        n, out = len(segment), [[] for _ in range(len(segment) + 1)]
-        get, score = self.begins.get, self.score
-        for i in range(n):
-            for j in range(i + 1, n + 1):
-                k = get(segment[i:j])
-                if k is None:
-                    break
-                if k >= 0:
-                    out[j].append((i, score[k], (k,)))
-            if segment[i] not in self.id:
-                out[i + 1].append((i, self.byte_score, self._as_bytes(segment[i])))
-        return out
-
-    def _as_bytes(self, character: str) -> tuple[int, ...]:
-        return tuple(self.bytes[b] for b in character.encode())
-
-    def two(self, segment: str) -> tuple[list[int], float, float]:
-        """Viterbi's best segmentation, its score and the score of the second one."""
+    def forward(self, segment: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float], float]:
+        """For each place, the pieces that end there (start, score and ids) and Viterbi's best score; the score of the second whole path."""
         n, low = len(segment), float("-inf")
-        best, second, back = [0.0] + [low] * n, [low] * (n + 1), [None] * (n + 1)
+        arcs, best, second = [[] for _ in range(n + 1)], [0.0] + [low] * n, [low] * (n + 1)
         get, score, single = self.begins.get, self.score, self.id
         for i in range(n):
             b, c = best[i], second[i]
+            found = []
             for j in range(i + 1, n + 1):
                 k = get(segment[i:j])
                 if k is None:
                     break
                 if k >= 0:
-                    s = score[k]
-                    x = b + s
-                    if x > best[j]:
-                        if best[j] > second[j]:
-                            second[j] = best[j]
-                        best[j], back[j] = x, (i, k)
-                    elif x > second[j]:
-                        second[j] = x
-                    if c + s > second[j]:
-                        second[j] = c + s
+                    found.append((j, score[k], (k,)))
             if segment[i] not in single:
-                x, j = b + self.byte_score, i + 1
+                found.append((i + 1, self.byte_score, self._as_bytes(segment[i])))
+            for j, s, ids in found:
+                arcs[j].append((i, s, ids))
+                x = b + s
                 if x > best[j]:
-                    second[j] = max(best[j], second[j])
-                    best[j], back[j] = x, (i, -1)
-                else:
-                    second[j] = max(second[j], x)
-                second[j] = max(second[j], c + self.byte_score)
-        ids, j = [], n
-        while j:
-            i, k = back[j]
-            ids += (k,) if k >= 0 else self._as_bytes(segment[i])[::-1]
-            j = i
-        return ids[::-1], best[n], second[n]
+                    second[j] = max(best[j], c + s)
+                    best[j] = x
+                elif x > second[j]:
+                    second[j] = x
+        return arcs, best, second[n]
+
+    def arcs(self, segment: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
+        """For each place, the pieces that end there: start, score and ids."""
+        return self.forward(segment)[0]
+
+    def _as_bytes(self, character: str) -> tuple[int, ...]:
+        return tuple(self.bytes[b] for b in character.encode())
+
+    def first(self, segment: str) -> tuple[tuple[int, ...], float, float]:
+        """The best segmentation, its score and what the second one loses."""
+        arcs, ahead, second = self.forward(segment)
+        (score, ids), = self._search(arcs, ahead, 1)
+        return ids, score, score - second
 
     def best(self, segment: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best segmentations with their scores, best first."""
-        arcs = self.arcs(segment)
-        ahead = [0.0]
-        for place in arcs[1:]:
-            ahead.append(max([ahead[i] + s for i, s, _ in place]))
+        arcs, ahead, _ = self.forward(segment)
+        return self._search(arcs, ahead, n)
+
+    @staticmethod
+    def _search(arcs: list[list[tuple[int, float, tuple[int, ...]]]], ahead: list[float], n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """A* from the right; ``ahead`` is the exact score of all that is still to come."""
         found, turn = [], 0
         # Of equal promises the one nearer to the start goes first, so ties cost no search.
-        queue = [(-ahead[-1], len(segment), 0, 0.0, None)]
+        queue = [(-ahead[-1], len(ahead) - 1, 0, 0.0, None)]
         while queue and len(found) < n:
             _, at, _, have, path = heapq.heappop(queue)
             if at == 0:
@@ -156,49 +144,71 @@ class Vocabulary:
 
 
 class Encoder:
-    """A vocabulary with the segments of one task that it has met."""
+    """A vocabulary with the segments that its process has met."""
 
     def __init__(self, vocabulary: Vocabulary, n: int = N_BEST):
-        self.v, self.n, self.known = vocabulary, n, {}
+        self.v, self.n = vocabulary, n
+        # One task leaves its segments to the next one of the process.
+        self.known, self.paths_known = vocabulary.known, vocabulary.paths_known.setdefault(n, {})
         self.mark = np.array([vocabulary.bytes[b] for b in BLANK.encode()], np.int32).tobytes()
 
     def _segment(self, segment: str) -> tuple[bytes, float, float]:
         if segment == "":
             return b"", 0.0, np.inf
-        ids, best, second = self.v.two(segment)
-        made = array("i", ids).tobytes(), best, best - second
+        ids, best, loss = self.v.first(segment)
+        made = array("i", ids).tobytes(), best, loss
         if len(self.known) >= REMEMBER:
             self.known.clear()
         self.known[segment] = made
         return made
 
-    def encode(self, text: str) -> tuple[np.ndarray, list[float]]:
-        """The best pieces, and the scores of the ``n`` best segmentations of the whole text."""
+    def _paths_of(self, segment: str) -> list[tuple[float, bytes]]:
+        """What each of the segment's ``n`` best paths loses, and its pieces."""
+        made = self.paths_known.get(segment)
+        if made is None:
+            top = self.v.best(segment, self.n)
+            made = [(top[0][0] - s, array("i", ids).tobytes()) for s, ids in top]
+            if len(self.paths_known) >= REMEMBER // 8:
+                self.paths_known.clear()
+            self.paths_known[segment] = made
+        return made
+
+    def n_best(self, text: str) -> tuple[list[np.ndarray], list[float]]:
+        """The pieces and scores of the ``n`` best segmentations of the whole text, best first."""
         if not text:
-            return np.zeros(0, np.int32), [0.0]
-        ids, score, segments, losses = [], 0.0, [], []
+            return [np.zeros(0, np.int32)], [0.0]
+        names, made = [], []
         get, segment = self.known.get, self._segment
         for k, part in enumerate(text.split(BLANK)):  # literal marks
             if k:
-                ids.append(self.mark)
-                score += self.v.byte_score
-            names = self.v.segments.findall((BLANK if k == 0 else "") + part.replace(" ", BLANK))
-            made = [get(x) or segment(x) for x in names]
-            ids += [m[0] for m in made]
-            score += sum([m[1] for m in made])
-            segments += names
-            losses += [m[2] for m in made]
-        return np.frombuffer(b"".join(ids), np.int32), self._scores(score, segments, np.array(losses))
-
-    def _scores(self, score: float, segments: list[str], losses: np.ndarray) -> list[float]:
-        """Each further path changes segments whose loss is among the smallest."""
+                names.append(BLANK)
+                made.append((self.mark, self.v.byte_score, np.inf))
+            new = self.v.segments.findall((BLANK if k == 0 else "") + part.replace(" ", BLANK))
+            names += new
+            made += [get(x) or segment(x) for x in new]
+        ids, score, out = [m[0] for m in made], sum([m[1] for m in made]), []
+        changed = self._changes(names, np.array([m[2] for m in made]))
+        for _, changes in changed:
+            path = ids.copy() if changes else ids
+            for k, other in changes:
+                path[k] = other
+            out.append(np.frombuffer(b"".join(path), np.int32))
+        return out, [score - loss for loss, _ in changed]
+
+    def encode(self, text: str) -> tuple[np.ndarray, list[float]]:
+        """The best pieces, and the scores of the ``n`` best segmentations of the whole text."""
+        paths, scores = self.n_best(text)
+        return paths[0], scores
+
+    def _changes(self, segments: list[str], losses: np.ndarray) -> list[tuple[float, tuple[tuple[int, bytes], ...]]]:
+        """What each of the ``n`` best paths loses, and the segments in which it differs from the best one; they are among those of the smallest loss."""
         take = min(self.n - 1, len(losses))
-        sums = [0.0]
-        for k in np.argpartition(losses, take - 1)[:take] if take else ():
+        found = [(0.0, ())]
+        for k in np.argpartition(losses, take - 1)[:take].tolist() if take else ():
             if np.isfinite(losses[k]):
-                top = self.v.best(segments[k], self.n)
-                sums = heapq.nsmallest(self.n, [a + top[0][0] - s for a in sums for s, _ in top])
-        return [score - x for x in sums]
+                found += [(a + loss, (*c, (k, ids))) for a, c in found for loss, ids in self._paths_of(segments[k])[1:]]
+                found = heapq.nsmallest(self.n, found, key=lambda x: x[0])
+        return found
 
     def decode(self, ids: np.ndarray) -> str:
         text = self.v.text
@@ -206,8 +216,16 @@ class Encoder:
         return (joined[1:] if joined.startswith(b" ") else joined).decode()
 
 
+def _nested(paths: list[list[np.ndarray] | None]) -> pa.Array:
+    """The lists of each text's id lists."""
+    flat = [x for p in paths for x in p or ()]
+    ends = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    ids = pa.ListArray.from_arrays(ends([len(x) for x in flat]), pa.array(np.concatenate([np.zeros(0, np.int32), *flat])))
+    return pa.ListArray.from_arrays(ends([len(p or ()) for p in paths]), ids, mask=pa.array([p is None for p in paths]))
+
+
 def encoded(docs: DataFrame, model: str, text: str = "text", n: int = N_BEST) -> DataFrame:
-    """The documents with ``__pieces``, the scores of the ``n`` best segmentations and the decoded text; no shuffle.
+    """The documents with ``__pieces``, the scores of the ``n`` best segmentations, the decoded text and, in ``__n_best``, the pieces of each of them, best first; no shuffle.
 
     The vocabulary is read on the driver from ``model`` and sent to the tasks; its size does not depend on the documents.
     """
@@ -218,24 +236,26 @@ def encoded(docs: DataFrame, model: str, text: str = "text", n: int = N_BEST) ->
         e = Encoder(held.value, n)
         for batch in batches:
             for piece in pieces(batch, text):
-                ids, scores, back = [], [], []
+                paths, scores, back = [], [], []
                 for t in piece.column(text).to_pylist():
-                    made = (None, None) if t is None else e.encode(t)
-                    ids.append(made[0])
+                    made = (None, None) if t is None else e.n_best(t)
+                    paths.append(made[0])
                     scores.append(made[1])
-                    back.append(None if t is None else e.decode(made[0]))
+                    back.append(None if t is None else e.decode(made[0][0]))
                 cells = dict(zip(piece.schema.names, piece.columns))
-                made = [pa.array(ids, pa.list_(pa.int32())), pa.array(scores, pa.list_(pa.float64())), pa.array(back, pa.string())]
-                yield pa.RecordBatch.from_arrays([*(cells[c] for c in names), *made], names=[*names, "__pieces", "__scores", "__decoded"])
+                made = [_nested(paths), pa.array(scores, pa.list_(pa.float64())), pa.array(back, pa.string())]
+                yield pa.RecordBatch.from_arrays([*(cells[c] for c in names), *made], names=[*names, "__n_best", "__scores", "__decoded"])
 
-    return docs.mapInArrow(make, T.StructType([*docs.schema.fields, *T.StructType.fromDDL(ADDED).fields]))
+    found = docs.mapInArrow(make, T.StructType([*docs.schema.fields, *T.StructType.fromDDL(ADDED).fields]))
+    return found.select(*names, F.get("__n_best", F.lit(0)).alias("__pieces"), "__scores", "__decoded", "__n_best")
 
 
 def summary(docs: DataFrame, model: str) -> DataFrame:
-    """``doc_id``, number of pieces, their digest, the scores and whether decoding gave the text back."""
+    """``doc_id``, number of pieces, their digest, the scores, whether decoding gave the text back, and a digest of the pieces of all n best segmentations."""
     made = encoded(docs.select("doc_id", "text"), model)
     return made.select(
         "doc_id", F.size("__pieces").cast("long").alias("n_pieces"), F.sha2(F.array_join("__pieces", ","), 256).alias("pieces_sha256"),
         F.get("__scores", F.lit(0)).alias("score"), F.size("__scores").alias("n_best"), (F.get("__scores", F.lit(0)) - F.get("__scores", F.size("__scores") - 1)).alias("loss_of_last"),
         F.col("__decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+        F.sha2(F.array_join(F.transform("__n_best", lambda x: F.array_join(x, ",")), ";"), 256).alias("n_best_sha256"),
     )

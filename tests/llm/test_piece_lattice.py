@@ -1,5 +1,7 @@
+import hashlib
 import random
 
+import numpy as np
 import pytest
 from public_tokenizers import path
 
@@ -50,3 +52,21 @@ def test_query_and_odd_rows(spark, table):
     got = sorted((repr(r.doc_id), r.n_pieces, r.score is None, r.round_trip) for r in L.summary(table(odd), MODEL).collect())
     assert got == [("1", None, True, True), ("2", 0, False, True), ("3", 40001, False, True), ("3", 40001, False, True), ("None", 1, False, True)]
     assert L.encoded(table(odd).limit(0), MODEL).count() == 0 and L.encoded(table(odd), MODEL).columns[:5] == table(odd).columns
+
+
+def test_pieces_of_all_n_best(spark, table, vocabulary):
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("the ingé1²._\n漢|▁") for _ in range(rnd.randint(1, 12))) for _ in range(60)] + ["the other thing of the other thing"]
+    rows = {r.doc_id: r for r in L.encoded(table(list(enumerate(texts))), MODEL).collect()}
+    e, several = L.Encoder(vocabulary), 0
+    for d, text in enumerate(texts):
+        got = rows[d]["__n_best"]
+        assert got[0] == rows[d]["__pieces"] and len(got) == len(rows[d]["__scores"]) == len(set(map(tuple, got)))
+        assert all(e.decode(np.array(ids)) == text for ids in got)
+        several += len(got) == L.N_BEST
+        if L.BLANK not in text and len(text) < 13:
+            paths = all_paths(vocabulary, L.BLANK + text.replace(" ", L.BLANK))
+            assert all((s, tuple(ids)) in paths for s, ids in zip(rows[d]["__scores"], got))
+    assert several > 30
+    digests = {r.doc_id: r.n_best_sha256 for r in L.summary(table(list(enumerate(texts))), MODEL).collect()}
+    assert digests == {d: hashlib.sha256(";".join(",".join(map(str, x)) for x in r["__n_best"]).encode()).hexdigest() for d, r in rows.items()}
