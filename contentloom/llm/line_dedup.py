@@ -1,19 +1,18 @@
 """Line deduplication by a deletion-neighbourhood join.
 
-A line goes if an earlier line equals it or differs from it by one edit (a character
-added, lost or changed). Lines are ordered by document id and place. Two lines within
-one edit share a variant: the line itself or the line without one character. Each
-line emits its variants as hashed keys; equal keys meet in a grouping, not in pairs:
-
-- lines that lose a character at the same place and are then equal differ in that
-  character only, so all of such a group are within one edit of its earliest line;
-- a line that is itself a variant of others is within one edit of all of them.
-
-Only lines that can have a partner emit variants: an edit leaves the first or the second
-half of the longer line as it is, so lines that share no half with a different line
+A line goes if an earlier line equals it or differs from it by at most ``edits`` edits (a
+character added, lost or changed). Lines are ordered by document id and place. Two lines
+within so many edits share a variant: the line without some of its characters, as many at most.
+Each line emits its variants as hashed keys with the gaps where characters are lost; equal
+keys meet in a grouping, not in pairs. Two lines of one variant are within as many edits as their gaps
+have together, shared ones counted once, whatever the characters. So for each part of a line's gaps
+the earliest line that shares this part is enough, one for each number of gaps in all.
+
+Only lines that can have a partner emit variants: of ``edits`` + 1 parts of the longer line the edits
+leave one as it is, so lines that share no part with a different line
 are left out. This loses nothing. Every link is verified by the edit distance of the texts.
 
-Defined cases: lines with fewer than ``MIN_WORDS`` words, null and empty texts stay as they
+Defined cases: lines without a word, null and empty texts stay as they
 are; a null id counts as the largest; rows that repeat an id with one text are one document and
 get one result, other rows of an id are ordered by line and text; lines keep their characters.
 """
@@ -21,6 +20,7 @@ get one result, other rows of an id are ordered by line and text; lines keep the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,28 +31,37 @@ from contentloom.llm.sidelists import LAST, beside, tags_of
 from contentloom.llm.words import MUL, mixed, pieces, powers
 from contentloom.session import materialize
 
-MIN_WORDS = 3
+EDITS = 1
 
 
-def _halves(line: str) -> list[int]:
-    """Keys of the halves of the line, taken as the longer and as the shorter of two."""
-    n, out = len(line), []
-    for size in (n, n + 1):
-        out.append(xxhash.xxh3_64_intdigest(line[:size // 2], seed=2 * size))
-        out.append(xxhash.xxh3_64_intdigest(line[n - (size - size // 2):], seed=2 * size + 1))
+def _parts(n: int, edits: int) -> list[tuple[int, int, int]]:
+    """Size of the longer line, number of the part and shift of each key of a line of ``n`` characters, as the longer or the shorter of two."""
+    out = []
+    for less in range(edits + 1):
+        for i in range(edits + 1):
+            fixed = 0 if i == 0 else -less if i == edits else None
+            shifts = range(-edits, edits + 1) if fixed is None else (fixed,)
+            out += [(n + less, i, d) for d in shifts if abs(d) + abs(less + d) <= edits]
     return out
 
 
+def _halves(line: str, edits: int = EDITS) -> list[int]:
+    """Keys of the parts of the line, taken as the longer and as the shorter of two."""
+    cut = edits + 1
+    return [xxhash.xxh3_64_intdigest(line[max(0, size * i // cut + d):max(0, size * (i + 1) // cut + d)], seed=cut * size + i) for size, i, d in _parts(len(line), edits)]
+
+
 def _signed(x: list[int]) -> np.ndarray:
     return np.array(x, np.uint64).view(np.int64)
 
 
 def _takes_part(line: str) -> bool:
-    return len(line.encode().split(None, MIN_WORDS - 1)) >= MIN_WORDS
+    return line.strip(" \t\n\v\f\r") != ""
 
 
-def _line_rows(texts: DataFrame) -> DataFrame:
-    """Each line that takes part: ``id``, ``spot`` (place and tag), its 128-bit hash and the keys of its halves."""
+def _line_rows(texts: DataFrame, edits: int) -> DataFrame:
+    """Each line that takes part: ``id``, ``spot`` (place and tag), its 128-bit hash and the keys of its parts."""
+    names = [f"k{i}" for i in range(len(_parts(0, edits)))]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,12 +73,12 @@ def _line_rows(texts: DataFrame) -> DataFrame:
                             row.append(i)
                             spot.append((n << 16) | int(tags[i]))
                             h.append(xxhash.xxh3_128_intdigest(line))
-                            k.append(_halves(line))
-                keys = _signed([x for r in k for x in r]).reshape(-1, 4)
+                            k.append(_halves(line, edits))
+                keys = _signed([x for r in k for x in r]).reshape(-1, len(names))
                 cells = [piece.column("id").take(pa.array(row, pa.int64())), pa.array(spot, pa.int64()), pa.array(_signed([x >> 64 for x in h])), pa.array(_signed([x & (2**64 - 1) for x in h]))]
-                yield pa.RecordBatch.from_arrays([*cells, *(pa.array(np.ascontiguousarray(keys[:, c])) for c in range(4))], names=["id", "spot", "h1", "h2", "k1", "k2", "k3", "k4"])
+                yield pa.RecordBatch.from_arrays([*cells, *(pa.array(np.ascontiguousarray(keys[:, c])) for c in range(len(names)))], names=["id", "spot", "h1", "h2", *names])
 
-    return texts.select("id", "text").mapInArrow(make, "id long, spot long, h1 long, h2 long, k1 long, k2 long, k3 long, k4 long")
+    return texts.select("id", "text").mapInArrow(make, "id long, spot long, h1 long, h2 long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _lists(spots: DataFrame) -> DataFrame:
@@ -110,58 +119,103 @@ def variants(line: str) -> np.ndarray:
     return mixed(np.concatenate([sums[-1:], without]))
 
 
-def _variant_rows(lines: DataFrame) -> DataFrame:
-    """``v`` and ``p`` (-1: the line itself, else the place of the lost character) with ``id`` and ``spot``."""
+def _bits(edits: int) -> int:
+    """Bits of one gap in the number that holds all gaps of a variant."""
+    return 63 // edits
+
+
+def deep_variants(line: str, edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the line without up to ``edits`` characters, and the gaps of each: place + 1, the first gap lowest; 0 if none is lost."""
+    own = variants(line)
+    hashes, gaps, bits = [own], [np.arange(len(own))], _bits(edits)
+    if len(line) >= (1 << bits) - 1:
+        raise ValueError(f"a line of {len(line)} characters is too long for {edits} edits")
+    # What is left of the line, the place from which on more may be lost, the gaps so far.
+    left = [(line, 0, 0)]
+    for depth in range(1, edits):
+        left = [(x[:i] + x[i + 1:], i, g | ((i + 1) << (bits * (depth - 1)))) for x, start, g in left for i in range(start, len(x))]
+        for x, start, g in left:
+            hashes.append(variants(x)[1 + start:])
+            gaps.append(g | ((np.arange(start, len(x)) + 1) << (bits * depth)))
+    return np.concatenate(hashes), np.concatenate(gaps)
+
+
+def _variant_rows(lines: DataFrame, edits: int) -> DataFrame:
+    """``v`` and ``p`` (the gaps of the lost characters, 0: the line itself) with ``me``."""
+
+    def made(lines: pa.Array, mes: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        held, size = [], 0
+        for line, me in zip(lines.to_pylist(), mes.to_pylist()):
+            v, p = deep_variants(line, edits)
+            held.append((v, p, np.full(len(v), me)))
+            size += len(v)
+            if size >= 1 << 20:
+                yield tuple(map(np.concatenate, zip(*held)))
+                held, size = [], 0
+        if held:
+            yield tuple(map(np.concatenate, zip(*held)))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "line"):
-                made = [variants(x) for x in piece.column("line").to_pylist()]
-                n = np.array([len(v) for v in made])
-                row = np.repeat(np.arange(len(made)), n)
-                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) - 1
-                for a in range(0, len(row), 1 << 20):
-                    part = slice(a, a + (1 << 20))
-                    at = pa.array(row[part])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made)[part].view(np.int64)), pa.array(place[part]), piece.column("id").take(at), piece.column("spot").take(at)], names=["v", "p", "id", "spot"])
-
-    return lines.mapInArrow(make, "v long, p long, id long, spot long")
-
-
-def _late(lines: DataFrame) -> DataFrame:
-    """``me``: first places of lines within one edit of an earlier one. ``lines``: ``id``, ``spot``, ``line``, all different."""
-    rows = _variant_rows(lines).select("v", "p", F.struct("id", "spot").alias("me"))
-    same = rows.groupBy("v", "p").agg(F.min("me").alias("m"), F.count("*").alias("n"))
-    same = materialize(same, "variants")
-    mixed_ = same.groupBy("v").agg(F.min(F.when(F.col("p") < 0, F.col("m"))).alias("own"), F.min(F.when(F.col("p") >= 0, F.col("m"))).alias("lost")).where("own is not null and lost is not null")
-    swapped = rows.where("p >= 0").join(same.where("n > 1 and p >= 0"), ["v", "p"]).select("me", F.col("m").alias("by"))
-    longer = rows.join(mixed_, "v").select("me", F.when(F.col("p") < 0, F.col("lost")).otherwise(F.col("own")).alias("by"))
+                for v, p, me in made(piece.column("line"), piece.column("me")):
+                    for a in range(0, len(v), 1 << 20):
+                        part = slice(a, a + (1 << 20))
+                        yield pa.RecordBatch.from_arrays([pa.array(v[part].view(np.int64)), pa.array(p[part]), pa.array(me[part])], names=["v", "p", "me"])
+
+    return lines.select("line", "me").mapInArrow(make, "v long, p long, me long")
+
+
+def _late(lines: DataFrame, edits: int) -> DataFrame:
+    """``me``: lines within ``edits`` edits of an earlier one. ``lines``: ``me``, in the order of the lines, and ``line``, all different."""
+    bits = _bits(edits)
+    gap = lambda p, i: F.shiftright(p, bits * i).bitwiseAND((1 << bits) - 1)
+    n_gaps = lambda p: sum([(gap(F.col(p), i) > 0).cast("int") for i in range(edits)], F.lit(0))
+
+    def part(of: tuple[int, ...]):
+        return sum([F.shiftleft(gap(F.col("p"), i), bits * k) for k, i in enumerate(of)], F.lit(0).cast("long"))
+
+    parts = F.array_distinct(F.array(*[part(c) for n in range(edits + 1) for c in combinations(range(edits), n)]))
+    rows = _variant_rows(lines, edits)
+    same = materialize(rows.groupBy("v", "p").agg(F.min("me").alias("m"), F.count("*").alias("n")), "variants")
+    # A part that is all of the most gaps is shared by lines of the same gaps only, which are grouped already.
+    whole = (F.col("q") == F.col("p")) & (n_gaps("p") == edits)
+    shared = same.select("v", "p", "m", "n", F.explode(parts).alias("q")).where(~whole).groupBy("v", "q").agg(
+        F.sum("n").alias("n"), *[F.min(F.when(n_gaps("p") == i, F.col("m"))).alias(f"m{i}") for i in range(edits + 1)])
+    can_meet = F.coalesce(*[F.when(F.lit(2 * i) <= edits + n_gaps("q"), F.col(f"m{i}")) for i in range(edits + 1)])
+    shared = shared.where((F.col("n") > 1) & can_meet.isNotNull()).drop("n")
+    swapped = rows.where(n_gaps("p") == edits).join(same.where("n > 1"), ["v", "p"]).select("me", F.col("m").alias("by"))
+    room = edits - n_gaps("p") + n_gaps("q")
+    earliest = F.least(*[F.when(F.lit(i) <= room, F.col(f"m{i}")) for i in range(edits + 1)])
+    longer = rows.select("v", "p", "me", F.explode(parts).alias("q")).where(~whole).join(shared, ["v", "q"]).select("me", earliest.alias("by"))
     pairs = swapped.union(longer).where(F.col("by") < F.col("me")).distinct()
-    text = lines.select(F.struct("id", "spot").alias("__at"), "line")
-    one, two = text.select(F.col("__at").alias("me"), F.col("line").alias("a")), text.select(F.col("__at").alias("by"), F.col("line").alias("b"))
-    checked = pairs.join(one, "me").join(two, "by").where(F.levenshtein("a", "b", 1).between(0, 1))
+    one, two = lines.select("me", F.col("line").alias("a")), lines.select(F.col("me").alias("by"), F.col("line").alias("b"))
+    checked = pairs.join(one, "me").join(two, "by").where(F.levenshtein("a", "b", edits).between(0, edits))
     return checked.select("me").distinct()
 
 
-def removed_lines(texts: DataFrame) -> DataFrame:
+def removed_lines(texts: DataFrame, edits: int = EDITS) -> DataFrame:
     """``id`` and ``spot`` of the lines that go. ``texts`` has ``id`` and ``text`` without nulls."""
-    lines = materialize(_line_rows(texts), "lines")
+    names = [f"k{i}" for i in range(len(_parts(0, edits)))]
+    lines = materialize(_line_rows(texts, edits), "lines")
     at = F.struct("id", "spot")
-    first = lines.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("n"), *[F.first(f"k{i}").alias(f"k{i}") for i in range(1, 5)])
+    first = lines.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("n"), *[F.first(k).alias(k) for k in names])
     first = materialize(first, "first-lines")
     again = lines.select("id", "spot", "h1", "h2").join(first.where("n > 1").select("h1", "h2", "first"), ["h1", "h2"]).where(at != F.col("first")).select("id", "spot")
-    keys = first.select(F.explode(F.array("k1", "k2", "k3", "k4")).alias("k"), "h1", "first")
+    keys = first.select(F.explode(F.array(*names)).alias("k"), "h1", "first")
     shared = keys.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("k")
     candidates = keys.join(shared, "k").select("first.id", "first.spot").distinct()
     lists = materialize(_lists(candidates), "candidates")
-    found = materialize(_texts_of(beside(texts, lists, "id", "inner")), "candidate-lines")
-    return again.union(_late(found).select("me.id", "me.spot"))
+    # Numbers that grow with the lines' order stand for their places.
+    found = _texts_of(beside(texts, lists, "id", "inner")).orderBy("id", "spot").withColumn("me", F.monotonically_increasing_id())
+    found = materialize(found, "candidate-lines")
+    return again.union(found.join(_late(found, edits), "me").select("id", "spot"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """The documents without those lines, with ``__n_lines`` and ``__n_removed``."""
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "text").where(F.col("text").isNotNull())
-    gone = materialize(_lists(removed_lines(plain)), "removed-lines")
+    gone = materialize(_lists(removed_lines(plain, edits)), "removed-lines")
     names = docs.columns
     texts = beside(docs, gone, "doc_id", "left").select(*names, "__lists")
 
@@ -184,7 +238,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(make, T.StructType([*docs.schema.fields, T.StructField("__n_lines", T.LongType()), T.StructField("__n_removed", T.LongType())]))
 
 
-def with_text_left(docs: DataFrame) -> DataFrame:
+def with_text_left(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """The deduplicated documents, without those that had words and lost them all."""
-    found = deduplicated(docs)
+    found = deduplicated(docs, edits)
     return found.where((F.col("__n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)

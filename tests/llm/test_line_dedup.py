@@ -46,3 +46,44 @@ def test_edits_and_odd_rows(spark, table, monkeypatch):
     assert sorted((repr(r.doc_id), repr(r.text)) for r in made.collect()) == sorted([("1", repr("one two three\nx"))] * 2 + [("None", "''"), ("2", "''"), ("None", "None")])
     assert sorted(repr(r.doc_id) for r in line_dedup.with_text_left(table(twice)).collect()) == ["1", "1", "None"]
     assert line_dedup.deduplicated(table(twice).limit(0)).count() == 0
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return row[-1]
+
+
+def test_short_lines_and_lines_without_blanks(spark, table):
+    rows = [(1, "Read more\n今日は天気がいいので散歩に行きました\n \n"), (2, "Cookie policy\nRead more\n\n \nx"), (3, "Cookie policy\n今日は天気がいいので散歩に行きます\n今日は天気がいいので散歩に行きました\nRead mores"), (4, "今日は天気がいいので散歩に行きまし")]
+    gone = removed_lines(rows, least_words=1)
+    assert gone == {2: {1}, 3: {0, 2, 3}, 4: {0}}
+    got = {r.doc_id: r["__n_removed"] for r in line_dedup.deduplicated(table(rows)).collect()}
+    assert got == {d: len(gone[d]) for d, _ in rows}
+
+
+def test_query_takes_every_line_with_a_word(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
+    gone = removed_lines(docs, least_words=1)
+    want = {d: (len(gone[d]), sha("\n".join(x for n, x in enumerate((t or "").split("\n")) if n not in gone[d]))) for d, t in docs}
+    assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in op7_line_dedup(spark, FOLDER).collect()} == want
+
+
+def test_more_edits_than_one(spark, table):
+    rnd = random.Random(4)
+    lines = ["Page 12 of a long footer", "Page 34 of a long footer", "a", "abc", "é"]
+    lines += ["".join(rnd.choice("ab") for _ in range(rnd.randint(1, 9))) + rnd.choice(["", "xyzw", "uvwxyz"]) for _ in range(40)]
+    for _ in range(30):
+        x = list(rnd.choice(["some line of words", "quite another one"]))
+        for _ in range(rnd.randint(0, 4)):
+            k = rnd.randrange(len(x))
+            x[k:k + rnd.randint(0, 1)] = rnd.choice(["", "q", "z"])
+        lines.append("".join(x))
+    rows = list(enumerate(lines))
+    for edits in (1, 2, 3):
+        want = {d: int(any(distance(x, lines[e]) <= edits for e in range(d))) for d, x in rows}
+        assert {r.doc_id: r["__n_removed"] for r in line_dedup.deduplicated(table(rows), edits).collect()} == want, edits
