@@ -27,11 +27,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from contentloom.llm.sidelists import LAST, beside, tags_of
+from contentloom.llm.sidelists import LAST, ROW, beside, hash_of
 from contentloom.llm.words import MUL, mixed, pieces, powers
 from contentloom.session import materialize
 
 EDITS = 1
+# Where a line stands, in the order of lines: n is its number in the text.
+AT = ["id", "n", "t1", "t2"]
 
 
 def _parts(n: int, edits: int) -> list[tuple[int, int, int]]:
@@ -60,54 +62,56 @@ def _takes_part(line: str) -> bool:
 
 
 def _line_rows(texts: DataFrame, edits: int) -> DataFrame:
-    """Each line that takes part: ``id``, ``spot`` (place and tag), its 128-bit hash and the keys of its parts."""
+    """Each line that takes part: where it stands, its 128-bit hash and the keys of its parts."""
     names = [f"k{i}" for i in range(len(_parts(0, edits)))]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
-                tags, row, spot, h, k = tags_of(piece.column("text")), [], [], [], []
+                row, number, h, k = [], [], [], []
                 for i, text in enumerate(piece.column("text").to_pylist()):
                     for n, line in enumerate(text.split("\n")):
                         if _takes_part(line):
                             row.append(i)
-                            spot.append((n << 16) | int(tags[i]))
+                            number.append(n)
                             h.append(xxhash.xxh3_128_intdigest(line))
                             k.append(_halves(line, edits))
                 keys = _signed([x for r in k for x in r]).reshape(-1, len(names))
-                cells = [piece.column("id").take(pa.array(row, pa.int64())), pa.array(spot, pa.int64()), pa.array(_signed([x >> 64 for x in h])), pa.array(_signed([x & (2**64 - 1) for x in h]))]
-                yield pa.RecordBatch.from_arrays([*cells, *(pa.array(np.ascontiguousarray(keys[:, c])) for c in range(len(names)))], names=["id", "spot", "h1", "h2", *names])
+                own = pa.array(row, pa.int64())
+                cells = [*(piece.column(c).take(own) for c in ROW), pa.array(number, pa.int64()), pa.array(_signed([x >> 64 for x in h])), pa.array(_signed([x & (2**64 - 1) for x in h]))]
+                yield pa.RecordBatch.from_arrays([*cells, *(pa.array(np.ascontiguousarray(keys[:, c])) for c in range(len(names)))], names=[*ROW, "n", "h1", "h2", *names])
 
-    return texts.select("id", "text").mapInArrow(make, "id long, spot long, h1 long, h2 long, " + ", ".join(f"{n} long" for n in names))
+    return texts.select("id", "text").withColumns(hash_of()).mapInArrow(make, "id long, t1 long, t2 long, n long, h1 long, h2 long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _lists(spots: DataFrame) -> DataFrame:
-    """``id``, ``tag`` and the line numbers in ``places``; no list is longer than its text."""
-    made = spots.groupBy("id", F.col("spot").bitwiseAND(0xFFFF).alias("tag")).agg(F.array_sort(F.collect_set(F.shiftright("spot", 16))).alias("n"))
-    return made.select("id", "tag", F.array_join("n", ",").cast("binary").alias("places"))
+    """What a row is known by and the line numbers in ``places``; no list is longer than its text."""
+    made = spots.groupBy(*ROW).agg(F.array_sort(F.collect_set("n")).alias("n"))
+    return made.select(*ROW, F.array_join("n", ",").cast("binary").alias("places"))
 
 
-def _lines_of(lists: list[dict] | None, tag: int) -> set[int]:
-    return {int(n) for x in lists or [] if x["tag"] == tag for n in x["places"].split(b",")}
+def _lines_of(places: bytes | None) -> set[int]:
+    return {int(n) for n in places.split(b",")} if places else set()
 
 
 def _texts_of(texts: DataFrame) -> DataFrame:
-    """``id``, ``spot`` and text of the listed lines."""
+    """Where the listed lines stand, and their text."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
-                tags, row, spot, line = tags_of(piece.column("text")), [], [], []
-                for i, (text, lists) in enumerate(zip(piece.column("text").to_pylist(), piece.column("__lists").to_pylist())):
-                    wanted = _lines_of(lists, tags[i])
+                row, number, line = [], [], []
+                for i, (text, places) in enumerate(zip(piece.column("text").to_pylist(), piece.column("__places").to_pylist())):
+                    wanted = _lines_of(places)
                     for n, x in enumerate(text.split("\n")) if wanted else ():
                         if n in wanted:
                             row.append(i)
-                            spot.append((n << 16) | int(tags[i]))
+                            number.append(n)
                             line.append(x)
-                yield pa.RecordBatch.from_arrays([piece.column("id").take(pa.array(row, pa.int64())), pa.array(spot, pa.int64()), pa.array(line, pa.string())], names=["id", "spot", "line"])
+                own = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(piece.column(c).take(own) for c in ROW), pa.array(number, pa.int64()), pa.array(line, pa.string())], names=[*ROW, "n", "line"])
 
-    return texts.select("id", "text", "__lists").mapInArrow(make, "id long, spot long, line string").dropDuplicates(["id", "spot"])
+    return texts.select("id", F.col("__t1").alias("t1"), F.col("__t2").alias("t2"), "text", "__places").mapInArrow(make, "id long, t1 long, t2 long, n long, line string").dropDuplicates(AT)
 
 
 def variants(line: str) -> np.ndarray:
@@ -195,21 +199,21 @@ def _late(lines: DataFrame, edits: int) -> DataFrame:
 
 
 def removed_lines(texts: DataFrame, edits: int = EDITS) -> DataFrame:
-    """``id`` and ``spot`` of the lines that go. ``texts`` has ``id`` and ``text`` without nulls."""
+    """Where the lines stand that go. ``texts`` has ``id`` and ``text`` without nulls."""
     names = [f"k{i}" for i in range(len(_parts(0, edits)))]
     lines = materialize(_line_rows(texts, edits), "lines")
-    at = F.struct("id", "spot")
-    first = lines.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("n"), *[F.first(k).alias(k) for k in names])
+    at = F.struct(*AT)
+    first = lines.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("times"), *[F.first(k).alias(k) for k in names])
     first = materialize(first, "first-lines")
-    again = lines.select("id", "spot", "h1", "h2").join(first.where("n > 1").select("h1", "h2", "first"), ["h1", "h2"]).where(at != F.col("first")).select("id", "spot")
+    again = lines.select(*AT, "h1", "h2").join(first.where("times > 1").select("h1", "h2", "first"), ["h1", "h2"]).where(at != F.col("first")).select(*AT)
     keys = first.select(F.explode(F.array(*names)).alias("k"), "h1", "first")
     shared = keys.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("k")
-    candidates = keys.join(shared, "k").select("first.id", "first.spot").distinct()
+    candidates = keys.join(shared, "k").select("first.*").distinct()
     lists = materialize(_lists(candidates), "candidates")
     # Numbers that grow with the lines' order stand for their places.
-    found = _texts_of(beside(texts, lists, "id", "inner")).orderBy("id", "spot").withColumn("me", F.monotonically_increasing_id())
+    found = _texts_of(beside(texts, lists, "id", "inner")).orderBy(*AT).withColumn("me", F.monotonically_increasing_id())
     found = materialize(found, "candidate-lines")
-    return again.union(found.join(_late(found, edits), "me").select("id", "spot"))
+    return again.union(found.join(_late(found, edits), "me").select(*AT))
 
 
 def deduplicated(docs: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -217,18 +221,18 @@ def deduplicated(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "text").where(F.col("text").isNotNull())
     gone = materialize(_lists(removed_lines(plain, edits)), "removed-lines")
     names = docs.columns
-    texts = beside(docs, gone, "doc_id", "left").select(*names, "__lists")
+    texts = beside(docs, gone, "doc_id", "left").select(*names, "__places")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
-                text, lists, tags = piece.column("text").to_pylist(), piece.column("__lists"), tags_of(piece.column("text"))
+                text, places = piece.column("text").to_pylist(), piece.column("__places")
                 n_lines, n_removed = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
                 for i, t in enumerate(text):
                     if t is None:
                         continue
                     n_lines[i] = t.count("\n") + 1
-                    drop = _lines_of(lists[i].as_py(), tags[i])
+                    drop = _lines_of(places[i].as_py())
                     if drop:
                         n_removed[i] = len(drop)
                         text[i] = "\n".join(x for n, x in enumerate(t.split("\n")) if n not in drop)

@@ -1,41 +1,39 @@
 """Lists of places in texts, brought back to the texts.
 
-Rows of a table are known by their id and, as an id may come twice, by a tag of 16
-bits of the text's hash. A null id counts as the largest one.
+Rows of a table are known by their id and, as an id may come twice, by a hash of 128
+bits of the text. A null id counts as the largest one.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from contentloom.llm.words import plain_text
-
 LAST = (1 << 63) - 1
 # Lists up to this size are sent to the texts instead of shuffling the texts.
 SEND_BYTES = 16 << 20
+# What a row is known by; t1 and t2 are the hash of its text.
+ROW = ["id", "t1", "t2"]
 
 
-def tags_of(texts: pa.Array) -> np.ndarray:
-    """16 bits of each text's hash, to tell rows under one id apart."""
-    return np.fromiter((xxhash.xxh3_64_intdigest(t) & 0xFFFF for t in plain_text(texts).to_pylist()), np.int64, len(texts))
+def hash_of(text: str = "text") -> dict:
+    """The 128 bits of each text's hash, as two numbers of different seeds."""
+    return {"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(1), text)}
 
 
 def beside(docs: DataFrame, lists: DataFrame, key: str, how: str) -> DataFrame:
-    """The texts with their lists.
+    """The texts with their list in ``__places``, and ``__t1`` and ``__t2``. ``lists`` has one row for each id and text.
 
     Lists are sent to the texts if their counted size is below ``SEND_BYTES``; larger
-    ones meet the texts in a shuffle. The rows are the same.
+    ones meet the texts in a shuffle by id and text. The rows are the same.
     """
     size = lists.agg(F.coalesce(F.sum(F.length("places") + 32), F.lit(0)).alias("n")).first()["n"]
-    grouped = lists.groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("tag", "places")).alias("__lists"))
-    named = docs.withColumn("__of", F.coalesce(F.col(key).cast("long"), F.lit(LAST)))
-    return named.join(F.broadcast(grouped) if size <= SEND_BYTES else grouped.hint("shuffle_hash"), F.col("__of") == F.col("__id"), how)
+    named_lists = lists.select(*[F.col(c).alias(f"__list_{c}") for c in ROW], F.col("places").alias("__places"))
+    named = docs.withColumns({"__of": F.coalesce(F.col(key).cast("long"), F.lit(LAST))} | {f"__{c}": x for c, x in hash_of().items()})
+    same = (F.col("__of") == F.col("__list_id")) & (F.col("__t1") == F.col("__list_t1")) & (F.col("__t2") == F.col("__list_t2"))
+    return named.join(F.broadcast(named_lists) if size <= SEND_BYTES else named_lists.hint("shuffle_hash"), same, how)
 
 
-def pairs_of(lists: list[dict] | None, tag: int) -> np.ndarray:
-    """The pairs of the text with this tag."""
-    found = [x["places"] for x in lists or [] if x["tag"] == tag]
-    return np.frombuffer(b"".join(found), np.int32).reshape(-1, 2)
+def pairs_of(places: bytes | None) -> np.ndarray:
+    """The pairs of a list."""
+    return np.frombuffer(places or b"", np.int32).reshape(-1, 2)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from contentloom.llm.words import MUL, Runs, hashed, mixed, owners, pieces, split_words
-from contentloom.llm.sidelists import LAST, beside, pairs_of, tags_of
+from contentloom.llm.sidelists import LAST, ROW, beside, hash_of, pairs_of
 from contentloom.session import materialize
 
 WINDOW = 13
@@ -117,7 +117,7 @@ def _grouped(offsets: np.ndarray, words: np.ndarray, size: int) -> tuple[np.ndar
 
 
 def _anchor_rows(docs: DataFrame, size: int) -> DataFrame:
-    """``id``, ``key``, ``around`` and ``spot``: first window, number of windows and the text's tag in one number."""
+    """What a row is known by, ``key``, ``around`` and ``spot``: first window and number of windows in one number."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,59 +125,60 @@ def _anchor_rows(docs: DataFrame, size: int) -> DataFrame:
                 texts = piece.column("text")
                 offsets, words = split_words(texts, fold=False)
                 text, key, around, first, count = _grouped(offsets, hashed(words), size)
-                spot = (first << 24) | (count << 16) | tags_of(texts)[text]
-                yield pa.RecordBatch.from_arrays([piece.column("id").take(pa.array(text)), pa.array(key.view(np.int64)), pa.array(around.view(np.int64)), pa.array(spot)], names=["id", "key", "around", "spot"])
+                spot = (first << 8) | count
+                own = pa.array(text)
+                yield pa.RecordBatch.from_arrays([*(piece.column(c).take(own) for c in ROW), pa.array(key.view(np.int64)), pa.array(around.view(np.int64)), pa.array(spot)], names=[*ROW, "key", "around", "spot"])
 
-    return docs.select("id", "text").mapInArrow(make, "id long, key long, around long, spot long")
+    return docs.select("id", "text").withColumns(hash_of()).mapInArrow(make, "id long, t1 long, t2 long, key long, around long, spot long")
 
 
 def _listed(spots: DataFrame, merge: bool, size: int) -> DataFrame:
-    """``id``, ``tag`` and the windows of one text as pairs of numbers in ``places``.
+    """What a row is known by and the windows of its text as pairs of numbers in ``places``.
 
     With ``merge`` the pairs are the word spans that the windows cover. A list is no longer than its text.
     """
-    lists = spots.groupBy("id", F.col("spot").bitwiseAND(0xFFFF).alias("tag")).agg(F.collect_set("spot").alias("spots"))
+    lists = spots.groupBy(*ROW).agg(F.collect_set("spot").alias("spots"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for spot in batch.column("spots"):
                 s = np.sort(spot.values.to_numpy())
-                first, end = s >> 24, (s >> 24) + ((s >> 16) & 0xFF)
+                first, end = s >> 8, (s >> 8) + (s & 0xFF)
                 if merge:
                     reach = np.maximum.accumulate(end + size - 1)
                     new = np.concatenate([[True], first[1:] > reach[:-1]])
                     last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(s) - 1]])
                     first, end = first[new], reach[last]
                 rows.append(np.stack([first, end], axis=1).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), pa.array(rows, pa.binary())], names=["id", "tag", "places"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ROW), pa.array(rows, pa.binary())], names=[*ROW, "places"])
 
-    return lists.mapInArrow(make, "id long, tag long, places binary")
+    return lists.mapInArrow(make, "id long, t1 long, t2 long, places binary")
 
 
 def _window_rows(texts: DataFrame, size: int) -> DataFrame:
-    """Hash of each listed window with its ``id`` and ``spot``."""
+    """Hash of each listed window with what its row is known by and ``spot``."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
                 offsets, words = split_words(piece.column("text"), fold=False)
-                runs, tags, rows, starts = Runs(hashed(words)), tags_of(piece.column("text")), [], []
-                for i, lists in enumerate(piece.column("__lists").to_pylist()):
-                    own = [np.arange(a, b) for a, b in pairs_of(lists, tags[i])]
+                runs, rows, starts = Runs(hashed(words)), [], []
+                for i, places in enumerate(piece.column("__places").to_pylist()):
+                    own = [np.arange(a, b) for a, b in pairs_of(places)]
                     own = np.concatenate(own) if own else np.zeros(0, np.int64)
                     starts.append(own)
                     rows.append(np.full(len(own), i))
                 row, start = np.concatenate(rows), np.concatenate(starts)
                 at = offsets[row] + start
-                spot = (start << 24) | (1 << 16) | tags[row]
-                yield pa.RecordBatch.from_arrays([pa.array(runs.of(at, at + size).view(np.int64)), piece.column("id").take(pa.array(row)), pa.array(spot)], names=["h", "id", "spot"])
+                spot, own = (start << 8) | 1, pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(runs.of(at, at + size).view(np.int64)), *(piece.column(c).take(own) for c in ROW), pa.array(spot)], names=["h", *ROW, "spot"])
 
-    return texts.select("id", "text", "__lists").mapInArrow(make, "h long, id long, spot long")
+    return texts.select("id", F.col("__t1").alias("t1"), F.col("__t2").alias("t2"), "text", "__places").mapInArrow(make, "h long, id long, t1 long, t2 long, spot long")
 
 
 def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``id`` and ``spot`` of windows that also start in a document with a smaller id.
+    """Row and ``spot`` of windows that also start in a document with a smaller id.
 
     ``docs`` has ``id`` and ``text``.
     """
@@ -186,11 +187,11 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     met = materialize(rows.join(shared, "key"), "anchors")
     settled = (F.col("least") < F.col("id")) & (F.col("around") == F.col("first_around"))
     undecided = met.where((F.col("least") < F.col("id")) & (F.col("around") != F.col("first_around"))).select("key").distinct()
-    lists = materialize(_listed(met.where(~settled).join(undecided, "key", "left_semi").select("id", "spot"), False, size), "undecided")
+    lists = materialize(_listed(met.where(~settled).join(undecided, "key", "left_semi").select(*ROW, "spot"), False, size), "undecided")
     windows = materialize(_window_rows(beside(docs, lists, "id", "inner"), size), "windows")
     least = windows.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     later = windows.join(least, "h").where(F.col("least") < F.col("id"))
-    return met.where(settled).select("id", "spot").union(later.select("id", "spot"))
+    return met.where(settled).select(*ROW, "spot").union(later.select(*ROW, "spot"))
 
 
 def deduplicated(docs: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -202,18 +203,17 @@ def deduplicated(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "text").where(F.col("text").isNotNull())
     spans = materialize(_listed(repeated_windows(plain, size), True, size), "spans")
     names = docs.columns
-    texts = beside(docs, spans, "doc_id", "left").select(*names, "__lists")
+    texts = beside(docs, spans, "doc_id", "left").select(*names, "__places")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
-                text, lists = piece.column("text").to_pylist(), piece.column("__lists")
-                tags = tags_of(piece.column("text"))
+                text, places = piece.column("text").to_pylist(), piece.column("__places")
                 n_words, n_removed = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
                 for i, t in enumerate(text):
                     if not t:
                         continue
-                    spans = pairs_of(lists[i].as_py(), tags[i])
+                    spans = pairs_of(places[i].as_py())
                     words = t.encode().split()
                     n_words[i] = len(words)
                     if len(spans):
