@@ -20,6 +20,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from contentloom.session import materialize
+
 SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -28,8 +30,8 @@ MIN_WORDS, WINDOW, MAX_REPEATED = 20, 8, 30
 ALPHA = 0.05
 # Chance that any certified cutoff of any stratum exceeds its share.
 DELTA = 0.05
-# Languages with most good labels that become strata; bounds what is broadcast.
-MAX_STRATA = 256
+# Cutoffs of so many strata are sent to the documents.
+SEND_STRATA = 10_000
 # Rules: measure, and its cutoffs from lenient to strict. A document above the cutoff is rejected.
 CUTOFFS: dict[str, tuple[float, ...]] = {
     "symbol_share": (0.5, 0.3, 0.2, 0.1, 0.05, 0.02),
@@ -115,7 +117,7 @@ def binomial_tail(k: Column, n: Column, rate: float) -> Column:
     return F.when(k >= n * F.lit(rate), 1.0).otherwise(F.least(F.lit(1.0), F.exp(log_term) * F.aggregate(steps, start, step, lambda a: a["sum"])))
 
 
-def certified_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA, max_strata: int = MAX_STRATA) -> DataFrame:
+def certified_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row per stratum: the cutoff of each rule, null where none is certified.
 
     ``labelled`` has ``stratum``, ``good`` and the measures ``__m``. Within a rule the cutoffs are
@@ -130,7 +132,7 @@ def certified_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float =
         *[F.count_if(F.col("good") & (F.col(f"__m.{r}") > c)).alias(f"{r}_{i}_good") for r, cs in CUTOFFS.items() for i, c in enumerate(cs)],
         *[F.count_if(~F.col("good") & (F.col(f"__m.{r}") > c)).alias(f"{r}_{i}_bad") for r, cs in CUTOFFS.items() for i, c in enumerate(cs)],
     )
-    strata = counted.where("n_good > 0").orderBy(F.desc("n_good"), "stratum").limit(max_strata)
+    strata = counted.where("n_good > 0")
     share, level = alpha / len(CUTOFFS), F.lit(delta / len(CUTOFFS)) / strata.agg(F.count("*").alias("n")).scalar()
     listed = F.array(*[
         F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(float(c)).alias("cutoff"), F.col(f"{r}_{i}_good").alias("good"), F.col(f"{r}_{i}_bad").alias("bad"))
@@ -155,13 +157,15 @@ def holdout(measures: DataFrame, labels: DataFrame, key: str = "doc_id", stratum
 def judged(measures: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
     """Add ``__kept``: the base rule holds and no certified cutoff of the stratum is exceeded.
 
-    ``cutoffs`` has at most ``MAX_STRATA`` rows, which bounds the broadcast.
+    Up to ``SEND_STRATA`` cutoffs are sent to the documents; more meet them in a join that Spark plans. The rows are the same.
     """
+    cutoffs = materialize(cutoffs, "cutoffs")
+    few = cutoffs.count() <= SEND_STRATA
     named = cutoffs.select(F.col("stratum").alias("__stratum"), F.struct(*CUTOFFS).alias("__cut"))
     over = F.lit(False)
     for rule in CUTOFFS:
         over = over | F.coalesce(F.col(f"__m.{rule}") > F.col(f"__cut.{rule}"), F.lit(False))
-    joined = measures.join(F.broadcast(named), F.col(stratum) == F.col("__stratum"), "left")
+    joined = measures.join(F.broadcast(named) if few else named, F.col(stratum) == F.col("__stratum"), "left")
     return joined.withColumn("__kept", ~F.col("__m.base_failed") & ~over).drop("__stratum", "__cut")
 
 
