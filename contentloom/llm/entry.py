@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from contentloom.session import materialize
-from contentloom.llm import decontaminate, language, license_scan, line_dedup, near_dup, oracles, piece_lattice, quality_knn, quality_rules, substring_dedup, transcripts
+from contentloom.llm import conversation_trie, decontaminate, language, license_scan, line_dedup, near_dup, oracles, piece_lattice, quality_knn, quality_rules, substring_dedup, transcripts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -109,5 +109,11 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "class_id", (F.col("class_id") == F.col("doc_id")).alias("kept"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_quality_neighbours, op4_language, op5_decontamination, op6_chat_format, op7_line_dedup, op8_sentencepiece, op9_substring_dedup, op10_near_duplicates)}
-SQL: dict[str, str] = {"op5_decontamination": oracles.OP5, "op9_substring_dedup": oracles.OP9}
+def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    made = conversation_trie.trie(_table(spark, folder, "conversations"))
+    return made.nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_quality_neighbours, op4_language, op5_decontamination, op6_chat_format, op7_line_dedup, op8_sentencepiece, op9_substring_dedup, op10_near_duplicates, op13_conversation_trie)}
+SQL: dict[str, str] = {"op5_decontamination": oracles.OP5, "op9_substring_dedup": oracles.OP9, "op13_conversation_trie": oracles.OP13}

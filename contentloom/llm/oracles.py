@@ -27,3 +27,20 @@ earliest AS (SELECT k, min(doc_id) AS least FROM windows GROUP BY k),
 gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS p FROM windows JOIN earliest USING (k) WHERE least < doc_id),
 kept AS (SELECT w.doc_id, count(g.p) AS n_removed, string_agg(w.x, ' ' ORDER BY w.p) FILTER (g.p IS NULL) AS t FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.p = w.p GROUP BY w.doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+OP13 = r"""
+WITH bits AS (SELECT i, list_reduce(list_concat([i], range(8)), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS v FROM range(256) r(i)),
+tab AS (SELECT list(v ORDER BY i) AS tab FROM bits),
+own AS (SELECT conv_id, list({'role': coalesce(role, ''), 'said': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS l FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+heads AS (SELECT conv_id, l, conv_id - conv_id % 5 AS base,
+  xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 9 AS h FROM own, tab),
+rebuilt AS (SELECT c.conv_id, list_concat(coalesce(list_slice(b.l, 1, c.h), []), list_slice(c.l, c.h + 1, len(c.l))) AS s FROM heads c LEFT JOIN own b ON b.conv_id = c.base),
+steps AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS depth FROM rebuilt),
+paths AS (SELECT conv_id, depth, len(s) AS whole, to_json(list_slice(s, 1, depth)) AS k, to_json(list_slice(s, 1, depth - 1)) AS up, CASE WHEN depth > 0 THEN strlen(s[depth].said) ELSE 0 END AS bytes FROM steps),
+nodes AS (SELECT depth, k, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (whole = depth), '') AS ends FROM paths GROUP BY depth, k),
+kids AS (SELECT depth - 1 AS depth, up AS k, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+below AS (SELECT DISTINCT a.depth, a.k, b.depth AS d, b.k AS kk FROM paths a JOIN paths b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+sums AS (SELECT b.depth, b.k, count(*) FILTER (c.n_children IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.bytes) AS saved FROM below b JOIN nodes n ON n.depth = b.d AND n.k = b.kk LEFT JOIN kids c ON c.depth = b.d AND c.k = b.kk GROUP BY b.depth, b.k)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN sums s ON s.depth = n.depth AND s.k = n.k LEFT JOIN kids c ON c.depth = n.depth AND c.k = n.k LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.k = n.up"""
