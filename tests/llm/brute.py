@@ -96,7 +96,7 @@ def one_edit(a, b):
     return a[i + 1:] == b[i + 1:] or a[i + 1:] == b[i:] or a[i:] == b[i + 1:]
 
 
-def removed_lines(docs, least_words=3):
+def removed_lines(docs, least_words=1):
     """doc_id: numbers of the lines that an earlier line equals or differs from by one edit."""
     lines = [(doc, n, x) for doc, text in sorted(docs, key=lambda d: d[0]) for n, x in enumerate((text or "").split("\n")) if len(plain(x)) >= least_words]
     first = {}
