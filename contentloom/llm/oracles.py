@@ -29,6 +29,21 @@ kept AS (SELECT w.doc_id, count(g.p) AS n_removed, string_agg(w.x, ' ' ORDER BY
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
 
 
+OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+words AS (SELECT id, lang, source, unnest(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS l FROM words GROUP BY ALL HAVING count(DISTINCT id) >= 3),
+counted AS (SELECT w.lang, w.source, w.term, count(*) AS g FROM words w JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, sum(l) AS nl, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT g.lang, g.source, coalesce(c.n, 0) AS n, coalesce(s.nl, 0) AS nl, coalesce(s.v, 0) AS v FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN (SELECT lang, source, sum(g) AS n FROM counted GROUP BY ALL) c USING (lang, source) LEFT JOIN sizes s USING (lang)),
+grid AS (SELECT r.lang, r.source, k.term, coalesce(c.g, 0) AS g, 1 + (1000000000::HUGEINT * (coalesce(c.g, 0) + 1)) // (r.n + r.v) AS p, 1 + (1000000000::HUGEINT * (k.l + 1)) // (r.nl + r.v) AS q
+  FROM groups r JOIN kept k USING (lang) LEFT JOIN counted c ON c.lang = r.lang AND c.source = r.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(p.value, 0) AS BIGINT) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+top AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM grid WHERE g > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM every UNION ALL SELECT * FROM top)) WHERE part = 'pair' OR rank <= 200"""
+
+
 OP13 = r"""
 WITH bits AS (SELECT i, list_reduce(list_concat([i], range(8)), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS v FROM range(256) r(i)),
 tab AS (SELECT list(v ORDER BY i) AS tab FROM bits),

@@ -19,15 +19,15 @@ MUL = np.uint64(0x9E3779B97F4A7C15)
 FOLD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
 
-def pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts hold about ``PIECE_BYTES`` or are one row."""
+def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts hold about ``limit`` bytes or are one row."""
     if batch.num_rows == 0:
         return
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < batch.num_rows:
         done = size[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(size, done + PIECE_BYTES, side="right")))
+        end = max(start + 1, int(np.searchsorted(size, done + limit, side="right")))
         yield batch.slice(start, end - start)
         start = end
 
@@ -39,16 +39,17 @@ def plain_text(texts: pa.Array) -> pa.Array:
     return pa.concat_arrays([pc.fill_null(texts.cast(pa.large_string()), "")])
 
 
-def split_words(texts: pa.Array, fold: bool) -> tuple[np.ndarray, pa.Array]:
+def split_words(texts: pa.Array, fold: bool | bytes) -> tuple[np.ndarray, pa.Array]:
     """Offsets of each text's words and the words of all texts, one after another.
 
     Words are runs without ASCII white space; with ``fold`` they are runs of
-    letters, digits and characters outside ASCII, with A-Z in lower case.
+    letters, digits and characters outside ASCII, with A-Z in lower case. A table of 256 bytes in
+    its place says what each byte becomes before the text is split; bytes of other scripts must stay.
     """
     texts = plain_text(texts)
     if fold:
         _, offsets, data = texts.buffers()
-        folded = (data.to_pybytes() if data is not None else b"").translate(FOLD)
+        folded = (data.to_pybytes() if data is not None else b"").translate(FOLD if fold is True else fold)
         texts = pa.LargeStringArray.from_buffers(len(texts), offsets, pa.py_buffer(folded))
     lists = pc.ascii_split_whitespace(texts)
     offsets, words = np.asarray(lists.offsets), lists.values
