@@ -200,8 +200,8 @@ SUMS = pa.schema([("lang", pa.string()), *[(c, pa.int64()) for c in ("a", "b", "
 class _Sums:
     """One pair of blocks: its sources with their sizes, and the sums of all matrices so far."""
 
-    def __init__(self, key: tuple, block: int):
-        self.key, self.block, self.idx, self.d, self.seen = key, block, np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    def __init__(self, key: tuple, block: int, terms: int):
+        self.key, self.block, self.terms, self.idx, self.d, self.seen = key, block, terms, np.zeros(0, np.int64), np.zeros(0, np.int64), 0
         self.columns: list[np.ndarray] | None = None
         self.rest: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
 
@@ -225,7 +225,7 @@ class _Sums:
         if len(idx):
             self.rest.append((idx, names, g))
         n = sum(len(r[0]) for r in self.rest)
-        if not n or (not last and n < 8 * TERMS):
+        if not n or (not last and n < 8 * self.terms):
             return
         idx, g = (np.concatenate([r[k] for r in self.rest]) for k in (0, 2))
         names = pa.concat_arrays([r[1] for r in self.rest])
@@ -234,8 +234,8 @@ class _Sums:
         self.rest = [] if last else [(idx[end:], names[end:], g[end:])]
         row = np.cumsum(new)[:end] - 1
         at = np.searchsorted(self.idx, idx[:end])
-        for first in range(0, int(row[-1]) + 1 if end else 0, TERMS):
-            a, b = np.searchsorted(row, (first, first + TERMS))
+        for first in range(0, int(row[-1]) + 1 if end else 0, self.terms):
+            a, b = np.searchsorted(row, (first, first + self.terms))
             count = np.zeros((int(row[b - 1]) - first + 1, len(self.idx)), np.int64)
             count[row[a:b] - first, at[a:b]] = g[a:b]
             self.seen += len(count)
@@ -261,7 +261,7 @@ def _pair_sums(kept: DataFrame, groups: DataFrame, block: int) -> DataFrame:
     blocks = groups.groupBy("lang").agg((F.floor(F.max("idx") / block) + 1).alias("nb"))
     known = groups.where("v > 0").join(blocks, "lang").select("lang", "source", "d", "idx", "nb", F.floor(F.col("idx") / block).alias("b"))
     few = groups.count() <= SEND_GROUPS
-    shards = max(1, -(-n_rows // SHARD_ROWS))
+    shards, n_terms = max(1, -(-n_rows // SHARD_ROWS)), TERMS
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("o")
     low, high = F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j")
     cells = kept.join(F.broadcast(known) if few else known, ["lang", "source"]).select("lang", "term", "g", "idx", "b", other).select("lang", low, high, F.pmod(F.xxhash64("term"), F.lit(shards)).alias("shard"), "term", "idx", "g")
@@ -285,7 +285,7 @@ def _pair_sums(kept: DataFrame, groups: DataFrame, block: int) -> DataFrame:
                 if state is None or state.key != own:
                     if state is not None:
                         yield from state.rows()
-                    state = _Sums(own, block)
+                    state = _Sums(own, block, n_terms)
                 m = a + int(is_head[a:b].sum())
                 state.heads(idx[a:m], g[a:m])
                 if m < b:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from contentloom.session import materialize
-from contentloom.llm import conversation_trie, decontaminate, divergence_audit, language, license_scan, line_dedup, near_dup, oracles, piece_lattice, quality_knn, quality_rules, substring_dedup, transcripts
+from contentloom.llm import conversation_trie, decontaminate, divergence_audit, language, license_scan, line_dedup, near_dup, oracles, piece_lattice, quality_knn, quality_rules, substring_dedup, transcripts, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -109,6 +109,12 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "class_id", (F.col("class_id") == F.col("doc_id")).alias("kept"))
 
 
+def op11_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages written as WARC records and read back from the archives."""
+    found = warc.round_trip(_table(spark, folder, "pages"))
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("first").alias("refers_to"))
+
+
 def op12_divergence_audit(spark: SparkSession, folder: str) -> DataFrame:
     """Divergence of the sources of each language, by pair and by term."""
     return divergence_audit.audit(_table(spark, folder, "documents"))
@@ -120,5 +126,5 @@ def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
     return made.nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_quality_neighbours, op4_language, op5_decontamination, op6_chat_format, op7_line_dedup, op8_sentencepiece, op9_substring_dedup, op10_near_duplicates, op12_divergence_audit, op13_conversation_trie)}
-SQL: dict[str, str] = {"op5_decontamination": oracles.OP5, "op9_substring_dedup": oracles.OP9, "op12_divergence_audit": oracles.OP12, "op13_conversation_trie": oracles.OP13}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_quality_neighbours, op4_language, op5_decontamination, op6_chat_format, op7_line_dedup, op8_sentencepiece, op9_substring_dedup, op10_near_duplicates, op11_warc, op12_divergence_audit, op13_conversation_trie)}
+SQL: dict[str, str] = {"op5_decontamination": oracles.OP5, "op9_substring_dedup": oracles.OP9, "op11_warc": oracles.OP11, "op12_divergence_audit": oracles.OP12, "op13_conversation_trie": oracles.OP13}

