@@ -12,6 +12,8 @@ from contentloom.functions import payload as P
 from contentloom.operators.skew import fold
 
 QUERY_BLOCK = 512
+# Rows of one meeting of queries and vectors.
+QUERY_ROWS, VECTOR_ROWS = 4096, 65_536
 SCORES = "query_id string, content_id string, score double"
 
 
@@ -42,48 +44,54 @@ def _best_of(query_ids: np.ndarray, query_units: np.ndarray, ids: np.ndarray, un
         yield pd.DataFrame({"query_id": query_ids[at + q], "content_id": ids[top.ravel()], "score": scores[q, top.ravel()]})
 
 
-def _usable(df: DataFrame) -> DataFrame:
+def usable(df: DataFrame) -> DataFrame:
     """Rows whose vector can be compared."""
     return df.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)))
 
 
 def unusable(vectors: DataFrame) -> DataFrame:
     """Ids of vectors that ``top_k`` cannot compare: NULL, empty, or with a NULL or NaN inside."""
-    return vectors.select("content_id", "embedding").join(_usable(vectors).select("content_id"), "content_id", "left_anti").select("content_id")
+    return vectors.select("content_id", "embedding").join(usable(vectors).select("content_id"), "content_id", "left_anti").select("content_id")
+
+
+def scores_in_group(q: pd.DataFrame, v: pd.DataFrame, k: int, threshold: float | None = None) -> pd.DataFrame:
+    """The k best vectors of a group for each of its queries, among those of the query's length."""
+    found = [pd.DataFrame({"query_id": pd.Series(dtype=object), "content_id": pd.Series(dtype=object), "score": pd.Series(dtype=float)})]
+    v = v.sort_values("content_id")
+    size = v["embedding"].map(len)
+    for n, same in q.groupby(q["embedding"].map(len)):
+        near = v[size == n]
+        if len(near):
+            found += _best_of(same["query_id"].to_numpy(dtype=object), _unit(same["embedding"]), near["content_id"].to_numpy(dtype=object), _unit(near["embedding"]), k)
+    best = pd.concat(found)
+    return best if threshold is None else best[best["score"] >= threshold]
 
 
 def top_k(
     queries: DataFrame, vectors: DataFrame, k: int = 10, content_type: str | None = None,
-    filters: Mapping[str, str] | None = None, threshold: float | None = None, blocks: int = 1, shards: int = 32,
+    filters: Mapping[str, str] | None = None, threshold: float | None = None, blocks: int | None = None, shards: int | None = None,
 ) -> DataFrame:
     """The k most similar contents per query vector by cosine, exactly.
 
     ``queries`` holds (query_id, embedding), ``vectors`` (content_id, embedding,
     content_type, metadata). Queries in ``blocks`` meet vectors in ``shards``; each
     meeting keeps its k best per query, which a ranking then joins. Both numbers only
-    set the size of a task: a vector is sent ``blocks`` times, a query ``shards`` times.
+    set the size of a task: a vector is sent ``blocks`` times, a query ``shards`` times. Unless given
+    they follow from the counted rows, so a meeting has about ``QUERY_ROWS`` queries and ``VECTOR_ROWS`` vectors at any size.
     Vectors are compared with queries of their own length; unusable ones (see
     ``unusable``) are no candidates, and a query of that kind finds nothing.
+    ``vector_index`` reads less where vectors are searched more than once.
     """
     spread = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = _usable(queries.select("query_id", "embedding"))
-    rows = _usable(filtered(vectors, content_type, filters).select("content_id", "embedding"))
+    asked = usable(queries.select("query_id", "embedding"))
+    rows = usable(filtered(vectors, content_type, filters).select("content_id", "embedding"))
+    blocks = blocks or max(1, -(-queries.count() // QUERY_ROWS))
+    # A shard per core is the least, so that few rows still meet in parallel.
+    shards = shards or max(queries.sparkSession.sparkContext.defaultParallelism, -(-vectors.count() // VECTOR_ROWS))
     left = asked.withColumn("block", spread("query_id", blocks)).withColumn("shard", every(shards))
     right = rows.withColumn("shard", spread("content_id", shards)).withColumn("block", every(blocks))
-
-    def score(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({"query_id": pd.Series(dtype=object), "content_id": pd.Series(dtype=object), "score": pd.Series(dtype=float)})]
-        v = v.sort_values("content_id")
-        size = v["embedding"].map(len)
-        for n, same in q.groupby(q["embedding"].map(len)):
-            near = v[size == n]
-            if len(near):
-                found += _best_of(same["query_id"].to_numpy(dtype=object), _unit(same["embedding"]), near["content_id"].to_numpy(dtype=object), _unit(near["embedding"]), k)
-        best = pd.concat(found)
-        return best if threshold is None else best[best["score"] >= threshold]
-
-    best = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(score, SCORES)
+    best = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(lambda q, v: scores_in_group(q, v, k, threshold), SCORES)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "content_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from contentloom.functions import payload as P
 from contentloom.functions.model import model, struct_for
-from contentloom.operators import catalog as C, vectors as E, verify as K, writes as W
+from contentloom.operators import catalog as C, vector_index as I, vectors as E, verify as K, writes as W
 from contentloom.plans.reading import NOW
 from contentloom.plans.registry import query
 from contentloom.session import scratch_path
@@ -220,6 +220,31 @@ def similar_in_blocks(t):
     return E.top_k(asked(t), t.vectors, 4, blocks=4, shards=8)
 
 
+# Queries whose id is divisible by 100, against all vectors.
+HUNDREDTH = "CAST(substr(q.content_id, 5) AS BIGINT) % 100 = 0"
+
+
+def indexed(t):
+    """An index of all vectors and the queries of every hundredth."""
+    asked_for = asked(t).where(F.substring("query_id", 5, 20).cast("bigint") % 100 == 0)
+    return I.build(t.vectors, scratch_path(t.spark, "vector-index")), asked_for
+
+
+@query("e01_index_similar", SIMILAR.format(where=HUNDREDTH, k=10))
+def index_similar(t):
+    return I.search(*indexed(t), 10)
+
+
+@query("e01_index_filtered", SIMILAR.format(where=f"{HUNDREDTH} AND v.content_type = 'label-1' AND json_extract_string(v.metadata, '$.label') = '1'", k=5))
+def index_filtered(t):
+    return I.search(*indexed(t), 5, "label-1", {"label": "1"})
+
+
+@query("l03_index_above_threshold", f"SELECT * FROM ({SIMILAR.format(where=HUNDREDTH, k=20)}) WHERE score >= 0.4")
+def index_above(t):
+    return I.search(*indexed(t), 20, threshold=0.4)
+
+
 @query("e02_extract_text", "SELECT id, concat_ws(' ', text, CASE WHEN length(text) > 0 THEN 'about ' || content_type ELSE 'about ' || content_type END) AS text FROM @doc_contents")
 def extract_text(t):
     extra = P.merge_object(F.col("content"), {"summary": P.quoted(F.concat(F.lit("about "), "content_type"))})
