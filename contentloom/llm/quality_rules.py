@@ -170,6 +170,12 @@ def judged(measures: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> Da
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their own columns."""
-    cutoffs = certified_cutoffs(holdout(measured(docs, keep=("doc_id", "lang")), labels))
-    return judged(measured(docs), cutoffs).where("__kept").select(*docs.columns)
+    """The documents that the rules keep, with their own columns, whatever those are called.
+
+    Documents and measures are written once: cutoffs and verdicts read the written
+    measures, so that no filter repeats the expressions behind them.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "lang", "text")
+    measures = materialize(measured(rows, keep=("row", "doc_id", "lang")), "quality-measures")
+    cutoffs = certified_cutoffs(holdout(measures, labels))
+    return judged(measures, cutoffs).where("__kept").select("row.*")
