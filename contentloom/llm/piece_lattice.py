@@ -36,8 +36,12 @@ from contentloom.llm.words import pieces
 # Fixed value: the vocabulary's mark for a blank.
 BLANK = "▁"
 N_BEST = 4
-# Segments remembered per process; the store is emptied when full, which changes no result.
-REMEMBER = 400_000
+# Bytes of segments remembered per process; the store is emptied when full, which changes no result.
+REMEMBER_BYTES = 48 << 20
+# What an entry of the store takes besides its characters and pieces, about.
+ENTRY_BYTES = 320
+# Texts encoded at a time; their id lists stand side by side in memory.
+PIECE_BYTES = 1 << 20
 ADDED = "__n_best array<array<int>>, __scores array<double>, __decoded string"
 
 
@@ -57,7 +61,16 @@ class Vocabulary:
         for b, i in enumerate(byte_ids):
             self.text[i] = bytes([b])
         self.segments = self._breaks()
-        self.known, self.paths_known = {}, {}
+        self.known, self.paths_known, self.held = {}, {}, 0
+
+    def remember(self, size: int) -> None:
+        """Count what goes into the stores; both are emptied when they are full."""
+        self.held += ENTRY_BYTES + size
+        if self.held > REMEMBER_BYTES:
+            self.known.clear()
+            for paths in self.paths_known.values():
+                paths.clear()
+            self.held = 0
 
     def _breaks(self) -> re.Pattern:
         """The pattern of segments: blanks, then letters, one digit or other characters."""
@@ -157,8 +170,7 @@ class Encoder:
             return b"", 0.0, np.inf
         ids, best, loss = self.v.first(segment)
         made = array("i", ids).tobytes(), best, loss
-        if len(self.known) >= REMEMBER:
-            self.known.clear()
+        self.v.remember(4 * len(segment) + len(made[0]))
         self.known[segment] = made
         return made
 
@@ -168,8 +180,7 @@ class Encoder:
         if made is None:
             top = self.v.best(segment, self.n)
             made = [(top[0][0] - s, array("i", ids).tobytes()) for s, ids in top]
-            if len(self.paths_known) >= REMEMBER // 8:
-                self.paths_known.clear()
+            self.v.remember(4 * len(segment) + sum(ENTRY_BYTES + len(ids) for _, ids in made))
             self.paths_known[segment] = made
         return made
 
@@ -235,7 +246,7 @@ def encoded(docs: DataFrame, model: str, text: str = "text", n: int = N_BEST) ->
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Encoder(held.value, n)
         for batch in batches:
-            for piece in pieces(batch, text):
+            for piece in pieces(batch, text, PIECE_BYTES):
                 paths, scores, back = [], [], []
                 for t in piece.column(text).to_pylist():
                     made = (None, None) if t is None else e.n_best(t)
