@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from contentloom.functions import payload as P, rules as R
 from contentloom.functions.model import model
 from contentloom.functions.text import slug
-from contentloom.operators import catalog, store, vectors
+from contentloom.operators import catalog, search_index, store, vectors
 from contentloom.plans.registry import query
+from contentloom.session import scratch_path
 from contentloom.sources import definitions, tables
 
 NOW = "2024-06-01 00:00:00"
@@ -163,6 +164,30 @@ def search(t):
     return store.search(t.doc_contents, "da_a").select("id", "content_type", "title")
 
 
+def indexed_search(t, pattern):
+    path = scratch_path(t.spark, "search-index")
+    search_index.build(t.doc_contents, path)
+    return search_index.search(t.spark, path, pattern).select("id", "content_type", "title")
+
+
+SEARCHED = "SELECT id, content_type, title FROM @doc_contents WHERE title ILIKE '%{0}%' OR content ILIKE '%{0}%' OR metadata ILIKE '%{0}%'"
+
+
+@query("f07_index_search", SEARCHED.format("ÉTION de"))
+def index_search(t):
+    return indexed_search(t, "ÉTION de")
+
+
+@query("f07_index_wildcards", SEARCHED.format("WHER%ing t_e"))
+def index_wildcards(t):
+    return indexed_search(t, "WHER%ing t_e")
+
+
+@query("f07_index_short_pattern", SEARCHED.format("da_a"))
+def index_short_pattern(t):
+    return indexed_search(t, "da_a")
+
+
 @query("f08_active", f"SELECT {EIGHT} FROM @contents WHERE status = 'active'")
 def active(t):
     return store.project_columns(store.active(t.contents))
