@@ -122,16 +122,21 @@ def candidates(spark: SparkSession, path: str, grams: Sequence[int]) -> DataFram
     return of_range.where(F.size("lists") == len(grams)).select("__range", F.explode(common).alias("__row"))
 
 
+def rows_read(spark: SparkSession, path: str, found: DataFrame) -> DataFrame:
+    """The rows that are read for the candidates: their ranges if those are few, else the table."""
+    rows = stored(spark, path)
+    ranges = [r[0] for r in found.select("__range").distinct().limit(SEND_RANGES + 1).collect()]
+    if len(ranges) > SEND_RANGES:
+        return rows
+    # A range's task number is in its upper bits, as monotonically_increasing_id puts it there.
+    shelves = sorted({(r * RANGE >> 33) % SHELVES for r in ranges})
+    return rows.where(F.col("__shelf").isin(shelves) & F.col("__range").isin(ranges)) if ranges else rows.where(F.lit(False))
+
+
 def search(spark: SparkSession, path: str, query: str) -> DataFrame:
     """The rows that ``store.search`` finds in the indexed table."""
-    rows = stored(spark, path)
     grams = literal_grams(spark, query)
     if not grams:
-        return store.search(rows, query).drop(*PLACES)
+        return store.search(stored(spark, path), query).drop(*PLACES)
     found = materialize(candidates(spark, path, grams), "candidates")
-    ranges = [r[0] for r in found.select("__range").distinct().limit(SEND_RANGES + 1).collect()]
-    if len(ranges) <= SEND_RANGES:
-        # A range's task number is in its upper bits, as monotonically_increasing_id puts it there.
-        shelves = sorted({(r * RANGE >> 33) % SHELVES for r in ranges})
-        rows = rows.where(F.col("__shelf").isin(shelves) & F.col("__range").isin(ranges)) if ranges else rows.where(F.lit(False))
-    return store.search(rows.join(found, ["__range", "__row"], "left_semi"), query).drop(*PLACES)
+    return store.search(rows_read(spark, path, found).join(found, ["__range", "__row"], "left_semi"), query).drop(*PLACES)

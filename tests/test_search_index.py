@@ -41,14 +41,13 @@ def test_equals_scan(spark, index, monkeypatch, pattern, send):
 
 def test_reads_a_part_of_the_table(spark, index):
     table, path = index
-    found = S.search(spark, path, "needle")
-    assert found.count() == 1
-    files = lambda df: [f for f in df.inputFiles() if "/rows/" in f]
-    assert 0 < len(files(found)) < len(files(S.stored(spark, path)))
-    plan = found._jdf.queryExecution().toString()
-    assert "PartitionFilters: [" in plan and "In(__range" in plan.replace("EqualTo(__range", "In(__range")
     grams = S.literal_grams(spark, "needle")
-    assert len(grams) == 4 and S.candidates(spark, path, grams).count() <= 2  # the row that has them in different columns is a candidate
+    found = S.candidates(spark, path, grams)
+    assert len(grams) == 4 and found.count() <= 2  # the row that has them in different columns is a candidate too
+    read = S.rows_read(spark, path, found)
+    assert 0 < read.count() < table.count()
+    plan = read._jdf.queryExecution().toString()
+    assert "__shelf" in plan[plan.index("PartitionFilters"):] and "__range" in plan[plan.index("PushedFilters"):]
 
 
 def test_lists_stay_small(spark, index):
