@@ -25,7 +25,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from contentloom.operators import store
 from contentloom.session import materialize
@@ -93,15 +93,16 @@ def build(df: DataFrame, path: str) -> None:
     numbered = df.withColumns({"__number": n, "__shelf": F.pmod(F.spark_partition_id(), F.lit(SHELVES))})
     placed = numbered.withColumns({"__range": F.floor(F.col("__number") / RANGE).cast("long"), "__row": (F.col("__number") % RANGE).cast("int")}).drop("__number")
     placed.write.partitionBy("__shelf").parquet(f"{path}/rows")
+    # An empty table has no file of its own that tells its columns.
+    placed.limit(0).write.parquet(f"{path}/columns")
     # Lower case as ILIKE sees it.
-    rows = stored(df.sparkSession, path, placed.schema).select("__range", "__row", *[F.lower(c).alias(c) for c in COLUMNS])
+    rows = stored(df.sparkSession, path).select("__range", "__row", *[F.lower(c).alias(c) for c in COLUMNS])
     _gathered(rows).hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{path}/grams")
 
 
-def stored(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def stored(spark: SparkSession, path: str) -> DataFrame:
     """The indexed rows with their places."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(f"{path}/rows")
+    return spark.read.schema(spark.read.parquet(f"{path}/columns").schema).parquet(f"{path}/rows")
 
 
 def literal_grams(spark: SparkSession, query: str) -> list[int]:
