@@ -74,6 +74,44 @@ def test_stream_upsert_over_several_batches(spark, tmp_path):
     assert rows(snapshots.read(spark, root, ["k"], ["at"]), "k", "at") == [("a", 3), ("b", 5), ("c", 1)]
 
 
+def test_stream_of_many_batches_stays_small(spark, tmp_path):
+    source, root, checkpoint, n = str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "cp"), 23
+    for b in range(n):
+        spark.createDataFrame([(f"k{(b + j) % 7}", b, b * j) for j in range(3)], "k string, at int, v int").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("k string, at int, v int").option("maxFilesPerTrigger", 1).parquet(source)
+    run = lambda s: upsert_stream(s, root, ["k"], ["at"], checkpoint, available_now=True, fold_after=4)
+    run(stream).awaitTermination()
+    want = {}
+    for r in spark.read.parquet(source).collect():
+        want[r.k] = max(want.get(r.k, (-1,)), (r.at, r.v))
+    state = lambda: snapshots.read(spark, root, ["k"], ["at"])
+    assert {r.k: (r.at, r.v) for r in state().collect()} == want
+    assert snapshots.manifest(spark, root).count() <= 10 and snapshots.waiting(spark, root) < 4
+    assert state()._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 2
+    # The stream's past batches are known although their rows in the log are gone, and another stream's are not.
+    log = snapshots.manifest(spark, root)
+    (name, last), = {k: v for r in log.collect() for k, v in (r.streams or {}).items()}.items()
+    assert last >= n - 5 and all(snapshots.published(spark, root, name, b) for b in range(last + 1))
+    assert not snapshots.published(spark, root, name, n + 1) and not snapshots.published(spark, root, "other", 0)
+    run(stream).awaitTermination()
+    assert {r.k: (r.at, r.v) for r in state().collect()} == want
+
+
+def test_unfinished_writes_do_not_count(spark, tmp_path):
+    root = str(tmp_path / "t")
+    table = lambda *r: spark.createDataFrame(r, "k string, at int")
+    snapshots.publish(table(("a", 1)), root, "one")
+    table(("a", 9), ("b", 9)).write.parquet(f"{root}/deltas/version=2")  # its job ended before the log was written
+    assert rows(snapshots.read(spark, root, ["k"], ["at"]), "k", "at") == [("a", 1)]
+    snapshots.publish_delta(table(("b", 2)), root, "two")
+    assert rows(snapshots.read(spark, root, ["k"], ["at"]), "k", "at") == [("a", 1), ("b", 2)]
+    for _ in range(3):
+        snapshots.compact(spark, root, ["k"], ["at"])
+    assert rows(snapshots.read(spark, root), "k", "at") == [("a", 1), ("b", 2)]
+    assert snapshots.published(spark, root, "one") and snapshots.published(spark, root, "two") and not snapshots.published(spark, root, "three")
+    assert snapshots.manifest(spark, root).count() == 2
+
+
 def test_write_split(spark, tmp_path):
     m = model("M", x="int")
     df = spark.createDataFrame([(1, '{"x":1}'), (2, '{"x":"1"}')], "n int, j string")
