@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from contentloom.operators import hierarchy as H, references as X
+from contentloom.operators import hierarchy as H, reference_view, references as X
 from contentloom.plans.registry import derive, query
+from contentloom.session import scratch_path
 
 # The references every order line embeds, by hand.
 EMBEDDED = """
@@ -70,6 +71,27 @@ def referenced_by_lists(t):
     return parts.groupBy("target_id").agg(F.sum(size).alias("n"), F.min(low).alias("first_id"), F.max(high).alias("last_id"))
 
 
+# Edges after two batches of changes, and objects after some were deleted and some got another type.
+derive("edges_later", f"""
+SELECT source_id, target_id, reference_type FROM (SELECT * FROM @edges WHERE source_id NOT IN (SELECT id FROM ({CHANGED})) UNION ALL SELECT * FROM ({NEW_EDGES})) WHERE source_id NOT LIKE 'customer-%'
+""")
+derive("objects_later", """
+SELECT id, CASE WHEN id LIKE 'order-%7' THEN 'archived' ELSE object_type END AS object_type FROM @objects WHERE id NOT LIKE 'nation-1%' AND id NOT LIKE 'order-%3'
+""")
+
+
+@query("r04_kept_by_changes", """SELECT DISTINCT e.target_id, e.source_id AS id, coalesce(s.object_type, 'unknown') AS type
+FROM @edges_later e JOIN @objects_later o ON o.id = e.target_id LEFT JOIN @objects_later s ON s.id = e.source_id""")
+def kept_by_changes(t):
+    view = reference_view.create(t.edges, t.objects, scratch_path(t.spark, "reference-view"), 16)
+    reference_view.replace_edges(view, t.sql(CHANGED), t.sql(NEW_EDGES), "urgent")
+    customers = t.objects.where("id LIKE 'customer-%'").select("id")
+    reference_view.replace_edges(view, customers, t.edges.limit(0), "customers")
+    retyped = t.objects.where("id LIKE 'order-%7'").select("id", F.lit("archived").alias("object_type"))
+    reference_view.change_objects(view, retyped, t.objects.where("id LIKE 'nation-1%' OR id LIKE 'order-%3'").select("id"), "objects")
+    return view.read(t.spark)
+
+
 @query("r05_dangling_references", "SELECT source_id, target_id, reference_type FROM @edges WHERE target_id NOT IN (SELECT id FROM @objects)")
 def dangling_references(t):
     return X.dangling(t.edges, t.objects).select("source_id", "target_id", "reference_type")
