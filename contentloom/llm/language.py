@@ -1,18 +1,19 @@
 """Language identification by sparse multinomial logistic regression on character n-grams.
 
 Features are hashed n-grams of one to three characters within words, weighted by TF-IDF with
-document frequencies counted over all documents. The weights are trained with
+document frequencies counted over all documents that may be learned from. The weights are trained with
 follow-the-regularised-leader and an elastic net: the L1 part keeps most of them at zero,
 the L2 part keeps the others small. A temperature fitted on a part of the sample that was
 not trained on calibrates the scores.
 
-The sample takes about ``PER_LANGUAGE`` documents of each of the ``MAX_LANGUAGES`` most frequent
-languages; this bounds what is trained on and sent. Rows are drawn by a hash, so
+The sample takes about ``PER_LANGUAGE`` documents of every language, all of a rare one;
+this bounds what is trained on. The weights that are sent have one column per language. Rows are drawn by a hash, so
 retries draw the same ones.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without any
-sample every text is ``und``; null languages teach nothing; texts count whole; repeated rows
-and null ids are predicted row by row.
+sample every text is ``und``; null languages teach nothing; texts of any length count whole; repeated rows
+and null ids are predicted row by row, but equal texts of one language teach once; of equally likely languages the
+first in the alphabet is taken; an empty table gives no rows; other columns pass through, those named ``__lang`` and ``__score`` are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from contentloom.llm.features import document_counts, inverse_frequency, product
 from contentloom.llm.words import mixed, pieces, plain_text
 
 FEATURES, GRAMS = 1 << 13, 3
-PER_LANGUAGE, MAX_LANGUAGES = 400, 256
+PER_LANGUAGE = 400
 # Training: step size, its offset, and the two penalties.
 STEP, OFFSET, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.01, 4
 UNKNOWN = "und"
@@ -135,13 +136,15 @@ def calibrated(logits: np.ndarray, label: np.ndarray) -> float:
 
 
 def fitted(docs: DataFrame, teaches: Column, key: str = "doc_id") -> Model:
-    found, rows = document_counts(docs, _occurrences, FEATURES)
-    idf = inverse_frequency(found, rows)
+    """Learn from the rows that ``teaches`` allows, and from no other: frequencies, weights and temperature."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & teaches)
-    totals = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    rate = F.create_map(*[F.lit(x) for r in totals for x in (r["lang"], min(1.0, PER_LANGUAGE / r["n"]))]) if totals else F.create_map().cast("map<string,double>")
+    found, rows = document_counts(known, _occurrences, FEATURES)
+    idf = inverse_frequency(found, rows)
+    totals = known.groupBy("lang").agg(F.count("*").alias("of_lang"))
     draw = F.pmod(F.xxhash64(key, "text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.where(draw < F.coalesce(F.try_element_at(rate, "lang"), F.lit(0.0))).select("text", "lang").limit(2 * PER_LANGUAGE * max(1, len(totals)))
+    # A row per language, far less than the model, which has a column of weights for each.
+    drawn = known.select(key, "text", "lang").join(F.broadcast(totals), "lang").where(draw * F.col("of_lang") < PER_LANGUAGE)
+    sample = drawn.select("text", "lang").dropDuplicates()
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,6 +179,7 @@ def predictions(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
 
 def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The documents with ``__lang`` and ``__score``; no shuffle."""
+    docs = docs.drop("__lang", "__score")
     held, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
