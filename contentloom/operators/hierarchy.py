@@ -103,6 +103,14 @@ def levels(df: DataFrame) -> DataFrame:
         F.when(F.col("up").isNull() | lost, 0).otherwise(1).cast("bigint").alias("dist"),
         F.when(lost, F.lit("parent_not_found")).alias("issue"),
     ), "levels")
+    return doubled(state)
+
+
+def doubled(state: DataFrame) -> DataFrame:
+    """(id, level, issue) of rows that look ``dist`` steps up, to ``up``; NULL there means finished.
+
+    Each round looks up as far again; rows that look at one another for good are cycles, and so is what hangs below them.
+    """
     before = None
     while True:
         todo = state.where(F.col("up").isNotNull())
@@ -119,7 +127,7 @@ def levels(df: DataFrame) -> DataFrame:
             "id",
             F.col("__up").alias("up"),
             (F.col("dist") + F.col("__dist")).alias("dist"),
-            F.when(F.col("__issue").isNotNull(), F.lit("ancestor_not_found")).alias("issue"),
+            F.when(F.col("__issue") == "cycle", "cycle").when(F.col("__issue").isNotNull(), "ancestor_not_found").alias("issue"),
         )
         state = materialize(state.where(F.col("up").isNull()).unionByName(moved), "levels")
     issue = F.when(F.col("up").isNotNull(), F.lit("cycle")).otherwise(F.col("issue"))

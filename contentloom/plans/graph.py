@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from contentloom.operators import hierarchy as H, reference_view, references as X
+from contentloom.operators import hierarchy as H, level_table, reference_view, references as X
 from contentloom.plans.registry import derive, query
 from contentloom.session import scratch_path
 
@@ -161,6 +161,28 @@ def levels(t):
     return H.levels(t.tree)
 
 
+# The tree after moves: nations change their region, one hangs below its own customer, loops open, customers go.
+derive("tree_later", """
+SELECT id, CASE WHEN id LIKE 'nation-1_' THEN 'region-0' WHEN id = 'nation-7' THEN 'region-1' WHEN id = 'nation-3' THEN (SELECT min(id) FROM @raw_contents WHERE parent_id = 'nation-3')
+  WHEN id LIKE 'loop-%5' THEN CAST(NULL AS STRING) ELSE parent_id END AS parent_id FROM @tree WHERE id NOT LIKE 'customer-%9'
+""")
+
+
+@query("h01_kept_levels", """
+WITH RECURSIVE walk AS (
+  SELECT id, CAST(0 AS BIGINT) AS level FROM tree_later WHERE parent_id IS NULL
+  UNION ALL SELECT c.id, w.level + 1 FROM tree_later c JOIN walk w ON c.parent_id = w.id),
+lost AS (SELECT id FROM tree_later WHERE parent_id NOT IN (SELECT id FROM tree_later)),
+below AS (SELECT id FROM lost UNION ALL SELECT c.id FROM tree_later c JOIN below b ON c.parent_id = b.id)
+SELECT t.id, w.level, CASE WHEN t.id IN (SELECT id FROM lost) THEN 'parent_not_found' WHEN t.id IN (SELECT id FROM below) THEN 'ancestor_not_found' WHEN w.level IS NULL THEN 'cycle' END AS issue
+FROM @tree_later t LEFT JOIN walk w ON w.id = t.id""")
+def kept_levels(t):
+    table = level_table.create(t.tree, scratch_path(t.spark, "level-table"), 16)
+    moved = t.tree_later.where("id LIKE 'nation-1_' OR id IN ('nation-3', 'nation-7') OR id LIKE 'loop-%5'")
+    level_table.change(table, moved, t.tree.where("id LIKE 'customer-%9'").select("id"))
+    return table.read(t.spark).select("id", "level", "issue")
+
+
 derive("listed", """
 SELECT id AS container_id, 'topics' AS kind, concat('set-', substr(id, 7), '-1') AS id, 'one' AS name, 'one' AS slug, CAST(NULL AS STRING) AS parent_id, 1 AS depth, 0 AS pos FROM @hierarchies
 UNION ALL SELECT id, 'subtopics', concat('set-', substr(id, 7), '-2'), 'two', 'two', concat('set-', substr(id, 7), '-1'), 2, 0 FROM @hierarchies
