@@ -21,15 +21,15 @@ def hash_of(text: str = "text") -> dict:
     return {"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(1), text)}
 
 
-def beside(docs: DataFrame, lists: DataFrame, key: str, how: str) -> DataFrame:
+def beside(docs: DataFrame, lists: DataFrame, key: str, how: str, hashes: dict | None = None) -> DataFrame:
     """The texts with their list in ``__places``, and ``__t1`` and ``__t2``. ``lists`` has one row for each id and text.
 
     Lists are sent to the texts if their counted size is below ``SEND_BYTES``; larger
-    ones meet the texts in a shuffle by id and text. The rows are the same.
+    ones meet the texts in a shuffle by id and text. The rows are the same. ``hashes`` are those of the lists, if not the usual ones.
     """
     size = lists.agg(F.coalesce(F.sum(F.length("places") + 32), F.lit(0)).alias("n")).first()["n"]
     named_lists = lists.select(*[F.col(c).alias(f"__list_{c}") for c in ROW], F.col("places").alias("__places"))
-    named = docs.withColumns({"__of": F.coalesce(F.col(key).cast("long"), F.lit(LAST))} | {f"__{c}": x for c, x in hash_of().items()})
+    named = docs.withColumns({"__of": F.coalesce(F.col(key).cast("long"), F.lit(LAST))} | {f"__{c}": x for c, x in (hashes or hash_of()).items()})
     same = (F.col("__of") == F.col("__list_id")) & (F.col("__t1") == F.col("__list_t1")) & (F.col("__t2") == F.col("__list_t2"))
     return named.join(F.broadcast(named_lists) if size <= SEND_BYTES else named_lists.hint("shuffle_hash"), same, how)
 

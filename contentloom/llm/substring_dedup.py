@@ -17,7 +17,7 @@ share an anchor, so there are about five windows to an anchor. Spark joins the a
    kept, combined before the shuffle. Anchors that also occur under a smaller doc_id remain.
 2. For an anchor whose whole neighbourhood (all windows that elected it) equals that of the
    smallest doc_id, all windows repeat. This settles the inside of long passages.
-3. The others, mostly at the ends of passages, are compared window by window.
+3. The others, mostly at the ends of passages, are compared window by window, by two hashes.
 
 Defined cases: null and empty texts have no words; texts shorter than a window keep all
 words; a null id is larger than any other and no id is smaller than itself, so rows that
@@ -38,6 +38,16 @@ from contentloom.session import materialize
 
 WINDOW = 13
 ROUNDS = 2
+# Texts taken at a time; a word takes about a hundred bytes on the way.
+PIECE_BYTES = 2 << 20
+# Makes a second hash of the words, so that windows are compared by 128 bits.
+OTHER = np.uint64(0xA24BAED4963EE407)
+
+
+def _hashes() -> dict:
+    """What tells rows of one id apart: 96 bits of the text's hash, as every anchor carries them."""
+    usual = hash_of()
+    return usual | {"t2": F.shiftright(usual["t2"], 32).cast("int")}
 
 
 def _runs(name: np.ndarray, text: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
@@ -121,7 +131,7 @@ def _anchor_rows(docs: DataFrame, size: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE_BYTES):
                 texts = piece.column("text")
                 offsets, words = split_words(texts, fold=False)
                 text, key, around, first, count = _grouped(offsets, hashed(words), size)
@@ -129,7 +139,7 @@ def _anchor_rows(docs: DataFrame, size: int) -> DataFrame:
                 own = pa.array(text)
                 yield pa.RecordBatch.from_arrays([*(piece.column(c).take(own) for c in ROW), pa.array(key.view(np.int64)), pa.array(around.view(np.int64)), pa.array(spot)], names=[*ROW, "key", "around", "spot"])
 
-    return docs.select("id", "text").withColumns(hash_of()).mapInArrow(make, "id long, t1 long, t2 long, key long, around long, spot long")
+    return docs.select("id", "text").withColumns(_hashes()).mapInArrow(make, "id long, t1 long, t2 int, key long, around long, spot long")
 
 
 def _listed(spots: DataFrame, merge: bool, size: int) -> DataFrame:
@@ -153,17 +163,18 @@ def _listed(spots: DataFrame, merge: bool, size: int) -> DataFrame:
                 rows.append(np.stack([first, end], axis=1).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ROW), pa.array(rows, pa.binary())], names=[*ROW, "places"])
 
-    return lists.mapInArrow(make, "id long, t1 long, t2 long, places binary")
+    return lists.mapInArrow(make, "id long, t1 long, t2 int, places binary")
 
 
 def _window_rows(texts: DataFrame, size: int) -> DataFrame:
-    """Hash of each listed window with what its row is known by and ``spot``."""
+    """Both hashes of each listed window with what its row is known by and ``spot``."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE_BYTES):
                 offsets, words = split_words(piece.column("text"), fold=False)
-                runs, rows, starts = Runs(hashed(words)), [], []
+                h = hashed(words)
+                runs, other, rows, starts = Runs(h), Runs(mixed(h ^ OTHER)), [], []
                 for i, places in enumerate(piece.column("__places").to_pylist()):
                     own = [np.arange(a, b) for a, b in pairs_of(places)]
                     own = np.concatenate(own) if own else np.zeros(0, np.int64)
@@ -172,9 +183,9 @@ def _window_rows(texts: DataFrame, size: int) -> DataFrame:
                 row, start = np.concatenate(rows), np.concatenate(starts)
                 at = offsets[row] + start
                 spot, own = (start << 8) | 1, pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(runs.of(at, at + size).view(np.int64)), *(piece.column(c).take(own) for c in ROW), pa.array(spot)], names=["h", *ROW, "spot"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(r.of(at, at + size).view(np.int64)) for r in (runs, other)), *(piece.column(c).take(own) for c in ROW), pa.array(spot)], names=["h", "h2", *ROW, "spot"])
 
-    return texts.select("id", F.col("__t1").alias("t1"), F.col("__t2").alias("t2"), "text", "__places").mapInArrow(make, "h long, id long, t1 long, t2 long, spot long")
+    return texts.select("id", F.col("__t1").alias("t1"), F.col("__t2").alias("t2"), "text", "__places").mapInArrow(make, "h long, h2 long, id long, t1 long, t2 int, spot long")
 
 
 def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -184,13 +195,15 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """
     rows = _anchor_rows(docs, size)
     shared = rows.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min_by("around", "id").alias("first_around")).where("least < most").drop("most")
-    met = materialize(rows.join(shared, "key"), "anchors")
-    settled = (F.col("least") < F.col("id")) & (F.col("around") == F.col("first_around"))
-    undecided = met.where((F.col("least") < F.col("id")) & (F.col("around") != F.col("first_around"))).select("key").distinct()
+    first, same = F.col("id") == F.col("least"), F.col("around") == F.col("first_around")
+    # Only what the next steps ask is written: which anchors repeat as a whole, and which keys have others.
+    met = materialize(rows.join(shared, "key").select("key", *ROW, "spot", (~first & same).alias("settled"), (~first & ~same).alias("open")), "anchors")
+    settled = F.col("settled")
+    undecided = met.where("open").select("key").distinct()
     lists = materialize(_listed(met.where(~settled).join(undecided, "key", "left_semi").select(*ROW, "spot"), False, size), "undecided")
-    windows = materialize(_window_rows(beside(docs, lists, "id", "inner"), size), "windows")
-    least = windows.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    later = windows.join(least, "h").where(F.col("least") < F.col("id"))
+    windows = materialize(_window_rows(beside(docs, lists, "id", "inner", _hashes()), size), "windows")
+    least = windows.groupBy("h", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    later = windows.join(least, ["h", "h2"]).where(F.col("least") < F.col("id"))
     return met.where(settled).select(*ROW, "spot").union(later.select(*ROW, "spot"))
 
 
@@ -203,11 +216,11 @@ def deduplicated(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "text").where(F.col("text").isNotNull())
     spans = materialize(_listed(repeated_windows(plain, size), True, size), "spans")
     names = docs.columns
-    texts = beside(docs, spans, "doc_id", "left").select(*names, "__places")
+    texts = beside(docs, spans, "doc_id", "left", _hashes()).select(*names, "__places")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE_BYTES):
                 text, places = piece.column("text").to_pylist(), piece.column("__places")
                 n_words, n_removed = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
                 for i, t in enumerate(text):
