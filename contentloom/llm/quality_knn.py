@@ -10,8 +10,9 @@ document frequencies are counted over all documents. A class's votes weigh as ma
 labelled documents as each of its sample stands for.
 
 Defined cases: null and empty texts have the size term only and are scored by it; null labels,
-labels of unknown documents and documents with two different labels teach nothing; without
-any label all scores are 0.5; repeated rows and null ids are scored row by row.
+labels of unknown documents and documents with two different labels teach nothing; of several rows
+of a labelled id the smallest text teaches; without any label all scores are 0.5; repeated rows and null ids are scored row by
+row; texts of any length count whole; an empty table gives no rows; other columns pass through, one named ``__score`` is replaced.
 """
 
 from __future__ import annotations
@@ -98,7 +99,8 @@ def fitted(docs: DataFrame, labels: DataFrame, teaches: Column, key: str = "doc_
     totals = {r["quality"]: r["n"] for r in sure.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64(key)
     sample = sure.where("quality = 0").orderBy(order, key).limit(per_class).union(sure.where("quality = 1").orderBy(order, key).limit(per_class))
-    known = docs.select(key, "text").join(F.broadcast(sample), key).select("text", "quality").dropDuplicates()
+    # One text per document that teaches: of several rows of its id the smallest text.
+    known = docs.select(key, "text").join(F.broadcast(sample), key).groupBy(key, "quality").agg(F.min("text").alias("text")).select("text", "quality").dropDuplicates()
     # Bounded by 2 * per_class labelled rows; only their terms reach the driver.
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +111,7 @@ def fitted(docs: DataFrame, labels: DataFrame, teaches: Column, key: str = "doc_
                 lists = [(f[a:b].astype(np.int32).tobytes(), w[a:b].astype(np.float32).tobytes()) for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([piece.column("quality").cast(pa.int32()), pa.array([x for x, _ in lists], pa.binary()), pa.array([x for _, x in lists], pa.binary())], names=["quality", "f", "w"])
 
-    got = sorted(known.limit(4 * per_class).mapInArrow(sparse, "quality int, f binary, w binary").collect(), key=lambda r: (r["quality"], bytes(r["f"]), bytes(r["w"])))
+    got = sorted(known.mapInArrow(sparse, "quality int, f binary, w binary").collect(), key=lambda r: (r["quality"], bytes(r["f"]), bytes(r["w"])))
     x = np.zeros((len(got), FEATURES), np.float32)
     for row, r in zip(x, got):
         row[np.frombuffer(r["f"], np.int32)] = np.frombuffer(r["w"], np.float32)
@@ -139,6 +141,7 @@ def scores(texts: pa.Array, model: Model, neighbours: int = NEIGHBOURS) -> np.nd
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The documents with ``__score``; no shuffle."""
+    docs = docs.drop("__score")
     held, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
