@@ -18,6 +18,7 @@ from contentloom.operators.hierarchy import with_parent_level
 from contentloom.operators.references import embedded_refs
 from contentloom.operators.skew import fold, pick
 from contentloom.operators.validation import once
+from contentloom.sources.keyed import Keyed
 
 
 def at(now: datetime | str) -> Column:
@@ -134,6 +135,21 @@ def duplicate_names(df: DataFrame, key: str = "name") -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def upsert_parts(table: Keyed, batch: DataFrame, now: datetime | str, order: Sequence[str] = ("version",)) -> list[int]:
+    """``upsert`` into a table cut by the key: reads and writes the batch's parts only; returns those.
+
+    A batch that runs again gives the same rows.
+    """
+    done = upsert(table.of(batch), batch, table.key, now, order)
+    return table.replace(batch, done.select(*table.schema.names))
+
+
+def sparse_update_parts(table: Keyed, updates: DataFrame, now: datetime | str, order: Sequence[str]) -> list[int]:
+    """``sparse_update`` of a table cut by the key, likewise."""
+    done = sparse_update(table.of(updates), updates, now, order, table.key)
+    return table.replace(updates, done.select(*table.schema.names))
+
+
 def sparse_update(current: DataFrame, updates: DataFrame, now: datetime | str, order: Sequence[str], key: str = "id") -> DataFrame:
     """Change only the attributes an update gives; an update without any changes nothing.
 

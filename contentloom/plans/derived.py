@@ -263,7 +263,7 @@ FROM @lineitem
 
 # Chat turns as prompt components and as chains of three steps.
 derive("prompt_components", """
-SELECT concat('conv-', CAST(conv_id % 500 AS STRING)) AS prompt, conv_id * 100 + turn AS position,
+SELECT concat('conv-', CAST(conv_id AS STRING)) AS prompt, turn AS position,
        CASE turn % 8 WHEN 0 THEN 'focused_question' WHEN 1 THEN 'agent_role' WHEN 2 THEN 'agent_task' WHEN 3 THEN 'key_information'
                      WHEN 4 THEN 'context_placeholder' WHEN 5 THEN 'output_format' WHEN 6 THEN 'agent_goal' ELSE 'notes' END AS component, text
 FROM @conversations

@@ -10,7 +10,7 @@ from contentloom.operators import catalog as C, vector_index as I, vectors as E,
 from contentloom.plans.reading import NOW
 from contentloom.plans.registry import query
 from contentloom.session import scratch_path
-from contentloom.sources import snapshots
+from contentloom.sources import partitioned, snapshots
 from contentloom.streaming.upsert import upsert_stream
 from contentloom.streaming.validate import validate_stream
 
@@ -191,6 +191,18 @@ def range_partition(t):
     return K.with_range_partition(t.orders, "o_orderdate").groupBy("o_orderdate_year").agg(F.count("*").alias("n"))
 
 
+@query("k06_period_read", """
+SELECT o_orderkey, o_orderdate::TIMESTAMP AS o_orderdate, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderdate >= DATE '1994-03-01' AND o_orderdate < DATE '1995-02-01'""")
+def period_read(t):
+    orders = t.orders.select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"), F.col("o_totalprice").cast("double").alias("o_totalprice"), F.lit(0).alias("revision"))
+    rows, path, by = partitioned.by_period(orders, "o_orderdate"), scratch_path(t.spark, "periods"), ["o_orderdate_year"]
+    partitioned.write(rows, path, by)
+    late = rows.where("o_orderkey % 7 = 0 AND year(o_orderdate) = 1994 OR o_orderkey % 7 = 0 AND year(o_orderdate) = 1995").withColumns({"o_totalprice": F.lit(0.0), "revision": F.lit(1)})
+    partitioned.merge(late, path, rows.schema, by, "o_orderkey", ["revision"])
+    found = partitioned.between(partitioned.read(t.spark, path, rows.schema), "1994-03-01", "1995-02-01", "o_orderdate")
+    return found.select("o_orderkey", "o_orderdate", "o_totalprice")
+
+
 # Every vector is a query. Scores are rounded before ranking, so equal scores rank by id.
 SIMILAR = """SELECT query_id, content_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT q.content_id AS query_id, v.content_id, s.score, row_number() OVER (PARTITION BY q.content_id ORDER BY s.score DESC, v.content_id) AS rank
 FROM @vectors q JOIN @vectors v ON {where}, LATERAL (SELECT round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score) s) WHERE rank <= {k}"""

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from contentloom.functions import payload as P, rules as R
 from contentloom.functions.model import model
 from contentloom.functions.text import slug
-from contentloom.operators import catalog, search_index, store, vectors
-from contentloom.plans.registry import query
+from contentloom.operators import catalog, pages, search_index, store, vectors
+from contentloom.plans.registry import derive, query
 from contentloom.session import scratch_path
-from contentloom.sources import definitions, tables
+from contentloom.sources import definitions, keyed, partitioned, tables
 
 NOW = "2024-06-01 00:00:00"
 EIGHT = "id, content_type, title, slug, content, metadata, created_at, updated_at"
@@ -47,6 +47,33 @@ def project_isolation(t):
     return tables.for_project(t.contents, "project-3").select("project_id", *store.COLUMNS)
 
 
+# The content table on disk, by project and type, after changes: some orders go to another project, some are new.
+derive("content_changes", """
+SELECT concat('new-', id) AS id, content_type, title, slug, content, metadata, parent_id, hierarchy_level, object_type, status, tags, 'project-3' AS project_id, created_at, updated_at FROM @contents WHERE id LIKE 'nation-%'
+UNION ALL SELECT id, content_type, concat(title, ' moved'), slug, content, metadata, parent_id, hierarchy_level, object_type, status, tags, 'project-9', created_at, updated_at + INTERVAL '1' DAY FROM @contents WHERE id LIKE 'order-1_' OR id = 'region-2'
+""")
+derive("contents_later", "SELECT * FROM @contents WHERE id NOT IN (SELECT id FROM @content_changes) UNION ALL SELECT * FROM @content_changes")
+
+
+def written_contents(t):
+    """The content table, written by project and type and then changed in the partitions that the changes touch."""
+    path, by = scratch_path(t.spark, "contents"), ["project_id", "content_type"]
+    rows = tables.complete(t.contents)
+    partitioned.write(rows, path, by)
+    partitioned.merge(t.content_changes.select(*rows.columns), path, rows.schema, by, "id", ["updated_at"])
+    return partitioned.read(t.spark, path, rows.schema)
+
+
+@query("s02_written_and_merged", f"SELECT project_id, {EIGHT} FROM @contents_later")
+def written_and_merged(t):
+    return written_contents(t).select("project_id", *store.COLUMNS)
+
+
+@query("s03_project_partition", f"SELECT project_id, {EIGHT} FROM @contents_later WHERE project_id = 'project-9'")
+def project_partition(t):
+    return tables.for_project(written_contents(t), "project-9").select("project_id", *store.COLUMNS)
+
+
 PROJECT_ROWS = """SELECT CAST(c_custkey AS STRING) AS id, c_name AS name, c_mktsegment AS description,
   CASE WHEN c_nationkey % 2 = 0 THEN CAST(NULL AS STRING) ELSE concat('{"nation":', CAST(c_nationkey AS STRING), '}') END AS metadata FROM @customer"""
 
@@ -94,6 +121,20 @@ def read_legacy(t):
     return catalog.read_legacy([("blog", part("blog")), ("pg_catalog", part("blog")), ("shop", part("shop")), ("raw", t.part)])
 
 
+@query("s09_collections_written", """
+SELECT content_id, content_type, CASE WHEN content_id LIKE '%7' THEN '{"late":true}' ELSE coalesce(metadata, '{}') END AS metadata,
+  CASE WHEN content_id LIKE '%7' THEN 'updated' ELSE concat('set-', content_type) END AS collection, CAST(len(embedding) AS BIGINT) AS dims FROM @vectors
+WHERE content_id LIKE '%7' OR content_type IN ('label-1', 'label-2')""")
+def collections_written(t):
+    path, by = scratch_path(t.spark, "vectors"), ["collection"]
+    rows = tables.build_vectors(t.vectors).withColumn("collection", F.concat(F.lit("set-"), "content_type"))
+    partitioned.write(rows, path, by)
+    late = rows.where("content_id LIKE '%7'").withColumns({"collection": F.lit("updated"), "metadata": F.lit('{"late":true}')})
+    partitioned.merge(late, path, rows.schema, by, "content_id", ["collection"])
+    found = partitioned.read(t.spark, path, rows.schema).where(F.col("collection").isin("updated", "set-label-1", "set-label-2"))
+    return found.select("content_id", "content_type", "metadata", "collection", F.size("embedding").cast("bigint").alias("dims"))
+
+
 @query("s09_vector_rows", """
 SELECT content_id, content_type, coalesce(metadata, '{}') AS metadata, 'articles' AS collection, CAST(len(embedding) AS BIGINT) AS dims FROM @vectors""")
 def vector_rows(t):
@@ -107,6 +148,17 @@ def by_ids(t):
     return store.project_columns(store.by_ids(t.contents, ids))
 
 
+def keyed_contents(t):
+    """The contents cut by id."""
+    return keyed.create(t.contents.select("id", "content_type", "title"), scratch_path(t.spark, "contents"), "id", 16)
+
+
+@query("f01_by_ids_of_parts", "SELECT id, content_type, title FROM @contents WHERE id IN (SELECT concat('order-', CAST(l_orderkey AS STRING)) FROM lineitem WHERE l_suppkey = 3)")
+def by_ids_of_parts(t):
+    ids = t.lineitem.where("l_suppkey = 3").select(F.concat(F.lit("order-"), "l_orderkey").alias("id"))
+    return keyed_contents(t).of(ids)
+
+
 @query("f02_by_type", f"SELECT {EIGHT} FROM @contents WHERE content_type = 'article' {PAGE}")
 def by_type(t):
     return store.project_columns(store.page(store.by_type(t.contents, "article"), 100, 50))
@@ -145,6 +197,15 @@ def referencing(t):
     return store.referencing(t.contents, t.edges, ids).select("id", "content_type", "title")
 
 
+@query("f05_referencing_of_parts", """
+SELECT id, content_type, title FROM @contents WHERE id IN (SELECT source_id FROM @edges WHERE target_id IN (
+  SELECT concat('part-', CAST(p_partkey AS STRING)) FROM part WHERE p_size = 7))""")
+def referencing_of_parts(t):
+    ids = t.part.where("p_size = 7").select(F.concat(F.lit("part-"), "p_partkey").alias("target_id"))
+    edges = keyed.create(t.edges, scratch_path(t.spark, "edges"), "target_id", 16)
+    return keyed_contents(t).of(edges.of(ids).select(F.col("source_id").alias("id")))
+
+
 @query("f06_referenced_by_json", f"SELECT {EIGHT} FROM @contents WHERE json_contains(json_extract(metadata, '$.referenced_by'), '{{\"id\":\"order-9\"}}')")
 def referenced_by_json(t):
     return store.project_columns(store.referenced_by_json(t.contents, "order-9"))
@@ -158,6 +219,15 @@ def referenced_by(t):
     return store.referenced_by(t.contents, t.edges, ids).select("id", "content_type", "title")
 
 
+@query("f06_referenced_by_of_parts", """
+SELECT id, content_type, title FROM @contents WHERE id IN (SELECT target_id FROM @edges WHERE source_id IN (
+  SELECT concat('order-', CAST(o_orderkey AS STRING)) FROM orders WHERE o_orderstatus = 'P'))""")
+def referenced_by_of_parts(t):
+    ids = t.orders.where("o_orderstatus = 'P'").select(F.concat(F.lit("order-"), "o_orderkey").alias("source_id"))
+    edges = keyed.create(t.edges, scratch_path(t.spark, "edges"), "source_id", 16)
+    return keyed_contents(t).of(edges.of(ids).select(F.col("target_id").alias("id")))
+
+
 @query("f07_search", """
 SELECT id, content_type, title FROM @doc_contents WHERE title ILIKE '%da_a%' OR content ILIKE '%da_a%' OR metadata ILIKE '%da_a%'""")
 def search(t):
@@ -267,6 +337,13 @@ def newest_first(t):
     return store.newest(t.contents).select("id", "created_at")
 
 
+@query("l02_deep_page", "SELECT id, created_at FROM @contents ORDER BY created_at DESC, id LIMIT 500 OFFSET 9000")
+def deep_page(t):
+    path = scratch_path(t.spark, "pages")
+    pages.build(t.contents.select("id", "created_at"), path, 2000)
+    return pages.page(t.spark, path, 500, 9000)
+
+
 @query("l02_page_after", """
 SELECT id, created_at FROM @contents WHERE created_at < TIMESTAMP '1995-06-01 00:00:00' OR (created_at = TIMESTAMP '1995-06-01 00:00:00' AND id > 'order-5')
 ORDER BY created_at DESC, id LIMIT 100""")

@@ -9,7 +9,8 @@ from contentloom.operators import store, vectors, writes as W
 from contentloom.plans.graph import DELETED
 from contentloom.plans.reading import NOW
 from contentloom.plans.registry import query
-from contentloom.sources import tables
+from contentloom.session import scratch_path
+from contentloom.sources import keyed, tables
 
 AT = f"TIMESTAMP '{NOW}'"
 
@@ -95,6 +96,17 @@ def upsert(t):
     return out.select("name", "object_type", "version", "definition", "description", "updated_at", "created_at")
 
 
+@query("w08_upsert_of_parts", f"""
+SELECT coalesce(m.name, b.name) AS name, coalesce(b.object_type, m.object_type) AS object_type, coalesce(b.version, m.version) AS version, coalesce(b.definition, m.definition) AS definition,
+  coalesce(b.description, m.description) AS description, CASE WHEN b.name IS NULL THEN m.updated_at ELSE {AT} END AS updated_at, CASE WHEN m.name IS NULL THEN {AT} ELSE m.created_at END AS created_at
+FROM @stored_definitions m FULL JOIN ({LAST}) b ON b.name = m.name""")
+def upsert_of_parts(t):
+    table = keyed.create(t.stored_definitions, scratch_path(t.spark, "models"), "name", 16)
+    for _ in range(2):  # the second run changes nothing
+        W.upsert_parts(table, t.sql(REGISTRATIONS), NOW)
+    return table.read(t.spark).select("name", "object_type", "version", "definition", "description", "updated_at", "created_at")
+
+
 @query("w09_duplicate_names", f"SELECT name, count(*) AS n FROM (SELECT name FROM @stored_definitions UNION ALL SELECT name FROM ({REGISTRATIONS})) GROUP BY name HAVING count(*) > 1")
 def duplicate_names(t):
     cols = ["name", "object_type", "version", "definition", "description"]
@@ -115,6 +127,15 @@ def sparse_update(t):
     return W.sparse_update(t.stored_definitions, t.sql(SPLIT), NOW, ["seq"]).select("id", "description", "version", "updated_at")
 
 
+@query("w10_sparse_update_of_parts", f"""
+SELECT m.id, coalesce(u.description, m.description) AS description, coalesce(u.version, m.version) AS version,
+  CASE WHEN u.description IS NULL AND u.version IS NULL THEN m.updated_at ELSE {AT} END AS updated_at FROM @stored_definitions m LEFT JOIN ({SPARSE}) u ON u.id = m.id""")
+def sparse_update_of_parts(t):
+    table = keyed.create(t.stored_definitions, scratch_path(t.spark, "models"), "id", 16)
+    W.sparse_update_parts(table, t.sql(SPLIT), NOW, ["seq"])
+    return table.read(t.spark).select("id", "description", "version", "updated_at")
+
+
 @query("w11_delete", f"SELECT id, content_type, title FROM @contents WHERE id NOT IN (SELECT id FROM ({DELETED}))")
 def delete(t):
     return W.delete(t.contents, t.sql(DELETED)).select("id", "content_type", "title")
