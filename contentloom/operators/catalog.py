@@ -192,7 +192,7 @@ def export_json(df: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def list_definitions(df: DataFrame, timestamps: bool = False) -> DataFrame:
-    """Models by name; times are given as text."""
+    """Definitions by name; times are given as text."""
     times = [F.col(c).cast("string").alias(c) for c in ("created_at", "updated_at")] if timestamps else []
     return df.select("id", "name", "description", "object_type", "version", *times).orderBy("name", "id")
 

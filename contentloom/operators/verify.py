@@ -26,7 +26,7 @@ def issues(fields: DataFrame, columns: DataFrame, prefix: str | None = None) ->
     """Missing columns and wrong types of required fields, one row each.
 
     ``fields`` is the field catalog with its table name, ``columns`` the table
-    columns. Models whose table does not exist are left to ``unresolved``.
+    columns. Definitions whose table does not exist are left to ``unresolved``.
     """
     if prefix is not None:
         fields = fields.where(F.col("model").startswith(prefix))

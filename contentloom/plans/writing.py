@@ -101,7 +101,7 @@ SELECT coalesce(m.name, b.name) AS name, coalesce(b.object_type, m.object_type)
   coalesce(b.description, m.description) AS description, CASE WHEN b.name IS NULL THEN m.updated_at ELSE {AT} END AS updated_at, CASE WHEN m.name IS NULL THEN {AT} ELSE m.created_at END AS created_at
 FROM @stored_definitions m FULL JOIN ({LAST}) b ON b.name = m.name""")
 def upsert_of_parts(t):
-    table = keyed.create(t.stored_definitions, scratch_path(t.spark, "models"), "name", 16)
+    table = keyed.create(t.stored_definitions, scratch_path(t.spark, "definitions"), "name", 16)
     for _ in range(2):  # the second run changes nothing
         W.upsert_parts(table, t.sql(REGISTRATIONS), NOW)
     return table.read(t.spark).select("name", "object_type", "version", "definition", "description", "updated_at", "created_at")
@@ -131,7 +131,7 @@ def sparse_update(t):
 SELECT m.id, coalesce(u.description, m.description) AS description, coalesce(u.version, m.version) AS version,
   CASE WHEN u.description IS NULL AND u.version IS NULL THEN m.updated_at ELSE {AT} END AS updated_at FROM @stored_definitions m LEFT JOIN ({SPARSE}) u ON u.id = m.id""")
 def sparse_update_of_parts(t):
-    table = keyed.create(t.stored_definitions, scratch_path(t.spark, "models"), "id", 16)
+    table = keyed.create(t.stored_definitions, scratch_path(t.spark, "definitions"), "id", 16)
     W.sparse_update_parts(table, t.sql(SPLIT), NOW, ["seq"])
     return table.read(t.spark).select("id", "description", "version", "updated_at")
 

@@ -87,11 +87,11 @@ def test_taxonomy_sizes(spark):
     assert rows(H.taxonomy(spark).groupBy("level").count(), "level", "count") == [("alpha", 11), ("beta", 21), ("gamma", 20), ("organizer", 10), ("qualifier", 12)]
 
 
-MODELS = "id string, name string, object_type string, version string, description string, definition string, created_at timestamp_ntz, updated_at timestamp_ntz"
+STORED = "id string, name string, object_type string, version string, description string, definition string, created_at timestamp_ntz, updated_at timestamp_ntz"
 
 
 def test_upsert_is_idempotent(spark):
-    current = spark.createDataFrame([("1", "A", "alpha", "1", "old", "{}")], MODELS.rsplit(", ", 2)[0]).withColumn("created_at", W.at("2020-01-01 00:00:00")).withColumn("updated_at", W.at("2020-01-01 00:00:00"))
+    current = spark.createDataFrame([("1", "A", "alpha", "1", "old", "{}")], STORED.rsplit(", ", 2)[0]).withColumn("created_at", W.at("2020-01-01 00:00:00")).withColumn("updated_at", W.at("2020-01-01 00:00:00"))
     batch = spark.createDataFrame([("A", "2", None, '{"x":1}'), ("B", "1", "b", "{}"), ("B", "0", "older", "{}")], "name string, version string, description string, definition string")
     once = W.upsert(current, batch, "name", NOW)
     assert rows(once, "name", "version", "description", "definition") == [("A", "2", "old", '{"x":1}'), ("B", "1", "b", "{}")]
