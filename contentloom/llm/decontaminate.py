@@ -7,11 +7,12 @@ window enter the array; nothing that could match is left out.
 
 The benchmark is the query set and goes to all shards, in blocks of at most
 ``BLOCK_CHARS`` characters whose size is counted before anything is broadcast;
-a larger benchmark takes more passes, not larger broadcasts.
+a larger benchmark takes more passes, each written before the next block is read, not larger broadcasts.
 
 Defined cases: null and empty texts have no words and no hit; an item without words
 has no window; items without an id count as hits but are not listed; repeated rows
-are searched one by one; other columns pass through.
+are searched one by one; texts of any length are searched whole; an empty table gives no rows; other columns pass through,
+those named like the operator's own (``columns.OWN``) are replaced, but stay in ``clean_documents``.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from contentloom.llm.columns import apart, free, together
 from contentloom.llm.words import codes, lists_of, pieces, split_words
+from contentloom.session import materialize
 
 WINDOW = 10
 BLOCK_CHARS = 16 << 20
@@ -179,7 +182,7 @@ def _search(texts: pa.Array, w: Windows, spans: pa.Array, matches: pa.Array) ->
 
 def searched(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents with ``__n_words``, the hit ``__spans`` and the longest ``__matches``; no shuffle."""
-    spark = docs.sparkSession
+    docs, spark = free(docs), docs.sparkSession
     total = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-total // block_chars))
     names = docs.columns
@@ -198,6 +201,9 @@ def searched(docs: DataFrame, benchmark: DataFrame, text: str = "text", window:
                     yield pa.RecordBatch.from_arrays([*(cells[n] for n in names), *made], names=[*names, "__n_words", "__spans", "__matches"])
 
         out = out.mapInArrow(search, schema)
+        if blocks > 1:  # one block at a time: its pass is over before the next one is sent
+            out = materialize(out, "searched")
+            held.destroy()
     return out
 
 
@@ -214,4 +220,5 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a match, with their own columns."""
-    return searched(docs, benchmark).where(F.size("__spans") == 0).select(*docs.columns)
+    found = searched(apart(docs, "text"), benchmark)
+    return together(found.where(F.size("__spans") == 0), docs.columns, "text")

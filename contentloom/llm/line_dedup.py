@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from contentloom.llm.columns import apart, free, together
 from contentloom.llm.sidelists import LAST, ROW, beside, hash_of
 from contentloom.llm.words import MUL, mixed, pieces, powers
 from contentloom.session import materialize
@@ -217,7 +218,8 @@ def removed_lines(texts: DataFrame, edits: int = EDITS) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """The documents without those lines, with ``__n_lines`` and ``__n_removed``."""
+    """The documents without those lines, with ``__n_lines`` and ``__n_removed``; columns named like the operator's own (``columns.OWN``) are replaced."""
+    docs = free(docs)
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "text").where(F.col("text").isNotNull())
     gone = materialize(_lists(removed_lines(plain, edits)), "removed-lines")
     names = docs.columns
@@ -244,5 +246,5 @@ def deduplicated(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 
 def with_text_left(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """The deduplicated documents, without those that had words and lost them all."""
-    found = deduplicated(docs, edits)
-    return found.where((F.col("__n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    found = deduplicated(apart(docs, "doc_id", "text"), edits)
+    return together(found.where((F.col("__n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")), docs.columns, "doc_id", "text")

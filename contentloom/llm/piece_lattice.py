@@ -13,11 +13,12 @@ all segments get their best path and the second one's score, and only as many se
 searched for more. Their paths are combined to the n best of the text.
 
 Characters outside the vocabulary become their bytes. Blanks become the vocabulary's blank
-mark and one stands before the text, as its models do; a literal mark is
+mark and one stands before the text, as such vocabularies do; a literal mark is
 written as bytes, so decoding gives the text back exactly.
 
 Defined cases: a null text has no pieces and null results; an empty text has none and
-score 0; repeated rows and null ids are encoded row by row; other columns pass through.
+score 0; repeated rows and null ids are encoded row by row; of equal scores the path found first is taken; texts of any length are
+encoded whole; an empty table gives no rows; other columns pass through, those named like the operator's own (``columns.OWN``) are replaced.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from contentloom.llm.columns import free
 from contentloom.llm.words import pieces
 
 # Fixed value: the vocabulary's mark for a blank.
@@ -240,6 +242,7 @@ def encoded(docs: DataFrame, model: str, text: str = "text", n: int = N_BEST) ->
 
     The vocabulary is read on the driver from ``model`` and sent to the tasks; its size does not depend on the documents.
     """
+    docs = free(docs)
     held = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(model))
     names = docs.columns
 

@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from contentloom.llm.columns import free
 from contentloom.llm.words import MUL, Runs, hashed, mixed, owners, pieces, split_words
 from contentloom.llm.sidelists import LAST, ROW, beside, hash_of, pairs_of
 from contentloom.session import materialize
@@ -211,8 +212,9 @@ def deduplicated(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """The documents with the words that stay, ``__n_words`` and ``__n_removed``.
 
     The words that stay are joined by single blanks; a text stays as it is, null
-    included, if all its words stay.
+    included, if all its words stay. Columns named like the operator's own (``columns.OWN``) are replaced.
     """
+    docs = free(docs)
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "text").where(F.col("text").isNotNull())
     spans = materialize(_listed(repeated_windows(plain, size), True, size), "spans")
     names = docs.columns

@@ -37,6 +37,22 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns, name
 
 
+def test_stages_take_odd_tables(spark):
+    """Nulls everywhere, repeated rows, empty and long texts, an empty table, and columns with the operators' own names."""
+    own = ["__words", "__lang", "__n_words", "__places", "__n_best", "__n_lines", "__n_removed", "__spans", "__matches", "__m", "__kept", "row", "id", "node", "class_id", "stratum"]
+    good = " ".join(f"word{i}" for i in range(60))
+    texts = [None, "", good, good, "long " * 30_000, good + "\nsecond line\nsecond line", "x", None]
+    rows = [(None if k % 3 == 2 else k // 2, t, None if k == 3 else "en", None if k == 4 else "s", None if k == 5 else 1, *["own"] * len(own)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in own)).repartition(2)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns, name
+        kept = out.collect()
+        assert kept and all(r[c] == "own" for r in kept for c in own), name
+        assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").count() == len(rows)
+
+
 @pytest.mark.parametrize("name", ["op5_decontamination", "op9_substring_dedup", "op11_warc", "op12_divergence_audit", "op13_conversation_trie"])
 def test_queries_equal_their_sql(spark, name):
     text, n = differences(spark, connect(FOLDER), FOLDER, queries()[name], oracle_sql()[name])
