@@ -88,39 +88,3 @@ def test_roles_of_held_out_transcripts(spark):
     right = [k in got and got[k].role == r.role for k, r in truth.items()]
     assert len(right) > 80 and np.mean(right) > 0.88
     assert np.mean([got[k].chat == f"<|im_start|>{r.role}\n{r.text}<|im_end|>" for k, r in truth.items() if k in got]) > 0.8
-
-
-def plain_viterbi(e, m):
-    score, back = m.start + e[0], []
-    for x in e[1:]:
-        t = score[:, None] + m.step
-        back.append(t.argmax(0))
-        score = t.max(0) + x
-    return score.max()
-
-
-def test_chunks_decode_as_one(spark, monkeypatch):
-    monkeypatch.setattr(transcripts, "CHUNK", 3)
-    rows = [(c, t, ["user", "assistant"][t % 2], ("User: " if t % 2 == 0 else "Assistant: ") * (t % 5 != 3) + "text" * (t % 7) + "\nmore?" * (t % 3)) for c, n in ((1, 40), (2, 5), (3, 1)) for t in range(n)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    model = transcripts.fitted(df)
-    lines = transcripts.lines_of(df, "conv_id", "turn", "text")
-    borders = lines.join(transcripts._borders(lines, model), ["__key", "__chunk"]).toPandas()
-    for key, g in borders.groupby("__key"):
-        g = transcripts._ordered(g)
-        emission = lambda x: model.emission(x["__marker"].to_numpy(), x["__length"].to_numpy(), x["__asks"].to_numpy())
-        states = [s for _, c in g.groupby("__chunk") for s in transcripts.path(emission(c), model, int(c["before"].iloc[0]), int(c["last"].iloc[0]))]
-        e = emission(g)
-        total = model.start[states[0]] + sum(e[i, s] for i, s in enumerate(states)) + sum(model.step[a, b] for a, b in zip(states, states[1:]))
-        assert total == pytest.approx(plain_viterbi(e, model))
-    assert sum(r.n_lines for r in transcripts.parsed(df, model).collect()) == lines.count()
-
-
-def test_transcripts_of_odd_rows(spark):
-    rows = [(1, 0, "user", "User: hi\nthere"), (1, 1, None, "Assistant: yes"), (1, 1, None, "Assistant: yes"), (None, 0, "user", "x"), (2, None, "other", None), (3, 5, "user", ""), (4, 0, "user", "w\n" * 5000)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("place", F.lit("mine"))
-    model = transcripts.fitted(df)
-    got = transcripts.parsed(df, model)
-    assert sum(r.n_lines for r in got.collect()) == 2 + 2 + 1 + 1 + 1 + 5001
-    assert got.where("conv_id = 1").orderBy("place").first().text.startswith("hi\nthere")
-    assert transcripts.parsed(df.limit(0), model).count() == 0 and transcripts.fitted(df.limit(0)) is not None
