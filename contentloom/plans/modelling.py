@@ -12,7 +12,7 @@ from contentloom.plans.registry import query
 from contentloom.session import scratch_path
 from contentloom.sources import partitioned, snapshots
 from contentloom.streaming.upsert import upsert_stream
-from contentloom.streaming.validate import validate_stream
+from contentloom.streaming.validate import validate_once_stream, validate_stream
 
 
 @query("a07_model_counts", """
@@ -293,6 +293,26 @@ def stream_validation(t):
     return t.spark.read.parquet(path).select("event_id", F.col("is_valid").cast("boolean").alias("is_valid"))
 
 
+@query("st1_replayed_records", "SELECT event_id, event_type IN ('click', 'view') AS is_valid FROM events")
+def replayed_records(t):
+    """Events in four files by time, each with records of the file before it once more, validated once each."""
+    from contentloom.functions import rules as R
+
+    m = model("Event", (R.one_of("kind", ["click", "view"]),), kind="str", value="float")
+    text = F.to_json(F.struct(F.col("event_type").alias("kind"), "value"))
+    rows = t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), text.alias("payload"))
+    low, high = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    quarter = F.least(F.floor((F.unix_micros("ts") - low) * 4 / max(1, high - low)), F.lit(3))
+    source, path, checkpoint = (scratch_path(t.spark, x) for x in ("events", "valid", "progress"))
+    for n in range(4):
+        again = rows.where((quarter == n - 1) & (F.col("event_id") % 2 == 0))
+        rows.where(quarter == n).union(again).coalesce(1).write.mode("append").parquet(source)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    delay = f"{(high - low) // 2 // 1_000_000 + 1} seconds"
+    validate_once_stream(stream, "payload", m, path, checkpoint, "event_id", "ts", delay, available_now=True).awaitTermination()
+    return t.spark.read.parquet(path).select("event_id", F.col("is_valid").cast("boolean").alias("is_valid"))
+
+
 @query("st2_stream_upsert", """
 SELECT user_id, id, context, updated_at FROM (SELECT user_id, CAST(event_id AS STRING) AS id, props AS context, ts AS updated_at, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
 def stream_upsert(t):

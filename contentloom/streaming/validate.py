@@ -25,3 +25,16 @@ def validate_stream(stream: DataFrame, payload: str, m: Model, path: str, checkp
         .option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def validate_once_stream(
+    stream: DataFrame, payload: str, m: Model, path: str, checkpoint: str, key: str, time: str, delay: str, available_now: bool = False,
+) -> StreamingQuery:
+    """As ``validate_stream``, but a record that comes again within ``delay`` is stored once.
+
+    A record is known by ``key``. Spark keeps the keys it has seen until the watermark, the latest
+    ``time`` less the delay, has passed them, so the state holds the keys of that span and no more; records that
+    come later than that are dropped and counted in the query's progress. Only the first of a record's copies is parsed.
+    """
+    first = stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+    return validate_stream(first, payload, m, path, checkpoint, available_now)
