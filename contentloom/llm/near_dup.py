@@ -11,15 +11,23 @@ Jaccard similarity. Points are made in order of time and only as long as they ar
 earlier than some slot's best.
 
 Candidates that share a band are verified by their exact multiset overlap. Texts with
-equal words are one node. Within a band's bucket not all pairs are formed: its nodes are
+equal words are one node, and nodes that are joined by bands, over any number of others, are a group; a
+class lies within a group. A group of up to ``GROUP_NODES`` nodes and ``GROUP_RUNS`` runs is compared in one task:
+from a node on, all nodes like it are taken out of the group and asked in turn, so a class
+costs a comparison of each of its members with those not taken yet, and no pair is formed outside of the task.
+
+Larger groups are compared in Spark, bucket by bucket: the nodes of a band's bucket are
 compared with a pivot, the node that shares most buckets, and how they differ from the
 pivot bounds how similar they can be to each other. Only nodes that the bounds leave
 undecided are compared further, with the next pivot. So no link is lost, and a round's work is linear.
+Both ways give the classes that all pairs within buckets give; in a task pairs that share no band
+are compared too, so that more true links are found there, never fewer.
 
 Defined cases: null and empty texts and texts without words are classes of their
 own; texts of one to four words are one run; words are runs of letters, digits and
 characters outside ASCII, A-Z in lower case; rows that repeat a doc_id and text are in the
-same class; null ids form classes by text, and a class is named by its smallest id.
+same class; null ids form classes by text, and a class is named by its smallest id; texts of any length
+are compared whole; an empty table gives no rows; other columns are not read by ``classes`` and stay in ``distinct_documents``.
 """
 
 from __future__ import annotations
@@ -32,6 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from contentloom.llm.components import components
+from contentloom.llm.sidelists import LAST, ROW, hash_of
 from contentloom.llm.words import MUL, lists_of, mixed, owners, pieces, run_hashes, split_words, hashed
 from contentloom.session import materialize
 
@@ -42,6 +51,10 @@ SLOTS = BANDS * ROWS
 # Buckets up to this size form their pairs, at most 16 for each node on average.
 SMALL = 32
 PIVOTS = 8
+# Nodes and runs of a group that one task compares.
+GROUP_NODES, GROUP_RUNS = 4096, 4_000_000
+# Bits of the filter that tells which texts are asked for: 8 MB.
+MARK_BITS = 1 << 26
 
 
 def shingles(offsets: np.ndarray, words: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +116,7 @@ def _content(offsets: np.ndarray, words: np.ndarray) -> list[bytes | None]:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """``doc_id``, content name and band hashes of each document; no shuffle."""
+    """``doc_id``, what its row is known by, content name, band hashes and number of runs of each document; no shuffle."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,11 +125,19 @@ def signed(docs: DataFrame) -> DataFrame:
                 h = hashed(words)
                 signature = bag_minhash(piece.num_rows, *weighted(*shingles(offsets, h)))
                 band = band_hashes(signature)
+                n = np.diff(offsets)
+                size = np.where(n > 0, np.maximum(n - SHINGLE + 1, 1), 0)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(_content(offsets, h), pa.binary()), lists_of(pa.array(band.reshape(-1).view(np.int64)), np.full(len(band), BANDS))], names=["doc_id", "node", "bands"],
+                    [*(piece.column(c) for c in ("doc_id", *ROW)), pa.array(_content(offsets, h), pa.binary()), lists_of(pa.array(band.reshape(-1).view(np.int64)), np.full(len(band), BANDS)), pa.array(size)],
+                    names=["doc_id", *ROW, "node", "bands", "size"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node binary, bands array<long>")
+    return _named(docs).mapInArrow(sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, id long, t1 long, t2 long, node binary, bands array<long>, size long")
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """Texts with what their rows are known by: rows of one id, or without one, differ by the hash of their text."""
+    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "text").withColumns(hash_of())
 
 
 def band_hashes(signature: np.ndarray) -> np.ndarray:
@@ -128,12 +149,30 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
     return mixed(out)
 
 
-def _sets(texts: DataFrame) -> DataFrame:
-    """``node`` and its runs, the n-th occurrence of a run being an element of its own."""
+def _marks(rows: DataFrame) -> np.ndarray:
+    """A Bloom filter of the rows' text hashes, two bits each, in at most ``MARK_BITS`` bits.
+
+    It only keeps texts from being moved that are not asked for; a full one lets more of them pass,
+    which the join that follows leaves out.
+    """
+    n = rows.count()
+    size = 1 << min(MARK_BITS.bit_length() - 1, max(10, (16 * n).bit_length()))
+    at = rows.select(F.explode(F.array(*[F.pmod(c, F.lit(size)) for c in ("t1", "t2")])).alias("p"))
+    words = at.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("bits")).toArrow()
+    bits = np.zeros(size // 64, np.int64)
+    bits[words["w"].to_numpy()] = words["bits"].to_numpy()
+    return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
+
+
+def _sets(texts: DataFrame, marks: np.ndarray) -> DataFrame:
+    """What the row is known by, ``node`` and its runs for the texts in the filter; the n-th occurrence of a run is an element of its own."""
+    held = texts.sparkSession.sparkContext.broadcast(np.packbits(marks))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in pieces(batch, "text"):
+        marks = np.unpackbits(held.value).astype(bool)
+        for whole in batches:
+            asked = np.logical_and(*(marks[np.mod(whole.column(c).to_numpy(), len(marks))] for c in ("t1", "t2")))
+            for piece in pieces(whole.filter(pa.array(asked)), "text"):
                 offsets, words = split_words(piece.column("text"), fold=True)
                 words = hashed(words)
                 text, h = shingles(offsets, words)
@@ -141,9 +180,74 @@ def _sets(texts: DataFrame) -> DataFrame:
                 new = np.concatenate([[True], (text[1:] != text[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, bool)
                 nth = place - np.maximum.accumulate(np.where(new, place, 0)) if len(h) else place
                 element = mixed(h + MUL * nth.astype(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(_content(offsets, words), pa.binary()), lists_of(pa.array(element), np.bincount(text, minlength=piece.num_rows))], names=["node", "runs"])
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ROW), pa.array(_content(offsets, words), pa.binary()), lists_of(pa.array(element), np.bincount(text, minlength=piece.num_rows))], names=[*ROW, "node", "runs"])
+
+    return texts.select(*ROW, "text").mapInArrow(make, "id long, t1 long, t2 long, node binary, runs array<long>")
+
+
+def similar_sets(sizes: np.ndarray, elements: np.ndarray, threshold: float) -> np.ndarray:
+    """A class number for each of some sets, given one after another: sets are linked if their overlap reaches the threshold."""
+    _, code = np.unique(elements, return_inverse=True)
+    ends = np.cumsum(sizes)
+    starts, label = ends - sizes, np.full(len(sizes), -1)
+    mark = np.zeros(int(code.max()) + 1 if len(code) else 0, np.int32)
+    rest, rest_code, rest_start = np.arange(len(sizes)), code, starts
+    for seed in np.argsort(-sizes, kind="stable"):
+        if label[seed] >= 0:
+            continue
+        label[seed], queue = seed, [seed]
+        while queue:
+            x = queue.pop()
+            free = label[rest] < 0
+            if not free.any():
+                break
+            if free.sum() * 2 < len(rest):  # leave out what has a class already
+                rest = rest[free]
+                n = sizes[rest]
+                rest_start = np.cumsum(n) - n
+                rest_code = code[np.repeat(starts[rest] - rest_start, n) + np.arange(n.sum())]
+                free = np.ones(len(rest), bool)
+            own = code[starts[x]:ends[x]]
+            mark[own] = 1
+            shared = np.add.reduceat(mark[rest_code], rest_start)
+            mark[own] = 0
+            like = rest[free & (shared >= threshold * (sizes[rest] + sizes[x] - shared))]
+            label[like] = seed
+            queue += like.tolist()
+    return label
+
+
+def _in_groups(sets: DataFrame, threshold: float) -> DataFrame:
+    """``node`` and ``root``, the smallest node of its class, for groups that come together in a task."""
+
+    def classes_of(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        names = table["node"].to_pylist()
+        first = sorted({n: i for i, n in enumerate(names)}.values())  # a node may come in several rows
+        table = table.take(pa.array(first))
+        names = [names[i] for i in first]
+        runs = table["runs"].combine_chunks()
+        label = similar_sets(np.asarray(runs.value_lengths()).astype(np.int64), runs.flatten().to_numpy(), threshold)
+        least: dict[int, bytes] = {}
+        for n, c in zip(names, label.tolist()):
+            least[c] = min(least.get(c, n), n)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([least[c] for c in label.tolist()], pa.binary())], names=["node", "root"])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, group = [], None
+        for batch in batches:
+            root = batch.column("root").to_pylist()
+            new = [i for i in range(len(root)) if i == 0 or root[i] != root[i - 1]]
+            for a, b in zip(new, [*new[1:], len(root)]):
+                if held and root[a] != group:
+                    yield classes_of(held)
+                    held = []
+                group = root[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield classes_of(held)
 
-    return texts.select("text").mapInArrow(make, "node binary, runs array<long>")
+    return sets.repartition("root").sortWithinPartitions("root").mapInArrow(make, "node binary, root binary")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -238,16 +342,24 @@ def near_links(nodes: DataFrame, sets: DataFrame, threshold: float = THRESHOLD)
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id``, ``node`` (null without words) and ``class_id``, one row per input row."""
     sign = materialize(signed(docs), "signatures")
-    nodes = sign.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    nodes = sign.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(*ROW)).alias("row"), F.first("bands").alias("bands"), F.max("size").alias("size"))
     nodes = materialize(nodes, "nodes")
     rows = nodes.select("node", F.explode("bands").alias("band"))
-    counts = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    needed = materialize(rows.join(counts, "band", "left_semi").select("node").distinct(), "candidates")
-    wanted = nodes.join(needed, "node").select("doc_id").distinct()
-    # Rows of other texts under the same id fall out again by their words.
-    texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
-    sets = materialize(_sets(texts).join(needed, "node", "left_semi").dropDuplicates(["node"]), "runs")
-    roots = components(near_links(nodes.join(needed, "node", "left_semi"), sets, threshold))
+    # A bucket joins its nodes to the smallest of them; what hangs together is a group.
+    buckets = rows.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    groups = components(rows.join(buckets, "band").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    sized = groups.join(nodes.select("node", "size"), "node").groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("runs"))
+    fits = (F.col("n") <= GROUP_NODES) & (F.col("runs") <= GROUP_RUNS)
+    needed = materialize(groups.join(sized.select("root", fits.alias("fits")), "root").join(nodes.select("node", "row.*"), "node"), "groups")
+
+    # A shuffle at every size: the runs of the asked texts move, by row and then by group.
+    wanted = needed.select(*ROW, "root", "fits").hint("shuffle_hash")
+    sets = _sets(_named(docs), _marks(needed)).join(wanted, ROW).select("node", "root", "fits", "runs")
+    roots = materialize(_in_groups(sets.where("fits"), threshold), "classes")
+    if not needed.where("NOT fits").isEmpty():
+        open_ = needed.where("NOT fits").select("node")
+        large = materialize(sets.where("NOT fits").select("node", "runs").dropDuplicates(["node"]), "runs")
+        roots = roots.union(components(near_links(nodes.join(open_, "node", "left_semi").select("node", "bands"), large, threshold)))
     named = sign.join(roots, "node", "left").withColumn("__root", F.coalesce("root", "node"))
     least = named.where(F.col("__root").isNotNull()).groupBy("__root").agg(F.min("doc_id").alias("class_id"))
     return named.join(least, "__root", "left").select("doc_id", "node", F.coalesce("class_id", "doc_id").alias("class_id"))

@@ -21,16 +21,36 @@ def test_signature_is_unbiased_for_weights():
     assert abs(np.mean(errors)) < 0.01
 
 
-def test_classes_equal_all_pairs(spark):
+@pytest.mark.parametrize("group", [0, near_dup.GROUP_NODES])
+def test_classes_equal_all_pairs(spark, monkeypatch, group):
+    monkeypatch.setattr(near_dup, "GROUP_NODES", group)
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     got = {r.doc_id: r.class_id for r in near_dup.classes(docs).collect()}
     assert got == near_classes([(r.doc_id, r.text) for r in docs.collect()])
 
 
-@pytest.mark.parametrize("small", [2, near_dup.SMALL])
-def test_chain_of_copies_and_a_star(spark, table, monkeypatch, small):
-    """Links through members that are no pivot are found, over several rounds if buckets are never small."""
+def test_similar_sets_equal_all_pairs():
+    rnd = np.random.default_rng(3)
+    for n in (1, 2, 30, 200):
+        base = rnd.integers(0, 2**40, 60)
+        sets = [np.unique(np.concatenate([base[rnd.random(60) < 0.9], rnd.integers(0, 2**40, rnd.integers(0, 6))])) for _ in range(n)]
+        sets[0] = np.array([7])
+        label = near_dup.similar_sets(np.array([len(x) for x in sets]), np.concatenate(sets), 0.8)
+        want = list(range(n))
+        for i in range(n):
+            for j in range(i):
+                shared = len(np.intersect1d(sets[i], sets[j]))
+                if shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared):
+                    a, b = want[i], want[j]
+                    want = [b if w == a else w for w in want]
+        assert len({*zip(label.tolist(), want)}) == len(set(want)) == len(set(label.tolist()))
+
+
+@pytest.mark.parametrize("small,group", [(2, 0), (near_dup.SMALL, 0), (near_dup.SMALL, near_dup.GROUP_NODES)])
+def test_chain_of_copies_and_a_star(spark, table, monkeypatch, small, group):
+    """Links through members that are no pivot are found, in a task, and in Spark over several rounds if buckets are never small."""
     monkeypatch.setattr(near_dup, "SMALL", small)
+    monkeypatch.setattr(near_dup, "GROUP_NODES", group)
     rnd = random.Random(4)
     base = [f"w{i}" for i in range(300)]
     rows = [(100 + i, " ".join(base[i * 6:] + [f"x{j}" for j in range(i * 6)])) for i in range(12)]
@@ -43,6 +63,15 @@ def test_chain_of_copies_and_a_star(spark, table, monkeypatch, small):
     assert got == near_classes(rows)
 
 
+def test_rows_without_an_id_and_rows_of_one_id(spark, table):
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join(words[:k] + [f"x{k}"] + words[k + 1:]) for k in range(0, 100, 10)] + [" ".join(words[::-1])]
+    rows = [(None, t) for t in texts] + [(5, t) for t in texts] + [(9, "other words than these")]
+    got = {(r.doc_id, r.class_id) for r in near_dup.classes(table(rows)).collect()}
+    assert got == {(None, 5), (5, 5), (9, 9)}
+    assert {r.doc_id for r in near_dup.distinct_documents(table(rows)).collect()} == {5, 9}
+
+
 def test_odd_rows(spark, table):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a b"), (5, "A, b!"), (6, "b a"), (7, "z " * 20000), (7, "z " * 20000), (None, "a b"), (9, "z " * 19000), (None, None)]
     got = {(r.doc_id, r.class_id) for r in near_dup.classes(table(rows)).collect()}
