@@ -7,6 +7,8 @@ partitions, since nothing after them needs the join's partitioning.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from contentloom.functions import payload as P
@@ -111,27 +113,28 @@ def doubled(state: DataFrame) -> DataFrame:
 
     Each round looks up as far again; rows that look at one another for good are cycles, and so is what hangs below them.
     """
-    before = None
+    finished, todo, before = [state.where(F.col("up").isNull())], state.where(F.col("up").isNotNull()), None
     while True:
-        todo = state.where(F.col("up").isNotNull())
         now = todo.count()
         # While any open row leads to a finished one, the last open row before it
         # finishes in the next round. A round without progress leaves only cycles.
         if now in (0, before):
             break
         before = now
-        above = state.select(
+        above = reduce(DataFrame.unionByName, [*finished, todo]).select(
             F.col("id").alias("up"), F.col("up").alias("__up"), F.col("dist").alias("__dist"), F.col("issue").alias("__issue")
         )
-        moved = salted_join(todo, above, ["up"], ["id"], "inner").select(
+        moved = materialize(salted_join(todo, above, ["up"], ["id"], "inner").select(
             "id",
             F.col("__up").alias("up"),
             (F.col("dist") + F.col("__dist")).alias("dist"),
             F.when(F.col("__issue") == "cycle", "cycle").when(F.col("__issue").isNotNull(), "ancestor_not_found").alias("issue"),
-        )
-        state = materialize(state.where(F.col("up").isNull()).unionByName(moved), "levels")
+        ), "levels")
+        # Finished rows stay where they were written; a round writes its own rows only.
+        finished.append(moved.where(F.col("up").isNull()))
+        todo = moved.where(F.col("up").isNotNull())
     issue = F.when(F.col("up").isNotNull(), F.lit("cycle")).otherwise(F.col("issue"))
-    return state.select("id", F.when(issue.isNull(), F.col("dist")).alias("level"), issue.alias("issue"))
+    return reduce(DataFrame.unionByName, [*finished, todo]).select("id", F.when(issue.isNull(), F.col("dist")).alias("level"), issue.alias("issue"))
 
 
 # The nested list each top list of a content hierarchy holds.
