@@ -55,6 +55,8 @@ PIVOTS = 8
 GROUP_NODES, GROUP_RUNS = 4096, 4_000_000
 # Bits of the filter that tells which texts are asked for: 8 MB.
 MARK_BITS = 1 << 26
+# Texts taken at a time.
+PIECE_BYTES = 2 << 20
 
 
 def shingles(offsets: np.ndarray, words: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +122,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE_BYTES):
                 offsets, words = split_words(piece.column("text"), fold=True)
                 h = hashed(words)
                 signature = bag_minhash(piece.num_rows, *weighted(*shingles(offsets, h)))
@@ -150,14 +152,14 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
 
 
 def _marks(rows: DataFrame) -> np.ndarray:
-    """A Bloom filter of the rows' text hashes, two bits each, in at most ``MARK_BITS`` bits.
+    """A Bloom filter of the rows, two bits each, in at most ``MARK_BITS`` bits.
 
     It only keeps texts from being moved that are not asked for; a full one lets more of them pass,
     which the join that follows leaves out.
     """
     n = rows.count()
     size = 1 << min(MARK_BITS.bit_length() - 1, max(10, (16 * n).bit_length()))
-    at = rows.select(F.explode(F.array(*[F.pmod(c, F.lit(size)) for c in ("t1", "t2")])).alias("p"))
+    at = rows.select(F.explode(F.array(*[F.pmod(F.xxhash64("id", c), F.lit(size)) for c in ("t1", "t2")])).alias("p"))
     words = at.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("bits")).toArrow()
     bits = np.zeros(size // 64, np.int64)
     bits[words["w"].to_numpy()] = words["bits"].to_numpy()
@@ -171,8 +173,8 @@ def _sets(texts: DataFrame, marks: np.ndarray) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.unpackbits(held.value).astype(bool)
         for whole in batches:
-            asked = np.logical_and(*(marks[np.mod(whole.column(c).to_numpy(), len(marks))] for c in ("t1", "t2")))
-            for piece in pieces(whole.filter(pa.array(asked)), "text"):
+            asked = np.logical_and(*(marks[np.mod(whole.column(c).to_numpy(), len(marks))] for c in ("p1", "p2")))
+            for piece in pieces(whole.filter(pa.array(asked)), "text", PIECE_BYTES):
                 offsets, words = split_words(piece.column("text"), fold=True)
                 words = hashed(words)
                 text, h = shingles(offsets, words)
@@ -182,7 +184,7 @@ def _sets(texts: DataFrame, marks: np.ndarray) -> DataFrame:
                 element = mixed(h + MUL * nth.astype(np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ROW), pa.array(_content(offsets, words), pa.binary()), lists_of(pa.array(element), np.bincount(text, minlength=piece.num_rows))], names=[*ROW, "node", "runs"])
 
-    return texts.select(*ROW, "text").mapInArrow(make, "id long, t1 long, t2 long, node binary, runs array<long>")
+    return texts.select(*ROW, "text", F.xxhash64("id", "t1").alias("p1"), F.xxhash64("id", "t2").alias("p2")).mapInArrow(make, "id long, t1 long, t2 long, node binary, runs array<long>")
 
 
 def similar_sets(sizes: np.ndarray, elements: np.ndarray, threshold: float) -> np.ndarray:
