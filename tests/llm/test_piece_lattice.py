@@ -39,7 +39,7 @@ def test_n_best_equals_all_paths(vocabulary):
 
 
 def test_round_trip_and_small_store(vocabulary, monkeypatch):
-    monkeypatch.setattr(L, "REMEMBER", 3)
+    monkeypatch.setattr(L, "REMEMBER_BYTES", 1200)
     rnd, e = random.Random(2), L.Encoder(vocabulary)
     for text in ["", " ", "a", "  a  b\t\n\n", "▁", "x▁ ▁y", "<s> </s> <0x41>", "\U0001f600é漢", "a" * 5000, "|" * 3000, "\x00\x7f"] + ["".join(chr(rnd.choice([32, 97, 105, 233, 0x2581, 0x4e00, 10, 48])) for _ in range(60)) for _ in range(50)]:
         assert e.decode(e.encode(text)[0]) == text
