@@ -113,23 +113,23 @@ def _hashed(turns: DataFrame) -> DataFrame:
 def _listed(parts: DataFrame) -> DataFrame:
     """One row per sequence: smallest conversation, weight and digest of the id list, whose parts stream by in order."""
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own, sha = None, None, None
-
-        def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{"depth": key[0], "x": key[1], "y": key[2], **own, "ends_sha256": sha.hexdigest()}], schema=pa.schema(
-                [(c, pa.int64()) for c in (*KEY, "total", "conv", "weight")] + [("ends_sha256", pa.string())]))
+    fields = pa.schema([(c, pa.int64()) for c in (*KEY, "total", "conv", "weight")] + [("ends_sha256", pa.string())])
 
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, key, own, sha = [], None, None, None
         for batch in batches:
             for r in batch.to_pylist():
                 if (r["depth"], r["x"], r["y"]) != key:
                     if key is not None:
-                        yield row()
-                    key, own, sha = (r["depth"], r["x"], r["y"]), {"total": r["total"], "conv": r["least"], "weight": 0}, hashlib.sha256()
+                        made.append({**own, "ends_sha256": sha.hexdigest()})
+                    key, sha = (r["depth"], r["x"], r["y"]), hashlib.sha256()
+                    own = {**dict(zip(KEY, key)), "total": r["total"], "conv": r["least"], "weight": 0}
                 sha.update((("," if own["weight"] else "") + r["ids"]).encode())
                 own["weight"] += r["n"]
+            yield pa.RecordBatch.from_pylist(made, schema=fields)
+            made = []
         if key is not None:
-            yield row()
+            yield pa.RecordBatch.from_pylist([{**own, "ends_sha256": sha.hexdigest()}], schema=fields)
 
     ordered = parts.repartition(*KEY).sortWithinPartitions(*KEY, "list")
     return ordered.mapInArrow(digest, "depth long, x long, y long, total long, conv long, weight long, ends_sha256 string")
