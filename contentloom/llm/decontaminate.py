@@ -38,33 +38,47 @@ ADDED = "__n_words long, __spans array<struct<first:long,words:long>>, __matches
 
 @dataclass
 class Windows:
-    """The different windows of a benchmark block: start, length and items of each."""
+    """The different windows of a benchmark block: start and length of each, and where it stands in which items."""
 
     vocabulary: pa.Array
     words: np.ndarray
     start: np.ndarray
     length: np.ndarray
-    items: list[list[tuple[str | None, int]]]
+    names: list[str | None]
+    # Places of window k: from first[k] up to first[k + 1].
+    first: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+
+    def items(self, k: int) -> Iterator[tuple[str | None, int]]:
+        for j in range(self.first[k], self.first[k + 1]):
+            yield self.names[self.item[j]], int(self.place[j])
 
 
 def windows(rows: list[tuple[str | None, str | None]], window: int = WINDOW) -> Windows:
+    """Windows of ``window`` words, and items of fewer as one; arrays only, about a hundred bytes a word."""
     offsets, words = split_words(pa.array([t for _, t in rows], pa.string()), fold=True)
     number, vocabulary = codes(words)
-    number = number + 1  # 0 ends a run
-    found: dict[bytes, int] = {}
-    start, length, items = [], [], []
-    for r, (item, _) in enumerate(rows):
-        a, b = int(offsets[r]), int(offsets[r + 1])
-        size = min(window, b - a)
-        for p in range(a, b - size + 1) if size else ():
-            key = number[p:p + size].tobytes()
-            if key not in found:
-                found[key] = len(start)
-                start.append(p)
-                length.append(size)
-                items.append([])
-            items[found[key]].append((item, p - a))
-    return Windows(vocabulary, np.concatenate([number, np.zeros(window, np.int64)]), np.array(start, np.int64), np.array(length, np.int64), items)
+    number = (number + 1).astype(np.int32)  # 0 ends a run
+    sizes = np.diff(offsets)
+    start, length, which, item, place, base = [], [], [], [], [], 0
+    for n in np.unique(np.minimum(window, sizes[sizes > 0])):
+        own = np.flatnonzero((sizes == n) | ((sizes > n) & (n == window)))
+        count = sizes[own] - n + 1
+        r = np.repeat(own, count)
+        p = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        at = offsets[r] + p
+        _, one, same = np.unique(number[at[:, None] + np.arange(n)], axis=0, return_index=True, return_inverse=True)
+        start.append(at[one])
+        length.append(np.full(len(one), n))
+        which.append(same.reshape(-1) + base)
+        item.append(r)
+        place.append(p)
+        base += len(one)
+    join = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)
+    order = np.argsort(join(which), kind="stable")
+    first = np.searchsorted(join(which)[order], np.arange(base + 1))
+    return Windows(vocabulary, np.concatenate([number, np.zeros(window, np.int32)]).astype(np.int64), join(start), join(length), [i for i, _ in rows], first, join(item)[order], join(place)[order])
 
 
 def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
@@ -152,7 +166,7 @@ def _union(text: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.
 
 def _longest(text: np.ndarray, first: np.ndarray, window: np.ndarray, w: Windows) -> list[tuple[int, str | None, int, int]]:
     """The longest verbatim matches: windows of an item that follow each other in a text as in the item."""
-    rows = sorted((int(d), item or "", item is None, int(p) - q, int(p), int(w.length[k])) for d, p, k in zip(text, first, window) for item, q in w.items[k])
+    rows = sorted((int(d), item or "", item is None, int(p) - q, int(p), int(w.length[k])) for d, p, k in zip(text, first, window) for item, q in w.items(int(k)))
     out: list[list] = []
     for d, item, blank, line, p, n in rows:
         if out and out[-1][:4] == [d, item, blank, line] and p <= out[-1][5]:
