@@ -24,11 +24,10 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, Window, functions as F, types as T
 
-from contentloom.operators.vectors import SCORES, filtered, scores_in_group, usable
+from contentloom.operators.vectors import SCORES_DDL, filtered, scores_in_group, usable
 from contentloom.session import materialize
 
 # Rows that k-means sees per cell, and its rounds; every row is indexed.
@@ -205,7 +204,7 @@ def _scanned(index: VectorIndex, asked: DataFrame, k: int, content_type: str | N
     left = asked.join(F.broadcast(sizes), "cell").withColumn("block", spread("query_id", F.col("blocks"))).withColumn("part", every("parts")).select("query_id", "embedding", "cell", "block", "part")
     right = vectors.join(F.broadcast(sizes), "cell").withColumn("part", spread("content_id", F.col("parts"))).withColumn("block", every("blocks")).select("content_id", "embedding", "cell", "block", "part")
     key = ["cell", "block", "part"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(lambda q, v: scores_in_group(q, v, k), SCORES)
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda q, v: scores_in_group(q, v, k), SCORES_DDL)
 
 
 def _best(scores: DataFrame, k: int) -> DataFrame:

@@ -5,16 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from contentloom.functions import payload as P
 from contentloom.operators.skew import fold
 
-QUERY_BLOCK = 512
+# Rows that are compared at a time inside a task.
+QUERY_BLOCK, VECTOR_BLOCK = 512, 4096
 # Rows of one meeting of queries and vectors.
 QUERY_ROWS, VECTOR_ROWS = 4096, 65_536
-SCORES = "query_id string, content_id string, score double"
+SCORES = pa.schema([("query_id", pa.string()), ("content_id", pa.string()), ("score", pa.float64())])
+SCORES_DDL = "query_id string, content_id string, score double"
 
 
 def filtered(vectors: DataFrame, content_type: str | None = None, filters: Mapping[str, str] | None = None) -> DataFrame:
@@ -26,22 +29,43 @@ def filtered(vectors: DataFrame, content_type: str | None = None, filters: Mappi
     return vectors
 
 
-def _unit(rows: pd.Series) -> np.ndarray:
-    m = np.stack([np.asarray(r, dtype=np.float64) for r in rows])
-    norms = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
+def _units(column: pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each length of the vectors in a column, with the places and the unit vectors of its rows."""
+    values = column.combine_chunks()
+    sizes, flat = np.asarray(values.value_lengths()), values.flatten().to_numpy(zero_copy_only=False)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    for n in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == n)
+        m = np.empty((len(at), n))
+        for i in range(0, len(at), VECTOR_BLOCK):
+            some = flat[starts[at[i : i + VECTOR_BLOCK]][:, None] + np.arange(n)].astype(np.float64)
+            norms = np.linalg.norm(some, axis=1, keepdims=True)
+            m[i : i + VECTOR_BLOCK] = np.divide(some, norms, out=np.zeros_like(some), where=norms > 0)
+        yield n, at, m
 
 
-def _best_of(query_ids: np.ndarray, query_units: np.ndarray, ids: np.ndarray, units: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
-    """The k best vectors per query; ``ids`` are sorted and equal scores go to the smaller id."""
-    n = len(ids)
-    for at in range(0, len(query_ids), QUERY_BLOCK):
-        scores = np.round(query_units[at : at + QUERY_BLOCK] @ units.T, 6)
+def _cut(rank: np.ndarray, place: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k smallest ranks of each row, with their places and scores."""
+    if rank.shape[1] <= k:
+        return rank, place, scores
+    top = np.argpartition(rank, k - 1, axis=1)[:, :k]
+    return tuple(np.take_along_axis(x, top, axis=1) for x in (rank, place, scores))
+
+
+def _best_of(queries: np.ndarray, units: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores of the k best vectors per query; equal scores go to the smaller place.
+
+    Vectors are taken ``VECTOR_BLOCK`` at a time and meet the best ones so far.
+    """
+    n, best = len(units), None
+    for at in range(0, n, VECTOR_BLOCK):
+        scores = np.round(queries @ units[at : at + VECTOR_BLOCK].T, 6)
+        place = np.broadcast_to(np.arange(at, at + scores.shape[1]), scores.shape)
         # Score and place in one number, so that ties are cut here as well.
-        rank = np.rint(scores * 1e6).astype(np.int64) * n - np.arange(n)
-        top = np.argpartition(-rank, min(k, n) - 1, axis=1)[:, :k]
-        q = np.repeat(np.arange(len(scores)), top.shape[1])
-        yield pd.DataFrame({"query_id": query_ids[at + q], "content_id": ids[top.ravel()], "score": scores[q, top.ravel()]})
+        rank = place - np.rint(scores * 1e6).astype(np.int64) * n
+        found = _cut(rank, place, scores, k)
+        best = found if best is None else _cut(*(np.concatenate(x, axis=1) for x in zip(best, found, strict=True)), k)
+    return best[1], best[2]
 
 
 def usable(df: DataFrame) -> DataFrame:
@@ -54,17 +78,21 @@ def unusable(vectors: DataFrame) -> DataFrame:
     return vectors.select("content_id", "embedding").join(usable(vectors).select("content_id"), "content_id", "left_anti").select("content_id")
 
 
-def scores_in_group(q: pd.DataFrame, v: pd.DataFrame, k: int, threshold: float | None = None) -> pd.DataFrame:
+def scores_in_group(q: pa.Table, v: pa.Table, k: int, threshold: float | None = None) -> pa.Table:
     """The k best vectors of a group for each of its queries, among those of the query's length."""
-    found = [pd.DataFrame({"query_id": pd.Series(dtype=object), "content_id": pd.Series(dtype=object), "score": pd.Series(dtype=float)})]
-    v = v.sort_values("content_id")
-    size = v["embedding"].map(len)
-    for n, same in q.groupby(q["embedding"].map(len)):
-        near = v[size == n]
-        if len(near):
-            found += _best_of(same["query_id"].to_numpy(dtype=object), _unit(same["embedding"]), near["content_id"].to_numpy(dtype=object), _unit(near["embedding"]), k)
-    best = pd.concat(found)
-    return best if threshold is None else best[best["score"] >= threshold]
+    v = v.take(pc.sort_indices(v["content_id"]))
+    near = {n: (at, units) for n, at, units in _units(v["embedding"])}
+    found = [pa.table([[], [], []], SCORES)]
+    for n, asked, queries in _units(q["embedding"]):
+        if n not in near:
+            continue
+        at, units = near[n]
+        for i in range(0, len(asked), QUERY_BLOCK):
+            place, score = _best_of(queries[i : i + QUERY_BLOCK], units, k)
+            who, score = np.repeat(asked[i : i + QUERY_BLOCK], place.shape[1]), score.ravel()
+            kept = np.ones(len(score), bool) if threshold is None else score >= threshold
+            found.append(pa.table([q["query_id"].take(pa.array(who[kept])), v["content_id"].take(pa.array(at[place.ravel()[kept]])), score[kept]], SCORES))
+    return pa.concat_tables(found)
 
 
 def top_k(
@@ -76,8 +104,8 @@ def top_k(
     ``queries`` holds (query_id, embedding), ``vectors`` (content_id, embedding,
     content_type, metadata). Queries in ``blocks`` meet vectors in ``shards``; each
     meeting keeps its k best per query, which a ranking then joins. Both numbers only
-    set the size of a task: a vector is sent ``blocks`` times, a query ``shards`` times. Unless given
-    they follow from the counted rows, so a meeting has about ``QUERY_ROWS`` queries and ``VECTOR_ROWS`` vectors at any size.
+    set the size of a task: a vector is sent ``blocks`` times, a query ``shards`` times. They are the least: more
+    are made as the counted rows need, so a meeting has about ``QUERY_ROWS`` queries and ``VECTOR_ROWS`` vectors at any size.
     Vectors are compared with queries of their own length; unusable ones (see
     ``unusable``) are no candidates, and a query of that kind finds nothing.
     ``vector_index`` reads less where vectors are searched more than once.
@@ -86,12 +114,12 @@ def top_k(
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = usable(queries.select("query_id", "embedding"))
     rows = usable(filtered(vectors, content_type, filters).select("content_id", "embedding"))
-    blocks = blocks or max(1, -(-queries.count() // QUERY_ROWS))
-    # A shard per core is the least, so that few rows still meet in parallel.
-    shards = shards or max(queries.sparkSession.sparkContext.defaultParallelism, -(-vectors.count() // VECTOR_ROWS))
+    blocks = max(blocks or 1, -(-queries.count() // QUERY_ROWS))
+    # A shard per core is the least unless given, so that few rows still meet in parallel.
+    shards = max(shards or queries.sparkSession.sparkContext.defaultParallelism, -(-vectors.count() // VECTOR_ROWS))
     left = asked.withColumn("block", spread("query_id", blocks)).withColumn("shard", every(shards))
     right = rows.withColumn("shard", spread("content_id", shards)).withColumn("block", every(blocks))
-    best = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(lambda q, v: scores_in_group(q, v, k, threshold), SCORES)
+    best = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(lambda q, v: scores_in_group(q, v, k, threshold), SCORES_DDL)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "content_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
