@@ -1,12 +1,13 @@
 """Bulk work on model definitions: lint, field catalog, conversion, export, migration.
 
 Definitions are JSON, one per row. Conversions rewrite each definition inside its
-row, so they need no shuffle.
+row; before that the rows are dealt over all cores.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -19,6 +20,11 @@ def _parsed(df: DataFrame, column: str = "definition") -> DataFrame:
     return df.withColumn("__d", P.safe_json(F.col(column)))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """The rows dealt over all cores: a file of short definitions has few splits, but each row is long work."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, "name", "definition")
+
+
 def _entries(v: Column) -> Column:
     return F.coalesce(F.map_entries(P.as_map(v)), F.array().cast("array<struct<key:string,value:variant>>"))
 
@@ -31,26 +37,30 @@ def _table_name(d: Column, name: Column) -> Column:
     return F.coalesce(F.nullif(P.get_text(d, "table_name"), F.lit("")), F.lower(name))
 
 
+# A field of a definition; values of another shape read as NULL.
+FIELDS = "map<string,struct<type:string,required:boolean,primary_key:boolean,primary:boolean,default:variant,description:string,args:struct<default:variant,description:string>>>"
+
+
 def field_catalog(df: DataFrame) -> DataFrame:
     """Fields of all definitions, one row each; fields come in sorted order.
 
     ``default`` is JSON text. Both places a definition may keep its default are read.
     """
+    fields = F.try_variant_get(F.col("__d"), P.json_path("fields"), FIELDS)
     rows = _parsed(df).select(
-        F.col("name").alias("model"), _table_name(F.col("__d"), F.col("name")).alias("table_name"),
-        F.posexplode(_entries(P.get(F.col("__d"), "fields"))).alias("pos", "e"),
+        F.col("name").alias("model"), _table_name(F.col("__d"), F.col("name")).alias("table_name"), F.posexplode(F.map_entries(fields)).alias("pos", "e"),
     )
     d = F.col("e.value")
-    inner, outer = P.get(d, "args", "default"), P.get(d, "default")
+    inner, outer = d["args"]["default"], d["default"]
     default = F.when(P.present(inner), inner).otherwise(F.coalesce(outer, inner))
-    flag = lambda key: F.coalesce(F.try_variant_get(d, P.json_path(key), "boolean"), F.lit(False))
+    flag = lambda key: F.coalesce(d[key], F.lit(False))
     return rows.select(
         "model", "table_name", F.col("e.key").alias("field"), "pos",
-        F.coalesce(P.get_text(d, "type"), F.lit("Any")).alias("type"),
-        F.coalesce(F.try_variant_get(d, P.json_path("required"), "boolean"), F.lit(True)).alias("required"),
+        F.coalesce(d["type"], F.lit("Any")).alias("type"),
+        F.coalesce(d["required"], F.lit(True)).alias("required"),
         (default.isNotNull() & ~F.coalesce(F.is_variant_null(default), F.lit(True))).alias("has_default"),
         F.when(P.present(default), F.to_json(default)).alias("default"),
-        F.coalesce(P.get_text(d, "args", "description"), P.get_text(d, "description"), F.lit("")).alias("description"),
+        F.coalesce(d["args"]["description"], d["description"], F.lit("")).alias("description"),
         (flag("primary_key") | flag("primary") | (F.col("e.key") == "id")).alias("primary_key"),
     )
 
@@ -83,46 +93,71 @@ def lint(df: DataFrame) -> DataFrame:
     return out.select(*df.columns, "errors", (F.size("errors") == 0).alias("is_valid"))
 
 
+# Levels of nested items that one cast reads; what lies deeper stays JSON and is read by the next one.
+LEVELS = 4
+# A property and its nested items; values of another shape read as NULL.
+ITEMS = reduce(lambda inner, _: f"struct<type:string,format:string,items:{inner}>", range(LEVELS), "variant")
+PROPERTIES = "map<string,struct<type:string,format:string,description:string,default:variant,items:variant>>"
+
+
+def _properties(d: Column) -> Column:
+    """The properties of a JSON Schema as entries, in sorted order; no property is copied for its parts."""
+    found = F.map_entries(F.try_variant_get(d, P.json_path("properties"), PROPERTIES))
+    return F.coalesce(found, F.array().cast("array<struct<key:string,value:" + PROPERTIES[len("map<string,"):-1] + ">>"))
+
+
 def model_type(prop: Column) -> Column:
-    """Model type of a JSON Schema property; arrays nest to any depth.
+    """Model type of a JSON Schema property of ``_properties``; arrays nest to any depth.
 
-    One step per ``items`` key in the property's text walks down to the innermost item.
+    Arrays whose items are absent or no object are lists of anything.
     """
-    kind = lambda v: P.get_text(v, "type")
-    steps = F.sequence(F.lit(0), F.size(F.split(F.to_json(prop), '"items"')) - 1)
-    start = F.struct(prop.alias("v"), F.lit(0).alias("depth"))
-    deeper = lambda a: F.coalesce(kind(a["v"]) == "array", F.lit(False)) & P.get(a["v"], "items").isNotNull()
-    down = F.aggregate(steps, start, lambda a, _: F.struct(
-        F.when(deeper(a), P.get(a["v"], "items")).otherwise(a["v"]).alias("v"), F.when(deeper(a), a["depth"] + 1).otherwise(a["depth"]).alias("depth"),
-    ))
+    state = lambda kind, form, depth, rest: F.struct(kind.alias("type"), form.alias("format"), depth.alias("depth"), rest.alias("rest"))
+    nothing = F.lit(None).cast("variant")
+    is_list = lambda kind: F.coalesce(kind == "array", F.lit(False))
+
+    def inner(a: Column, v: Column, level: int = 1) -> Column:
+        """The state ``level`` items further down than ``a``, ``v`` being those items."""
+        here = F.lit(level) + a["depth"]
+        if level == LEVELS:
+            return state(v["type"], v["format"], here, F.when(is_list(v["type"]), v["items"]))
+        ends = ~is_list(v["type"]) | v["items"].isNull()
+        return F.when(ends, state(v["type"], v["format"], here, nothing)).otherwise(inner(a, v["items"], level + 1))
+
+    def down(a: Column, _: Column) -> Column:
+        deeper = lambda v: F.when(v.isNotNull(), inner(a, v)).otherwise(state(a["type"], a["format"], a["depth"], nothing))
+        return F.when(a["rest"].isNull(), a).otherwise(P.let(F.try_variant_get(a["rest"], "$", ITEMS), deeper))
+
+    start = state(prop["type"], prop["format"], F.lit(0), F.when(is_list(prop["type"]), prop["items"]))
+
+    # As many steps as there can be items in the text, LEVELS at a time.
+    steps = F.sequence(F.lit(0), F.floor((F.size(F.split(F.to_json(prop["items"]), '"items"')) - 1) / LEVELS).cast("int"))
+    walked = F.when(is_list(prop["type"]) & prop["items"].isNotNull(), F.aggregate(steps, start, down)).otherwise(start)
 
     def text(a: Column) -> Column:
-        v = a["v"]
+        kind = a["type"]
         leaf = (
-            F.when((kind(v) == "string") & F.coalesce(P.get_text(v, "format") == "date-time", F.lit(False)), "datetime")
-            .when(kind(v) == "string", "str").when(kind(v) == "number", "float").when(kind(v) == "integer", "int")
-            .when(kind(v) == "boolean", "bool").when(kind(v) == "null", "None").when(kind(v) == "array", "List[Any]")
-            .when(kind(v) == "object", "Dict[str, Any]").otherwise("Any")
+            F.when((kind == "string") & F.coalesce(a["format"] == "date-time", F.lit(False)), "datetime")
+            .when(kind == "string", "str").when(kind == "number", "float").when(kind == "integer", "int")
+            .when(kind == "boolean", "bool").when(kind == "null", "None").when(kind == "array", "List[Any]")
+            .when(kind == "object", "Dict[str, Any]").otherwise("Any")
         )
         return F.concat(F.repeat(F.lit("List["), a["depth"]), leaf, F.repeat(F.lit("]"), a["depth"]))
 
-    return P.let(down, text)
+    return P.let(walked, text)
 
 
 def from_json_schema(df: DataFrame) -> DataFrame:
     """JSON Schemas to a field catalog (model, field, pos, type, required, default, description)."""
-    rows = _parsed(df).select(
-        F.coalesce("name", P.get_text(F.col("__d"), "title"), F.lit("UnnamedModel")).alias("model"),
-        _names(P.get(F.col("__d"), "required")).alias("__required"),
-        F.posexplode(_entries(P.get(F.col("__d"), "properties"))).alias("pos", "e"),
-    )
+    d = F.col("__d")
+    read = once(_parsed(_spread(df)), __model=F.coalesce("name", P.get_text(d, "title"), F.lit("UnnamedModel")), __required=_names(P.get(d, "required")), __properties=_properties(d))
+    rows = read.select(F.col("__model").alias("model"), "__required", F.posexplode("__properties").alias("pos", "e"))
     prop = F.col("e.value")
     typed = once(rows, type=model_type(prop))
     return typed.select(
         "model", F.col("e.key").alias("field"), "pos", "type",
         F.array_contains("__required", F.col("e.key")).alias("required"),
-        F.when(P.present(P.get(prop, "default")), F.to_json(P.get(prop, "default"))).alias("default"),
-        F.coalesce(P.get_text(prop, "description"), F.lit("")).alias("description"),
+        F.when(P.present(prop["default"]), F.to_json(prop["default"])).alias("default"),
+        F.coalesce(prop["description"], F.lit("")).alias("description"),
     )
 
 
@@ -228,7 +263,7 @@ def migrate_a(df: DataFrame) -> DataFrame:
     d = F.col("__d")
     fields = F.coalesce(P.get(d, "fields"), F.parse_json(F.lit("{}")))
     validators = F.coalesce(P.get(d, "validators"), F.parse_json(F.lit("[]")))
-    return _parsed(df).where(d.isNotNull()).select(
+    return _parsed(_spread(df)).where(d.isNotNull()).select(
         "name", F.lit("content").alias("object_type"), _definition(F.col("name"), fields, validators).alias("definition")
     )
 
@@ -237,14 +272,12 @@ def migrate_b(df: DataFrame) -> DataFrame:
     """JSON Schemas of several namespaces: convert the properties, key by namespace and name."""
     d = F.col("__d")
     needed = _names(P.get(d, "required"))
-    fields = F.map_from_entries(F.transform(_entries(P.get(d, "properties")), lambda e: F.struct(e["key"], F.struct(
-        e["key"].alias("name"), model_type(e["value"]).alias("type"), F.array_contains(needed, e["key"]).alias("required"),
-        F.struct(
-            P.get(e["value"], "default").alias("default"),
-            F.coalesce(P.get_text(e["value"], "description"), F.lit("")).alias("description"),
-        ).alias("args"),
+    entries = lambda names: F.map_from_entries(F.transform(_properties(d), lambda e: F.struct(e["key"], F.struct(
+        e["key"].alias("name"), model_type(e["value"]).alias("type"), F.array_contains(names, e["key"]).alias("required"),
+        F.struct(e["value"]["default"].alias("default"), F.coalesce(e["value"]["description"], F.lit("")).alias("description")).alias("args"),
     ))))
-    return _parsed(df).where(d.isNotNull()).select(
+    fields = P.let(needed, entries)
+    return _parsed(_spread(df)).where(d.isNotNull()).select(
         F.concat_ws("_", "source_schema", "name").alias("name"), F.lit("content").alias("object_type"),
         _definition(F.col("name"), fields, F.array().cast("array<string>")).alias("definition"),
     )

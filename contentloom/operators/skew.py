@@ -80,7 +80,15 @@ def pick(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], last
     not depend on how rows arrive.
     """
     rest = [c for c in df.columns if c not in keys]
-    rank = _rank(df, rest, order)
-    choose = F.max_by if last else F.min_by
-    best = df.groupBy(*keys).agg(choose(F.struct(*rest), rank).alias("__row"))
-    return best.select(*keys, "__row.*").select(*df.columns)
+    rank = _rank(df, rest, list(dict.fromkeys(order)))
+    named = set(df.select(rank.alias("r")).schema["r"].dataType.names)
+    # A column that ranks comes back out of the rank; only the others are carried beside it.
+    beside = [c for c in rest if c not in named]
+    if beside:
+        choose = F.max_by if last else F.min_by
+        best = df.groupBy(*keys).agg(choose(F.struct(rank.alias("r"), *beside), rank).alias("__row"))
+        found = [F.col(f"__row.{c}" if c in beside else f"__row.r.{c}").alias(c) for c in rest]
+    else:
+        best = df.groupBy(*keys).agg((F.max if last else F.min)(rank).alias("__row"))
+        found = [F.col(f"__row.{c}").alias(c) for c in rest]
+    return best.select(*keys, *found).select(*df.columns)

@@ -5,8 +5,10 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from contentloom.operators import vectors as E
+from contentloom.operators import catalog as C, vectors as E
+from contentloom.operators.skew import pick
 
 
 def test_a_meeting_of_vectors_needs_bounded_memory():
@@ -42,3 +44,25 @@ def test_given_blocks_do_not_let_a_meeting_grow(spark, monkeypatch, blocks):
     got = E.top_k(asked, rows, 3, blocks=blocks, shards=1)
     assert any("5" in x for x in seen)  # six blocks of ten queries
     assert got.count() == 180
+
+
+def test_schemas_of_one_split_are_converted_by_all_cores(spark):
+    deep = lambda n: '{"items":' * n + '{"format":"date-time","type":"string"}' + ',"type":"array"}' * n
+    schemas = spark.createDataFrame([("s", f"n{i}", f'{{"properties":{{"a":{deep(i)},"b":{{"type":"array","items":3}},"c":7}},"required":["a"]}}') for i in range(40)], "source_schema string, name string, definition string").coalesce(1)
+    want = {f"n{i}": {"a": "List[" * i + "datetime" + "]" * i, "b": "List[Any]", "c": "Any"} for i in range(40)}
+    converted, migrated = C.from_json_schema(schemas), C.migrate_b(schemas)
+    got = {}
+    for r in converted.collect():
+        got.setdefault(r["model"], {})[r["field"]] = r["type"]
+    assert got == want
+    assert {r["field"]: r["type"] for r in C.field_catalog(migrated).where("model = 's_n39'").collect()} == want["n39"]
+    for df in (converted, migrated):
+        assert df.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+def test_pick_carries_each_value_once(spark):
+    rows = spark.createDataFrame([(k, i % 3, f"text {i}", {"i": i}) for i in range(12) for k in ("a", "b")], "k string, v int, t string, m map<string,int>")
+    whole = pick(rows.select("k", "v", "t"), ["k"], ["v", "v"])
+    assert sorted(map(tuple, whole.collect())) == [("a", 2, "text 8"), ("b", 2, "text 8")]
+    assert "max_by" not in whole._jdf.queryExecution().toString()
+    assert sorted(map(tuple, pick(rows, ["k"], ["v"], last=False).collect())) == [("a", 0, "text 0", {"i": 0}), ("b", 0, "text 0", {"i": 0})]
