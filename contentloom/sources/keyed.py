@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from contentloom.session import materialize
 
 PART = "__part"
+# Up to so many parts every task may write all of them.
+DIRECT_PARTS = 32
 
 
 @dataclass(frozen=True)
@@ -35,8 +37,10 @@ class Keyed:
 
     def _write(self, df: DataFrame, mode: str) -> None:
         rows = df.select(*self.schema.names).withColumn(PART, self._part(self.schema.names))
-        # The rebalance cuts large parts; adaptive execution then gives them to several tasks.
-        rows.hint("rebalance", PART).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(self.path)
+        # With few parts each task writes files of its own for them, which saves a shuffle of the table. With
+        # many the rebalance gathers a part, and cuts large ones; adaptive execution then gives them to several tasks.
+        dealt = rows if self.parts <= DIRECT_PARTS else rows.hint("rebalance", PART)
+        dealt.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(self.path)
 
     def _all(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema(T.StructType([*self.schema.fields, T.StructField(PART, T.IntegerType())])).parquet(self.path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from contentloom.operators import catalog as C, vectors as E
 from contentloom.operators.skew import pick
+from contentloom.sources import keyed
 
 
 def test_a_meeting_of_vectors_needs_bounded_memory():
@@ -66,3 +67,14 @@ def test_pick_carries_each_value_once(spark):
     assert sorted(map(tuple, whole.collect())) == [("a", 2, "text 8"), ("b", 2, "text 8")]
     assert "max_by" not in whole._jdf.queryExecution().toString()
     assert sorted(map(tuple, pick(rows, ["k"], ["v"], last=False).collect())) == [("a", 0, "text 0", {"i": 0}), ("b", 0, "text 0", {"i": 0})]
+
+
+def test_a_table_of_few_parts_is_written_without_a_shuffle(spark, tmp_path):
+    rows = spark.range(200).selectExpr("concat('k', id % 20) AS k", "id AS v")
+    few, many = keyed.create(rows, str(tmp_path / "few"), "k", 4), keyed.create(rows, str(tmp_path / "many"), "k", 40)
+    for table in (few, many):
+        assert sorted(map(tuple, table.read(spark).collect())) == sorted((f"k{i % 20}", i) for i in range(200))
+        assert table.of(spark.createDataFrame([("k3",)], "k string")).count() == 10
+    files = lambda name: len(list((tmp_path / name).glob("__part=*/*.parquet")))
+    assert files("few") > 4  # a file of each task, as no task waits for the others
+    assert files("many") <= 40
