@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from contentloom.functions import payload as P
-from contentloom.operators.skew import salted_join
+from contentloom.operators.skew import Dealt, dealt_by, salted_join, without
 from contentloom.operators.validation import once
 
 REF = "struct<id:string,type:string>"
@@ -103,18 +103,37 @@ def replace_edges(edges: DataFrame, new: DataFrame, sources: DataFrame) -> DataF
     return kept.unionByName(unique_edges(new))
 
 
+def with_source_type(edges: DataFrame, contents: DataFrame) -> DataFrame:
+    """Pairs (source_id, target_id, reference_types, type): each source once per target, with the types of its edges there and its own.
+
+    Edges are dealt by source once; duplicates go and the source's type comes where they lie then.
+    """
+    dealt = dealt_by(edges.select("source_id", "target_id", "reference_type"), ["source_id"], ["target_id"])
+    pairs = dealt.rows.groupBy("source_id", "__salt", "target_id").agg(F.collect_set(F.struct("reference_type")).alias("reference_types"))
+    return _typed(dealt, pairs, contents).select("source_id", "target_id", "reference_types", "type")
+
+
+def _typed(dealt: Dealt, pairs: DataFrame, contents: DataFrame) -> DataFrame:
+    kinds = contents.select(F.col("id").alias("source_id"), F.col("object_type").alias("type"))
+    return dealt.join(pairs, kinds, "left").withColumn("type", F.coalesce("type", F.lit("unknown")))
+
+
+def missing_targets(edges: DataFrame, contents: DataFrame) -> DataFrame:
+    """``target_id`` of the targets that do not exist."""
+    return edges.select("target_id").distinct().join(contents.select(F.col("id").alias("target_id")), "target_id", "left_anti")
+
+
 def back_references(edges: DataFrame, contents: DataFrame) -> DataFrame:
     """Back references as rows (target_id, id, type): each source once per target.
 
     Sources of unknown type count as ``unknown``; targets that do not exist are
-    left out.
+    left out. Only edges that a filter takes for one to a missing target are shuffled by target.
     """
-    pairs = edges.select("target_id", "source_id").distinct()
-    kinds = contents.select(F.col("id").alias("source_id"), F.col("object_type").alias("type"))
-    typed = salted_join(pairs, kinds, ["source_id"], ["target_id"], "left", measure=edges)
-    known = contents.select(F.col("id").alias("target_id"))
-    kept = salted_join(typed, known, ["target_id"], ["source_id"], "left_semi", measure=edges)
-    return kept.select("target_id", F.col("source_id").alias("id"), F.coalesce("type", F.lit("unknown")).alias("type"))
+    ends = edges.select("target_id", "source_id").where(F.col("target_id").isNotNull())
+    known = without(ends, missing_targets(ends, contents), "target_id", ["source_id"])
+    dealt = dealt_by(known, ["source_id"], ["target_id"], measure=edges)
+    pairs = dealt.rows.distinct()
+    return _typed(dealt, pairs, contents).select("target_id", F.col("source_id").alias("id"), "type")
 
 
 def referenced_by_parts(back: DataFrame, part_size: int = 1000, edges: DataFrame | None = None) -> DataFrame:

@@ -10,11 +10,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Rows of one key that one task may take.
 TASK_ROWS = 1_000_000
+# Groups of keys that are counted first; with as many rows as a key may have each, that is 65 billion rows.
+BUCKETS = 1 << 16
+# Words of 64 bits of a key filter. With 10 million keys about one row in ten that is not asked for passes.
+FILTER_WORDS = 1 << 19
+# Up to so many keys a plain join, which adaptive execution broadcasts, is cheaper than a filter.
+FEW_KEYS = 100_000
 
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], task_rows: int = TASK_ROWS) -> DataFrame:
@@ -22,9 +29,12 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], task_rows: int = TASK_ROWS) -
 
     The threshold is absolute, so a key of half a percent of a very large table counts
     as heavy too. At most one key per ``task_rows`` rows can be heavy, so the list is a
-    millionth of the table. Counts combine on the map side.
+    millionth of the table. Counts combine on the map side. Groups of keys are counted first, and keys one by one only in
+    groups that have enough rows to hold a heavy one, mostly none, so the counts of all keys are not shuffled.
     """
-    counts = df.select(*keys).dropna().groupBy(*keys).agg(F.count("*").alias("n"))
+    rows = df.select(*keys).dropna().withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)))
+    full = rows.groupBy("__bucket").agg(F.count("*").alias("n")).where(F.col("n") > task_rows).select("__bucket")
+    counts = rows.join(F.broadcast(full), "__bucket", "left_semi").groupBy(*keys).agg(F.count("*").alias("n"))
     return counts.where(F.col("n") > task_rows).select(*keys, F.ceil(F.col("n") / task_rows).cast("bigint").alias("__parts"))
 
 
@@ -45,14 +55,76 @@ def salted_join(
     """
     on = list(on)
     hot = F.broadcast(heavy_keys(left if measure is None else measure, on, task_rows))
+    return _salted(left, hot, on, spread).join(_repeated(right, hot, on), [*on, "__salt"], how).drop("__salt")
+
+
+def _salted(left: DataFrame, hot: DataFrame, on: list[str], spread: Sequence[str]) -> DataFrame:
     unmatched = F.lit(False)
     for key in on:
         unmatched = unmatched | F.col(key).isNull()
     parts = F.when(unmatched, F.lit(1024)).otherwise(F.coalesce("__parts", F.lit(1))).cast("bigint")
-    salted_left = left.join(hot, on, "left").withColumn("__salt", F.pmod(F.xxhash64(*spread), parts)).drop("__parts")
+    return left.join(hot, on, "left").withColumn("__salt", F.pmod(F.xxhash64(*spread), parts)).drop("__parts")
+
+
+def _repeated(right: DataFrame, hot: DataFrame, on: list[str]) -> DataFrame:
     every = F.sequence(F.lit(0).cast("bigint"), F.coalesce("__parts", F.lit(1).cast("bigint")) - 1)
-    salted_right = right.join(hot, on, "left").withColumn("__salt", F.explode(every)).drop("__parts")
-    return salted_left.join(salted_right, [*on, "__salt"], how).drop("__salt")
+    return right.join(hot, on, "left").withColumn("__salt", F.explode(every)).drop("__parts")
+
+
+@dataclass(frozen=True)
+class Dealt:
+    """Rows dealt by a key and ``__salt``, so that what groups or joins by both shuffles them no more."""
+
+    rows: DataFrame
+    hot: DataFrame
+    on: list[str]
+
+    def join(self, rows: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        """Rows made from the dealt ones, with the key and ``__salt``, and a right side that has few rows per key."""
+        return rows.join(_repeated(right, self.hot, self.on), [*self.on, "__salt"], how).drop("__salt")
+
+
+def dealt_by(
+    df: DataFrame, on: Sequence[str], spread: Sequence[str], task_rows: int = TASK_ROWS, measure: DataFrame | None = None,
+) -> Dealt:
+    """Deal a table by a skewed key, heavy keys cut into parts by a hash of ``spread`` as in ``salted_join``."""
+    on = list(on)
+    hot = F.broadcast(heavy_keys(df if measure is None else measure, on, task_rows))
+    return Dealt(_salted(df, hot, on, spread).repartition(*on, "__salt"), hot, on)
+
+
+def _filter(keys: DataFrame, on: str) -> DataFrame:
+    """A Bloom filter of the keys: for each of ``FILTER_WORDS`` words its bits, two per key."""
+    return keys.select(_word(on).alias("__word"), _bits(on).alias("b")).groupBy("__word").agg(F.bit_or("b").alias("__bits"))
+
+
+def _word(on: str) -> Column:
+    return F.pmod(F.xxhash64(on), F.lit(FILTER_WORDS))
+
+
+def _bits(on: str) -> Column:
+    return F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(`{on}`), 40) & 63 AS INT)) | shiftleft(1L, cast(shiftrightunsigned(xxhash64(`{on}`), 48) & 63 AS INT))")
+
+
+def _flagged(rows: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
+    bits = F.broadcast(_filter(keys, on))
+    return rows.join(bits, (_word(on) == bits["__word"]) & (bits["__bits"].bitwiseAND(_bits(on)) == _bits(on)), how)
+
+
+def matching(rows: DataFrame, keys: DataFrame, on: str, spread: Sequence[str] = ()) -> DataFrame:
+    """The rows whose key ``on`` is among ``keys``, for many keys: a filter of at most 8 MB drops most others before the join, so they are not shuffled.
+
+    With ``spread`` the join is salted.
+    """
+    near, known = _flagged(rows, keys, on, "left_semi"), keys.select(on).distinct()
+    return salted_join(near, known, [on], spread, "left_semi") if spread else near.join(known, on, "left_semi")
+
+
+def without(rows: DataFrame, keys: DataFrame, on: str, spread: Sequence[str] = ()) -> DataFrame:
+    """The rows whose key ``on`` is not among ``keys``; only those that the filter takes for one of them are shuffled. Rows with a NULL key stay."""
+    near, known = _flagged(rows, keys, on, "left_semi"), keys.select(on).distinct()
+    kept = salted_join(near, known, [on], spread, "left_anti") if spread else near.join(known, on, "left_anti")
+    return _flagged(rows, keys, on, "left_anti").unionByName(kept.select(*rows.columns))
 
 
 def _rank(df: DataFrame, rest: Sequence[str], order: Sequence[str | Column]) -> Column:
