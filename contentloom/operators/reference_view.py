@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from contentloom.operators import references as X
-from contentloom.operators.skew import salted_join
+from contentloom.operators.skew import matching, salted_join, without
 from contentloom.session import materialize
 from contentloom.sources import keyed, snapshots
 
@@ -44,10 +44,13 @@ def create(edges: DataFrame, objects: DataFrame, path: str, parts: int) -> Refer
     """Lay the tables out and compute the view once. ``objects`` has ``id`` and ``object_type``."""
     spark = edges.sparkSession
     known = objects.select("id", "object_type").where(F.col("id").isNotNull())
-    view = ReferenceView(
-        keyed.create(X.unique_edges(edges), f"{path}/edges", "source_id", parts), keyed.create(known, f"{path}/objects", "id", parts), f"{path}/view",
-    )
-    back = X.back_references(view.edges.read(spark), view.objects.read(spark)).where("id IS NOT NULL")
+    # Edges are shuffled once; the table of edges and the view are both written from what lies together then.
+    pairs = materialize(X.with_source_type(edges, known), "pairs", "zstd")
+    rows = pairs.select("source_id", "target_id", F.explode("reference_types.reference_type").alias("reference_type"))
+    view = ReferenceView(keyed.create(rows, f"{path}/edges", "source_id", parts), keyed.create(known, f"{path}/objects", "id", parts), f"{path}/view")
+    ends = pairs.where(F.col("source_id").isNotNull() & F.col("target_id").isNotNull())
+    lost = materialize(X.missing_targets(ends, known), "missing")
+    back = without(ends.select("target_id", F.col("source_id").alias("id"), "type"), lost, "target_id", ["id"])
     snapshots.publish(back.withColumn("removed", F.lit(False)), view.root, "start")
     return view
 
@@ -78,11 +81,13 @@ def replace_edges(view: ReferenceView, sources: DataFrame, new: DataFrame, batch
     """Swap all edges of the sources (``id``) for the new ones and bring the view along."""
     changed = sources.select(F.col("id").alias("source_id")).where(F.col("source_id").isNotNull()).distinct()
     now = X.unique_edges(new)
-    pairs = materialize(changed_pairs(view.edges.of(changed), now), "pairs")
+    old = materialize(view.edges.of(changed), "replaced", "zstd")
+    pairs = materialize(changed_pairs(old, now), "pairs", "zstd")
     gone = pairs.where("NOT is_new").select("target_id", "id", F.lit(None).cast("string").alias("type"), F.lit(True).alias("removed"))
     # The view first: if the edges are not replaced afterwards, the next attempt finds the same changes.
     _publish(view, _typed(view, pairs.where("is_new").select("target_id", "id")).union(gone), batch)
-    view.edges.replace(changed, now)
+    # Sources without edges before touch no part of the table.
+    view.edges.replace(old.select("source_id").distinct(), now)
 
 
 def change_objects(view: ReferenceView, objects: DataFrame, deleted: DataFrame, batch: str = "") -> None:
@@ -93,11 +98,11 @@ def change_objects(view: ReferenceView, objects: DataFrame, deleted: DataFrame,
     spark = objects.sparkSession
     gone = deleted.select("id").where(F.col("id").isNotNull()).distinct()
     rows = objects.select("id", "object_type").where(F.col("id").isNotNull()).join(gone, "id", "left_anti")
-    ids = materialize(rows.select("id").union(gone).distinct(), "ids")
+    ids = materialize(rows.select("id").union(gone).distinct(), "ids", "zstd")
     view.objects.replace(ids, rows)
     mine = view.edges.of(ids.select(F.col("id").alias("source_id"))).select("target_id", "source_id")
-    at_me = salted_join(view.edges.read(spark).select("target_id", "source_id"), ids.select(F.col("id").alias("target_id")), ["target_id"], ["source_id"], "left_semi")
-    pairs = materialize(mine.union(at_me).where(F.col("target_id").isNotNull() & F.col("source_id").isNotNull()).distinct().select("target_id", F.col("source_id").alias("id")), "pairs")
+    at_me = matching(view.edges.read(spark).select("target_id", "source_id"), ids.select(F.col("id").alias("target_id")), "target_id", ["source_id"])
+    pairs = materialize(mine.union(at_me).where(F.col("target_id").isNotNull() & F.col("source_id").isNotNull()).distinct().select("target_id", F.col("source_id").alias("id")), "pairs", "zstd")
     now = _typed(view, pairs)
     lost = pairs.join(gone.withColumnRenamed("id", "target_id"), "target_id", "left_semi").select("target_id", "id", F.lit(None).cast("string").alias("type"), F.lit(True).alias("removed"))
     _publish(view, now.union(lost), batch)

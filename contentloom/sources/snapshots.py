@@ -55,7 +55,7 @@ def _carried(spark: SparkSession, root: str) -> tuple[list[str], dict[str, int]]
 def _add(df: DataFrame, root: str, kind: str, source: str, number: int | None, partition_by: Sequence[str] = (), carry: bool = False) -> int:
     spark = df.sparkSession
     version = _now(spark, root)["last"] + 1
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{root}/{kind}/version={version}")
     named, streams = _carried(spark, root) if carry else ([], {})
     spark.createDataFrame([(version, kind, source, number, named, streams)], LOG).coalesce(1).write.mode("overwrite").parquet(f"{root}/log/v={version}")

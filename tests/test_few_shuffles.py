@@ -3,7 +3,10 @@
 import re
 
 import pytest
-from contentloom.operators import references as X, skew
+from pyspark.sql import functions as F
+
+from contentloom.operators import reference_view as V, references as X, skew
+from contentloom.sources import keyed
 
 EDGES, OBJECTS = "source_id string, target_id string, reference_type string", "id string, object_type string"
 
@@ -35,3 +38,23 @@ def test_heavy_keys_of_full_groups(spark, monkeypatch):
     monkeypatch.setattr(skew, "BUCKETS", 3)
     rows = spark.createDataFrame([(f"k{i}",) for i in range(9) for _ in range(i)] + [(None,)] * 30, "k string")
     assert {(r.k, r["__parts"]) for r in skew.heavy_keys(rows, ["k"], 3).collect()} == {(f"k{i}", -(-i // 3)) for i in range(4, 9)}
+
+
+def test_many_keys_are_replaced_as_few_are(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyed, "FEW_KEYS", 0)
+    rows = spark.range(300).select(F.concat(F.lit("k"), "id").alias("k"), F.col("id").alias("v"))
+    t = keyed.create(rows.union(spark.createDataFrame([(None, 1)], "k string, v long")), str(tmp_path / "t"), "k", 8)
+    keys = rows.where("v % 3 = 0").select("k")
+    assert sorted(r.v for r in t.of(keys).collect()) == list(range(0, 300, 3))
+    t.replace(keys, spark.createDataFrame([("k3", -3), ("new", -1)], "k string, v long"))
+    assert sorted(r.v for r in t.read(spark).collect()) == sorted([v for v in range(300) if v % 3] + [1, -3, -1])
+
+
+def test_sources_without_edges_touch_no_part(spark, tmp_path):
+    edges = spark.createDataFrame([(f"s{i}", "t", "a") for i in range(40)], EDGES)
+    objects = spark.createDataFrame([("t", "page"), ("o", "page")], OBJECTS)
+    view = V.create(edges, objects, str(tmp_path / "v"), 4)
+    files = lambda: {(p, p.stat().st_mtime_ns) for p in (tmp_path / "v" / "edges").rglob("*.parquet")}
+    before = files()
+    V.replace_edges(view, spark.createDataFrame([(f"o{i}",) for i in range(40)], "id string"), edges.limit(0), "none")
+    assert files() == before and view.read(spark).count() == 40
