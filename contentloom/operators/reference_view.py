@@ -45,10 +45,11 @@ def create(edges: DataFrame, objects: DataFrame, path: str, parts: int) -> Refer
     spark = edges.sparkSession
     known = objects.select("id", "object_type").where(F.col("id").isNotNull())
     # Edges are shuffled once; the table of edges and the view are both written from what lies together then.
-    pairs = materialize(X.with_source_type(edges, known), "pairs", "zstd")
-    rows = pairs.select("source_id", "target_id", F.explode("reference_types.reference_type").alias("reference_type"))
-    view = ReferenceView(keyed.create(rows, f"{path}/edges", "source_id", parts), keyed.create(known, f"{path}/objects", "id", parts), f"{path}/view")
-    ends = pairs.where(F.col("source_id").isNotNull() & F.col("target_id").isNotNull())
+    rows = materialize(X.with_source_type(edges, known), "edges", "zstd")
+    view = ReferenceView(
+        keyed.create(rows.select("source_id", "target_id", "reference_type"), f"{path}/edges", "source_id", parts), keyed.create(known, f"{path}/objects", "id", parts), f"{path}/view",
+    )
+    ends = rows.where(F.col("first") & F.col("source_id").isNotNull() & F.col("target_id").isNotNull())
     lost = materialize(X.missing_targets(ends, known), "missing")
     back = without(ends.select("target_id", F.col("source_id").alias("id"), "type"), lost, "target_id", ["id"])
     snapshots.publish(back.withColumn("removed", F.lit(False)), view.root, "start")

@@ -7,7 +7,7 @@ one popular target may be referenced by a third of all objects.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from contentloom.functions import payload as P
 from contentloom.operators.skew import Dealt, dealt_by, salted_join, without
@@ -104,13 +104,17 @@ def replace_edges(edges: DataFrame, new: DataFrame, sources: DataFrame) -> DataF
 
 
 def with_source_type(edges: DataFrame, contents: DataFrame) -> DataFrame:
-    """Pairs (source_id, target_id, reference_types, type): each source once per target, with the types of its edges there and its own.
+    """Unique edges with the source's ``type`` and ``first``, which is true for one edge of each pair of source and target.
 
-    Edges are dealt by source once; duplicates go and the source's type comes where they lie then.
+    Edges are dealt by source once; duplicates go and the type comes where they lie then. The window holds the edges of one
+    pair. Of several types of one id the greatest counts.
     """
     dealt = dealt_by(edges.select("source_id", "target_id", "reference_type"), ["source_id"], ["target_id"])
-    pairs = dealt.rows.groupBy("source_id", "__salt", "target_id").agg(F.collect_set(F.struct("reference_type")).alias("reference_types"))
-    return _typed(dealt, pairs, contents).select("source_id", "target_id", "reference_types", "type")
+    pair = Window.partitionBy("source_id", "__salt", "target_id").orderBy("reference_type")
+    ranked = dealt.rows.select("*", F.row_number().over(pair).alias("n"), F.lag("reference_type").over(pair).alias("before"))
+    unique = ranked.where((F.col("n") == 1) | ~F.col("reference_type").eqNullSafe(F.col("before"))).withColumn("first", F.col("n") == 1).drop("n", "before")
+    kinds = contents.groupBy("id").agg(F.max(F.coalesce("object_type", F.lit("unknown"))).alias("object_type"))
+    return _typed(dealt, unique, kinds).select("source_id", "target_id", "reference_type", "type", "first")
 
 
 def _typed(dealt: Dealt, pairs: DataFrame, contents: DataFrame) -> DataFrame:

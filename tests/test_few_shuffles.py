@@ -58,3 +58,11 @@ def test_sources_without_edges_touch_no_part(spark, tmp_path):
     before = files()
     V.replace_edges(view, spark.createDataFrame([(f"o{i}",) for i in range(40)], "id string"), edges.limit(0), "none")
     assert files() == before and view.read(spark).count() == 40
+
+
+def test_repeated_edges_and_objects_are_kept_once(spark, tmp_path):
+    edges = [("s", "t", "a"), ("s", "t", "a"), ("s", "t", "b"), ("s", "t", None), ("s", "t", None), ("u", "t", "a"), (None, "t", "a"), ("s", None, "a")]
+    objects = [("t", "page"), ("s", "x"), ("s", "y"), ("s", None), ("t", "page")]
+    view = V.create(spark.createDataFrame(edges, EDGES), spark.createDataFrame(objects, OBJECTS), str(tmp_path / "v"), 4)
+    assert sorted(map(repr, map(tuple, view.edges.read(spark).collect()))) == sorted(map(repr, set(edges)))
+    assert sorted(map(tuple, view.read(spark).collect())) == [("t", "s", "y"), ("t", "u", "unknown")]
