@@ -15,6 +15,7 @@ the greatest parent counts, none being the smallest; NULL ids are left out; an e
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -43,12 +44,13 @@ def create(df: DataFrame, path: str, parts: int) -> LevelTable:
 
 def below(table: LevelTable, ids: DataFrame) -> DataFrame:
     """The ids and all that lies below them; each round reads the children of the one before."""
-    found = front = materialize(ids.select("id").distinct(), "below")
+    fronts = [front := materialize(ids.select("id").distinct(), "below", "zstd")]
     while not front.isEmpty():
+        found = reduce(DataFrame.union, fronts)
         next_ = table.children.of(front.select(F.col("id").alias("parent_id"))).select("id").distinct()
-        front = materialize(next_.join(found, "id", "left_anti"), "below")
-        found = materialize(found.union(front), "below")
-    return found
+        # A round writes its own rows only.
+        fronts.append(front := materialize(next_.join(found, "id", "left_anti"), "below", "zstd"))
+    return reduce(DataFrame.union, fronts)
 
 
 def change(table: LevelTable, moved: DataFrame, deleted: DataFrame) -> DataFrame:
