@@ -70,3 +70,32 @@ def test_pieces_of_all_n_best(spark, table, vocabulary):
     assert several > 30
     digests = {r.doc_id: r.n_best_sha256 for r in L.summary(table(list(enumerate(texts))), MODEL).collect()}
     assert digests == {d: hashlib.sha256(";".join(",".join(map(str, x)) for x in r["__n_best"]).encode()).hexdigest() for d, r in rows.items()}
+
+
+def test_segments_share_the_passes_over_lattices(vocabulary, monkeypatch):
+    rnd = random.Random(4)
+    letters = "etaoinshrdé漢😀İ"
+    texts = [" ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(1, 12))) for _ in range(400)) for _ in range(20)]
+    texts += ["", None, "▁", " ▁ a▁▁b", "a" * 300 + " b", "".join(rnd.choice("ab 1|漢\n▁²😀") for _ in range(2000))]
+    alone, forward = [], L.Vocabulary.forward
+    monkeypatch.setattr(L.Vocabulary, "forward", lambda v, segment: alone.append(segment) or forward(v, segment))
+    vocabulary.paths_known.clear()
+    together = L.Encoder(vocabulary).n_best_of(texts)
+    # One by one go only those of the least losses in a text, and the long ones.
+    assert len(alone) <= (L.N_BEST - 1) * len(texts) + 1 < 100
+    # The same when every segment has a lattice of its own.
+    monkeypatch.setattr(L, "TOGETHER", 0)
+    single = L.Encoder(vocabulary).n_best_of(texts)
+    assert len(alone) > 5000 and together[1] == single[1]
+    assert [p and [x.tolist() for x in p] for p in together[0]] == [p and [x.tolist() for x in p] for p in single[0]]
+    assert L.Encoder(vocabulary).decoded([p and p[0] for p in together[0]]) == texts
+
+
+def test_steps_whose_slots_are_taken(vocabulary, monkeypatch):
+    monkeypatch.setattr(L, "HASH_BITS", 6)
+    full, begins = L.PieceTree(vocabulary), list(vocabulary.begins)
+    number = {b: k for k, b in enumerate(begins, 1)} | {"": 0}
+    at = np.array([number[b[:-1]] for b in begins])
+    assert full.step(at, full.character[[ord(b[-1]) for b in begins]]).tolist() == list(range(1, len(begins) + 1))
+    last = full.character[0x10FFFF]
+    assert last == 0 and (full.step(at, np.full(len(at), last)) == -1).all()
