@@ -367,7 +367,9 @@ class Encoder:
             ends.append(len(names))
         coded = pa.array(names, pa.large_string()).dictionary_encode(null_encoding="encode")
         which = np.asarray(coded.indices).astype(np.int64)
-        ids, place, width, score, loss = self._first(coded.dictionary.to_pylist())
+        at = np.zeros(len(coded.dictionary), np.int64)
+        at[which[::-1]] = np.arange(len(which))[::-1]  # where each is met first
+        ids, place, width, score, loss = self._first([names[k] for k in at.tolist()])
         width = width[which]
         ids = ids[_ranges(place[which], width)]
         at = np.concatenate([np.zeros(1, np.int64), np.cumsum(width)])
