@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from contentloom.llm.columns import apart, free, together
 from contentloom.llm.sidelists import LAST, ROW, beside, hash_of
-from contentloom.llm.words import MUL, mixed, pieces, powers
+from contentloom.llm.words import MUL, TEXT_ROWS, mixed, pieces, powers
 from contentloom.session import materialize
 
 EDITS = 1
+# Texts and variants taken at a time; a line's keys take more memory than the line.
+PIECE_BYTES, VARIANTS = 1 << 20, 1 << 18
 # Where a line stands, in the order of lines: n is its number in the text.
 AT = ["id", "n", "t1", "t2"]
 
@@ -68,7 +70,7 @@ def _line_rows(texts: DataFrame, edits: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE_BYTES):
                 row, number, h, k = [], [], [], []
                 for i, text in enumerate(piece.column("text").to_pylist()):
                     for n, line in enumerate(text.split("\n")):
@@ -100,7 +102,7 @@ def _texts_of(texts: DataFrame) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE_BYTES):
                 row, number, line = [], [], []
                 for i, (text, places) in enumerate(zip(piece.column("text").to_pylist(), piece.column("__places").to_pylist())):
                     wanted = _lines_of(places)
@@ -154,7 +156,7 @@ def _variant_rows(lines: DataFrame, edits: int) -> DataFrame:
             v, p = deep_variants(line, edits)
             held.append((v, p, np.full(len(v), me)))
             size += len(v)
-            if size >= 1 << 20:
+            if size >= VARIANTS:
                 yield tuple(map(np.concatenate, zip(*held)))
                 held, size = [], 0
         if held:
@@ -162,10 +164,10 @@ def _variant_rows(lines: DataFrame, edits: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "line"):
+            for piece in pieces(batch, "line", PIECE_BYTES):
                 for v, p, me in made(piece.column("line"), piece.column("me")):
-                    for a in range(0, len(v), 1 << 20):
-                        part = slice(a, a + (1 << 20))
+                    for a in range(0, len(v), VARIANTS):
+                        part = slice(a, a + VARIANTS)
                         yield pa.RecordBatch.from_arrays([pa.array(v[part].view(np.int64)), pa.array(p[part]), pa.array(me[part])], names=["v", "p", "me"])
 
     return lines.select("line", "me").mapInArrow(make, "v long, p long, me long")
@@ -202,7 +204,7 @@ def _late(lines: DataFrame, edits: int) -> DataFrame:
 def removed_lines(texts: DataFrame, edits: int = EDITS) -> DataFrame:
     """Where the lines stand that go. ``texts`` has ``id`` and ``text`` without nulls."""
     names = [f"k{i}" for i in range(len(_parts(0, edits)))]
-    lines = materialize(_line_rows(texts, edits), "lines")
+    lines = materialize(_line_rows(texts, edits), "lines", batch_rows=TEXT_ROWS)
     at = F.struct(*AT)
     first = lines.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("times"), *[F.first(k).alias(k) for k in names])
     first = materialize(first, "first-lines")
@@ -213,7 +215,7 @@ def removed_lines(texts: DataFrame, edits: int = EDITS) -> DataFrame:
     lists = materialize(_lists(candidates), "candidates")
     # Numbers that grow with the lines' order stand for their places.
     found = _texts_of(beside(texts, lists, "id", "inner")).orderBy(*AT).withColumn("me", F.monotonically_increasing_id())
-    found = materialize(found, "candidate-lines")
+    found = materialize(found, "candidate-lines", batch_rows=TEXT_ROWS)
     return again.union(found.join(_late(found, edits), "me").select(*AT))
 
 
@@ -227,7 +229,7 @@ def deduplicated(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE_BYTES):
                 text, places = piece.column("text").to_pylist(), piece.column("__places")
                 n_lines, n_removed = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
                 for i, t in enumerate(text):

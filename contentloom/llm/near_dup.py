@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from contentloom.llm.components import components
 from contentloom.llm.sidelists import LAST, ROW, hash_of
-from contentloom.llm.words import MUL, lists_of, mixed, owners, pieces, run_hashes, split_words, hashed
+from contentloom.llm.words import MUL, TEXT_ROWS, lists_of, mixed, owners, pieces, run_hashes, split_words, hashed
 from contentloom.session import materialize
 
 SHINGLE = 5
@@ -55,8 +55,8 @@ PIVOTS = 8
 GROUP_NODES, GROUP_RUNS = 4096, 4_000_000
 # Bits of the filter that tells which texts are asked for: 8 MB.
 MARK_BITS = 1 << 26
-# Texts taken at a time.
-PIECE_BYTES = 2 << 20
+# Texts taken at a time; the arrays of their runs take some forty times as much.
+PIECE_BYTES = 1 << 19
 
 
 def shingles(offsets: np.ndarray, words: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -117,22 +117,26 @@ def _content(offsets: np.ndarray, words: np.ndarray) -> list[bytes | None]:
     return [xxhash.xxh3_128_digest(words[a:b].tobytes()) if b > a else None for a, b in zip(offsets[:-1], offsets[1:])]
 
 
+def _signatures(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for piece in pieces(batch, "text", PIECE_BYTES):
+        offsets, words = split_words(piece.column("text"), fold=True)
+        h = hashed(words)
+        signature = bag_minhash(piece.num_rows, *weighted(*shingles(offsets, h)))
+        band = band_hashes(signature)
+        n = np.diff(offsets)
+        size = np.where(n > 0, np.maximum(n - SHINGLE + 1, 1), 0)
+        yield pa.RecordBatch.from_arrays(
+            [*(piece.column(c) for c in ("doc_id", *ROW)), pa.array(_content(offsets, h), pa.binary()), lists_of(pa.array(band.reshape(-1).view(np.int64)), np.full(len(band), BANDS)), pa.array(size)],
+            names=["doc_id", *ROW, "node", "bands", "size"],
+        )
+
+
 def signed(docs: DataFrame) -> DataFrame:
     """``doc_id``, what its row is known by, content name, band hashes and number of runs of each document; no shuffle."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text", PIECE_BYTES):
-                offsets, words = split_words(piece.column("text"), fold=True)
-                h = hashed(words)
-                signature = bag_minhash(piece.num_rows, *weighted(*shingles(offsets, h)))
-                band = band_hashes(signature)
-                n = np.diff(offsets)
-                size = np.where(n > 0, np.maximum(n - SHINGLE + 1, 1), 0)
-                yield pa.RecordBatch.from_arrays(
-                    [*(piece.column(c) for c in ("doc_id", *ROW)), pa.array(_content(offsets, h), pa.binary()), lists_of(pa.array(band.reshape(-1).view(np.int64)), np.full(len(band), BANDS)), pa.array(size)],
-                    names=["doc_id", *ROW, "node", "bands", "size"],
-                )
+            yield from _signatures(batch)
 
     return _named(docs).mapInArrow(sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, id long, t1 long, t2 long, node binary, bands array<long>, size long")
 
@@ -152,7 +156,7 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
 
 
 def _marks(rows: DataFrame) -> np.ndarray:
-    """A Bloom filter of the rows, two bits each, in at most ``MARK_BITS`` bits.
+    """A Bloom filter of the rows, two bits each, in at most ``MARK_BITS`` bits, eight of them in a byte.
 
     It only keeps texts from being moved that are not asked for; a full one lets more of them pass,
     which the join that follows leaves out.
@@ -163,17 +167,22 @@ def _marks(rows: DataFrame) -> np.ndarray:
     words = at.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("bits")).toArrow()
     bits = np.zeros(size // 64, np.int64)
     bits[words["w"].to_numpy()] = words["bits"].to_numpy()
-    return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
+    return bits.astype("<i8").view(np.uint8)
+
+
+def _marked(marks: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Which of the hashes have their bit in the filter; the filter stays packed."""
+    at = np.mod(p, 8 * len(marks))
+    return ((marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
 
 
 def _sets(texts: DataFrame, marks: np.ndarray) -> DataFrame:
     """What the row is known by, ``node`` and its runs for the texts in the filter; the n-th occurrence of a run is an element of its own."""
-    held = texts.sparkSession.sparkContext.broadcast(np.packbits(marks))
+    held = texts.sparkSession.sparkContext.broadcast(marks)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.unpackbits(held.value).astype(bool)
         for whole in batches:
-            asked = np.logical_and(*(marks[np.mod(whole.column(c).to_numpy(), len(marks))] for c in ("p1", "p2")))
+            asked = np.logical_and(*(_marked(held.value, whole.column(c).to_numpy()) for c in ("p1", "p2")))
             for piece in pieces(whole.filter(pa.array(asked)), "text", PIECE_BYTES):
                 offsets, words = split_words(piece.column("text"), fold=True)
                 words = hashed(words)
@@ -343,7 +352,7 @@ def near_links(nodes: DataFrame, sets: DataFrame, threshold: float = THRESHOLD)
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id``, ``node`` (null without words) and ``class_id``, one row per input row."""
-    sign = materialize(signed(docs), "signatures")
+    sign = materialize(signed(docs), "signatures", batch_rows=TEXT_ROWS)
     nodes = sign.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(*ROW)).alias("row"), F.first("bands").alias("bands"), F.max("size").alias("size"))
     nodes = materialize(nodes, "nodes")
     rows = nodes.select("node", F.explode("bands").alias("band"))
@@ -357,10 +366,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # A shuffle at every size: the runs of the asked texts move, by row and then by group.
     wanted = needed.select(*ROW, "root", "fits").hint("shuffle_hash")
     sets = _sets(_named(docs), _marks(needed)).join(wanted, ROW).select("node", "root", "fits", "runs")
-    roots = materialize(_in_groups(sets.where("fits"), threshold), "classes")
+    roots = materialize(_in_groups(sets.where("fits"), threshold), "classes", batch_rows=TEXT_ROWS)
     if not needed.where("NOT fits").isEmpty():
         open_ = needed.where("NOT fits").select("node")
-        large = materialize(sets.where("NOT fits").select("node", "runs").dropDuplicates(["node"]), "runs")
+        large = materialize(sets.where("NOT fits").select("node", "runs").dropDuplicates(["node"]), "runs", batch_rows=TEXT_ROWS)
         roots = roots.union(components(near_links(nodes.join(open_, "node", "left_semi").select("node", "bands"), large, threshold)))
     named = sign.join(roots, "node", "left").withColumn("__root", F.coalesce("root", "node"))
     least = named.where(F.col("__root").isNotNull()).groupBy("__root").agg(F.min("doc_id").alias("class_id"))

@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 import xxhash
 
 PIECE_BYTES = 8 << 20
+# Rows of an Arrow batch of whole texts, where the plan is written at once.
+TEXT_ROWS = 1000
 MUL = np.uint64(0x9E3779B97F4A7C15)
 # Letters and digits in lower case, bytes of other scripts as they are, all else a blank.
 FOLD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))

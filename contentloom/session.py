@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,12 +57,34 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/contentloom/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Meanwhile Arrow batches have at most so many rows; a smaller limit of the session holds, and its own comes back."""
+    if rows is None:
+        yield
+        return
+    own, now = spark.conf.get(BATCH_ROWS, None), int(spark.conf.get(BATCH_ROWS))
+    spark.conf.set(BATCH_ROWS, str(min(rows, now) if now > 0 else rows))
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(BATCH_ROWS)
+        else:
+            spark.conf.set(BATCH_ROWS, own)
+
+
+def materialize(df: DataFrame, label: str, compression: str = "snappy", batch_rows: int | None = None) -> DataFrame:
     """Write a DataFrame to the shared folder and read it back, which cuts its lineage.
 
     Unlike a checkpoint, which runs the plan once more to store its rows, this
-    computes them once; executors may come and go afterwards.
+    computes them once; executors may come and go afterwards. With ``batch_rows`` whole
+    texts go to Python that many at a time, which bounds what JVM and Python hold of them.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", compression).parquet(path)
+    with arrow_batches(df.sparkSession, batch_rows):
+        df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

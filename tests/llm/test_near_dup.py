@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import near_classes
 
@@ -80,3 +82,28 @@ def test_odd_rows(spark, table):
     kept = near_dup.distinct_documents(table(rows))
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 6, 7, 7] and kept.columns == table(rows).columns
     assert near_dup.classes(table(rows).limit(0)).count() == 0
+
+
+def test_signing_takes_few_texts_at_a_time():
+    rnd = random.Random(2)
+    texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(400)) for _ in range(1200)]
+    number = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([*[number] * 4, pa.array(texts)], names=["doc_id", *near_dup.ROW, "text"])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in near_dup._signatures(batch))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts) and peak < 30e6
+
+
+def test_filter_stays_packed(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("id", "id * 7 AS t1", "id * 11 AS t2")
+    hashes = rows.selectExpr("xxhash64(id, t1) AS p1", "xxhash64(id, t2) AS p2").toPandas()
+    marks = near_dup._marks(rows)
+    others = np.random.default_rng(1).integers(-2**63, 2**63 - 1, 5000)
+    assert marks.nbytes * 8 <= 32 * 3000
+    assert all(near_dup._marked(marks, hashes[c].to_numpy()).all() for c in ("p1", "p2"))
+    assert near_dup._marked(marks, others).mean() < 0.2
+    monkeypatch.setattr(near_dup, "MARK_BITS", 1 << 10)
+    marks = near_dup._marks(rows)
+    assert marks.nbytes == 128 and near_dup._marked(marks, hashes["p1"].to_numpy()).all()

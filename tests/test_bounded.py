@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from contentloom.operators import catalog as C, vectors as E
 from contentloom.operators.skew import pick
+from contentloom.session import BATCH_ROWS, materialize
 from contentloom.sources import keyed
 
 
@@ -78,3 +79,20 @@ def test_a_table_of_few_parts_is_written_without_a_shuffle(spark, tmp_path):
     files = lambda name: len(list((tmp_path / name).glob("__part=*/*.parquet")))
     assert files("few") > 4  # a file of each task, as no task waits for the others
     assert files("many") <= 40
+
+
+@pytest.mark.parametrize("own", [None, "30", "20000"])
+def test_texts_go_to_python_in_small_batches(spark, own):
+    def count(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    if own:
+        spark.conf.set(BATCH_ROWS, own)
+    try:
+        before = spark.conf.get(BATCH_ROWS)
+        found = materialize(spark.range(0, 900, 1, 1).mapInArrow(count, "n long"), "batches", batch_rows=100)
+        assert [r.n for r in found.collect()] == ([30] * 30 if own == "30" else [100] * 9)
+        assert spark.conf.get(BATCH_ROWS) == before and spark.conf.get(BATCH_ROWS, None) == own
+    finally:
+        spark.conf.unset(BATCH_ROWS)
