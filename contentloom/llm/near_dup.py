@@ -16,11 +16,11 @@ class lies within a group. A group of up to ``GROUP_NODES`` nodes and ``GROUP_RU
 from a node on, all nodes like it are taken out of the group and asked in turn, so a class
 costs a comparison of each of its members with those not taken yet, and no pair is formed outside of the task.
 
-Larger groups are compared in Spark, bucket by bucket: the nodes of a band's bucket are
-compared with a pivot, the node that shares most buckets, and how they differ from the
-pivot bounds how similar they can be to each other. Only nodes that the bounds leave
-undecided are compared further, with the next pivot. So no link is lost, and a round's work is linear.
-Both ways give the classes that all pairs within buckets give; in a task pairs that share no band
+Larger groups are dealt into blocks by a hash of the node, and any two blocks meet in one task, which compares
+them like a small group; what is linked in some task hangs together. So all pairs of a group are compared in one
+shuffle, however large it is. A group whose nodes hang together by many small buckets only is compared bucket by
+bucket instead, each dealt into blocks if it is large, where that takes fewer comparisons.
+All ways give the classes that all pairs within buckets give; in a task pairs that share no band
 are compared too, so that more true links are found there, never fewer.
 
 Defined cases: null and empty texts and texts without words are classes of their
@@ -48,11 +48,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 SLOTS = BANDS * ROWS
-# Buckets up to this size form their pairs, at most 16 for each node on average.
-SMALL = 32
-PIVOTS = 8
 # Nodes and runs of a group that one task compares.
 GROUP_NODES, GROUP_RUNS = 4096, 4_000_000
+# Nodes that a block of a larger group may have at least.
+SMALL = 32
 # Bits of the filter that tells which texts are asked for: 8 MB.
 MARK_BITS = 1 << 26
 # Texts taken at a time; the arrays of their runs take some forty times as much.
@@ -229,7 +228,7 @@ def similar_sets(sizes: np.ndarray, elements: np.ndarray, threshold: float) -> n
 
 
 def _in_groups(sets: DataFrame, threshold: float) -> DataFrame:
-    """``node`` and ``root``, the smallest node of its class, for groups that come together in a task."""
+    """``node``, ``root``, the smallest node of its class, and ``fits`` for sets that come together in a task by their ``key``."""
 
     def classes_of(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows).combine_chunks()
@@ -242,112 +241,47 @@ def _in_groups(sets: DataFrame, threshold: float) -> DataFrame:
         least: dict[int, bytes] = {}
         for n, c in zip(names, label.tolist()):
             least[c] = min(least.get(c, n), n)
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([least[c] for c in label.tolist()], pa.binary())], names=["node", "root"])
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([least[c] for c in label.tolist()], pa.binary()), table["fits"].combine_chunks()], names=["node", "root", "fits"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, group = [], None
         for batch in batches:
-            root = batch.column("root").to_pylist()
-            new = [i for i in range(len(root)) if i == 0 or root[i] != root[i - 1]]
-            for a, b in zip(new, [*new[1:], len(root)]):
-                if held and root[a] != group:
+            key = batch.column("key").to_pylist()
+            new = [i for i in range(len(key)) if i == 0 or key[i] != key[i - 1]]
+            for a, b in zip(new, [*new[1:], len(key)]):
+                if held and key[a] != group:
                     yield classes_of(held)
                     held = []
-                group = root[a]
+                group = key[a]
                 held.append(batch.slice(a, b - a))
         if held:
             yield classes_of(held)
 
-    return sets.repartition("root").sortWithinPartitions("root").mapInArrow(make, "node binary, root binary")
-
-
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs ``a``, ``b`` with the sizes and the overlap of their multisets."""
-    left, right = sets.select(F.col("node").alias("a"), F.col("runs").alias("__a")), sets.select(F.col("node").alias("b"), F.col("runs").alias("__b"))
-    met = pairs.join(left, "a").join(right, "b")
-    return met.select("a", "b", F.size("__a").alias("n_a"), F.size("__b").alias("n_b"), F.size(F.array_intersect("__a", "__b")).alias("shared"))
-
+    return sets.repartition("key").sortWithinPartitions("key").mapInArrow(make, "node binary, root binary, fits boolean")
 
-def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """For pairs ``a``, ``b`` (the pivot): the elements that only one of them has, marked by side."""
-    left, right = sets.select(F.col("node").alias("a"), F.col("runs").alias("__a")), sets.select(F.col("node").alias("b"), F.col("runs").alias("__b"))
-    met = pairs.join(left, "a").join(right, "b")
-    only = F.concat(F.array_except("__a", "__b"), F.transform(F.array_except("__b", "__a"), lambda x: F.xxhash64(x)))
-    return met.select("a", "b", F.explode(only).alias("e"))
 
+def _meetings(nodes: DataFrame) -> DataFrame:
+    """``node`` and the ``keys`` of the tasks in which it meets others, for ``node``, ``root``, ``bands`` and ``size`` of groups too large for one task.
 
-def _still_open(members: DataFrame, compared: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """``band`` and ``node`` of the pairs that the comparison with the pivot leaves undecided.
-
-    D(x) are the elements by which x differs from the pivot. Two nodes f and x differ from each
-    other by |D(f)| + |D(x)| - 2 |D(f) and D(x)| elements, and are similar only if that
-    is at most k (|f| + |x|) with k = (1 - threshold) / (1 + threshold). What they share of D
-    is at most S, the number of elements of D that any other node of the pivot has too. So with
-    alpha = 2 S - |D| + k n and beta = |D| - k n, f and x can be similar only if
-    alpha(x) >= beta(f) and alpha(f) >= beta(x). A pair that is linked to the pivot on both
-    sides is in one class already; the others stay if these bounds allow it.
-    """
-    k = (1 - threshold) / (1 + threshold)
-    far = compared.where(~F.col("linked")).select("b").distinct()
-    group = compared.join(far, "b")
-    parts = _differences(group.select("a", "b"), sets)
-    common = parts.groupBy("b", "e").agg(F.count("*").alias("n")).where("n > 1").select("b", "e")
-    backed = parts.join(common, ["b", "e"]).groupBy("a", "b").agg(F.count("*").alias("s"))
-    d = F.col("n_a") + F.col("n_b") - 2 * F.col("shared")
-    rated = group.join(backed, ["a", "b"], "left").select(
-        "a", "b", "linked", (2 * F.coalesce("s", F.lit(0)) - d + k * F.col("n_a")).alias("alpha"), (d - k * F.col("n_a")).alias("beta"),
-    )
-    rated = materialize(rated, "bounds")
-    inside = members.withColumnsRenamed({"node": "a", "pivot": "b"}).join(rated, ["a", "b"])
-    reach = inside.groupBy("band").agg(F.max("alpha").alias("most"), F.min("beta").alias("least"))
-    slack = F.lit(1e-9)
-    live = ~F.col("linked") & (F.col("most") + slack >= F.col("beta")) & (F.col("alpha") + slack >= F.col("least"))
-    marked = inside.join(reach, "band").withColumn("live", live)
-    bound = marked.where("live").groupBy("band").agg(F.min("beta").alias("bound"))
-    return marked.join(bound, "band").where(F.col("live") | (F.col("alpha") + slack >= F.col("bound"))).select("band", F.col("a").alias("node"), "score")
-
-
-def near_links(nodes: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Links ``a``, ``b`` that join all nodes of a class; ``nodes`` has ``node`` and ``bands``.
-
-    Buckets of at most ``SMALL`` nodes form their pairs; larger ones are compared with one
-    pivot and go on with the nodes that may still be similar to each other. From the second
-    round on up to ``PIVOTS`` further nodes of a bucket serve as pivots too; a round stays
-    linear in the nodes that are open.
+    Blocks have half of what a task may compare, so any two of them fit. A set is sent to as many tasks as
+    its group has other blocks.
     """
-    rows = nodes.select("node", F.explode("bands").alias("band"))
-    counts = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialize(rows.join(counts, "band"), "buckets")
-    open_ = materialize(met.join(met.groupBy("node").agg(F.sum("n").alias("score")), "node").select("band", "node", "score"), "buckets")
-    links, turn = None, 0
-    while True:
-        size = open_.groupBy("band").agg(F.count("*").alias("n"), F.max(F.struct("score", "node"))["node"].alias("pivot"))
-        sized = materialize(open_.join(size, "band"), "buckets")
-        small, large = sized.where(F.col("n") <= SMALL), sized.where((F.col("n") > SMALL) & (F.col("node") != F.col("pivot")))
-        other = small.select("band", F.col("node").alias("b"))
-        close = small.select("band", F.col("node").alias("a")).join(other, "band").where("a > b").select("a", "b")
-        pairs = close.union(large.select("node", "pivot"))
-        extra = None
-        if turn:  # what the first pivot left open meets a few more of its own nodes in each round
-            part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(PIVOTS))
-            extra = materialize(large.groupBy("band", part.alias("part")).agg(F.max(F.struct("score", "node"))["node"].alias("extra")).select("band", "extra"), "pivots")
-            pairs = pairs.union(large.join(extra, "band").where(F.col("node") != F.col("extra")).select(F.greatest("node", "extra"), F.least("node", "extra")))
-        pairs = pairs.distinct()
-        found = _compared(pairs, sets)
-        found = materialize(found.withColumn("linked", F.col("shared") >= threshold * (F.col("n_a") + F.col("n_b") - F.col("shared"))), "compared")
-        new = found.where("linked").select("a", "b")
-        links = new if links is None else links.union(new)
-        if large.isEmpty():
-            return links
-        members = large.select("band", "node", "pivot", "score")
-        by_pivot = found.join(large.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), ["a", "b"])
-        left = _still_open(members, by_pivot, sets, threshold)
-        if extra is not None:  # they have met all others of their bucket
-            left = left.join(extra.withColumnRenamed("extra", "node"), ["band", "node"], "left_anti")
-        left, turn = materialize(left, "open"), turn + 1
-        open_ = materialize(left.join(left.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "band"), "buckets")
-        if open_.isEmpty():
-            return links
+    rows = nodes.select("node", "root", "size", F.explode("bands").alias("band"))
+    counts = [F.count("*").alias("n"), F.sum("size").alias("runs")]
+    work = F.col("n").cast("double") * F.col("runs")
+    buckets = rows.groupBy("root", "band").agg(*counts).where("n > 1")
+    apart = buckets.groupBy("root").agg(F.sum(work).alias("apart"))
+    # One row for each large group.
+    groups = materialize(nodes.groupBy("root").agg(*counts).join(apart, "root").withColumn("whole", work <= F.col("apart")).drop("apart"), "large-groups")
+    by_group = nodes.join(F.broadcast(groups.where("whole")), "root").select("node", F.hex("root").alias("unit"), "n", "runs")
+    by_bucket = rows.join(F.broadcast(groups.where("NOT whole").select("root")), "root").join(buckets.hint("merge"), ["root", "band"]).select("node", F.hex("band").alias("unit"), "n", "runs")
+    fits = (F.col("n") <= GROUP_NODES) & (F.col("runs") <= GROUP_RUNS)
+    wanted = F.greatest(F.ceil(F.col("n") / max(GROUP_NODES // 2, SMALL)), F.ceil(F.col("runs") / (GROUP_RUNS // 2)))
+    units = by_group.union(by_bucket).withColumn("blocks", F.when(fits, 1).otherwise(F.least("n", wanted)).cast("long"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    others = F.when(F.col("blocks") == 1, F.array(own)).otherwise(F.array_remove(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), F.col("own")))
+    keys = F.transform("others", lambda x: F.concat_ws("-", "unit", F.least("own", x), F.greatest("own", x)))
+    return units.withColumn("own", own).withColumn("others", others).groupBy("node").agg(F.flatten(F.collect_list(keys)).alias("keys"))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -363,14 +297,21 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     fits = (F.col("n") <= GROUP_NODES) & (F.col("runs") <= GROUP_RUNS)
     needed = materialize(groups.join(sized.select("root", fits.alias("fits")), "root").join(nodes.select("node", "row.*"), "node"), "groups")
 
-    # A shuffle at every size: the runs of the asked texts move, by row and then by group.
-    wanted = needed.select(*ROW, "root", "fits").hint("shuffle_hash")
-    sets = _sets(_named(docs), _marks(needed)).join(wanted, ROW).select("node", "root", "fits", "runs")
-    roots = materialize(_in_groups(sets.where("fits"), threshold), "classes", batch_rows=TEXT_ROWS)
-    if not needed.where("NOT fits").isEmpty():
-        open_ = needed.where("NOT fits").select("node")
-        large = materialize(sets.where("NOT fits").select("node", "runs").dropDuplicates(["node"]), "runs", batch_rows=TEXT_ROWS)
-        roots = roots.union(components(near_links(nodes.join(open_, "node", "left_semi").select("node", "bands"), large, threshold)))
+    tasks, asked, large = F.array(F.hex("root")), needed, needed.where("NOT fits")
+    some_large = not large.isEmpty()
+    if some_large:
+        met = materialize(_meetings(large.select("node", "root").join(nodes.select("node", "bands", "size"), "node")), "meetings")
+        tasks, asked = F.coalesce("keys", tasks), needed.join(met.hint("merge"), "node", "left")
+
+    # A shuffle at every size: the runs of the asked texts move, by row and then by the tasks that compare them.
+    wanted = asked.select(*ROW, tasks.alias("keys"), "fits").hint("shuffle_hash")
+    sets = _sets(_named(docs), _marks(needed)).join(wanted, ROW).select("node", F.explode("keys").alias("key"), "fits", "runs")
+    roots = materialize(_in_groups(sets, threshold), "classes", batch_rows=TEXT_ROWS)
+    if some_large:  # a node is in several tasks
+        linked = components(roots.where("NOT fits").select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = roots.where("fits").select("node", "root").union(linked)
+    else:
+        roots = roots.select("node", "root")
     named = sign.join(roots, "node", "left").withColumn("__root", F.coalesce("root", "node"))
     least = named.where(F.col("__root").isNotNull()).groupBy("__root").agg(F.min("doc_id").alias("class_id"))
     return named.join(least, "__root", "left").select("doc_id", "node", F.coalesce("class_id", "doc_id").alias("class_id"))

@@ -107,3 +107,41 @@ def test_filter_stays_packed(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "MARK_BITS", 1 << 10)
     marks = near_dup._marks(rows)
     assert marks.nbytes == 128 and near_dup._marked(marks, hashes["p1"].to_numpy()).all()
+
+
+def test_large_group_takes_the_same_jobs_whatever_its_size(spark, table, monkeypatch):
+    """Copies that share bands but are not similar: no pivot decides them, so they are dealt over tasks instead of rounds."""
+    monkeypatch.setattr(near_dup, "SMALL", 2)
+    monkeypatch.setattr(near_dup, "GROUP_NODES", 8)
+    written = []
+    monkeypatch.setattr(near_dup, "materialize", lambda df, label, *a, write=near_dup.materialize, **k: written.append(label) or write(df, label, *a, **k))
+    rnd = random.Random(6)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for k in range(90):
+        w = list(base)
+        for p in rnd.sample(range(3, 120, 7), 4):
+            w[p] = "z"
+        rows.append((k, " ".join(w)))
+    got = {r.doc_id: r.class_id for r in near_dup.classes(table(rows)).collect()}
+    assert got == near_classes(rows) and 10 < len(set(got.values())) < 90
+    assert len(written) <= 8
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_meetings_bring_all_pairs_together(spark, monkeypatch, whole):
+    """Any two nodes of a bucket meet in a task; blocks of a large group or bucket keep to the limit, whatever the number of runs."""
+    monkeypatch.setattr(near_dup, "GROUP_NODES", 16)
+    monkeypatch.setattr(near_dup, "SMALL", 1)
+    big = [(i, [7] + [100 + b for b in range(9) if whole]) for i in range(60)]
+    rows = big if whole else big + [(60 + i, [7] * (i == 0) + [200 + i, 201 + i]) for i in range(200)]
+    nodes = spark.createDataFrame([(i.to_bytes(4, "big"), b"root", b, 10) for i, b in rows], "node binary, root binary, bands array<long>, size long")
+    keys = {int.from_bytes(r.node, "big"): set(r["keys"]) for r in near_dup._meetings(nodes).collect()}
+    met, held = {}, {}
+    for i, bands in rows:
+        for b in bands:
+            met.setdefault(b, []).append(i)
+        for k in keys[i]:
+            held.setdefault(k, []).append(i)
+    assert all(keys[i] & keys[j] for own in met.values() for i in own for j in own)
+    assert max(map(len, held.values())) <= 32 and len(set(keys)) == len(rows)
+    assert any("-" in k and k.split("-")[0] == b"root".hex().upper() for k in held) == whole
