@@ -191,13 +191,14 @@ def _late(lines: DataFrame, edits: int) -> DataFrame:
         F.sum("n").alias("n"), *[F.min(F.when(n_gaps("p") == i, F.col("m"))).alias(f"m{i}") for i in range(edits + 1)])
     can_meet = F.coalesce(*[F.when(F.lit(2 * i) <= edits + n_gaps("q"), F.col(f"m{i}")) for i in range(edits + 1)])
     shared = shared.where((F.col("n") > 1) & can_meet.isNotNull()).drop("n")
-    swapped = rows.where(n_gaps("p") == edits).join(same.where("n > 1"), ["v", "p"]).select("me", F.col("m").alias("by"))
+    # Spark takes the variants of lines, or of parts, for as few rows as the lines and would broadcast them; one row a key is hashed instead.
+    swapped = rows.where(n_gaps("p") == edits).join(same.where("n > 1").hint("shuffle_hash"), ["v", "p"]).select("me", F.col("m").alias("by"))
     room = edits - n_gaps("p") + n_gaps("q")
     earliest = F.least(*[F.when(F.lit(i) <= room, F.col(f"m{i}")) for i in range(edits + 1)])
-    longer = rows.select("v", "p", "me", F.explode(parts).alias("q")).where(~whole).join(shared, ["v", "q"]).select("me", earliest.alias("by"))
+    longer = rows.select("v", "p", "me", F.explode(parts).alias("q")).where(~whole).join(shared.hint("shuffle_hash"), ["v", "q"]).select("me", earliest.alias("by"))
     pairs = swapped.union(longer).where(F.col("by") < F.col("me")).distinct()
     one, two = lines.select("me", F.col("line").alias("a")), lines.select(F.col("me").alias("by"), F.col("line").alias("b"))
-    checked = pairs.join(one, "me").join(two, "by").where(F.levenshtein("a", "b", edits).between(0, edits))
+    checked = pairs.join(one.hint("merge"), "me").join(two.hint("merge"), "by").where(F.levenshtein("a", "b", edits).between(0, edits))
     return checked.select("me").distinct()
 
 
@@ -211,12 +212,12 @@ def removed_lines(texts: DataFrame, edits: int = EDITS) -> DataFrame:
     again = lines.select(*AT, "h1", "h2").join(first.where("times > 1").select("h1", "h2", "first"), ["h1", "h2"]).where(at != F.col("first")).select(*AT)
     keys = first.select(F.explode(F.array(*names)).alias("k"), "h1", "first")
     shared = keys.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("k")
-    candidates = keys.join(shared, "k").select("first.*").distinct()
+    candidates = keys.join(shared.hint("shuffle_hash"), "k").select("first.*").distinct()
     lists = materialize(_lists(candidates), "candidates")
     # Numbers that grow with the lines' order stand for their places.
     found = _texts_of(beside(texts, lists, "id", "inner")).orderBy(*AT).withColumn("me", F.monotonically_increasing_id())
     found = materialize(found, "candidate-lines", batch_rows=TEXT_ROWS)
-    return again.union(found.join(_late(found, edits), "me").select(*AT))
+    return again.union(found.join(_late(found, edits).hint("merge"), "me").select(*AT))
 
 
 def deduplicated(docs: DataFrame, edits: int = EDITS) -> DataFrame:

@@ -87,3 +87,22 @@ def test_more_edits_than_one(spark, table):
     for edits in (1, 2, 3):
         want = {d: int(any(distance(x, lines[e]) <= edits for e in range(d))) for d, x in rows}
         assert {r.doc_id: r["__n_removed"] for r in line_dedup.deduplicated(table(rows), edits).collect()} == want, edits
+
+
+def test_variants_and_parts_are_not_broadcast(spark, table, monkeypatch):
+    """Their rows are many times those of the lines, which Spark's estimate does not know."""
+    plans = []
+
+    def planned(df, label, *a, write=line_dedup.materialize, **k):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, label, *a, **k)
+
+    monkeypatch.setattr(line_dedup, "materialize", planned)
+    rows = [(k, "\n".join(f"line {k * 7 + i} of the text" for i in range(9))) for k in range(30)]
+    texts = table(rows).selectExpr("doc_id AS id", "text")
+    late = line_dedup.removed_lines(texts)
+    plans.append(("late", late._jdf.queryExecution().executedPlan().toString()))
+    assert late.count() > 0
+    joins = {label: plan.count("BroadcastHashJoin") for label, plan in plans}
+    # The join of repeated lines with their first place may be a broadcast, as both are read as they are.
+    assert joins["candidates"] == joins["variants"] == 0 and joins["late"] <= 1
