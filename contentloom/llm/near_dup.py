@@ -292,7 +292,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = nodes.select("node", F.explode("bands").alias("band"))
     # A bucket joins its nodes to the smallest of them; what hangs together is a group.
     buckets = rows.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    groups = components(rows.join(buckets, "band").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    # Spark takes the bands of nodes for as few rows as the nodes and would broadcast them; the buckets are hashed instead.
+    groups = components(rows.join(buckets.hint("shuffle_hash"), "band").select(F.col("node").alias("a"), F.col("hub").alias("b")))
     sized = groups.join(nodes.select("node", "size"), "node").groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("runs"))
     fits = (F.col("n") <= GROUP_NODES) & (F.col("runs") <= GROUP_RUNS)
     needed = materialize(groups.join(sized.select("root", fits.alias("fits")), "root").join(nodes.select("node", "row.*"), "node"), "groups")

@@ -145,3 +145,18 @@ def test_meetings_bring_all_pairs_together(spark, monkeypatch, whole):
     assert all(keys[i] & keys[j] for own in met.values() for i in own for j in own)
     assert max(map(len, held.values())) <= 32 and len(set(keys)) == len(rows)
     assert any("-" in k and k.split("-")[0] == b"root".hex().upper() for k in held) == whole
+
+
+def test_bands_are_not_broadcast(spark, table, monkeypatch):
+    """Their rows are many times those of the nodes, which Spark's estimate does not know."""
+    plans = []
+
+    def planned(links, found=near_dup.components):
+        plans.append(links._jdf.queryExecution().executedPlan().toString())
+        return found(links)
+
+    monkeypatch.setattr(near_dup, "components", planned)
+    words = [f"w{i}" for i in range(100)]
+    rows = [(k, " ".join(words[:k] + [f"x{k}"] + words[k + 1:])) for k in range(0, 100, 10)]
+    assert {r.class_id for r in near_dup.classes(table(rows)).collect()} == {0}
+    assert len(plans) == 1 and "BroadcastHashJoin" not in plans[0]
